@@ -34,7 +34,7 @@ SHINGLE = 5
 PERMUTATIONS = 32
 #: 64 values in 16 bands of 4: two sets of similarity 0.85 share no band with probability 7e-6.
 BAND_ROWS = 4
-BLOCK = 256
+BLOCK = 128
 _rng = np.random.RandomState(1318)
 _A = ((_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)) | U64(1)
 _B = (_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = 85,
               .select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks",
                       F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
     # the text of a representative; a repeated doc_id may bring several, of which one has the class's set
-    texts = docs.join(placed, "doc_id").mapInArrow(_sets_of(size), "doc_id long, shingles binary, cluster long, blocks int, block int")
+    texts = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(size), "doc_id long, shingles binary, cluster long, blocks int, block int")
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))).alias("other")
     tasks = (texts.select("cluster", "block", "doc_id", "shingles", other)
              .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
