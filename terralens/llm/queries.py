@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralens.llm import minhash
+from terralens.llm import bpe, minhash, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash}
+def op4_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets}
 ORACLE_SQL: dict[str, str] = {}
