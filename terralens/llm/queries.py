@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralens.llm import bpe, minhash, secrets
+from terralens.llm import bpe, langid, minhash, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,5 +30,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
+    "op4_bpe": op4_bpe,
+    "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
+}
 ORACLE_SQL: dict[str, str] = {}
