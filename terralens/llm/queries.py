@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralens.llm import bpe, langid, minhash, quality, secrets, toxicity
+from terralens.llm import bpe, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -45,12 +49,23 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_decontamination": op2_decontamination,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
