@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralens.llm import bpe, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity
+from terralens.llm import bpe, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
@@ -68,4 +73,26 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+#: For the operators that SQL can express; the tests hold the others against brute force, the tokenizer library or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+with d as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, m, array_to_string(w[s:s + m - 1], ' ') as k
+        from (select item_id, w, least(len(w), 13) as m, unnest(range(1, len(w) - least(len(w), 13) + 2)) as s from i where len(w) > 0)),
+pos as (select rid, m, s, array_to_string(w[s:s + m - 1], ' ') as k
+        from (select rid, w, m, unnest(range(1, len(w) - m + 2)) as s from d, (select distinct m from win) where len(w) >= m)),
+hit as (select rid, s, m, item_id from pos join win using (m, k)),
+n as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + m)) as p from hit) group by rid),
+f as (select rid, count(*) as n_items, string_agg(x, ',' order by x) as names from (select distinct rid, cast(item_id as varchar) as x from hit) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join n using (rid) left join f using (rid)""",
+    "op3_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+m as (select *, case when n >= 1000 then max(page_id) over (partition by n, d) else page_id end as last from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when last > page_id then 'revisit' else 'response' end as record_type,
+       case when last > page_id then last end as refers_to
+from m""",
+}
