@@ -161,29 +161,30 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return _sort(np.append(rank[data], 0), int(rank[-1]) + 1)[1:]
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Permuted common prefixes: for each position, the length (up to ``cap``) that its suffix shares with the one before it in order.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Permuted common prefixes: for each position (of ``at``, or all), the length (up to ``cap``) that its suffix shares with the one before it in order.
 
     Eight bytes are compared at once, for the positions that are equal so far.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    wide = np.zeros(n + cap + 16, np.uint64)
-    padded = np.concatenate([data, np.zeros(cap + 16, np.uint8)])
-    for k in range(8):
-        wide[: len(padded) - 8] |= padded[k : len(padded) - 8 + k].astype(np.uint64) << np.uint64(8 * k)
-    out = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
+    wide = np.concatenate([data, np.zeros(cap + 16, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        wide[:-k] |= wide[k:] << np.uint64(8 * k)
+    at = np.arange(n) if at is None else at
+    out = np.zeros(len(at), np.int64)
+    row = np.flatnonzero(before[at] >= 0)
+    live = at[row]
     other = before[live]
     for k in range(0, cap, 8):
         x = wide[live + k] ^ wide[other + k]
         stop = x != 0
         low = x[stop]
         low &= ~low + np.uint64(1)
-        out[live[stop]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        live, other = live[~stop], other[~stop]
+        out[row[stop]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        row, live, other = row[~stop], live[~stop], other[~stop]
         if not len(live):
             break
-    out[live] = cap
-    return np.minimum(np.minimum(out, n - np.maximum(np.arange(n), before)), cap)
+    out[row] = cap
+    return np.minimum(np.minimum(out, n - np.maximum(at, before[at])), cap)

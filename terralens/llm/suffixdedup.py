@@ -33,7 +33,7 @@ U64 = np.uint64
 WINDOW = 100
 GRAM = 24
 HOT = 4000
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 _POS_BITS = 24
 
 
@@ -224,13 +224,16 @@ def repeats_of_shard(blobs: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.
     """(doc, window start) of the windows that are not the earliest of their content. A byte that UTF-8 never holds ends each blob."""
     data = np.frombuffer(b"\xff".join(blobs) + b"\xff", np.uint8)
     sa = suffix_array(data)
-    shared = common_prefixes(data, sa, window) >= window
     base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in blobs])])[:-1]
     owner = np.repeat(np.arange(len(blobs)), n)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = base[owner] + start
+    # only window starts can share a window's length: all other suffixes meet an end byte before
+    shared = np.zeros(len(data), bool)
+    shared[at] = common_prefixes(data, sa, window, at) >= window
     group_of = np.empty(len(data), np.int64)
     group_of[sa] = np.cumsum(~shared[sa])
-    group = group_of[base[owner] + start]
+    group = group_of[at]
     d, s = doc[owner], lo[owner] + start
     order = np.lexsort((s, d, group))
     g, d, s = group[order], d[order], s[order]
