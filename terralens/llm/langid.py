@@ -22,7 +22,7 @@ from terralens.llm import textkernel as K
 
 KINDS = ("w1", "c2", "c3", "c4")
 #: Most training rows.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Families of language codes. A code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),

@@ -86,28 +86,41 @@ def sparse_rows(kinds: tuple[str, ...], lower: bool = False):
 
 
 class Sparse:
-    """Rows of (bucket, value) lists, with products in both directions."""
+    """Rows of (bucket, value) lists, with products in both directions, a block of entries at a time."""
 
-    def __init__(self, idx: list[bytes], val: list[bytes], width: int):
-        parts = [np.frombuffer(x, np.int32) for x in idx]
-        self.n, self.width = len(parts), width
-        self.idx = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.val = np.concatenate([np.frombuffer(x, np.float32) for x in val]) if parts else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(self.n), [len(p) for p in parts])
+    BLOCK = 1 << 20
+
+    def __init__(self, idx: np.ndarray, val: np.ndarray, row: np.ndarray, n: int, width: int):
+        self.idx, self.val, self.row, self.n, self.width = idx, val, row, n, width
+
+    @classmethod
+    def of(cls, idx: pa.Array, val: pa.Array, width: int) -> Sparse:
+        data, off = K.buffers(idx)
+        row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off) // 4)
+        return cls(data.view(np.int32) if data.flags.aligned else data.copy().view(np.int32), K.buffers(val)[0].copy().view(np.float32), row, len(off) - 1, width)
 
     def take(self, rows: np.ndarray) -> Sparse:
-        new = np.full(self.n, -1)
-        new[rows] = np.arange(len(rows))
+        new = np.full(self.n, -1, np.int32)
+        new[rows] = np.arange(len(rows), dtype=np.int32)
         keep = new[self.row] >= 0
-        out = object.__new__(Sparse)
-        out.n, out.width, out.idx, out.val, out.row = len(rows), self.width, self.idx[keep], self.val[keep], new[self.row[keep]]
-        return out
+        return Sparse(self.idx[keep], self.val[keep], new[self.row[keep]], len(rows), self.width)
+
+    def _blocks(self):
+        for k in range(0, len(self.idx), self.BLOCK):
+            part = slice(k, k + self.BLOCK)
+            yield self.idx[part], self.val[part], self.row[part]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.val * w[self.idx], minlength=self.n)
+        out = np.zeros(self.n)
+        for idx, val, row in self._blocks():
+            out += np.bincount(row, weights=val * w[idx], minlength=self.n)
+        return out
 
     def tdot(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.idx, weights=self.val * g[self.row], minlength=self.width)
+        out = np.zeros(self.width)
+        for idx, val, row in self._blocks():
+            out += np.bincount(idx, weights=val * g[row], minlength=self.width)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -176,6 +189,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     kind = dict(chosen.dtypes)["label"]
     rows = (docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")
             .mapInArrow(sparse_rows(kinds, lower), f"doc_id long, label {kind}, idx binary, val binary").toArrow())
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(order)
-    return rows.column("doc_id").to_numpy(), np.array(rows.column("label").to_pylist()), Sparse(rows.column("idx").to_pylist(), rows.column("val").to_pylist(), len(kinds) << BITS)
+    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
+    ids, y = rows.column("doc_id").to_numpy(), np.array(rows.column("label").to_pylist())
+    return ids, y, Sparse.of(rows.column("idx"), rows.column("val"), len(kinds) << BITS)

@@ -19,7 +19,7 @@ from terralens.llm import textkernel as K
 
 KINDS = ("w1", "w2", "c3", "c4")
 #: Most labelled rows that a model is fitted to.
-SAMPLE = 4000
+SAMPLE = 2000
 #: A document is kept if it is of good quality with this probability at least.
 KEEP_AT = 0.35
 SYMBOLS = np.zeros(256, bool)

@@ -178,9 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, steps: int =
         move += 0.2 * dm / np.sqrt(gm)
     model.emission, model.start, model.move = (w + bias / 2).astype(np.float32), float(start), move
     z = []
-    for k, u in zip(words, stems, strict=True):
-        p = marginals(model.emission[bucket_of(k)].astype(float) + model.emission[bucket_of(u)], np.array([0, len(k)]), model.start, model.move) if len(k) else np.zeros(0)
-        z.append(np.log((p * p).sum() + FLOOR))
+    for k in range(0, len(words), 400):
+        w, u = words[k : k + 400], stems[k : k + 400]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in w])])
+        p = marginals(model.emission[bucket_of(np.concatenate(w))].astype(float) + model.emission[bucket_of(np.concatenate(u))], at, model.start, model.move)
+        z += np.log(linear.range_means((p * p)[:, None], at[:-1], at[1:])[:, 0] * np.diff(at) + FLOOR).tolist()
     model.slope, model.shift = linear.calibrate(np.array(z), y.astype(float))
     return model
 
