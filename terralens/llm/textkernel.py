@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _rng = np.random.RandomState(20240229)
 #: A random odd 64-bit value for each byte, so that words differ in all bits of their hash.
