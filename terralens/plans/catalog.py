@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralens.plans import places, splits
+from terralens.plans import asking, places, splits
 
-QUERIES = {**splits.QUERIES, **places.QUERIES}
-ORACLE = {**splits.ORACLE, **places.ORACLE}
+QUERIES = {**splits.QUERIES, **places.QUERIES, **asking.QUERIES}
+ORACLE = {**splits.ORACLE, **places.ORACLE, **asking.ORACLE}
