@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralens.plans import asking, places, splits
+from terralens.plans import asking, auditing, places, reporting, splits
 
-QUERIES = {**splits.QUERIES, **places.QUERIES, **asking.QUERIES}
-ORACLE = {**splits.ORACLE, **places.ORACLE, **asking.ORACLE}
+QUERIES = {**splits.QUERIES, **places.QUERIES, **asking.QUERIES, **auditing.QUERIES, **reporting.QUERIES}
+ORACLE = {**splits.ORACLE, **places.ORACLE, **asking.ORACLE, **auditing.ORACLE, **reporting.ORACLE}
