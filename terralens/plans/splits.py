@@ -82,7 +82,7 @@ QUERIES = {
 }
 _C = ", ".join(COLS)
 ORACLE = {
-    "split_pipeline": f"""with {FLAT}, l as (select distinct sample_id, city from deduped), {SPLIT.split(', ', 1)[0] and SPLIT[len(L) + 2:]}
+    "split_pipeline": f"""with {FLAT}, l as (select distinct sample_id, city from deduped), {SPLIT[len(L) + 2:]}
 select deduped.city, split, count(*) as n_questions, count(distinct sample_id) as n_locations from deduped join s using (sample_id) group by 1, 2""",
     "flatten_questions": f"with {FLAT} select {_C}, idx, pos from named",
     "filter_min_views": f"with {FLAT} select sample_id, count(*) as n from q where coalesce(streetview_count, 0) >= 4 group by 1",
