@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from terralens.llm import textkernel as K
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = np.uint32(0xFFFFFFFF)
 #: Positions handled at once.
 _TREES = 1 << 20
