@@ -148,33 +148,42 @@ def fit(x: Sparse, y: np.ndarray, *, loss: str, steps: int = 60, rate: float = 0
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope (positive) and intercept (Platt scaling) that turn scores into probabilities.
+    """Slope (positive) and intercept (Platt scaling) that turn scores into probabilities."""
+    slopes, shift = calibrate_columns(z[:, None], y, steps)
+    return float(slopes[0]), shift
+
+
+def calibrate_columns(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """The same from several columns of scores: a slope for each (that of the first is positive) and the intercept.
 
     Newton steps on smoothed targets and standardised scores; a step is halved until the loss falls.
     """
+    first = np.zeros(z.shape[1])
+    first[0] = 1.0
     if not len(z) or y.min() == y.max():
-        return 1.0, 0.0
+        return first, 0.0
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    unit = max(float(np.std(z)), 1e-9)
-    s = z / unit
-
-    def loss(a: float, c: float) -> float:
-        m = a * s + c
-        return float(np.sum(np.logaddexp(0, m) - t * m)) + 1e-3 * (a * a + c * c)
-    a, c = 1.0, 0.0
+    unit = np.maximum(np.std(z, axis=0), 1e-9)
+    s = np.concatenate([z / unit, np.ones((len(z), 1))], axis=1)
+    ridge = 2e-3 * np.eye(s.shape[1])
+
+    def loss(a: np.ndarray) -> float:
+        m = s @ a
+        return float(np.sum(np.logaddexp(0, m) - t * m)) + 1e-3 * float(a @ a)
+    a = np.append(first, 0.0)
     for _ in range(steps):
-        p = sigmoid(a * s + c)
-        r, v = p - t, np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[np.sum(v * s * s) + 2e-3, np.sum(v * s)], [np.sum(v * s), np.sum(v) + 2e-3]])
-        step = np.linalg.solve(h, [np.sum(r * s) + 2e-3 * a, np.sum(r) + 2e-3 * c])
-        now, k = loss(a, c), 1.0
-        while k > 1e-6 and loss(a - k * step[0], c - k * step[1]) > now:
+        p = sigmoid(s @ a)
+        v = np.maximum(p * (1 - p), 1e-9)
+        step = np.linalg.solve((s * v[:, None]).T @ s + ridge, s.T @ (p - t) + ridge @ a)
+        now, k = loss(a), 1.0
+        while k > 1e-6 and loss(a - k * step) > now:
             k /= 2
-        a, c = a - k * step[0], c - k * step[1]
+        a = a - k * step
         if np.abs(k * step).max() < 1e-6:
             break
-    return max(float(a), 1e-3) / unit, float(c)
+    a[0] = max(a[0], 1e-3)
+    return a[:-1] / unit, float(a[-1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, kinds: tuple[str, ...], lower: bool = False) -> tuple[np.ndarray, np.ndarray, Sparse]:

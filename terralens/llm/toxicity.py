@@ -2,8 +2,8 @@
 
 Two states (clean, toxic) over the words of a document. Emissions are weights of hashed words and of their
 first ``STEM`` bytes, trained with the transitions by maximum likelihood; gradients come from forward-backward marginals. Marginals
-of a document give its offending offsets; the sum of their squares, so that many faint ones don't outweigh
-a clear one, calibrated on labelled documents, its score.
+of a document give its offending offsets. Its score comes from the sum of their squares, so that many faint ones don't outweigh
+a clear one, and from its number of words, as one faint word says less about a long text; both are calibrated on labelled documents.
 
 Documents carry one label, not token labels. The training tokens are therefore labelled first: in a toxic
 document, the words or stems that are significantly tied to toxic documents (likelihood ratio, near copies counted
@@ -33,7 +33,8 @@ LEAST_RATIO, LEAST_LIFT = 24.0, 20.0
 STEM, STEM_RATIO, STEM_LIFT = 6, 48.0, 5.0
 #: Training sequences are cut to this many tokens.
 CHUNK = 64
-FLOOR = 1e-4
+#: Least sum of squared marginals that counts.
+FLOOR = 0.05
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
@@ -55,9 +56,15 @@ class Model:
     start: float
     move: np.ndarray  # 2 x 2 log transition weights
     slope: float
+    length: float  # weight of log(1 + words)
     shift: float
 
 
+def evidence(total: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What a document's score is made of: log of the sum of its squared marginals, log of its number of words."""
+    return np.stack([np.log(np.maximum(total, 0) + FLOOR), np.log1p(np.diff(at))], axis=1)
+
+
 def marginals(e: np.ndarray, at: np.ndarray, start: float, move: np.ndarray, pairs: bool = False):
     """P(toxic) of each token of the sequences e[at[i]:at[i+1]]; with ``pairs`` also expected transition counts.
 
@@ -141,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, steps: int =
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
     y = np.array(got.column("label").to_pylist(), int)
     words, stems = ([np.frombuffer(x, U64) for x in got.column(c).to_pylist()] for c in ("words", "stems"))
-    model = Model(np.full(1 << BITS, -2.0, np.float32), -4.0, np.zeros((2, 2)), 1.0, 0.0)
+    model = Model(np.full(1 << BITS, -2.0, np.float32), -4.0, np.zeros((2, 2)), 1.0, 0.0, 0.0)
     bad = np.concatenate([toxic_words(words, y), toxic_words(stems, y, STEM_RATIO, STEM_LIFT)]) if len(words) else np.zeros(0, U64)
     if not len(bad):
         rate = float(np.clip(y.mean(), 1e-3, 0.49)) if len(y) else 0.01
@@ -182,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, steps: int =
         w, u = words[k : k + 400], stems[k : k + 400]
         at = np.concatenate([[0], np.cumsum([len(x) for x in w])])
         p = marginals(model.emission[bucket_of(np.concatenate(w))].astype(float) + model.emission[bucket_of(np.concatenate(u))], at, model.start, model.move)
-        z += np.log(linear.range_means((p * p)[:, None], at[:-1], at[1:])[:, 0] * np.diff(at) + FLOOR).tolist()
-    model.slope, model.shift = linear.calibrate(np.array(z), y.astype(float))
+        z.append(evidence(linear.range_means((p * p)[:, None], at[:-1], at[1:])[:, 0] * np.diff(at), at))
+    slopes, model.shift = linear.calibrate_columns(np.concatenate(z), y.astype(float))
+    model.slope, model.length = slopes.tolist()
     return model
 
 
@@ -209,7 +217,7 @@ def score(docs: DataFrame, model: Model, group_bytes: int = 4 * K.SLICE_BYTES) -
                 e, s, t, at = (np.concatenate(x) for x in (e, s, t, at))
                 p = marginals(e.astype(float), at, model.start, model.move)
                 total = np.concatenate([[0.0], np.cumsum(p * p)])
-                prob = linear.sigmoid(model.slope * np.log(np.maximum(total[at[1:]] - total[at[:-1]], 0) + FLOOR) + model.shift)
+                prob = linear.sigmoid(evidence(total[at[1:]] - total[at[:-1]], at) @ np.array([model.slope, model.length]) + model.shift)
                 spans = [""] * (gj - gi)
                 hit = np.flatnonzero(p >= 0.5)
                 doc = np.searchsorted(at, hit, "right") - 1

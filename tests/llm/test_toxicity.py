@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
     right = (got.predicted == got.toxic)
-    assert right.mean() > 0.94 and right[got.toxic == 0].mean() > 0.98 and right[got.toxic == 1].mean() > 0.6
+    assert right.mean() > 0.94 and right[got.toxic == 0].mean() > 0.98 and right[got.toxic == 1].mean() > 0.9
     assert got.score.between(0, 1).all()
 
 
@@ -46,3 +46,9 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(big, none)).where("predicted = 1").count() == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_a_faint_word_in_a_long_clean_text_is_not_enough(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out and toxic = 0").toPandas()
+    assert (got.predicted == 1).mean() < 0.005
