@@ -4,7 +4,7 @@ For each distinct piece of text (a match of the splitting pattern) a segment tre
 positions holds, in every node, the leftmost smallest pair rank below it. The root names the next
 merge; the merge frees the right neighbour's position, and the tree is updated at the two live
 positions whose pairs changed, in logarithmic steps. Pieces of one size class share array
-operations: a step merges once in each of them.
+operations: a step merges once in each of them. A long piece has a tree of its own, and a step makes all its merges of one rank.
 
 Pieces repeat, so a worker remembers those it has encoded (at most ``REMEMBERED``, then it starts anew).
 """
@@ -26,6 +26,8 @@ REMEMBERED = 200_000
 _NONE = np.uint32(0xFFFFFFFF)
 #: Positions handled at once.
 _TREES = 1 << 20
+#: Pieces of this many bytes or more are merged in rounds, each from its own tree.
+LONG = 1024
 
 
 def read_ranks(path: str) -> bytes:
@@ -157,6 +159,67 @@ class Codec:
         flat, ends = ids[alive], np.cumsum(alive.sum(axis=1))
         return np.split(flat, ends[:-1])
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Token ids of one long piece, from one tree. A round does all merges of the smallest rank, from the left.
+
+        Merging one at a time would take the same steps as long as no merge makes a pair of that rank or a smaller one; a round ends
+        after the first that does.
+        """
+        n = len(piece)
+        width = 1 << (n - 1).bit_length()
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)].astype(np.uint32)
+        alive = np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree = np.full(2 * width, _NONE, np.uint32)
+        tree[width : width + n - 1] = self.pair_rank(ids[:-1], ids[1:])
+        level = width
+        while level > 1:
+            np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2], out=tree[level // 2 : level])
+            level //= 2
+
+        def ranks(left: np.ndarray, right: np.ndarray, there: np.ndarray) -> np.ndarray:
+            out = np.full(len(left), _NONE, np.uint32)
+            out[there] = self.pair_rank(left[there], right[there])
+            return out
+
+        while (low := tree[1]) != _NONE:
+            node = np.ones(1, np.int64)
+            while node[0] < width:
+                node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+                node = node[tree[node] == low]
+            at = node - width
+            # of a chain in which each pair begins with the end of the one before, every second pair
+            chained = np.append(False, after[at[:-1]] == at[1:])
+            first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            nxt, prev = after[gone], before[at]
+            merged = np.full(len(at), low, np.uint32)
+            # the pairs that a merge makes, at the time: what is left of it has been merged, what is right of it hasn't
+            joined = np.append(False, prev[1:] == gone[:-1])
+            left = np.where(joined, low, ids[np.maximum(prev, 0)]).astype(np.uint32)
+            made = np.minimum(ranks(left, merged, prev >= 0), ranks(merged, ids[np.minimum(nxt, n - 1)], nxt < n))
+            early = np.flatnonzero(made <= low)
+            if len(early):
+                k = early[0] + 1
+                at, gone, nxt, prev, merged = at[:k], gone[:k], nxt[:k], prev[:k], merged[:k]
+            ids[at] = merged
+            alive[gone] = False
+            after[at] = nxt
+            has = nxt < n
+            before[nxt[has]] = at[has]
+            back = before[at]
+            tree[width + gone] = _NONE
+            tree[width + at] = ranks(merged, ids[np.minimum(nxt, n - 1)], has)
+            some = back >= 0
+            tree[width + back[some]] = self.pair_rank(ids[back[some]], merged[some])
+            node = np.unique(np.concatenate([at, gone, back[some]]) + width) >> 1
+            while node[0]:
+                node = node[np.append(True, node[1:] != node[:-1])]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+                node = node >> 1
+        return ids[alive]
+
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Token ids of each piece. A piece that is a token itself is that token, as in the tiktoken library."""
         out: list[np.ndarray | None] = [None] * len(pieces)
@@ -169,6 +232,10 @@ class Codec:
             else:
                 classes.setdefault(1 << (len(b) - 1).bit_length(), []).append(k)
         for width, members in classes.items():
+            if width >= LONG:
+                for k in members:
+                    out[k] = self._merge_long(raw[k])
+                continue
             step = max(1, _TREES // width)
             for lo in range(0, len(members), step):
                 part = members[lo : lo + step]

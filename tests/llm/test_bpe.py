@@ -31,6 +31,19 @@ def test_long_pieces(text):
     assert ids.tolist() == LIB.encode_ordinary(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.sampled_from(["ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "éèêaz", "中文字的一", " \t", "=-"]), st.integers(1000, 9000))
+def test_random_long_pieces(seed, letters, n):
+    text = "".join(np.random.RandomState(seed).choice(list(letters), n))
+    assert CODEC.encode_pieces([text])[0].tolist() == LIB._encode_single_piece(text)
+
+
+def test_a_piece_of_megabytes():
+    text = "".join(np.random.RandomState(5).choice(list("etaoinshrdlu"), 1 << 20)) + "x" * (1 << 20)
+    (_, ids), = CODEC.encode([text])
+    assert CODEC.decode(ids) == text.encode() and len(ids) < len(text)
+
+
 def test_documents(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     got = bpe.encode_documents(spark.read.parquet(path), bpe.read_ranks(PATH), P.PATTERN, with_digests=True).collect()
