@@ -318,10 +318,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), or kept_sha256 with ``digest``.
 
     Null and empty texts have no bytes. Texts below ``window`` bytes stay. Rows of one doc_id count as one place, so a repeated
-    row is no repeat of itself; ids must otherwise tell texts apart. Remaining bytes may cut a character, hence binary.
+    row is no repeat of itself; ids must otherwise tell texts apart. A row without a doc_id has no place: it stays whole, and is no
+    earlier copy of another. Remaining bytes may cut a character, hence binary.
     """
     docs = docs.select("doc_id", "text")
-    found = docs.mapInArrow(_find_runs(window, gram), _RUN)
+    found = docs.where("doc_id is not null").mapInArrow(_find_runs(window, gram), _RUN)
     settled = save(found.repartition("h").sortWithinPartitions("h", "content", "doc_id", "lo").mapInArrow(_settle, "h long, doc_id long, lo int, n int, done boolean"), "runs")
     open_ = settled.where("not done")
     hot = open_.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))

@@ -95,3 +95,10 @@ def test_long_positions_choose_the_same_anchors():
     finally:
         suffixdedup._POS_BITS = old
     assert sum(a[3]) == sum(b[3]) == 1500 - 99 + 2450 - 99
+
+
+def test_rows_without_id_stay_whole(spark):
+    text = "".join(np.random.RandomState(2).choice(list("abcdefghij "), 330))
+    docs = spark.createDataFrame([(None, text), ((1 << 60) + 1, text), ((1 << 60) + 3, text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffixdedup.remove_repeats(docs.coalesce(1)).collect()}
+    assert got == {None: 0, (1 << 60) + 1: 0, (1 << 60) + 3: len(text)}
