@@ -26,6 +26,8 @@ U64 = np.uint64
 WINDOW = 13
 #: A search sends this much benchmark text to the executors at most; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 32 << 20
+#: Stands for a null doc_id in the stored index.
+NO_ID = -(1 << 63)
 _SEGMENT = "doc_ids binary, lengths binary, terms binary, counts binary, positions binary"
 
 
@@ -42,10 +44,14 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = h[order]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
             ids = b.column(0).slice(i, j - i)
-            packed = [ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at).astype(np.int64), ranked[first], np.diff(np.append(first, len(h))).astype(np.uint32), order.astype(np.uint32)]
+            packed = [ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at).astype(np.int64), ranked[first], np.diff(np.append(first, len(h))).astype(np.uint32), order.astype(np.uint32)]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
 
+def _with_nulls(found: DataFrame) -> DataFrame:
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of doc_id and text: all words of all documents. Null texts are documents without words."""
     return save(docs.select("doc_id", "text").mapInArrow(_build, _SEGMENT), "index")
@@ -153,7 +159,7 @@ def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
             _, at = s.phrases(terms, place[None, :], np.array([len(h)])) if len(h) else (None, np.zeros(0, np.int64))
             doc = np.searchsorted(s.starts, at, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(at - s.starts[doc])], names=["doc_id", "start"])
-    return index.mapInArrow(run, "doc_id long, start long")
+    return _with_nulls(index.mapInArrow(run, "doc_id long, start long"))
 
 
 def find_near(index: DataFrame, terms: str, slop: int) -> DataFrame:
@@ -164,7 +170,7 @@ def find_near(index: DataFrame, terms: str, slop: int) -> DataFrame:
         for s in _segments(batches):
             doc, at = s.proximity(h, slop)
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(at)], names=["doc_id", "start"])
-    return index.mapInArrow(run, "doc_id long, start long")
+    return _with_nulls(index.mapInArrow(run, "doc_id long, start long"))
 
 
 def item_windows(items: list[tuple[object, str | None]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), items.
 
     A word inside any occurrence of a window is hit once. Null, empty and wordless texts have no words and no hits, and such
-    items no windows. A null doc_id gives -1. Repeated rows give repeated results (one for equal id and length, if the benchmark
+    items no windows. A null doc_id stays null. Repeated rows give repeated results (one for equal id and length, if the benchmark
     needs several blocks); items of one id count once for a document.
     """
     index = build_index(docs)
@@ -242,12 +248,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     merged = F.expr("aggregate(array_sort(runs), struct(0L as n, 0L as e), (a, r) -> struct(a.n + greatest(r.e - greatest(r.s, a.e), 0L) as n, greatest(a.e, r.e) as e), a -> a.n)")
     names = F.array_sort(F.array_distinct("items"))
-    return (found.withColumn("n_hit", merged).withColumn("items", names)
+    return (_with_nulls(found).withColumn("n_hit", merged).withColumn("items", names)
             .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                     ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    """The rows of ``docs`` that aren't contaminated, with all their columns. Rows without a doc_id can't be named, and stay."""
     bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
