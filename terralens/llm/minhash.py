@@ -236,6 +236,6 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = 85,
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which ``near_duplicates`` keeps one of each group, with all their columns."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents of which ``near_duplicates`` keeps one of each group, with all their columns. Rows without a doc_id can't be named, and stay."""
+    kept = near_duplicates(docs, **options).where("kept or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -8,6 +8,7 @@ import test_decontam
 import test_minhash
 import test_pii
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terralens.llm import quality
@@ -54,3 +55,14 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), SF)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_rows_without_id_and_odd_columns(spark):
+    """Every stage keeps clean rows that have no id, whatever other columns are called."""
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    docs = some.unionByName(some.where("length(text) > 2000").limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("a b.c", "row", "found", "bands", "component", "kept", "kept_id", "runs"):
+        docs = docs.withColumn(name, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        assert sorted(out.columns) == sorted(docs.columns) and out.where("doc_id is null").count() == 1, name
