@@ -121,8 +121,9 @@ def assess(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame
 
 def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; judged in the pass that reads them, without a join."""
-    schema = docs.schema
-    at = schema.names.index("text")
+    at = docs.columns.index("text")
+    # the rows pass by position: a column's name may hold dots
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,4 +134,4 @@ def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFr
                 keep.append(~failed & (model.probability(data, off) >= keep_at))
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -63,6 +63,7 @@ def test_rows_without_id_and_odd_columns(spark):
     docs = some.unionByName(some.where("length(text) > 2000").limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     for name in ("a b.c", "row", "found", "bands", "component", "kept", "kept_id", "runs"):
         docs = docs.withColumn(name, F.lit(1))
+    assert sorted(corpus_pipeline.quality_rules(spark, docs, SF).columns) == sorted(docs.columns)
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, SF)
         assert sorted(out.columns) == sorted(docs.columns) and out.where("doc_id is null").count() == 1, name
