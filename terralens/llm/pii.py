@@ -15,15 +15,34 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = BASE_KINDS + ("iban", "ssn")
+#: Length of a bank account number by country: those of the registry of ISO 13616, then those in use without an entry in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI AX FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE IM JE GG ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR BL GF GP MF MQ NC PF PM RE TF WF YT GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTHS_UNLISTED = {25: "AO CV MZ GW", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG"}
+
+
+def _iban() -> str:
+    """Ends where the country's length does, so that words after it don't join it. Any other code takes the whole run. Only the first letter
+    is consumed, and group 1 has the number: a false start ('SE25 GB82 WEST ...') doesn't hide what begins within it."""
+    fixed = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}+" for lengths in (IBAN_LENGTHS, IBAN_LENGTHS_UNLISTED) for n, codes in lengths.items()]
+    other = f"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}}+"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join([*fixed, other])})(?![A-Za-z0-9])))[A-Z]"
+
+
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # complete chains of 12 to 19 digits: shorter and longer ones fail anyway
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: The group that is the match, and how many characters of it a search consumes; for others the whole match.
+AHEAD = {"iban": (1, 1)}
 #: What a text must contain for a pattern to match at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 CONTEXT = {
@@ -40,8 +59,11 @@ _CHUNK = 256
 _SPAN = "array<struct<m:string,s:int,e:int>>"
 
 
-def _located(matches: Column, gaps: Column) -> Column:
-    """Code-point places of the matches, from them and the texts between; in chunks, so that many matches don't copy a growing array each."""
+def _located(matches: Column, gaps: Column, consumed: int | None = None) -> Column:
+    """Code-point places of the matches, from them and the texts between; in chunks, so that many matches don't copy a growing array each.
+
+    ``consumed``: characters of a match that the texts between leave out, if not all.
+    """
     n = F.size(matches)
     chunks = F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
     start = lambda p, o: F.struct(p.alias("p"), o.alias("o"))
@@ -52,7 +74,7 @@ def _located(matches: Column, gaps: Column) -> Column:
         def add(b: Column, x: Column) -> Column:
             s = b["p"] + F.char_length(x["g"])
             e = s + F.char_length(x["m"])
-            return start(e, F.concat(b["o"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))))
+            return start(e if consumed is None else s + consumed, F.concat(b["o"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))))
         return F.aggregate(pairs, start(a["p"], F.array().cast(_SPAN)), add, lambda b: start(b["p"], F.concat(a["o"], F.array(b["o"]))))
     return F.aggregate(chunks, start(F.lit(0), F.array().cast(f"array<{_SPAN}>")), step, lambda a: F.flatten(a["o"]))
 
@@ -103,7 +125,7 @@ def _score(kind: str, x: Column, text: Column) -> Column:
 
 
 def _spans_of(k: int, kind: str, text: Column) -> Column:
-    good = F.filter(_located(F.col(f"m_{kind}"), F.col(f"g_{kind}")), lambda x: _confirmed(kind, x))
+    good = F.filter(_located(F.col(f"m_{kind}"), F.col(f"g_{kind}"), AHEAD.get(kind, (0, None))[1]), lambda x: _confirmed(kind, x))
     each = F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), _score(kind, x, text).alias("score")))
     return each if kind in BASE_KINDS else F.filter(each, lambda x: x["score"] >= KEEP_AT)
 
@@ -122,7 +144,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     matched, gaps, spans = {}, {}, {}
     for kind, pattern in PATTERNS.items():
         needed = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-        matched[f"m_{kind}"] = F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        matched[f"m_{kind}"] = F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(AHEAD.get(kind, (0, None))[0]))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns(matched)
     for kind, pattern in PATTERNS.items():
         gaps[f"g_{kind}"] = F.when(F.size(f"m_{kind}") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))

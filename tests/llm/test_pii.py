@@ -68,3 +68,26 @@ def test_redact(spark):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: ("mail [EMAIL] or [PHONE]!", 24), 2: (None, None), 3: ("clean", 5), 4: ("[EMAIL]", 7)}
+
+
+G, D, N = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+#: Texts with bank account numbers, {} each, before and after capitals and digits.
+IBANS = [("{} Please pay", [G]), ("{} EUR", [D]), ("{} BIC: X", ["GB82WEST12345698765432"]), ("é {} 12 A {} {} OK", [G, D, N]), ("SE25 {} {}", [G, D]), ("REF AB12 {} 7", [N]), ("{}", ["BR1500000000000010932840814P2"]),
+         ("{}, {}.", [N, "MT31MALT01100000000000000000123"])]
+NOT_IBANS = ["GB82 WEST 1234 5698 7654 33 Please", D + "1 EUR", D + "x", "x" + D, "GB82" * 5000, "AB12 " * 5000, "SE25 GB82 " * 3000]
+
+
+def iban_spans(t, parts):
+    out, at = [], 0
+    for n in parts:
+        s = t.index(n, at)
+        out.append((s, at := s + len(n)))
+    return out
+
+
+def test_iban_ends_with_its_country(spark):
+    rows = [(k, t.format(*n)) for k, (t, n) in enumerate(IBANS)] + [(100 + k, t) for k, t in enumerate(NOT_IBANS)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want = iban_spans(t, IBANS[k][1]) if k < 100 else []
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[k].split(",") if x.startswith("iban")] == want, t[:200]

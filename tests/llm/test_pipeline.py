@@ -67,3 +67,10 @@ def test_rows_without_id_and_odd_columns(spark):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, SF)
         assert sorted(out.columns) == sorted(docs.columns) and out.where("doc_id is null").count() == 1, name
+
+
+def test_account_numbers_go(spark):
+    rows = [(k, t.format(*n)) for k, (t, n) in enumerate(test_pii.IBANS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, SF).collect()}
+    assert got == {k: t.format(*["[IBAN]"] * len(n)) for k, (t, n) in enumerate(test_pii.IBANS)}
