@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a table of segments. A segment covers the documents of one slice of text and stores their
-ids and lengths, its distinct terms, and for each term the ascending list of its positions (word places counted through the
+ids and lengths, a random name, its distinct terms, and for each term the ascending list of its positions (word places counted through the
 segment). Documents are disjoint between segments, so a search runs on each segment alone.
 
 A phrase is found from its rarest term: that term's positions, less its offset in the phrase, are the candidate
@@ -11,6 +11,7 @@ starts, which are intersected with the offset-adjusted lists of the other terms,
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ WINDOW = 13
 BLOCK_BYTES = 32 << 20
 #: Stands for a null doc_id in the stored index.
 NO_ID = -(1 << 63)
-_SEGMENT = "doc_ids binary, lengths binary, terms binary, counts binary, positions binary"
+_SEGMENT = "name binary, doc_ids binary, lengths binary, terms binary, counts binary, positions binary"
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -45,7 +46,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
             ids = b.column(0).slice(i, j - i)
             packed = [ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at).astype(np.int64), ranked[first], np.diff(np.append(first, len(h))).astype(np.uint32), order.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (uuid.uuid4().bytes, *(x.tobytes() for x in packed))], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
 
 def _with_nulls(found: DataFrame) -> DataFrame:
@@ -59,6 +60,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Segment:
+    name: bytes
     doc_ids: np.ndarray
     lengths: np.ndarray
     terms: np.ndarray
@@ -67,7 +69,7 @@ class Segment:
 
     @classmethod
     def of(cls, row: list[bytes]) -> Segment:
-        return cls(*(np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, U64, np.uint32, np.uint32), strict=True)))
+        return cls(bytes(row[0]), *(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, U64, np.uint32, np.uint32), strict=True)))
 
     def __post_init__(self):
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -145,7 +147,7 @@ class Segment:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for b in batches:
-        for row in zip(*(b.column(k) for k in range(5)), strict=True):
+        for row in zip(*(b.column(k) for k in range(6)), strict=True):
             yield Segment.of([x.as_buffer() for x in row])
 
 
@@ -191,7 +193,8 @@ def item_windows(items: list[tuple[object, str | None]], window: int) -> tuple[n
     return terms, at.reshape(len(length), window), np.array(length), np.array(owner)
 
 
-_FOUND = "doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<string>"
+#: A row for each document; segment and place are its key.
+_FOUND = "segment binary, place int, doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<string>"
 
 
 def _search(items: list[tuple[object, str | None]], window: int):
@@ -224,7 +227,8 @@ def _search(items: list[tuple[object, str | None]], window: int):
             pairs = np.unique(np.stack([doc, owner[phrase]], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
             for d, k in pairs.tolist():
                 found[d].append(names[k])
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(s.lengths), runs, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "runs", "items"])
+            key = [pa.array([s.name] * len(s.doc_ids), pa.binary()), pa.array(np.arange(len(s.doc_ids), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(s.doc_ids), pa.array(s.lengths), runs, pa.array(found, pa.list_(pa.string()))], names=["segment", "place", "doc_id", "n_words", "runs", "items"])
     return run
 
 
@@ -232,8 +236,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), items.
 
     A word inside any occurrence of a window is hit once. Null, empty and wordless texts have no words and no hits, and such
-    items no windows. A null doc_id stays null. Repeated rows give repeated results (one for equal id and length, if the benchmark
-    needs several blocks); items of one id count once for a document.
+    items no windows. A null doc_id stays null. Every row of ``docs`` has its own result, also if its id is null or repeated; items of one id
+    count once for a document.
     """
     index = build_index(docs)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -244,8 +248,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         got = index.mapInArrow(_search([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window), _FOUND)
         found = got if found is None else found.unionByName(got)
     if blocks > 1:
-        # a document's rows of all blocks, repeated ids apart by their length
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+        # a document's rows of all blocks
+        found = found.groupBy("segment", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     merged = F.expr("aggregate(array_sort(runs), struct(0L as n, 0L as e), (a, r) -> struct(a.n + greatest(r.e - greatest(r.s, a.e), 0L) as n, greatest(a.e, r.e) as e), a -> a.n)")
     names = F.array_sort(F.array_distinct("items"))
     return (_with_nulls(found).withColumn("n_hit", merged).withColumn("items", names)

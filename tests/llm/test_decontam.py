@@ -60,6 +60,17 @@ def test_edges(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 6, 8}
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 40])
+def test_rows_of_one_id_stay_apart(spark, block):
+    """Null and repeated ids, equal lengths, repeated rows: each has its own result, whatever the number of blocks."""
+    a, b = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
+    docs = [(None, a), (None, b), (None, a), (None, b.replace("b1", "c1")), (1, a), (1, a), (1, b), (1, f"x {a}"), (1, None), (1, None), (2, f"{a} {b}")]
+    items = [(1, a), (2, b), (3, f"{a} {b}"), (4, "none such")]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    want = [(d, *brute([(d, t)], items)[d]) for d, t in docs]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got.collect())
+
+
 def test_phrase_and_proximity(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat the cat ran"), (2, "cat and the dog"), (3, "mat x x x x cat")], "doc_id long, text string")
     index = decontam.build_index(docs)
