@@ -258,6 +258,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns. Rows without a doc_id can't be named, and stay."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    The verdict depends on the text alone and is carried by a 64-bit hash of it, so ids may be null or repeated.
+    """
+    key = F.xxhash64("text")
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **options).where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return rows.join(bad, "key", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

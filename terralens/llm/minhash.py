@@ -236,6 +236,12 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = 85,
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which ``near_duplicates`` keeps one of each group, with all their columns. Rows without a doc_id can't be named, and stay."""
-    kept = near_duplicates(docs, **options).where("kept or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group that ``near_duplicates`` links, with all its columns: that of the smallest doc_id, null being smaller than any.
+
+    Rows are told apart by a stored key, so ids may be null or repeated. Rows without shingles are groups of their own.
+    """
+    keyed = save(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    groups = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), **options).select(F.col("doc_id").alias("key"), "component_id")
+    named = groups.join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
+    return keyed.join(first, "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

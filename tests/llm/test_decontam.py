@@ -71,6 +71,17 @@ def test_rows_of_one_id_stay_apart(spark, block):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got.collect())
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 40])
+def test_contaminated_rows_go_whatever_their_id(spark, block):
+    bad = " ".join(f"a{i}" for i in range(15))
+    docs = [(None, bad), (None, "clean"), (None, None), (1, bad), (1, "clean too"), (1, None), (2, "clean"), (2, "clean"), (3, f"x {bad}")]
+    items = spark.createDataFrame([(1, bad), (2, "none such " * 20)], "item_id long, text string")
+    d = spark.createDataFrame([(*r, 1, "k") for r in docs], "doc_id long, text string, row int, key string")
+    left = decontam.remove_contaminated(d, items, block_bytes=block)
+    assert left.columns == d.columns
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(map(str, d.where("text is null or text not like '%a1%'").select("doc_id", "text").collect()))
+
+
 def test_phrase_and_proximity(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat the cat ran"), (2, "cat and the dog"), (3, "mat x x x x cat")], "doc_id long, text string")
     index = decontam.build_index(docs)

@@ -51,6 +51,19 @@ def test_edge_cases(spark):
     assert {r.doc_id for r in minhash.keep_first(docs).collect()} == {1, 2, 3, 4, 6, 7}
 
 
+def test_keep_first_whatever_the_id(spark):
+    """One row of a group stays, if ids are null or repeated too; rows without words all stay."""
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "a b"), (None, "A b"), (5, "c d"), (5, "c d"), (5, "other text"), (None, f"{near} x"), (None, near), (7, near), (9, "e f"), (8, "E f"), (None, None), (None, ""), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, row int, key string")
+    out = minhash.keep_first(docs.repartition(3), percent=80)
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in out.collect())
+    by_near = [x for x in got if "w50" in x[1]]
+    assert len(by_near) == 1 and by_near[0][0] == "None"
+    assert [x for x in got if x not in by_near] == sorted([("None", "a b"), ("5", "c d"), ("5", "other text"), ("8", "e f"), ("None", ""), ("None", ""), ("6", ""), ("6", "")])
+
+
 def test_large_groups_are_cut_into_blocks(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
