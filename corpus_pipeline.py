@@ -34,11 +34,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and digests of the ids and of the text decoded from them."""
+    """Token ids and the text decoded from them, and digests of both."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=True, with_digests=True)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("personal_data", personal_data), ("bpe", encode)]

@@ -69,6 +69,14 @@ def test_rows_without_id_and_odd_columns(spark):
         assert sorted(out.columns) == sorted(docs.columns) and out.where("doc_id is null").count() == 1, name
 
 
+def test_encoded_rows_have_their_ids(spark):
+    docs = spark.createDataFrame([(1, "Grün a  b\n"), (2, None), (None, "x")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    for d, t in [(1, "Grün a  b\n"), (2, ""), (None, "x")]:
+        r = rows[d]
+        assert bytes(r.decoded).decode() == t and len(r.ids) == r.n_tokens and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+
+
 def test_account_numbers_go(spark):
     rows = [(k, t.format(*n)) for k, (t, n) in enumerate(test_pii.IBANS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
