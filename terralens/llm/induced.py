@@ -111,6 +111,18 @@ def _induce_by_entry(s: list[int], larger: list[int], smaller: list[int], lms: l
     return sa
 
 
+def _differ(s: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True where the substrings at ``one`` and ``two`` differ; size: of each of ``one`` and of the last of ``two``. Substrings of equal size are compared symbol by symbol."""
+    out = size[1:] != size[:-1]
+    todo = np.flatnonzero(~out)
+    n = size[todo]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    unequal = s[np.repeat(one[todo], n) + step] != s[np.repeat(two[todo], n) + step]
+    if len(todo):
+        out[todo] = np.logical_or.reduceat(unequal, np.cumsum(n) - n)
+    return out
+
+
 def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     """Suffix array of a string of small integers that ends with its unique smallest symbol."""
     n = len(s)
@@ -132,15 +144,10 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
         mark = np.zeros(n, bool)
         mark[lms] = True
         ordered = sa[mark[sa]]
-        # an LMS substring ends with the next LMS symbol; equal ones get equal names
+        # an LMS substring ends with the next LMS symbol; equal ones, which are neighbours in order, get equal names
         end = np.full(n, n - 1)
         end[lms[:-1]] = lms[1:]
-        code = K.mix(s.astype(np.uint64) + np.uint64(1))
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(code * K.powers(K._BASE, n), out=prefix[1:])
-        h = K.span_hash(prefix, ordered, end[ordered] + 1)
-        size = end[ordered] - ordered
-        new = np.concatenate([[False], (h[1:] != h[:-1]) | (size[1:] != size[:-1])])
+        new = np.concatenate([[False], _differ(s, ordered[:-1], ordered[1:], end[ordered] - ordered + 1)])
         name = np.cumsum(new)
         if name[-1] + 1 == len(lms):
             lms = ordered

@@ -1,11 +1,13 @@
 """Removal of repeated passages by suffix arrays.
 
 A byte goes if it lies in a ``window``-byte string that also starts earlier (smaller doc_id, or same
-document and earlier start). The work is cut so that equal windows meet in one shard:
+document and earlier start). Several texts of one doc_id are told apart, and ordered, by a hash of the text (``place``).
+The work is cut so that equal windows meet in one shard:
 
 1. Each window has an anchor: its ``GRAM``-byte string of smallest hash, the leftmost of equals. Neighbouring windows
    of one anchor form a run; equal windows have equal anchors at the same place. Of runs that are equal to the last
-   byte within one slice of text, all but the earliest are done here.
+   byte within one slice of text, all but the earliest are done here. A task remembers runs that it has met repeatedly, so a
+   passage that is everywhere sends about one row a task to its anchor's partition.
 2. Runs meet by anchor hash, sorted, and are read as a stream. Equal runs: all but the earliest are repeats. An anchor with one
    kind of run has no other repeats. What is left are the earliest runs of anchors with several kinds: the
    surroundings of edits and of passage ends.
@@ -33,8 +35,27 @@ U64 = np.uint64
 WINDOW = 100
 GRAM = 24
 HOT = 4000
+#: A hot anchor's rows are spread over so many parts where they meet the list of hot anchors.
+SALT = 64
 SHARD_BYTES = 1 << 19
+#: Repeated runs, or windows of hot anchors, that a task remembers at most; it only saves rows.
+REMEMBERED = 1 << 17
 _POS_BITS = 24
+_STEP = 0x9E3779B97F4A7C15
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each ``gram``-byte string. Equal hashes of different strings only make them meet in one shard."""
+    part, width, out, done = K.BYTE_CODE[data], 1, None, 0
+    while True:
+        if gram & width:
+            have = len(data) - (done + width) + 1
+            out = part[:have] if out is None else out[:have] * U64(pow(_STEP, width, 1 << 64)) + part[done : done + have]
+            done += width
+        if width * 2 > gram:
+            return K.mix(out)
+        part = part[:-width] * U64(pow(_STEP, width, 1 << 64)) + part[width:]
+        width *= 2
 
 
 def runs(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -44,7 +65,7 @@ def runs(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.
     if n < window:
         return none
     prefix = K.prefix_hash(data)
-    h = K.mix((prefix[gram:] - prefix[:-gram]) * K.powers(K._BASE_INV, n + 1)[: n - gram + 1])
+    h = gram_hashes(data, gram)
     if n >> _POS_BITS:
         return _runs_of_long(h, prefix, off, window, gram)
     place = U64((1 << _POS_BITS) - 1)
@@ -94,24 +115,62 @@ def _cut(anchor: np.ndarray, h: np.ndarray, prefix: np.ndarray, off: np.ndarray,
     return h[own], content, lo, count
 
 
-_RUN = "h long, content long, doc_id long, lo int, n int, done boolean"
+_RUN = "h long, content long, doc_id long, place long, lo int, n int, done boolean"
+
+
+def _earlier(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """True where (doc, place, lo) of ``a`` comes before that of ``b``."""
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+
+
+class _Memory:
+    """Places of kinds of runs that a task has met twice in one slice: at most ``REMEMBERED``, then it starts anew."""
+
+    def __init__(self):
+        self.key = np.zeros(0, U64)
+        self.rows: tuple[np.ndarray, ...] = ()
+
+    @staticmethod
+    def keys(h: np.ndarray, content: np.ndarray) -> np.ndarray:
+        return K.mix(h ^ (content * U64(_STEP)))
+
+    def repeats(self, h: np.ndarray, content: np.ndarray, at: tuple[np.ndarray, ...]) -> np.ndarray:
+        """True for runs that repeat a remembered one that is earlier."""
+        if not len(self.key):
+            return np.zeros(len(h), bool)
+        q = np.minimum(np.searchsorted(self.key, self.keys(h, content)), len(self.key) - 1)
+        mh, mc, *place = (x[q] for x in self.rows)
+        return (mh == h) & (mc == content) & _earlier(tuple(place), at)
+
+    def add(self, h: np.ndarray, content: np.ndarray, at: tuple[np.ndarray, ...]) -> None:
+        rows = (h, content, *at)
+        if self.rows and len(self.key) + len(h) <= REMEMBERED:
+            rows = tuple(np.concatenate([a, b]) for a, b in zip(self.rows, rows, strict=True))
+        key = self.keys(rows[0], rows[1])
+        order = np.lexsort((rows[4], rows[3], rows[2], key))
+        first = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
+        self.key, self.rows = key[first], tuple(x[first] for x in rows)
 
 
 def _find_runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Memory()
         for b in batches:
             for i, j, data, off in K.text_slices(b.column(1)):
                 h, content, lo, n = runs(data, off, window, gram)
-                ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, places = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2))
                 at = np.searchsorted(off, lo, "right") - 1
-                doc, lo = ids[at], lo - off[at]
-                order = np.lexsort((lo, doc, content, h))
+                doc, place, lo = ids[at], places[at], lo - off[at]
+                o = np.lexsort((lo, place, doc, content, h))
                 same = np.zeros(len(h), bool)
-                o = order
                 same[1:] = (h[o][1:] == h[o][:-1]) & (content[o][1:] == content[o][:-1])
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(o)))) if len(o) else o
+                late = same & ((doc[o] != doc[o][head]) | (place[o] != place[o][head]) | (lo[o] != lo[o][head]))
                 done = np.zeros(len(h), bool)
-                done[o] = same & ((doc[o] != doc[o][head]) | (lo[o] != lo[o][head]))
+                done[o] = late
+                done |= memory.repeats(h, content, (doc, place, lo))
+                often = o[np.unique(head[late])]
+                memory.add(h[often], content[often], (doc[often], place[often], lo[often]))
                 # repeats next to each other become one range
                 k = np.flatnonzero(done)
                 start = np.ones(len(k), bool)
@@ -121,24 +180,27 @@ def _find_runs(window: int, gram: int):
                 keep = np.flatnonzero(~done)
                 dk = k[first]
                 cols = [np.concatenate([h[keep], K.mix(doc[dk].astype(U64) * U64(31) + lo[dk].astype(U64))]).view(np.int64), np.concatenate([content[keep], np.zeros(len(dk), U64)]).view(np.int64),
-                        np.concatenate([doc[keep], doc[dk]]), np.concatenate([lo[keep], lo[dk]]).astype(np.int32), np.concatenate([n[keep], total]).astype(np.int32),
+                        np.concatenate([doc[keep], doc[dk]]), np.concatenate([place[keep], place[dk]]), np.concatenate([lo[keep], lo[dk]]).astype(np.int32), np.concatenate([n[keep], total]).astype(np.int32),
                         np.repeat([False, True], [len(keep), len(dk)])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "content", "doc_id", "lo", "n", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "content", "doc_id", "place", "lo", "n", "done"])
     return run
 
 
+_SETTLED = "h long, doc_id long, place long, lo int, n int, done boolean"
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted runs to repeats (done) and to the earliest runs of anchors with several kinds."""
-    last = None  # (h, content, doc, lo) of the earliest run of the current kind
+    last = None  # (h, content, doc, place, lo) of the earliest run of the current kind
     waiting = None  # the only kind's earliest run so far of the current anchor
-    names = ["h", "doc_id", "lo", "n", "done"]
+    names = ["h", "doc_id", "place", "lo", "n", "done"]
     for b in batches:
-        h, content, doc, lo, n, done = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        h, content, doc, place, lo, n, done = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
         settled = np.flatnonzero(done)
         if len(settled):
-            yield pa.RecordBatch.from_arrays([pa.array(x[settled]) for x in (h, doc, lo, n, done)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[settled]) for x in (h, doc, place, lo, n, done)], names=names)
         open_ = np.flatnonzero(~done)
-        h, content, doc, lo, n = (x[open_] for x in (h, content, doc, lo, n))
+        h, content, doc, place, lo, n = (x[open_] for x in (h, content, doc, place, lo, n))
         m = len(h)
         if not m:
             continue
@@ -149,8 +211,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same_h[0] = h[0] == last[0]
             same[0] = same_h[0] and content[0] == last[1]
         kind_at = np.maximum.accumulate(np.where(same, -1, np.arange(m)))
-        head_doc, head_lo = np.where(kind_at >= 0, doc[kind_at], last[2] if last else 0), np.where(kind_at >= 0, lo[kind_at], last[3] if last else 0)
-        repeat = same & ((doc != head_doc) | (lo != head_lo))
+        head = [np.where(kind_at >= 0, x[kind_at], last[k] if last else 0) for k, x in ((2, doc), (3, place), (4, lo))]
+        repeat = same & ((doc != head[0]) | (place != head[1]) | (lo != head[2]))
         first = ~same  # earliest of its kind
         group = np.cumsum(~same_h) - (0 if same_h[0] else 1)  # group 0 may go on from the last batch
         kinds = np.bincount(group, weights=first, minlength=group[-1] + 1)
@@ -166,62 +228,57 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group[-1] > 0 or not same_h[0]:
             in_last = group == group[-1]
             only = np.flatnonzero(in_last & first)
-            waiting = (h[only[0]], doc[only[0]], lo[only[0]], n[only[0]]) if len(only) == 1 else None
+            waiting = (h[only[0]], doc[only[0]], place[only[0]], lo[only[0]], n[only[0]]) if len(only) == 1 else None
         out = np.flatnonzero(repeat | (first & several))
-        cols = [x[out] for x in (h, doc, lo, n)]
+        cols = [x[out] for x in (h, doc, place, lo, n)]
         if extra:
             cols = [np.append(c, x).astype(c.dtype) for c, x in zip(cols, extra[0], strict=True)]
         flag = np.append(repeat[out], [False] * len(extra)).astype(bool)
         if len(flag):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, flag)], names=names)
         k = kind_at[-1]
-        last = (h[-1], content[-1], doc[k], lo[k]) if k >= 0 else last
+        last = (h[-1], content[-1], doc[k], place[k], lo[k]) if k >= 0 else last
 
 
-_CONTEXT = "key long, bytes binary, doc_id long, lo int, n int"
+_CONTEXT = "key long, bytes binary, doc_id long, place long, lo int, n int"
+_REPEAT = "doc_id long, place long, lo int, n int"
 
 
 def _contexts(window: int):
-    """(text, doc_id, runs) to the runs' bytes; a hot anchor's run to its windows, each once for a slice of text."""
+    """(text, doc_id, place, runs) to the runs' bytes; a hot anchor's run to its windows. Of equal hot windows that a task remembers, later ones come without bytes: they are repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int, int]] = {}
         for b in batches:
-            ids = b.column(1).to_pylist()
-            lists = b.column(2)
+            ids, places = b.column(1).to_pylist(), b.column(2).to_pylist()
+            lists = b.column(3)
             for i, j, data, off in K.text_slices(b.column(0)):
                 whole = data.tobytes()
-                key, blob, doc, lo, n = [], [], [], [], []
-                seen: dict[bytes, int] = {}
+                key, blob, rows = [], [], []
                 for q in range(j - i):
-                    raw = whole[off[q] : off[q + 1]]
+                    raw, me = whole[off[q] : off[q + 1]], (ids[i + q], places[i + q])
                     for r in lists[i + q].as_py():
                         if not r["hot"]:
                             key.append(r["h"])
                             blob.append(raw[r["lo"] : r["lo"] + r["n"] - 1 + window])
-                            doc.append(ids[i + q])
-                            lo.append(r["lo"])
-                            n.append(r["n"])
+                            rows.append((*me, r["lo"], r["n"]))
                             continue
                         for s in range(r["lo"], r["lo"] + r["n"]):
                             w = raw[s : s + window]
-                            at = seen.get(w)
-                            if at is None:
-                                seen[w] = at = len(key)
+                            first, now = seen.get(w), (*me, s)
+                            if first is None or now < first:
+                                if len(seen) >= REMEMBERED:
+                                    seen = {}
+                                seen[w] = now
                             key.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True))
-                            blob.append(w)
-                            doc.append(ids[i + q])
-                            lo.append(s)
-                            n.append(1)
-                            if at != len(key) - 1 and (doc[at], lo[at]) != (doc[-1], lo[-1]):
-                                late = at if (doc[-1], lo[-1]) < (doc[at], lo[at]) else len(key) - 1
-                                if late == at:
-                                    seen[w] = len(key) - 1
-                                blob[late] = None  # a repeat already
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(blob, pa.binary()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=["key", "bytes", "doc_id", "lo", "n"])
+                            blob.append(None if first is not None and first < now else w)
+                            rows.append((*now, 1))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(blob, pa.binary()), *cols], names=["key", "bytes", "doc_id", "place", "lo", "n"])
     return run
 
 
-def repeats_of_shard(blobs: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, window start) of the windows that are not the earliest of their content. A byte that UTF-8 never holds ends each blob."""
+def repeats_of_shard(blobs: list[bytes], doc: np.ndarray, place: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, place, window start) of the windows that are not the earliest of their content. A byte that UTF-8 never holds ends each blob."""
     data = np.frombuffer(b"\xff".join(blobs) + b"\xff", np.uint8)
     sa = suffix_array(data)
     base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in blobs])])[:-1]
@@ -234,48 +291,60 @@ def repeats_of_shard(blobs: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.
     group_of = np.empty(len(data), np.int64)
     group_of[sa] = np.cumsum(~shared[sa])
     group = group_of[at]
-    d, s = doc[owner], lo[owner] + start
-    order = np.lexsort((s, d, group))
-    g, d, s = group[order], d[order], s[order]
+    d, p, s = doc[owner], place[owner], lo[owner] + start
+    order = np.lexsort((s, p, d, group))
+    g, d, p, s = group[order], d[order], p[order], s[order]
     new = np.ones(len(g), bool)
     new[1:] = g[1:] != g[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0)) if len(g) else g
-    late = (d != d[head]) | (s != s[head])
-    return d[late], s[late]
+    late = (d != d[head]) | (p != p[head]) | (s != s[head])
+    return d[late], p[late], s[late]
 
 
-def _ranges(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
+def _ranges(d: np.ndarray, p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((s, p, d))
+    d, p, s = d[order], p[order], s[order]
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (s[1:] > s[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1 if len(d) else first
-    return d[first], s[first], s[last] - s[first] + 1
+    return d[first], p[first], s[first].astype(np.int32), (s[last] - s[first] + 1).astype(np.int32)
 
 
 def _shards(window: int):
-    """Sorted contexts to repeats, a shard of whole keys at a time."""
+    """Sorted contexts to repeats, a shard of whole keys at a time. Single windows that a shard holds already are settled as they come."""
+    names = [x.split()[0] for x in _REPEAT.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, doc, lo, n, held, key = [], [], [], [], 0, None
+        blobs, rows, held, key = [], [], 0, None
+        single: dict[bytes, int] = {}
 
         def close() -> pa.RecordBatch:
-            d, s = repeats_of_shard(blobs, np.array(doc, np.int64), np.array(lo, np.int64), np.array(n, np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (lambda a, b, c: (a, b.astype(np.int32), c.astype(np.int32)))(*_ranges(d, s))], names=["doc_id", "lo", "n"])
+            doc, place, lo, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _ranges(*repeats_of_shard(blobs, doc, place, lo, n, window))], names=names)
         for b in batches:
-            for k, x, d, l, m in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            late = []
+            for k, x, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if x is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([l], pa.int32()), pa.array([m], pa.int32())], names=["doc_id", "lo", "n"])
+                    late.append(row)
                     continue
                 if k != key and held >= SHARD_BYTES:
                     yield close()
-                    blobs, doc, lo, n, held = [], [], [], [], 0
+                    blobs, rows, held, single = [], [], 0, {}
                 key = k
+                if row[3] == 1:
+                    at = single.setdefault(x, len(rows))
+                    if at < len(rows):
+                        if row < rows[at]:
+                            rows[at], row = row, rows[at]
+                        if row != rows[at]:
+                            late.append(row)
+                        continue
                 blobs.append(x)
-                doc.append(d)
-                lo.append(l)
-                n.append(m)
+                rows.append(row)
                 held += len(x) + 1
+            if late:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*late, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
         if blobs:
             yield close()
     return run
@@ -317,17 +386,19 @@ def _remove(window: int, digest: bool):
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), or kept_sha256 with ``digest``.
 
-    Null and empty texts have no bytes. Texts below ``window`` bytes stay. Rows of one doc_id count as one place, so a repeated
-    row is no repeat of itself; ids must otherwise tell texts apart. A row without a doc_id has no place: it stays whole, and is no
-    earlier copy of another. Remaining bytes may cut a character, hence binary.
+    Null and empty texts have no bytes. Texts below ``window`` bytes stay. Different texts of one doc_id are different documents, in the order
+    of a hash of the text; a row that repeats both is the same document, so it is no repeat of itself and both rows get one result. A row without
+    a doc_id has no place in the order: it stays whole, and is no earlier copy of another. Remaining bytes may cut a character, hence binary.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
     found = docs.where("doc_id is not null").mapInArrow(_find_runs(window, gram), _RUN)
-    settled = save(found.repartition("h").sortWithinPartitions("h", "content", "doc_id", "lo").mapInArrow(_settle, "h long, doc_id long, lo int, n int, done boolean"), "runs")
-    open_ = settled.where("not done")
-    hot = open_.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
-    wanted = open_.join(hot, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    contexts = docs.join(wanted.hint("merge"), "doc_id").select("text", "doc_id", "runs").mapInArrow(_contexts(window), _CONTEXT)
-    late = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(window), "doc_id long, lo int, n int")
-    repeats = settled.where("done").select("doc_id", "lo", "n").unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
-    return docs.join(repeats.hint("merge"), "doc_id", "left").select("text", "doc_id", "at").mapInArrow(_remove(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    settled = save(found.repartition("h").sortWithinPartitions("h", "content", "doc_id", "place", "lo").mapInArrow(_settle, _SETTLED), "runs")
+    # hot anchors are few (each has over HOT rows), so they are repeated for each part of a salted join
+    salt = lambda c: c.withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALT)).cast("int"))
+    open_ = salt(settled.where("not done"))
+    hot = open_.groupBy("h").count().where(F.col("count") > HOT).select("h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("hot"))
+    wanted = open_.join(hot, ["h", "salt"], "left").groupBy("doc_id", "place").agg(F.collect_list(F.struct("h", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    contexts = docs.join(wanted.hint("merge"), ["doc_id", "place"]).select("text", "doc_id", "place", "runs").mapInArrow(_contexts(window), _CONTEXT)
+    late = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(window), _REPEAT)
+    repeats = settled.where("done").select("doc_id", "place", "lo", "n").unionByName(late).groupBy("doc_id", "place").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
+    return docs.join(repeats.hint("merge"), ["doc_id", "place"], "left").select("text", "doc_id", "at").mapInArrow(_remove(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")

@@ -15,10 +15,17 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _rng = np.random.RandomState(20240229)
-#: A random odd 64-bit value for each byte, so that words differ in all bits of their hash.
+#: A random odd 64-bit value for each byte, for n-gram features.
 BYTE_CODE = (_rng.randint(0, 1 << 32, 256).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, 256).astype(U64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Span hashes are polynomials over the prime field of 2**61 - 1: two different spans of n bytes meet with probability n / 2**61, however regular they are.
+#: (Modulo a power of two, regular texts such as Thue-Morse words meet for certain.)
+PRIME = (1 << 61) - 1
+_P = U64(PRIME)
+_BASE = 0x1B5A7F3C94E6D281
+_BASE_INV = pow(_BASE, -1, PRIME)
+_LOW31 = U64((1 << 31) - 1)
+#: Bytes hashed at once: their arrays stay in the processor's cache, and sums of so many terms below 2**40 fit in 64 bits.
+_BLOCK = 1 << 15
 _powers: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,13 +50,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & _P) + (x >> U64(61))
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
+
+def _times_2_31(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo the prime, x being reduced: a rotation of 61 bits."""
+    return ((x << U64(31)) & _P) | (x >> U64(30))
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both reduced."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    # a1 b1 2**62 + (a1 b0 + a0 b1) 2**31 + a0 b0, with 2**61 = 1
+    middle = _reduce(a1 * b0 + a0 * b1)
+    return _reduce(_reduce(a1 * b1 * U64(2)) + _times_2_31(middle) + _reduce(a0 * b0))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n; kept for slices of usual size."""
+    """base**i modulo the prime for i < n; kept for slices of usual size."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 4096), base, dtype=U64)
-        steps[0] = 1
-        have = np.cumprod(steps)
+        have, step = np.ones(1, U64), base
+        while len(have) < max(n, SLICE_BYTES + 4096):
+            have = np.concatenate([have, multiply(have, np.array([step], U64))])
+            step = step * step % PRIME
         if n <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
@@ -89,15 +117,19 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[i] the code sum of the first i bytes; see span_hash."""
+    """H with H[i] the sum of (byte + 1) * base**place over the first i bytes, modulo the prime; see span_hash."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODE[data] * powers(_BASE, len(data)), out=out[1:])
+    power = powers(_BASE, len(data))
+    for k in range(0, len(data), _BLOCK):
+        code, p = data[k : k + _BLOCK].astype(U64) + U64(1), power[k : k + _BLOCK]
+        high, low = np.cumsum(code * (p >> U64(31))), np.cumsum(code * (p & _LOW31))
+        out[k + 1 : k + 1 + len(code)] = _reduce(_times_2_31(_reduce(high)) + _reduce(low) + out[k])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span, whatever its place."""
-    return mix((prefix[end] - prefix[start]) * powers(_BASE_INV, len(prefix))[start])
+    return mix(multiply(_reduce(prefix[end] + _P - prefix[start]), powers(_BASE_INV, len(prefix))[start]))
 
 
 def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,3 +104,41 @@ def test_rows_without_id_stay_whole(spark):
     docs = spark.createDataFrame([(None, text), ((1 << 60) + 1, text), ((1 << 60) + 3, text)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in suffixdedup.remove_repeats(docs.coalesce(1)).collect()}
     assert got == {None: 0, (1 << 60) + 1: 0, (1 << 60) + 3: len(text)}
+
+
+def place(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64)) if text is not None else 42
+
+
+def test_several_texts_of_one_id(spark):
+    """Texts of one id are documents of their own; a row that repeats id and text is the same document."""
+    rng = np.random.RandomState(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    a, b, own = text(1480), text(1480), text(40)
+    rows = [(1, a + b), (2, a + own + b), (2, b[:160]), (2, b[:160]), (3, text(300)), (3, own + a[:200]), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {k: (d, place(t)) for k, (d, t) in enumerate(rows)}
+    ranked = sorted({(order[k], t) for k, (_, t) in enumerate(rows)}, key=lambda r: r[0])
+    want = brute([(k, t) for k, (_, t) in enumerate(ranked)])
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(docs, digest=True).collect())
+    at = {r: k for k, (r, _) in enumerate(ranked)}
+    assert got == sorted((d, *want[at[order[k]]]) for k, (d, _) in enumerate(rows))
+
+
+def test_regular_texts_are_told_apart(spark):
+    """A Thue-Morse text and its complement share no window of 100 bytes, but a hash modulo a power of two would make them equal."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("cd"[x] for x in bits)), (3, "".join("dc"[x] for x in bits))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(suffixdedup.remove_repeats(docs, digest=True)) == brute(rows)
+
+
+def test_a_task_remembers_what_is_everywhere():
+    """A passage that occurs twice in each batch leaves about one open run of each kind in a task, not one for each batch."""
+    rng = np.random.RandomState(8)
+    line = "".join(rng.choice(list("abcdefghij "), 400))
+    batch = lambda k: pa.RecordBatch.from_arrays([pa.array([2 * k, 2 * k + 1]), pa.array([line, line]), pa.array([0, 0])], names=["doc_id", "text", "place"])
+    out = list(suffixdedup._find_runs(100, 24)(iter([batch(k) for k in range(30)])))
+    kinds = sum(not x for x in out[0].column("done").to_pylist())
+    assert sum(not x for b in out for x in b.column("done").to_pylist()) == kinds
+    assert {d for b in out for d, x in zip(b.column("doc_id").to_pylist(), b.column("done").to_pylist(), strict=True) if not x} == {0}
