@@ -6,11 +6,13 @@ segment). Documents are disjoint between segments, so a search runs on each segm
 
 A phrase is found from its rarest term: that term's positions, less its offset in the phrase, are the candidate
 starts, which are intersected with the offset-adjusted lists of the other terms, rarest first.
+
+A benchmark is a table of hashed word sequences, made on the executors; its windows are never written out. It is searched in blocks
+of ``BLOCK_WORDS`` words, each a broadcast of bounded size, and a segment goes on only with the windows of which it has every word.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +27,13 @@ from terralens.llm.scratch import save
 
 U64 = np.uint64
 WINDOW = 13
-#: A search sends this much benchmark text to the executors at most; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 32 << 20
-#: Stands for a null doc_id in the stored index.
-NO_ID = -(1 << 63)
-_SEGMENT = "name binary, doc_ids binary, lengths binary, terms binary, counts binary, positions binary"
+#: Words of benchmark that one pass over the index searches for: a broadcast of 12 bytes a word at most. More words mean more passes.
+BLOCK_WORDS = 1 << 22
+#: An item's words are cut into pieces of this many, which overlap by a window less one word.
+PIECE_WORDS = 1 << 16
+#: Windows, and candidate places of them, that a segment handles at once.
+_WINDOWS, _PLACES = 1 << 16, 1 << 20
+_SEGMENT = "name binary, doc_ids binary, absent binary, lengths binary, terms binary, counts binary, positions binary"
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -45,12 +49,19 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = h[order]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
             ids = b.column(0).slice(i, j - i)
-            packed = [ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at).astype(np.int64), ranked[first], np.diff(np.append(first, len(h))).astype(np.uint32), order.astype(np.uint32)]
+            packed = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(at).astype(np.int64),
+                      ranked[first], np.diff(np.append(first, len(h))).astype(np.uint32), _pack(order)]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (uuid.uuid4().bytes, *(x.tobytes() for x in packed))], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
 
-def _with_nulls(found: DataFrame) -> DataFrame:
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+def _pack(positions: np.ndarray) -> np.ndarray:
+    """Steps between positions, byte by byte of their four: mostly small numbers, which compress."""
+    steps = np.diff(positions.astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -58,10 +69,33 @@ def build_index(docs: DataFrame) -> DataFrame:
     return save(docs.select("doc_id", "text").mapInArrow(_build, _SEGMENT), "index")
 
 
+@dataclass
+class Block:
+    """A part of a benchmark: distinct terms, the words of its pieces as places in them, and the windows as (first word, size, piece)."""
+
+    terms: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    owner: np.ndarray
+    names: list[str]
+
+    @classmethod
+    def of(cls, names: list[str], pieces: list[bytes], window: int) -> Block:
+        size = np.array([len(p) // 8 for p in pieces], np.int64)
+        terms, words = np.unique(np.frombuffer(b"".join(pieces), U64), return_inverse=True)
+        n = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+        owner = np.repeat(np.arange(len(pieces)), n)
+        first = np.cumsum(size) - size
+        starts = first[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return cls(terms, words.astype(np.uint32), starts, np.minimum(size, window)[owner], owner, names)
+
+
 @dataclass
 class Segment:
     name: bytes
     doc_ids: np.ndarray
+    absent: np.ndarray
     lengths: np.ndarray
     terms: np.ndarray
     counts: np.ndarray
@@ -69,9 +103,13 @@ class Segment:
 
     @classmethod
     def of(cls, row: list[bytes]) -> Segment:
-        return cls(bytes(row[0]), *(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, U64, np.uint32, np.uint32), strict=True)))
+        return cls(bytes(row[0]), *(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.uint8, np.int64, U64, np.uint32, np.uint8), strict=True)))
+
+    def ids(self, doc: np.ndarray | slice = slice(None)) -> pa.Array:
+        return pa.array(self.doc_ids[doc], pa.int64(), mask=self.absent[doc] != 0)
 
     def __post_init__(self):
+        self.positions = _unpack(self.positions)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.lists = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
         # (term place, position) of all postings: ascending, as terms and each list are
@@ -107,6 +145,12 @@ class Segment:
         rarest = np.argsort(n[some], axis=1, kind="stable")
         pivot = local[place[some, rarest[:, 0]]]
         many = self.counts[pivot].astype(np.int64)
+        # so many phrases at once that their candidate places stay bounded
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(many), np.arange(_PLACES, many.sum(), _PLACES), "right"), [len(many)]]))
+        found = [self._intersect(some[a:b], rarest[a:b], local, place, length, pivot[a:b], many[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _intersect(self, some: np.ndarray, rarest: np.ndarray, local: np.ndarray, place: np.ndarray, length: np.ndarray, pivot: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         phrase = np.repeat(np.arange(len(some)), many)
         at = np.repeat(self.lists[pivot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         start = self.positions[at].astype(np.int64) - rarest[phrase, 0]
@@ -114,16 +158,29 @@ class Segment:
         ok = (start >= 0) & (start + length[some][phrase] <= self.starts[np.minimum(doc + 1, len(self.starts) - 1)])
         phrase, start = phrase[ok], start[ok]
         for k in range(1, place.shape[1]):
+            if not len(phrase):
+                break
             offset = rarest[phrase, k]
             needed = k < length[some][phrase]
             keep = ~needed
             w = np.flatnonzero(needed)
             keep[w] = self.has(local[place[some[phrase[w]], offset[w]]], start[w] + offset[w])
             phrase, start = phrase[keep], start[keep]
-            if not len(phrase):
-                return none
         return some[phrase], start
 
+    def windows(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start, words) of all occurrences of the windows of ``block``. Windows with a word that the segment lacks are left before any list is read."""
+        have = self.place(block.terms) >= 0
+        lacking = np.concatenate([[0], np.cumsum(~have[block.words])])
+        good = np.flatnonzero(lacking[block.starts + block.sizes] == lacking[block.starts])
+        out = [(np.zeros(0, np.int64),) * 3]
+        for k in range(0, len(good), _WINDOWS):
+            w = good[k : k + _WINDOWS]
+            at = np.minimum(block.starts[w][:, None] + np.arange(block.sizes[w].max()), len(block.words) - 1)
+            phrase, start = self.phrases(block.terms, block.words[at], block.sizes[w])
+            out.append((block.owner[w][phrase], start, block.sizes[w][phrase]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def proximity(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(document row, first word) of each stretch of starts from which all terms occur within ``slop`` words."""
         local = self.place(np.unique(terms))
@@ -147,7 +204,7 @@ class Segment:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for b in batches:
-        for row in zip(*(b.column(k) for k in range(6)), strict=True):
+        for row in zip(*(b.column(k) for k in range(7)), strict=True):
             yield Segment.of([x.as_buffer() for x in row])
 
 
@@ -160,8 +217,8 @@ def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
             terms, place = np.unique(h, return_inverse=True)
             _, at = s.phrases(terms, place[None, :], np.array([len(h)])) if len(h) else (None, np.zeros(0, np.int64))
             doc = np.searchsorted(s.starts, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(at - s.starts[doc])], names=["doc_id", "start"])
-    return _with_nulls(index.mapInArrow(run, "doc_id long, start long"))
+            yield pa.RecordBatch.from_arrays([s.ids(doc), pa.array(at - s.starts[doc])], names=["doc_id", "start"])
+    return index.mapInArrow(run, "doc_id long, start long")
 
 
 def find_near(index: DataFrame, terms: str, slop: int) -> DataFrame:
@@ -171,42 +228,36 @@ def find_near(index: DataFrame, terms: str, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _segments(batches):
             doc, at = s.proximity(h, slop)
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(at)], names=["doc_id", "start"])
-    return _with_nulls(index.mapInArrow(run, "doc_id long, start long"))
-
-
-def item_windows(items: list[tuple[object, str | None]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms, windows as places in them, lengths, and the item row of each window."""
-    place, length, owner = [], [], []
-    for k, (_, text) in enumerate(items):
-        h = term_hashes(text)
-        m = min(len(h), window)
-        for s in range(len(h) - m + 1 if m else 0):
-            row = np.zeros(window, U64)
-            row[:m] = h[s : s + m]
-            place.append(row)
-            length.append(m)
-            owner.append(k)
-    if not place:
-        return np.zeros(0, U64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    terms, at = np.unique(np.stack(place), return_inverse=True)
-    return terms, at.reshape(len(length), window), np.array(length), np.array(owner)
+            yield pa.RecordBatch.from_arrays([s.ids(doc), pa.array(at)], names=["doc_id", "start"])
+    return index.mapInArrow(run, "doc_id long, start long")
+
+
+def item_pieces(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item, words (hashes) and n of the pieces of each item, which overlap so that each window lies in one. Items without words have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in K.text_slices(b.column(1)):
+                h, at = K.word_hashes(K.LOWER[data], off, K.ALNUM)
+                names = b.column(0).slice(i, j - i).to_pylist()
+                rows = [(names[q], h[s : min(s + PIECE_WORDS, at[q + 1])]) for q in range(j - i) for s in range(at[q], max(at[q + 1] - (window - 1), at[q] + 1) if at[q + 1] > at[q] else at[q], PIECE_WORDS - (window - 1))]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x.tobytes() for _, x in rows], pa.binary()), pa.array([len(x) for _, x in rows], pa.int64())], names=["item", "words", "n"])
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, words binary, n long")
 
 
 #: A row for each document; segment and place are its key.
 _FOUND = "segment binary, place int, doc_id long, n_words long, runs array<struct<s:long,e:long>>, items array<string>"
 
 
-def _search(items: list[tuple[object, str | None]], window: int):
-    terms, place, length, owner = item_windows(items, window)
-    names = np.array([str(x) for x, _ in items], object)
-
+def _search(shared):
+    """shared: a broadcast Block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        names = [x or "" for x in block.names]
         for s in _segments(batches):
-            phrase, start = s.phrases(terms, place, length)
+            piece, start, length = s.windows(block)
             edge = np.zeros(int(s.starts[-1]) + 1, np.int64)
             np.add.at(edge, start, 1)
-            np.add.at(edge, start + length[phrase], -1)
+            np.add.at(edge, start + length, -1)
             hit = np.cumsum(edge[:-1]) > 0
             doc = np.searchsorted(s.starts, start, "right") - 1
             # places of words with a hit, as runs of each document
@@ -224,35 +275,38 @@ def _search(items: list[tuple[object, str | None]], window: int):
             runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)),
                                             pa.StructArray.from_arrays([pa.array(b - s.starts[own]), pa.array(e - s.starts[own])], names=["s", "e"]))
             found: list[list[str]] = [[] for _ in s.doc_ids]
-            pairs = np.unique(np.stack([doc, owner[phrase]], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.stack([doc, piece], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
             for d, k in pairs.tolist():
                 found[d].append(names[k])
             key = [pa.array([s.name] * len(s.doc_ids), pa.binary()), pa.array(np.arange(len(s.doc_ids), dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays([*key, pa.array(s.doc_ids), pa.array(s.lengths), runs, pa.array(found, pa.list_(pa.string()))], names=["segment", "place", "doc_id", "n_words", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([*key, s.ids(), pa.array(s.lengths), runs, pa.array(found, pa.list_(pa.string()))], names=["segment", "place", "doc_id", "n_words", "runs", "items"])
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), items.
 
     A word inside any occurrence of a window is hit once. Null, empty and wordless texts have no words and no hits, and such
     items no windows. A null doc_id stays null. Every row of ``docs`` has its own result, also if its id is null or repeated; items of one id
-    count once for a document.
+    count once for a document, and an item without an id has an empty name.
     """
+    spark = docs.sparkSession
     index = build_index(docs)
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    pieces = save(item_pieces(benchmark, window), "items")
+    blocks = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
     found = None
     for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        got = index.mapInArrow(_search([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window), _FOUND)
+        part = pieces.where(F.col("block") == k).select("item", "words").toArrow()
+        shared = spark.sparkContext.broadcast(Block.of(part.column("item").to_pylist(), part.column("words").to_pylist(), window))
+        got = index.mapInArrow(_search(shared), _FOUND)
         found = got if found is None else found.unionByName(got)
     if blocks > 1:
         # a document's rows of all blocks
         found = found.groupBy("segment", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     merged = F.expr("aggregate(array_sort(runs), struct(0L as n, 0L as e), (a, r) -> struct(a.n + greatest(r.e - greatest(r.s, a.e), 0L) as n, greatest(a.e, r.e) as e), a -> a.n)")
     names = F.array_sort(F.array_distinct("items"))
-    return (_with_nulls(found).withColumn("n_hit", merged).withColumn("items", names)
+    return (found.withColumn("n_hit", merged).withColumn("items", names)
             .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                     ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items"))
 
