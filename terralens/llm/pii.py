@@ -5,11 +5,14 @@ social security numbers), and words nearby adjust each span's score. Spans of th
 their score; those of added kinds need ``KEEP_AT``.
 
 Every pattern is linear on any text: quantifiers are possessive, and a look-behind keeps a search from starting again
-inside a run that has already failed. ``\\G`` lets it start where the last match ended.
+inside a run that has already failed. ``\\G`` lets it start where the last match ended. So is the work on the spans of one text: running
+values are folded in chunks, and texts around and between spans are cut from blocks of the text, not from its start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +59,35 @@ CONTEXT = {
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 NEAR, LIFT, KEEP_AT = 48, 0.2, 0.5
 _CHUNK = 256
-_SPAN = "array<struct<m:string,s:int,e:int>>"
+#: Code points of a block, and spans whose gaps are cut from one stretch of blocks.
+_BLOCK, _CUTS = 512, 32
+
+
+def _chunks(n: Column, size: int) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _scan(items: Column, part: Callable[[Column], Column], kind: str, step: Callable[[Column, Column], tuple[Column, Column]], end: Callable[[Column, Column], Column]) -> Column:
+    """Folds ``items`` with a whole number: step gives the next number and what to append, of type ``kind``; end gets the last number and all that was appended.
+
+    part: the items of a chunk. Arrays grow within a chunk only, so many items don't copy a growing array each.
+    """
+    state = lambda p, o: F.struct(p.alias("p"), o.alias("o"))
+
+    def add(b: Column, x: Column) -> Column:
+        p, row = step(b["p"], x)
+        return state(p, F.concat(b["o"], row))
+
+    def chunk(a: Column, c: Column) -> Column:
+        return F.aggregate(part(c), state(a["p"], F.array().cast(f"array<{kind}>")), add, lambda b: state(b["p"], F.concat(a["o"], F.array(b["o"]))))
+    return F.aggregate(_chunks(F.size(items), _CHUNK), state(F.lit(0), F.array().cast(f"array<array<{kind}>>")), chunk, lambda a: end(a["p"], F.flatten(a["o"])))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text from its blocks."""
+    first = F.floor(start / _BLOCK).cast("int")
+    stretch = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / _BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(stretch, start - first * _BLOCK + 1, end - start)).otherwise(F.lit(""))
 
 
 def _located(matches: Column, gaps: Column, consumed: int | None = None) -> Column:
@@ -64,19 +95,15 @@ def _located(matches: Column, gaps: Column, consumed: int | None = None) -> Colu
 
     ``consumed``: characters of a match that the texts between leave out, if not all.
     """
-    n = F.size(matches)
-    chunks = F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = lambda p, o: F.struct(p.alias("p"), o.alias("o"))
+    def part(c: Column) -> Column:
+        pairs = F.zip_with(F.slice(matches, c * _CHUNK + 1, F.lit(_CHUNK)), F.slice(gaps, c * _CHUNK + 1, F.lit(_CHUNK)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.filter(pairs, lambda x: x["m"].isNotNull())
 
-    def step(a: Column, c: Column) -> Column:
-        pairs = F.filter(F.zip_with(F.slice(matches, c * _CHUNK + 1, F.lit(_CHUNK)), F.slice(gaps, c * _CHUNK + 1, F.lit(_CHUNK)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda x: x["m"].isNotNull())
-
-        def add(b: Column, x: Column) -> Column:
-            s = b["p"] + F.char_length(x["g"])
-            e = s + F.char_length(x["m"])
-            return start(e if consumed is None else s + consumed, F.concat(b["o"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))))
-        return F.aggregate(pairs, start(a["p"], F.array().cast(_SPAN)), add, lambda b: start(b["p"], F.concat(a["o"], F.array(b["o"]))))
-    return F.aggregate(chunks, start(F.lit(0), F.array().cast(f"array<{_SPAN}>")), step, lambda a: F.flatten(a["o"]))
+    def step(p: Column, x: Column) -> tuple[Column, Column]:
+        s = p + F.char_length(x["g"])
+        e = s + F.char_length(x["m"])
+        return e if consumed is None else s + consumed, F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))
+    return _scan(matches, part, "struct<m:string,s:int,e:int>", step, lambda p, o: o)
 
 
 def _digits(m: Column) -> Column:
@@ -119,14 +146,15 @@ def _confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, x: Column, text: Column) -> Column:
-    around = F.lower(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, x["e"] - x["s"] + 2 * NEAR))
+def _score(kind: str, x: Column, blocks: Column) -> Column:
+    start = F.greatest(x["s"] - NEAR, F.lit(0))
+    around = F.lower(_between(blocks, start, start + x["e"] - x["s"] + 2 * NEAR))
     return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(around.rlike(CONTEXT[kind]), LIFT).otherwise(0.0))
 
 
-def _spans_of(k: int, kind: str, text: Column) -> Column:
+def _spans_of(k: int, kind: str, blocks: Column) -> Column:
     good = F.filter(_located(F.col(f"m_{kind}"), F.col(f"g_{kind}"), AHEAD.get(kind, (0, None))[1]), lambda x: _confirmed(kind, x))
-    each = F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), _score(kind, x, text).alias("score")))
+    each = F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), _score(kind, x, blocks).alias("score")))
     return each if kind in BASE_KINDS else F.filter(each, lambda x: x["score"] >= KEEP_AT)
 
 
@@ -134,11 +162,8 @@ def _count(k: int) -> Column:
     return F.size(F.filter("found", lambda x: x["k"] == k)).cast("long")
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` and a column ``found``: array of (s, k, e, score), by start and kind; code points, end exclusive.
-
-    A null or empty text has none. Rows are independent; columns of ``docs`` named like internal ones are kept apart in a struct.
-    """
+def _find(docs: DataFrame) -> DataFrame:
+    """row (the columns of ``docs``), found and blocks; a text without spans has no blocks."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     matched, gaps, spans = {}, {}, {}
@@ -149,9 +174,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         gaps[f"g_{kind}"] = F.when(F.size(f"m_{kind}") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
     out = out.withColumns(gaps)
+    any_match = F.greatest(*(F.size(f"m_{kind}") for kind in KINDS)) > 0
+    out = out.withColumn("blocks", F.when(any_match, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for k, kind in enumerate(KINDS):
-        spans[kind] = _spans_of(k, kind, text)
-    return out.select("row", F.array_sort(F.concat(*spans.values())).alias("found"))
+        spans[kind] = _spans_of(k, kind, F.col("blocks"))
+    return out.select("row", F.array_sort(F.concat(*spans.values())).alias("found"), "blocks")
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as ``row`` and a column ``found``: array of (s, k, e, score), by start and kind; code points, end exclusive.
+
+    A null or empty text has none. Rows are independent; columns of ``docs`` named like internal ones are kept apart in a struct.
+    """
+    return _find(docs).select("row", "found")
 
 
 def _joined(found: Column) -> Column:
@@ -171,13 +206,23 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by the upper-case name of its kind in brackets; n_chars follows the text. A null text stays null."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col("row.text")
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(text, a["p"] + 1, F.greatest(x["s"] - a["p"], F.lit(0)))
-        mark = F.when(x["s"] >= a["p"], F.concat(gap, F.element_at(names, x["k"] + 1))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.concat(a["o"], F.array(mark)).alias("o"))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
-    whole = F.aggregate("found", start, step, lambda a: F.concat(F.array_join(a["o"], ""), F.substring(text, a["p"] + 1, F.char_length(text))))
-    out = find_personal_data(docs).select("row", F.when(F.size("found") > 0, whole).otherwise(text).alias("clean"))
+    text, blocks = F.col("row.text"), F.col("blocks")
+    kind = "struct<p:int,s:int,k:int>"
+
+    def step(p: Column, x: Column) -> tuple[Column, Column]:
+        cut = F.array(F.struct(p.alias("p"), x["s"].alias("s"), x["k"].alias("k")))
+        return F.greatest(p, x["e"]), F.when(x["s"] >= p, cut).otherwise(F.array().cast(f"array<{kind}>"))
+    # gaps [p, s) before marks, and where the last mark's text ends
+    cuts = _scan(F.col("found"), lambda c: F.slice("found", c * _CHUNK + 1, F.lit(_CHUNK)), kind, step, lambda p, o: F.struct(p.alias("end"), o.alias("cuts")))
+    out = _find(docs).withColumn("plan", F.when(F.size("found") > 0, cuts))
+
+    def pieces(c: Column) -> Column:
+        part = F.slice("plan.cuts", c * _CUTS + 1, F.lit(_CUTS))
+        base = F.element_at(part, 1)["p"]
+        stretch = F.array(_between(blocks, base, F.element_at(part, -1)["s"]))  # an array of one, so that it is cut once
+        mark = lambda r, x: F.concat(F.substring(r, x["p"] - base + 1, x["s"] - x["p"]), F.element_at(names, x["k"] + 1))
+        return F.array_join(F.transform(stretch, lambda r: F.array_join(F.transform(part, lambda x: mark(r, x)), "")), "")
+    tail = _between(blocks, F.col("plan.end"), F.size("blocks") * _BLOCK)
+    whole = F.concat(F.array_join(F.transform(_chunks(F.size("plan.cuts"), _CUTS), pieces), ""), tail)
+    out = out.select("row", F.when(F.size("found") > 0, whole).otherwise(text).alias("clean"))
     return out.select(*(F.col("clean").alias("text") if c == "text" else F.char_length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

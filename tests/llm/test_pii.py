@@ -91,3 +91,25 @@ def test_iban_ends_with_its_country(spark):
     for k, t in rows:
         want = iban_spans(t, IBANS[k][1]) if k < 100 else []
         assert [tuple(map(int, x.split(":")[1:])) for x in got[k].split(",") if x.startswith("iban")] == want, t[:200]
+
+
+def test_spans_far_into_a_text(spark):
+    """Marks and contexts come from the right places, over block borders and after characters of any width."""
+    rows = [(k, ("é𝄞x" * k) + f" mail a{k}@b.co, 4111 1111 1111 1111+1 555 010 9999 " + "中 " * (600 - k) + "1.2.3.4 a@b.cc+49 30 12345678") for k in range(150, 530, 19)]
+    rows += [(1, "a@b.cc 1.2.3.4 " * 700), (2, "+1 555 010 9999 x " * 33 + "tail"), (3, "+4111111111111111 a@b.co1.2.3.4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, pii.report(docs).collect())
+
+    def redacted(t):
+        out, at = [], 0
+        for s, k, e in sorted((int(s), list(P).index(k), int(e)) for k, s, e in (x.split(":") for x in brute(t)[2].split(",") if x)):
+            if s >= at:
+                out.append(t[at:s] + f"[{list(P)[k].upper()}]")
+            at = max(at, e)
+        return "".join(out) + t[at:]
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {d: redacted(t) for d, t in rows}
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (1, "x"), (None, "a@b.co")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_email) for r in pii.report(docs).collect()) == [("1", 0), ("1", 1), ("1", 1), ("None", 1)]
