@@ -1,11 +1,14 @@
 """WARC archives, and their records as a chunked table.
 
-Writing: each task streams its rows into archive files of the shared folder; a file gets a fresh name for each attempt, and only
+Both directions go through the chunked record table: rows of record and chunk number with at most ``CHUNK`` bytes of payload.
+
+Writing: payloads are cut into chunk rows before they reach a writer, which compresses chunk after chunk, carries the SHA-1 so far and compares it with the
+header's at the end. Each task streams its rows into archive files of the shared folder; a file gets a fresh name for each attempt, and only
 files of the attempt whose manifest row is kept count, so a lost executor leaves at most an unread file. A payload that
 equals another one is written once as ``response``; the others are ``revisit`` records that refer to it.
 
-Reading: a file is inflated and parsed as a stream. A record becomes rows of record id and chunk number, each with at most
-``CHUNK`` bytes of payload, the bytes so far and the SHA-1 of the payload so far, so no record is held whole.
+Reading: a file is inflated and parsed as a stream. A chunk row also has the bytes so far and the SHA-1 of the payload so far, so no record is
+held whole. Files are read in parallel. A file that is cut, or that lacks a record of its manifest row, raises.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm import textkernel as K
 from terralens.llm.scratch import new_path, save
 
 CHUNK = 1 << 16
@@ -47,49 +49,64 @@ def _head(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def _pieces(data: memoryview) -> Iterator[memoryview]:
-    for k in range(0, len(data), CHUNK):
-        yield data[k : k + CHUNK]
-
-
 class Writer:
     """Gzipped WARC records in files of about FILE_BYTES; each record is a gzip member."""
 
     def __init__(self, folder: str):
-        self.system, self.folder = _open(folder)
-        self.out, self.done = None, []
+        self.uri = folder.rstrip("/")
+        self.system, self.folder = _open(self.uri)
+        self.out, self.done, self.expected = None, [], None
 
     def _start(self) -> None:
         self.system.create_dir(self.folder, recursive=True)
-        self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
-        self.out, self.bytes, self.records = self.system.open_output_stream(self.path, compression=None), 0, 0
-        self._member([_head([("WARC-Type", "warcinfo"), ("WARC-Date", DATE), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]), _END])
-
-    def _member(self, parts: Iterator[bytes]) -> None:
-        z = zlib.compressobj(1, zlib.DEFLATED, 31)
-        for p in parts:
-            if got := z.compress(p):
-                self.out.write(got)
-                self.bytes += len(got)
-        got = z.flush()
+        name = f"{uuid.uuid4().hex}.warc.gz"
+        self.path = f"{self.uri}/{name}"
+        self.out, self.bytes, self.records = self.system.open_output_stream(f"{self.folder}/{name}", compression=None), 0, 0
+        self._begin()
+        self._put(_head([("WARC-Type", "warcinfo"), ("WARC-Date", DATE), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]))
+        self._finish()
+
+    def _begin(self) -> None:
+        self.z = zlib.compressobj(1, zlib.DEFLATED, 31)
+
+    def _put(self, data: bytes | memoryview) -> None:
+        if got := self.z.compress(data):
+            self.out.write(got)
+            self.bytes += len(got)
+
+    def _finish(self) -> None:
+        got = self.z.compress(_END) + self.z.flush()
         self.out.write(got)
         self.bytes += len(got)
 
-    def add(self, page_id: int | None, url: str | None, payload: memoryview, sha1_hex: str, refers_to: int | None) -> None:
+    def begin(self, page_id: int | None, url: str | None, size: int, sha1_hex: str, refers_to: int | None) -> None:
+        """The head of a record of ``size`` bytes of payload; a revisit has none of its own."""
         if self.out is None:
             self._start()
         kind = "response" if refers_to is None else "revisit"
-        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"Content-Length: {len(payload)}\r\n\r\n".encode())
-        body = len(payload) if refers_to is None else 0
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"Content-Length: {size}\r\n\r\n".encode())
+        body = size if refers_to is None else 0
         fields = [("WARC-Type", kind), ("WARC-Date", DATE), ("WARC-Record-ID", record_id(page_id, 0)), ("WARC-Target-URI", quote(url or "urn:none", safe=":/?#[]@!$&'()*+,;=%-._~")),
                   ("X-Page-Id", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1_hex)).decode())]
         if refers_to is not None:
             fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, 0)), ("X-Refers-To-Page-Id", str(refers_to))]
         fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + body))]
-        self._member(x for part in ([_head(fields), http], _pieces(payload) if body else [], [_END]) for x in part)
-        self.records += 1
-        if self.bytes >= FILE_BYTES:
-            self.close()
+        self._begin()
+        self._put(_head(fields) + http)
+        self.left, self.sha, self.expected = body, hashlib.sha1(), sha1_hex if refers_to is None else None
+
+    def chunk(self, data: memoryview) -> None:
+        """The next bytes of the record's payload; the record ends when all have come."""
+        self._put(data)
+        self.sha.update(data)
+        self.left -= len(data)
+        if self.left <= 0:
+            if self.left or self.expected not in (None, self.sha.hexdigest()):
+                raise ValueError("a payload's chunks don't add up to it")
+            self._finish()
+            self.records += 1
+            if self.bytes >= FILE_BYTES:
+                self.close()
 
     def close(self) -> None:
         if self.out is not None:
@@ -111,45 +128,55 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = LEAST_BY
     rows = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"))
     last = (rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
             .where("n > 1 and last is not null").select("sha1", "size", "last"))
-    ready = rows.join(last.hint("merge"), ["sha1", "size"], "left").select("page_id", "url", "body", "sha1", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    refers = F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))
+    ready = rows.join(last.hint("merge"), ["sha1", "size"], "left").withColumn("refers_to", refers)
+    # chunks are cut before rows are multiplied, so the whole body isn't repeated for each
+    count = F.when(F.col("refers_to").isNull() & (F.col("size") > 0), F.ceil(F.col("size") / CHUNK)).otherwise(F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.when(F.col("refers_to").isNull(), F.substring("body", k * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b"")))
+    chunks = ready.select("page_id", "url", "size", "sha1", "refers_to", cut.alias("cut")).select("page_id", "url", "size", "sha1", "refers_to", F.posexplode("cut").alias("chunk_no", "data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Writer(folder)
         for b in batches:
-            data, off = K.buffers(b.column(2))
-            view = memoryview(data.tobytes())
-            for r, (page, url, sha, ref) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)):
-                w.add(page, url, view[off[r] : off[r + 1]], sha, ref)
+            data = b.column(6)
+            for r, (page, url, size, sha, ref, number) in enumerate(zip(*(b.column(k).to_pylist() for k in range(6)), strict=True)):
+                if number == 0:
+                    w.begin(page, url, size, sha, ref)
+                w.chunk(memoryview(data[r].as_buffer()))
         w.close()
         if w.done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*w.done, strict=True)], names=["path", "records", "bytes"])
-    return save(ready.mapInArrow(run, _MANIFEST), "manifest")
+    return save(chunks.mapInArrow(run, _MANIFEST), "manifest")
 
 
 class _Stream:
     """Bytes of a gzipped file, member after member, read a piece at a time."""
 
     def __init__(self, source):
-        self.source, self.z, self.held, self.raw = source, zlib.decompressobj(31), b"", b""
+        self.source, self.z, self.held, self.raw, self.inside = source, zlib.decompressobj(31), b"", b"", False
 
     def _more(self) -> bool:
         while True:
             if self.z.eof:
-                self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
+                self.raw, self.z, self.inside = self.z.unused_data, zlib.decompressobj(31), False
             if not self.raw and not self.z.unconsumed_tail:
                 self.raw = self.source.read(CHUNK)
                 if not self.raw:
+                    if self.inside:
+                        raise EOFError("the archive ends inside a gzip member")
                     return False
-            data, self.raw = self.z.unconsumed_tail or self.raw, b""
+            data, self.raw, self.inside = self.z.unconsumed_tail or self.raw, b"", True
             got = self.z.decompress(data, CHUNK)
             if got:
                 self.held += got
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        """All up to and with ``mark``; None at the end of the file."""
+        """All up to and with ``mark``; None at the end of the file, which must not come after a part of it."""
         while (k := self.held.find(mark)) < 0:
             if not self._more():
+                if self.held:
+                    raise EOFError("the archive ends inside a record")
                 return None
         out, self.held = self.held[: k + len(mark)], self.held[k + len(mark) :]
         return out
@@ -174,7 +201,9 @@ def read_records(source) -> Iterator[tuple[dict[str, str], int, bytes, int, str,
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
         left = int(fields["content-length"])
         if fields.get("content-type", "").startswith("application/http"):
-            left -= len(s.until(_END))
+            left -= len(s.until(_END) or b"")
+        if left < 0:
+            raise EOFError("the archive ends inside a record")
         sha, total, number, chunk = hashlib.sha1(), 0, 0, b""
         for piece in s.take(left):
             chunk += piece
@@ -185,17 +214,15 @@ def read_records(source) -> Iterator[tuple[dict[str, str], int, bytes, int, str,
                 number, chunk = number + 1, chunk[CHUNK:]
         sha.update(chunk)
         yield fields, number, chunk, total + len(chunk), sha.hexdigest(), True
-        s.until(_END)
+        if s.until(_END) is None:
+            raise EOFError("the archive ends inside a record")
 
 
 _CHUNKS = "record_id string, record_type string, page_id long, url string, header_digest string, refers_to long, chunk_no int, data binary, bytes_so_far long, digest_so_far string, last boolean"
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The chunk table of all page records in the manifest's files."""
-    folder_root = manifest.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-    scheme = folder_root.split("://")[0] if "://" in folder_root else "file"
-
+    """The chunk table of all page records in the manifest's files (path and records), each file in a task of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CHUNKS.split(", ")]
 
@@ -203,9 +230,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
-            for path in b.column(0).to_pylist():
-                system, at = _open(path if "://" in path else f"{scheme}://{path}")
-                rows, held = [], 0
+            for path, expected in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, at = _open(path)
+                rows, held, ends = [], 0, 0
                 with system.open_input_stream(at, compression=None) as source:
                     for f, number, data, total, sha, last in read_records(source):
                         if f["warc-type"] not in ("response", "revisit"):
@@ -214,12 +241,16 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
                         rows.append((f["warc-record-id"], f["warc-type"], num("x-page-id"), f.get("warc-target-uri"), digest, num("x-refers-to-page-id"), number, data, total, sha, last))
                         held += len(data)
+                        ends += last
                         if held > 4 * CHUNK or len(rows) >= 2000:
                             yield batch(rows)
                             rows, held = [], 0
                 if rows:
                     yield batch(rows)
-    return manifest.select("path").repartition("path").mapInArrow(run, _CHUNKS)
+                if ends != expected:
+                    raise EOFError(f"{path} has {ends} of {expected} records")
+    # a given number of partitions isn't coalesced
+    return manifest.select("path", "records").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, _CHUNKS)
 
 
 def payloads(chunks: DataFrame) -> DataFrame:

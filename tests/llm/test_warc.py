@@ -1,8 +1,13 @@
+import functools
 import gzip
 import hashlib
 import io
+import re
 
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terralens.llm import warc
 from terralens.llm.scratch import new_path
@@ -53,7 +58,44 @@ def test_edges_and_chunks(spark):
 
 def test_file_is_plain_warc(spark):
     pages = spark.createDataFrame([(1, "http://x/", "<p>hi")], "page_id long, url string, html string")
-    path = warc.write_archives(pages, new_path(spark, "warc")).first().path
+    path = re.sub("^file:/+", "/", warc.write_archives(pages, new_path(spark, "warc")).first().path)
     text = gzip.open(path).read()
     assert text.count(b"WARC/1.1\r\n") == 2 and b"\r\n\r\n<p>hi\r\n\r\n" in text
     assert [x[2] for x in warc.read_records(io.BytesIO(open(path, "rb").read()))] == [b"", b"<p>hi"]
+
+
+def test_files_are_read_in_parallel_and_whole(spark):
+    """Eight archives are read by several tasks; a file that is cut anywhere, or lacks a record, raises."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k} " * (k * 40)) for k in range(64)], "page_id long, url string, html string")
+    parts = [warc.write_archives(pages.where(F.col("page_id") % 8 == k), new_path(spark, "warc")) for k in range(8)]
+    manifest = functools.reduce(DataFrame.unionByName, parts)
+    files = [r.path for r in manifest.collect()]
+    chunks = warc.read_archives(manifest)
+    assert chunks.rdd.getNumPartitions() == len(files) == 8 and all(p.startswith("file:/") for p in files)
+    tasks = chunks.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == 8
+    whole = open(re.sub("^file:/+", "/", files[0]), "rb").read()
+    n = len(list(warc.read_records(io.BytesIO(whole))))
+    for cut in (5, 30, len(whole) // 2, len(whole) - 20, len(whole) - 1):
+        with pytest.raises(EOFError):
+            list(warc.read_records(io.BytesIO(whole[:cut])))
+    assert n > 1
+    more = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records"):
+        warc.read_archives(more).count()
+
+
+def test_null_and_repeated_page_ids(spark):
+    big = "d" * 3000
+    rows = [(None, "u", big), (None, "u", big), (4, "u", big), (4, "u", big), (2, "u", big), (None, "u", "e" * 2000)]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == sorted(
+        [("None", 3000, "revisit", "4")] * 2 + [("4", 3000, "response", "None")] * 2 + [("2", 3000, "revisit", "4"), ("None", 2000, "response", "None")])
+
+
+def test_a_chunk_that_is_missing_is_noticed(spark, tmp_path):
+    w = warc.Writer(f"file://{tmp_path}")
+    w.begin(1, "u", 10, hashlib.sha1(b"0123456789").hexdigest(), None)
+    w.chunk(memoryview(b"01234"))
+    with pytest.raises(ValueError):
+        w.chunk(memoryview(b"56780"))
