@@ -1,8 +1,8 @@
 """Secret scans with structural confirmation.
 
-Base kinds are patterns. The method adds spans only for what decodes: base64 or hex runs that hold a
-key encoding whose nested lengths fill it exactly, and signed tokens whose header parses. Base spans stay
-whatever the method finds.
+Base kinds are patterns. The method adds spans only for what decodes: base64 or hex runs (of either case) that hold a private
+key whose nested lengths fill it exactly, armoured keys, and signed tokens whose header parses. Public keys and certificates
+are no secrets. Base spans stay whatever the method finds.
 
 Cheap byte tests over the whole batch choose the documents in which a pattern can match at all; the
 patterns then run over their whole texts.
@@ -29,15 +29,22 @@ KINDS = BASE_KINDS + ADDED_KINDS
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40})-----")
+ARMOUR_HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
+ENCRYPTED = re.compile(r"^DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,}[ \t]*$", re.M)
+HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40,}(?![0-9A-Za-z])")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _B64 = np.zeros(256, bool)
 _B64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
-#: First contents of the key structures that are reported: a version number, an algorithm sequence, or a modulus.
-_INTEGER, _SEQUENCE = 0x02, 0x30
+_ANY_HEX = np.zeros(256, bool)
+_ANY_HEX[list(b"0123456789abcdefABCDEF")] = True
+#: Tags of the encodings that are parsed.
+_INTEGER, _BITS, _OCTETS, _OBJECT, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: Nesting that a key needs at most.
+_DEPTH = 12
 
 
 def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -59,26 +66,64 @@ def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
     return items
 
 
+def _whole(data: bytes, start: int, end: int, depth: int = _DEPTH) -> bool:
+    """True if data[start:end] is filled by items, and each constructed item by its own, whatever the depth."""
+    items = _der_items(data, start, end)
+    return items is not None and depth > 0 and all(_whole(data, a, b, depth - 1) for tag, a, b in items if tag & 0x20)
+
+
+def _strings(data: bytes, start: int, end: int) -> list[tuple[int, int]] | None:
+    """(start, end) of length-prefixed strings that fill data[start:end] exactly; else None."""
+    out = []
+    while start < end:
+        a = start + 4
+        start = a + int.from_bytes(data[start:a], "big")
+        if a > end or start > end:
+            return None
+        out.append((a, start))
+    return out
+
+
+def _is_openssh(data: bytes) -> bool:
+    """Cipher, its parameters, a number of public keys, each well-formed, and the private part; nothing else."""
+    p, magic = 15, b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    heads = []
+    for _ in range(3):
+        n = int.from_bytes(data[p : p + 4], "big")
+        heads.append(data[p + 4 : p + 4 + n])
+        p += 4 + n
+    count = int.from_bytes(data[p : p + 4], "big")
+    parts = _strings(data, p + 4, len(data)) if p + 4 <= len(data) else None
+    if not heads[0].isascii() or not heads[0] or parts is None or not 1 <= count == len(parts) - 1:
+        return False
+    publics = [_strings(data, a, b) for a, b in parts[:-1]]
+    named = all(s and len(s) >= 2 and data[s[0][0] : s[0][1]].isascii() for s in publics)
+    a, b = parts[-1]
+    if heads[0] != b"none":
+        return named and b - a >= 16
+    # two equal check numbers begin a private part that isn't encrypted
+    return named and b - a >= 24 and data[a : a + 4] == data[a + 4 : a + 8]
+
+
 def is_key(data: bytes) -> bool:
-    """True for DER keys (sequence of numbers, or version or algorithm with a key inside) and length-prefixed ssh keys."""
-    if data.startswith(b"openssh-key-v1\0"):
+    """True for private keys: DER (numbers after a version; version, algorithm and key; version and key; algorithm and encrypted key) and OpenSSH ones."""
+    if _is_openssh(data):
         return True
-    if len(data) > 15 and data[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13"):  # ssh-rsa, ssh-ed25519, ecdsa-sha2-nistp*
-        p, n = 0, 0
-        while p + 4 <= len(data):
-            p += 4 + int.from_bytes(data[p : p + 4], "big")
-            n += 1
-        return p == len(data) and n >= 2 and data[4:8] in (b"ssh-", b"ecds")
     outer = _der_items(data, 0, len(data)) if len(data) >= 16 and data[0] == _SEQUENCE else None
-    if not outer or len(outer) != 1:
-        return False
-    inner = _der_items(data, outer[0][1], outer[0][2])
-    if not inner or len(inner) < 2:
+    if not outer or len(outer) != 1 or not _whole(data, 0, len(data)):
         return False
+    inner = _der_items(data, outer[0][1], outer[0][2]) or []
     tags = [x[0] for x in inner]
-    if tags[0] == _INTEGER and (all(t == _INTEGER for t in tags) or tags[1] in (_SEQUENCE, 0x04)):
-        return True
-    return tags[0] == _SEQUENCE and tags[1] == 0x03 and bool(_der_items(data, inner[0][1], inner[0][2]))
+    algorithm = lambda k: (_der_items(data, *inner[k][1:]) or [(0, 0, 0)])[0][0] == _OBJECT
+    if tags[:1] == [_INTEGER] and inner[0][2] - inner[0][1] == 1 and len(tags) > 1:
+        if tags[1] == _INTEGER:
+            return len(tags) >= 6 and all(t == _INTEGER for t in tags[:6])
+        if tags[1] == _OCTETS:
+            return inner[1][2] - inner[1][1] >= 16
+        return tags[1:3] == [_SEQUENCE, _OCTETS] and algorithm(1) and _whole(data, *inner[2][1:])
+    return tags == [_SEQUENCE, _OCTETS] and algorithm(0) and inner[1][2] - inner[1][1] >= 16
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -101,8 +146,30 @@ def is_signed_token(text: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
 
 
-def scan(text: str, raw: bytes, hexes: list[tuple[int, int]], long_run: bool) -> list[tuple[int, int, str]]:
-    """All spans of a text: (start, order of kind, end). hexes: code-point spans of hex runs of 24 or more characters."""
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of tokens; a candidate that fails hides none that begins within it."""
+    at = 0
+    while m := JWT.search(text, at):
+        good = is_signed_token(m[0])
+        if good:
+            yield m.span()
+        at = m.end() if good else m.start() + 1
+
+
+def armoured_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a BEGIN line to the END line of the same name that comes next. Header lines, and line ends that are escaped as in JSON, don't count."""
+    begin = None
+    for m in ARMOUR.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2]:
+            body = re.sub(r"\\[nr]", "\n", text[begin.end() : m.start()])
+            plain = _unbase64(re.sub(r"\s", "", ARMOUR_HEADER.sub("", body)))
+            if plain and (is_key(plain) or m[2].endswith("PRIVATE KEY") and ENCRYPTED.search(body) and len(plain) % 8 == 0):
+                yield begin.start(), m.end()
+        begin = m if m[1] == "BEGIN" else None
+
+
+def scan(text: str, raw: bytes, hexes: list[tuple[int, int]], long_run: bool, long_hex: bool) -> list[tuple[int, int, str]]:
+    """All spans of a text: (start, order of kind, end). hexes: code-point spans of lower-case hex runs of 24 or more characters."""
     found: list[tuple[int, int, int]] = [(s, 2, e) for s, e in hexes]
     low = raw.lower()
     if any(w in low for w in ASSIGN_WORDS):
@@ -110,12 +177,13 @@ def scan(text: str, raw: bytes, hexes: list[tuple[int, int]], long_run: bool) ->
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if b"eyJ" in raw:
-        found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+        found += [(s, 3, e) for s, e in signed_tokens(text)]
     if b"-----BEGIN " in raw:
-        found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if (body := _unbase64(re.sub(r"\s", "", m[2]))) and is_key(body)]
+        found += [(s, 4, e) for s, e in armoured_keys(text)]
     if long_run:
         found += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if (body := _unbase64(m[0])) and is_key(body)]
-    found += [(s, 5, e) for s, e in hexes if e - s >= 40 and (e - s) % 2 == 0 and is_key(bytes.fromhex(text[s:e]))]
+    if long_hex:
+        found += [(m.start(), 5, m.end()) for m in HEX.finditer(text) if (m.end() - m.start()) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     return sorted(set(found))
 
 
@@ -134,7 +202,8 @@ def _runs(data: np.ndarray, off: np.ndarray, mask: np.ndarray, least: int) -> tu
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256, spans (``kind:start:end``, code points, end exclusive), n_confirmed.
 
-    A null or empty text has no spans. Rows are independent; repeated ids and extra columns change nothing.
+    A null or empty text has no spans. Rows are independent; null and repeated ids and extra columns change nothing. A text of any length
+    is scanned whole; only the patterns' work grows with it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,16 +211,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 rows = [[] for _ in range(6)]
                 hs, he, hd = _runs(data, off, _HEX, 24)
                 _, _, ld = _runs(data, off, _B64, 40)
+                _, _, xd = _runs(data, off, _ANY_HEX, 40)
                 chars = np.concatenate([[0], np.cumsum(K.char_starts(data))])
                 hexes: dict[int, list[tuple[int, int]]] = {}
                 for s, e, d in zip(hs.tolist(), he.tolist(), hd.tolist(), strict=True):
                     base = chars[off[d]]
                     hexes.setdefault(d, []).append((int(chars[s] - base), int(chars[e] - base)))
-                long_runs = set(ld.tolist())
+                long_runs, long_hexes = set(ld.tolist()), set(xd.tolist())
                 whole = data.tobytes()
                 for q in range(j - i):
                     raw = whole[off[q] : off[q + 1]]
-                    spans = scan(raw.decode(), raw, hexes.get(q, []), q in long_runs) if raw else []
+                    spans = scan(raw.decode(), raw, hexes.get(q, []), q in long_runs, q in long_hexes) if raw else []
                     for k in range(3):
                         rows[k].append(sum(x[1] == k for x in spans))
                     rows[3].append(hashlib.sha256(_joined([x for x in spans if x[1] < 3]).encode()).hexdigest())

@@ -24,7 +24,26 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
 
 
-KEY = der(0x30, der(2, b"\0") + der(2, b"\1" * 129) + der(2, b"\1\0\1"))
+def seq(*parts):
+    return der(0x30, b"".join(parts))
+
+
+def text_of(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+RSA = seq(der(2, b"\0"), der(2, b"\1" * 129), der(2, b"\1\0\1"), *(der(2, b"\7" * n) for n in (128, 64, 64, 64, 64, 63)))
+KEY = RSA
+OID = der(6, b"\x2a\x86\x48\x86\xf7\x0d\1\1\1")
+PKCS8 = seq(der(2, b"\0"), seq(OID, der(5, b"")), der(4, RSA))
+SEALED = seq(seq(OID, seq(der(4, b"salt" * 4))), der(4, b"\5" * 64))
+CURVE = seq(der(2, b"\1"), der(4, b"\6" * 32), der(0xA0, der(6, b"\x2b\x81\4\0\x22")))
+SSH_PUBLIC = text_of(b"ssh-ed25519") + text_of(b"\2" * 32)
+OPENSSH = b"openssh-key-v1\0" + text_of(b"none") * 2 + text_of(b"") + (1).to_bytes(4, "big") + text_of(SSH_PUBLIC) + text_of(b"abcdabcd" + SSH_PUBLIC + text_of(b"\3" * 64))
+#: Private keys in all the encodings that are known; and what looks alike but is public, garbage, or of wrong nested lengths.
+PRIVATE = [RSA, PKCS8, SEALED, CURVE, OPENSSH]
+OTHER = [seq(seq(OID, der(5, b"")), der(3, b"\0" + seq(der(2, b"\1" * 129), der(2, b"\1\0\1")))), seq(der(2, b"\1" * 129), der(2, b"\1\0\1")), SSH_PUBLIC, text_of(b"ssh-rsa") + text_of(b"\1\0\1") + text_of(b"\1" * 129),
+         b"openssh-key-v1\0" + b"garbage" * 20, OPENSSH + b"x", OPENSSH[:-1], PKCS8[:-1] + b"", RSA[:3] + RSA[4:] + b"\0", seq(der(2, b"\0"), seq(OID, der(5, b"")), der(4, RSA[:-1])), seq(der(2, b"\0"), der(2, b"\1" * 129), der(2, b"\1\0\1"))]
 
 
 def test_base_spans(spark):
@@ -55,3 +74,35 @@ def test_edges(spark):
     assert got[7].spans == f"hex:4:{4 + 2 * len(KEY)},key:4:{4 + 2 * len(KEY)}"
     assert got[8].spans == "" and got[8].n_confirmed == 0
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
+
+
+def test_only_private_keys_of_right_nested_lengths(spark):
+    rows, want = [], {}
+    for k, raw in enumerate(PRIVATE + OTHER):
+        forms = [base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), raw.hex().upper(), raw.hex(), "".join(c.upper() if i % 3 else c for i, c in enumerate(raw.hex()))]
+        for f, form in enumerate(forms):
+            rows.append((100 * k + f, f"é {form} x"))
+            want[100 * k + f] = k < len(PRIVATE)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert (f"key:2:{len(t) - 2}" in got[d].split(",")) == want[d] and got[d].count("key:") == want[d], (d, got[d])
+
+
+def test_armour(spark):
+    b = base64.b64encode(RSA).decode()
+    lines = "\n".join(b[i : i + 64] for i in range(0, len(b), 64))
+    wrap = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + base64.b64encode(b"\4" * 640).decode()
+    good = [wrap("RSA PRIVATE KEY", lines), wrap("RSA PRIVATE KEY", lines).replace("\n", "\\n"), wrap("RSA PRIVATE KEY", sealed), "-----BEGIN X-----\n" + wrap("PRIVATE KEY", base64.b64encode(PKCS8).decode())]
+    bad = [wrap("PUBLIC KEY", base64.b64encode(OTHER[0]).decode()), wrap("RSA PRIVATE KEY", base64.b64encode(b"\4" * 640).decode()), "-----BEGIN A-----" * 3000, wrap("RSA PRIVATE KEY", lines).replace("END RSA", "END DSA")]
+    rows = list(enumerate(f"é {t} !" for t in good + bad))
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        pems = [x for x in got[k].split(",") if x.startswith("pem")]
+        assert pems == ([f"pem:{t.rindex('-----BEGIN')}:{len(t) - 2}"] if k < len(good) else []), (k, pems)
+
+
+def test_a_failing_candidate_hides_no_token(spark):
+    tok = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": 1})) + ".c2ln"
+    docs = spark.createDataFrame([(1, f"eyJx.{tok}"), (1, f"eyJx.eyJy.{tok} {tok}"), (None, "eyJ." * 20000)], "doc_id long, text string")
+    assert sorted(r.spans for r in secrets.find_secrets(docs).collect()) == sorted([f"jwt:5:{5 + len(tok)}", f"jwt:10:{10 + len(tok)},jwt:{11 + len(tok)}:{11 + 2 * len(tok)}", ""])
