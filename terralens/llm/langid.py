@@ -7,14 +7,13 @@ sum of margins, then the name). All are scored in one pass over hashed n-grams.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import linear
@@ -40,9 +39,9 @@ def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), lang)
 
 
-def held_out(doc_id) -> bool:
-    """True for a fifth of the ids, which no model learns from."""
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+def held_out(doc_id: Column) -> Column:
+    """True for a fifth of the ids, which no model learns from; a null id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
 
 
 @dataclass
@@ -126,15 +125,15 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score. A text that is null or has no letter is ``und`` with score 0.
 
-    Without training rows every text is ``und``. Rows are independent; extra columns (lang too) are not read.
+    Without training rows every text is ``und``. A text of any length is scored whole, by the means over its n-grams. Rows are independent; null and
+    repeated ids stay as they are, and extra columns (lang too) are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in K.text_slices(b.column(1)):
-                ids = b.column(0).slice(i, j - i)
                 lang, score = model.predict(data, off)
                 there = has_letter(data, off)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array([v if t else UNDETERMINED for v, t in zip(lang, there, strict=True)], pa.string()), pa.array(np.where(there, score, 0.0))],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([v if t else UNDETERMINED for v, t in zip(lang, there, strict=True)], pa.string()), pa.array(np.where(there, score, 0.0))],
                     names=["doc_id", "held_out", "lang_pred", "score"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terralens.llm import textkernel as K
 
@@ -18,16 +19,18 @@ U64 = np.uint64
 #: Buckets of each kind.
 BITS = 16
 SCALE = 100.0
+#: Most bytes of text that a linear model is fitted to; their features take some ten times as much on the driver.
+SAMPLE_BYTES = 8 << 20
 
 
 def ngram_buckets(data: np.ndarray, off: np.ndarray, kinds: tuple[str, ...], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind: bucket of each n-gram, and the ranges [first, end) of each document's.
 
-    Kinds: w1, w2 (words) and c2 to c5 (bytes within a document).
+    Kinds: w1, w2 (words) and c2 to c5 (characters within a document).
     """
     if lower:
         data = K.LOWER[data]
-    h = at = None
+    h = at = chars = edge = None
     for k, kind in enumerate(kinds):
         n, base = int(kind[1]), k << BITS
         if kind[0] == "w":
@@ -36,13 +39,17 @@ def ngram_buckets(data: np.ndarray, off: np.ndarray, kinds: tuple[str, ...], low
             g = h if n == 1 else K.mix(h[:-1] * U64(31) + h[1:]) if len(h) > 1 else h[:0]
             ends = np.maximum(at[1:] - (n - 1), at[:-1])
         else:
-            m = max(0, len(data) - n + 1)
+            if chars is None:
+                point = K.code_points(data)
+                chars = K.BYTE_CODE.astype(np.uint32)[point & np.uint32(255)] + (point >> np.uint32(8)) * np.uint32(0x85EBCA6B)
+                edge = np.concatenate([[0], np.cumsum(K.char_starts(data))])[off]
+            m = max(0, len(chars) - n + 1)
             g = np.zeros(m, np.uint32)
             for x in range(n):
                 g *= np.uint32(0x01000193)
-                g += K.BYTE_CODE.astype(np.uint32)[data[x : m + x]]
+                g += chars[x : m + x]
             g *= np.uint32(0x9E3779B1)
-            yield (g >> np.uint32(32 - BITS)).astype(np.int64) + base, off[:-1], np.maximum(off[1:] - (n - 1), off[:-1])
+            yield (g >> np.uint32(32 - BITS)).astype(np.int64) + base, edge[:-1], np.maximum(edge[1:] - (n - 1), edge[:-1])
             continue
         yield (g >> U64(64 - BITS)).astype(np.int64) + base, at[:-1], ends
 
@@ -186,18 +193,37 @@ def calibrate_columns(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np
     return a[:-1] / unit, float(a[-1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, kinds: tuple[str, ...], lower: bool = False) -> tuple[np.ndarray, np.ndarray, Sparse]:
-    """Ids, labels and features of at most ``bound`` labelled documents, those of the smallest id hashes.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_bytes: int, kernel, columns: str) -> pa.Table:
+    """doc_id, label and the kernel's columns of a sample of the labelled documents, at most ``bound`` rows and ``bound_bytes`` bytes of text, in the order of ids.
 
-    Only ids are ranked; the chosen ids (bounded) are broadcast, features are made on the executors, and the bounded features come to the driver.
+    Of several labels of one id the largest counts. Each different text of a labelled id is a row of its own; equal ones are one row. Rows come in the
+    order of their ids' hashes; a text that would exceed the bytes is passed over. Ids and sizes are ranked, never texts: the chosen ids and rows
+    (both bounded) are broadcast, and the kernel runs on the executors for the chosen rows alone.
     """
-    from pyspark.sql import functions as F
-
     chosen = (labels.where(f"{label} is not null and doc_id is not null").groupBy("doc_id").agg(F.max(label).alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+    rows = docs.select("text", "doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+    sizes = (rows.groupBy("doc_id", "h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(bound).toArrow())
+    total = np.cumsum(sizes.column("size").to_numpy())
+    keep = total <= bound_bytes
+    if not keep.all():
+        # one by one, as a passed-over text leaves room for others
+        room, keep = bound_bytes, []
+        for n in sizes.column("size").to_pylist():
+            keep.append(n <= room)
+            room -= n if n <= room else 0
+    kept = sizes.filter(pa.array(keep, pa.bool_()))
+    keys = docs.sparkSession.createDataFrame(list(zip(kept.column("doc_id").to_pylist(), kept.column("h").to_pylist(), strict=True)), "doc_id long, h long")
     kind = dict(chosen.dtypes)["label"]
-    rows = (docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")
-            .mapInArrow(sparse_rows(kinds, lower), f"doc_id long, label {kind}, idx binary, val binary").toArrow())
-    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
+    names = [x.split()[0] for x in columns.split(", ")]
+    made = (rows.join(F.broadcast(keys), ["doc_id", "h"]).select("text", "doc_id", "label", "h").mapInArrow(kernel, f"doc_id long, label {kind}, h long, {columns}")
+            .groupBy("doc_id", "label", "h").agg(*(F.first(c).alias(c) for c in names)).toArrow())
+    return made.take(np.lexsort((made.column("h").to_numpy(), made.column("doc_id").to_numpy()))).combine_chunks()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, kinds: tuple[str, ...], lower: bool = False, bound_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, Sparse]:
+    """Ids, labels and features of a sample of labelled documents; see ``sampled``."""
+    rows = sampled(docs, labels, label, bound, bound_bytes, sparse_rows(kinds, lower), "idx binary, val binary")
     ids, y = rows.column("doc_id").to_numpy(), np.array(rows.column("label").to_pylist())
     return ids, y, Sparse.of(rows.column("idx"), rows.column("val"), len(kinds) << BITS)

@@ -168,3 +168,8 @@ def segment_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def char_starts(data: np.ndarray) -> np.ndarray:
     """True where a code point begins."""
     return (data & 0xC0) != 0x80
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code points of UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)

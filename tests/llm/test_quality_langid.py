@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -59,7 +60,8 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in edge.values())
     empty = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
-    assert langid.held_out(0) == (__import__("zlib").crc32(b"0") % 5 == 0)
+    ids = spark.range(-50, 50).withColumnRenamed("id", "doc_id")
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in ids.select("doc_id", langid.held_out(ids.doc_id).alias("h")).collect())
 
 
 def test_one_language_and_unknown_codes(spark):
@@ -76,3 +78,31 @@ def test_calibration():
     y = np.repeat([0.0, 1.0], 50)
     a, c = linear.calibrate(z, y)
     assert a > 0 and abs(linear.sigmoid(a * 0 + c) - 0.5) < 0.1
+
+
+def test_samples_are_bounded_and_tell_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d e"), (2, "f" * 5000), (3, None), (4, "g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, quality int")
+    ids, y, x = linear.labelled_sample(docs, labels, "quality", 100, ("w1",))
+    assert ids.tolist() == [1, 1, 2, 3] and y.tolist() == [1, 1, 0, 1] and x.n == 4
+    assert linear.labelled_sample(docs, labels, "quality", 100, ("w1",), bound_bytes=1000)[0].tolist() == [1, 1, 3]
+    assert len(linear.labelled_sample(docs, labels, "quality", 2, ("w1",))[0]) == 2
+    assert len(linear.labelled_sample(docs, labels.limit(0), "quality", 2, ("w1",))[0]) == 0
+
+
+def test_character_grams_are_of_characters():
+    texts = ["é日x", "", "ab"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    bucket, first, end = next(linear.ngram_buckets(data, off, ("c2",)))
+    assert [max(0, int(e - f)) for f, e in zip(first, end, strict=True)] == [2, 0, 1]
+    lone, _, _ = next(linear.ngram_buckets(np.frombuffer("日x".encode(), np.uint8), np.array([0, 4]), ("c2",)))
+    assert lone[0] == bucket[1]
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "the word is here", "en"), (1, "the word is here", "en"), (None, "the word", "en"), (2, "das Wort ist hier", "de"), (3, "das ist das", "de"), (6, "the cat is there", "en")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred) for r in langid.predict(docs, model).collect())
+    assert len(got) == 6 and got.count(got[0]) == 2 and [x[1] for x in got if x[0] == "None"] == [False]
+    assert langid.predict(docs.limit(0), model).count() == 0
