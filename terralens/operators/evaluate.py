@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralens.operators.stats import cumulated
+
 
 def accuracy(p: DataFrame) -> DataFrame:
     """Share of predictions that start with the answer: overall, by topic and by difficulty, in one pass."""
@@ -15,12 +17,10 @@ def accuracy(p: DataFrame) -> DataFrame:
 
 def floor_quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
     """Element floor(n * share) of the sorted values, from counts of distinct values."""
-    n = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    one = Window.partitionBy(F.lit(1))
-    cum = n.withColumn("hi", F.sum("n").over(one.orderBy("v"))).withColumn("total", F.sum("n").over(one))
+    cum = cumulated(df.select(F.col(value).alias("v")), "v")
     wanted = F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")
-    at = cum.select("v", "n", "hi", "total", wanted).withColumn("k", F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1))
-    return at.where("k >= hi - n and k < hi").select("share", F.col("v").alias("value"))
+    at = cum.select("v", "n", "upto", "total", wanted).withColumn("k", F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1))
+    return at.where("k >= upto - n and k < upto").select("share", F.col("v").alias("value"))
 
 
 def length_bucket(length: Column) -> Column:
@@ -35,10 +35,40 @@ def epoch_deltas(acc: DataFrame, baseline: float) -> DataFrame:
     return acc.withColumn("delta", F.round(d, 6)).withColumn("fell", d < -0.02)
 
 
-def chat_messages(turns: DataFrame) -> DataFrame:
-    """One record per conversation with its messages in order."""
-    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(each.alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content"))).alias("messages"))
+def against_baseline(accuracy: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Each topic's accuracy and its change to a baseline (topic, accuracy), in which a missing topic counts as 0."""
+    base = baseline.select("topic", F.col("accuracy").alias("base"))
+    return accuracy.join(base, "topic", "left").select("topic", "accuracy", F.round(F.col("accuracy") - F.coalesce("base", F.lit(0.0)), 6).alias("delta"))
+
+
+def batch_plan(rows: Column, batch: int) -> Column:
+    """(effective, accumulate, steps): a thousandth of the rows, from 8 to 32, in batches of ``batch``."""
+    wanted = F.greatest(F.lit(8), F.least(F.lit(32), F.floor(rows / 1000))).cast("int")
+    times = F.greatest(F.lit(1), F.floor(wanted / batch)).cast("int")
+    return F.struct((times * batch).alias("effective"), times.alias("accumulate"), F.ceil(rows / (times * batch)).alias("steps"))
+
+
+ARROW, COMPOSITE, BINARY, MEGA = "satellite_arrow", "streetview_composite", "streetview_binary", "streetview_mega"
+
+
+def shown_images(r: DataFrame) -> Column:
+    """References of the images of a training record, in order, by its image_mode: arrow options A to D; the marked image and four views, its own or the other
+    location's; the marked image and the grid; else the primary image. r: image_mode, primary, satellite, views (array), negative (array), options (map)."""
+    c = F.col
+    arrows = F.filter(F.transform(F.array(*map(F.lit, "ABCD")), lambda k: F.try_element_at(c("options"), k)), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    mode = F.coalesce("image_mode", F.lit("satellite_only"))
+    return (F.when(mode == ARROW, F.coalesce(arrows, none)).when(mode == COMPOSITE, F.concat(F.array("satellite"), F.coalesce("views", none))).when(mode == BINARY, F.concat(F.array("satellite"), F.coalesce("negative", none)))
+            .when(mode == MEGA, F.array("satellite", "primary")).otherwise(F.array("primary")))
+
+
+def training_record(text: Column, images: Column, answer: Column, system: str) -> Column:
+    """The messages of a record: system, user (text, then images by reference) and assistant."""
+    part = lambda kind, t, i: F.struct(F.lit(kind).alias("type"), t.alias("text"), i.alias("image"))
+    null = F.lit(None).cast("string")
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    user = F.concat(F.array(part("text", text, null)), F.transform(images, lambda i: part("image", null, i)))
+    return F.array(said("system", F.array(part("text", F.lit(system), null))), said("user", user), said("assistant", F.array(part("text", answer, null))))
 
 
 def prompt(question: Column, options: Column) -> Column:
@@ -47,6 +77,14 @@ def prompt(question: Column, options: Column) -> Column:
 
 
 def compare(base: DataFrame, tuned: DataFrame) -> DataFrame:
-    """Base and tuned answers of each question side by side."""
+    """Base and tuned answers of each question side by side, matched by question, and what tuning changed."""
     b = base.select("question_id", F.col("predicted").alias("base"))
-    return b.join(tuned.select("question_id", F.col("predicted").alias("tuned"), "gold"), "question_id").select("question_id", F.startswith("base", "gold").alias("base_right"), F.startswith("tuned", "gold").alias("tuned_right"))
+    right = lambda x: F.coalesce(F.startswith(F.col(x), F.col("gold")), F.lit(False))
+    change = F.when(right("base") == right("tuned"), "same").when(right("tuned"), "better").otherwise("worse")
+    return b.join(tuned.select("question_id", F.col("predicted").alias("tuned"), "gold"), "question_id").select("question_id", right("base").alias("base_right"), right("tuned").alias("tuned_right"), change.alias("change"))
+
+
+def chat_messages(turns: DataFrame) -> DataFrame:
+    """One record per conversation with its messages in order."""
+    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return turns.groupBy("conv_id").agg(each.alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content"))).alias("messages"))

@@ -20,6 +20,19 @@ def run_counts(rows: DataFrame, key: str, run: str) -> DataFrame:
     return per_run.select(F.posexplode("runs").alias("p", run)).groupBy(run).agg(F.count_if(F.col("p") == 0).alias("new"), F.count_if(F.col("p") > 0).alias("overwritten"))
 
 
+def merge_totals(merged: DataFrame) -> DataFrame:
+    """(level, value, n, pct) of merged records (city, questions): samples of each city, and questions of each topic with their share."""
+    city = merged.groupBy(F.coalesce("city", F.lit("Unknown")).alias("value")).agg(F.count("*").alias("n")).select(F.lit("city").alias("level"), "value", "n", F.lit(None).cast("double").alias("pct"))
+    topic = merged.select(F.explode("questions").alias("q")).groupBy(F.coalesce("q.topic", F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+    return city.unionByName(topic.select(F.lit("topic").alias("level"), "value", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 4).alias("pct")))
+
+
+def run_totals(lines: DataFrame, key: str, run: str) -> DataFrame:
+    """Lines of each run with a key, and skipped ones without."""
+    good = F.coalesce(F.col(key), F.lit("")) != ""
+    return lines.groupBy(run).agg(F.count_if(good).alias("total"), F.count_if(~good).alias("skipped"))
+
+
 def image_paths(records: DataFrame) -> DataFrame:
     """Distinct (sample_id, path) of all image references below images/; records have scalar, array and map columns of paths."""
     kinds = dict(records.dtypes)

@@ -18,28 +18,51 @@ SKYSCRAPER_CITIES = [
     "Bangkok", "Kuala Lumpur", "Taipei", "Mexico City",
 ]
 SMALL_BYTES = 5000
+#: A picture that the audit accepts.
+AUDIT_BYTES = 5120
+IMAGE_TOPICS = ("camera_direction", "mismatch_binary", "mismatch_mcq")
 
 
 def present(*issues: Column) -> Column:
     return F.filter(F.array(*issues), lambda x: x.isNotNull())
 
 
-def record_issues(views: tuple[str, ...] = ("along_fwd", "along_bwd", "cross_left", "cross_right")) -> Column:
-    """Issues of a record: question, answer, options (array of texts), sat_bytes (null: missing), view_bytes (map), levels."""
+def asked_issues(asked: Column) -> Column:
+    """Issues of each of a record's questions: an array of (topic, options as a map, answer), numbered from 0."""
+    def of(q: Column, i: Column) -> Column:
+        at = F.concat(F.lit("all_questions["), i.cast("string"), F.lit("] ("), F.coalesce(q["topic"], F.lit("?")), F.lit(") "))
+        values, n = F.map_values(q["options"]), F.coalesce(F.size(q["options"]), F.lit(0))
+        keyed = F.coalesce(F.map_contains_key(q["options"], F.coalesce(q["answer"], F.lit(""))), F.lit(False))
+        return present(
+            F.when((F.coalesce(q["answer"], F.lit("")) != "") & ~keyed, F.concat(F.lit("CRITICAL: "), at, F.lit("answer key not in options"))),
+            F.when((n > 0) & (F.size(F.array_distinct(values)) != n), F.concat(F.lit("WARNING: "), at, F.lit("has duplicate options"))),
+            F.when((n > 0) & (n != 4), F.concat(F.lit("WARNING: "), at, F.lit("expected 4 options, got "), n.cast("string"))))
+    return F.flatten(F.transform(asked, of))
+
+
+def record_issues(views: tuple[str, ...] = ("along_fwd", "along_bwd", "cross_left", "cross_right"), asked: Column | None = None) -> Column:
+    """Issues of a record: question, answer, options (array of texts), sat_bytes (null: missing), view_bytes (map), levels.
+
+    asked: the array of all questions, if records have one; a record without any is only well if it has a question of its own.
+    """
     c = F.col
     n = F.size("options")
     letters = F.slice(F.array(*(F.lit(x) for x in "ABCDEFGH")), 1, F.greatest(n, F.lit(0)))
     seen = F.aggregate(F.map_values("view_bytes"), F.lit(0), lambda a, x: a + (F.coalesce(x, F.lit(0)) > SMALL_BYTES).cast("int"))
-    return present(
+    own = present(
         F.when(F.coalesce("question", F.lit("")) == "", "CRITICAL: No question generated"),
         F.when((F.coalesce("answer", F.lit("")) != "") & ~F.coalesce(F.array_contains(letters, c("answer")), F.lit(False)), "CRITICAL: Answer key not in options"),
         F.when((n > 0) & (F.size(F.array_distinct("options")) != n), "CRITICAL: Duplicate options"),
         F.when((n > 0) & (n != 4), F.concat(F.lit("WARNING: Expected 4 options, got "), n.cast("string"))),
         F.when(c("sat_bytes").isNull(), "CRITICAL: Missing satellite image").when(c("sat_bytes") < SMALL_BYTES, "CRITICAL: Satellite image too small (likely blank/cloud)"),
         *(F.when(F.coalesce(F.try_element_at("view_bytes", F.lit(v)), F.lit(0)) <= SMALL_BYTES, f"WARNING: Missing/small SV image: {v}") for v in views),
-        F.when(seen == 0, "CRITICAL: No street view images at all"),
-        F.when((c("levels") < 0) | (c("levels") > 200), F.concat(F.lit("WARNING: Implausible building levels: "), c("levels").cast("double").cast("string"))),
-    )
+        F.when(seen == 0, "CRITICAL: No street view images at all"))
+    levels = present(F.when((c("levels") < 0) | (c("levels") > 200), F.concat(F.lit("WARNING: Implausible building levels: "), c("levels").cast("double").cast("string"))))
+    if asked is None:
+        return F.concat(own, levels)
+    some = F.coalesce(F.size(asked), F.lit(0)) > 0
+    of_all = F.when(some, asked_issues(asked)).otherwise(present(F.when(F.coalesce("question", F.lit("")) == "", "WARNING: No questions in all_questions array")))
+    return F.concat(own, of_all, levels)
 
 
 def is_valid(issues: Column) -> Column:
@@ -61,8 +84,11 @@ def dataset_issues(q: DataFrame) -> DataFrame:
     return one.select(F.explode(rules).alias("issue"))
 
 
-def completeness() -> Column:
-    """Why the metadata behind a question is incomplete; an empty text where it is complete."""
+def completeness(variants: bool = False) -> Column:
+    """Why the metadata behind a question is incomplete; an empty text where it is complete.
+
+    ``variants``: also judge arrow_paths (map), binary_variants (array) and mcq_variants (array of composite_path and correct_pos), which three topics need.
+    """
     c, t = F.col, F.col("topic")
     quoted = lambda name: F.coalesce(F.concat(F.lit("'"), c(name), F.lit("'")), F.lit("None"))
     odd = lambda label, name: F.concat(F.lit(f"{label}="), quoted(name), F.lit(" not in valid set"))
@@ -80,9 +106,38 @@ def completeness() -> Column:
             .when((t == "transit_density") & c("transit_stops").isNull(), "osm_transit_stop_count is null")
             .when((t == "camera_direction") & c("bearing").isNull(), "road_bearing is null")
             .when((t == "camera_direction") & ~c("bearing").between(0, 360), F.concat(F.lit("road_bearing="), c("bearing").cast("string"), F.lit(" out of 0-360 range")))
+            .otherwise(variant_gaps() if variants else ""))
+
+
+def variant_gaps() -> Column:
+    """What the placement topics lack: four arrows, a variant, or a part of one."""
+    t = F.col("topic")
+    size = lambda name: F.coalesce(F.size(name), F.lit(0))
+    empty = lambda x: F.coalesce(x, F.lit("")) == ""
+    return (F.when((t == "camera_direction") & (size("arrow_paths") < 4), F.concat(F.lit("camera_arrow_paths has only "), size("arrow_paths").cast("string"), F.lit("/4 entries")))
+            .when((t == "mismatch_binary") & (size("binary_variants") == 0), "mismatch_binary_variants is empty")
+            .when((t == "mismatch_mcq") & (size("mcq_variants") == 0), "mismatch_mcq_variants is empty")
+            .when((t == "mismatch_mcq") & F.exists("mcq_variants", lambda v: empty(v["composite_path"]) | empty(v["correct_pos"])), "mismatch_mcq variant missing composite_path or correct_pos")
             .otherwise(""))
 
 
+def image_checks(q: DataFrame, listing: DataFrame, key: str = "question_id") -> DataFrame:
+    """``q`` with images_ok: whether every picture that a placement question refers to (arrow_paths, binary_variants, mcq_variants) has enough bytes in the first folder that has it; null for other topics.
+
+    listing: path, dir_ord, length.
+    """
+    c, t = F.col, F.col("topic")
+    none = F.array().cast("array<string>")
+    binary = F.transform("binary_variants", lambda v: F.coalesce(F.nullif(v["negative_stv_composite"], F.lit("")), v["composite_stv_path"]))
+    paths = F.when(t == "camera_direction", F.map_values("arrow_paths")).when(t == "mismatch_binary", binary).when(t == "mismatch_mcq", F.transform("mcq_variants", lambda v: v["composite_path"]))
+    # an arrow without a path is missing; a variant without one isn't looked for
+    wanted = F.when(t == "camera_direction", F.transform(paths, lambda p: F.coalesce(p, F.lit("")))).otherwise(F.filter(paths, lambda p: F.coalesce(p, F.lit("")) != ""))
+    refs = q.where(t.isin(*IMAGE_TOPICS)).select(key, F.explode(F.coalesce(wanted, none)).alias("path"))
+    first = listing.groupBy("path").agg(F.min(F.struct("dir_ord", "length")).alias("m")).select("path", c("m.length").alias("length"))
+    bad = refs.join(first, "path", "left").where(F.coalesce("length", F.lit(0)) < AUDIT_BYTES).select(key, F.lit(True).alias("_bad")).distinct()
+    return q.join(bad, key, "left").withColumn("images_ok", F.when(t.isin(*IMAGE_TOPICS), c("_bad").isNull())).drop("_bad")
+
+
 def plausibility() -> Column:
     """Suspicions about a question's metadata."""
     c, t = F.col, F.col("topic")
@@ -101,9 +156,9 @@ def plausibility() -> Column:
 
 
 def assess(q: DataFrame) -> DataFrame:
-    """Quality rows. q: sample_id, city, topic, difficulty, answer, n_options, images_ok (nullable) and the metadata."""
+    """Quality rows. q: sample_id, city, topic, difficulty, answer, n_options, images_ok (nullable) and the metadata; variants are judged if they are there."""
     c = F.col
-    rows = q.withColumn("missing", completeness()).withColumn("flags", plausibility())
+    rows = q.withColumn("missing", completeness({"arrow_paths", "binary_variants", "mcq_variants"} <= set(q.columns))).withColumn("flags", plausibility())
     invalid = c("answer").isNull() | ~F.coalesce(c("n_options").isin(2, 4), F.lit(False))
     overall = (F.when(invalid, "invalid").when(c("missing") != "", "low_metadata").when(~F.coalesce("images_ok", F.lit(True)), "missing_images").when(F.size("flags") > 0, "suspicious").otherwise("pass"))
     reasons = F.concat_ws("; ", F.nullif("missing", F.lit("")), F.nullif(F.array_join("flags", "; "), F.lit("")), F.when(~c("images_ok"), "images missing"), F.when(invalid, "invalid structure"))
@@ -128,10 +183,11 @@ def top_reasons(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def recommendations(rows: DataFrame) -> DataFrame:
-    """Rules of thumb on the quality rows: topics with little metadata, many flags; cities with few questions; topics that miss images."""
+    """Rules of thumb on the quality rows: the topic that is removed anyway; topics with little metadata, many flags; cities with few questions; topics that miss images."""
     c = F.col
-    low = rows.groupBy("topic").agg(F.avg("metadata_complete").alias("v")).where("v < 0.6").select(F.lit("low metadata").alias("rule"), c("topic").alias("subject"))
+    odd = rows.where("topic = 'water_proximity'").select(F.lit("remove type").alias("rule"), c("topic").alias("subject")).distinct()
+    low = rows.where("topic <> 'water_proximity'").groupBy("topic").agg(F.avg("metadata_complete").alias("v")).where("v < 0.6").select(F.lit("low metadata").alias("rule"), c("topic").alias("subject"))
     flagged = rows.groupBy("topic").agg(F.avg("plausibility_flag").alias("v")).where("v > 0.05").select(F.lit("many flags"), "topic")
     few = rows.groupBy("city").agg((F.count("*") / F.countDistinct("sample_id")).alias("v")).where("v < 12").select(F.lit("few questions"), "city")
     images = rows.where("images_ok is not null").groupBy("topic").agg(F.avg(1 - c("images_ok")).alias("v")).where("v > 0.05").select(F.lit("missing images"), "topic")
-    return reduce(DataFrame.union, [low, flagged, few, images])
+    return reduce(DataFrame.union, [odd, low, flagged, few, images])

@@ -152,34 +152,55 @@ def question_score() -> Column:
             .when(t.isin("road_surface", "water_proximity", "mismatch_mcq"), 4).when(t.isin("amenity_richness", "transit_density"), 2).otherwise(3))
 
 
-def best_questions(scored: DataFrame) -> DataFrame:
+def ranked_candidates(scored: DataFrame) -> DataFrame:
+    """Each sample's questions by falling score, then by place; the first is the best before uses count."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "pos")))
+
+
+def best_questions(scored: DataFrame, per_city: bool = True) -> DataFrame:
     """For each sample in order, the question of highest score less three times its topic's uses so far (first on a tie).
 
-    scored: city, ord, sample_id, pos, topic, score. Uses are counted city by city, so a fold covers one city and cities run in parallel;
-    the compact rows of a city are folded as a sorted stream, never held together.
+    scored: city, ord, sample_id, pos, topic, score. With ``per_city`` uses are counted city by city, so a fold covers one city and cities run in parallel. Without
+    it one counter runs on through all samples, by city and order: each choice depends on all before it, so that is one task by nature,
+    and a choice for small sets. Compact rows are folded as a sorted stream, never held together.
     """
     import pyarrow as pa
 
+    schema = pa.schema([("sample_id", pa.string()), ("pos", pa.int32()), ("topic", pa.string())])
+
     def run(batches):
         city, sample, uses, best, out = None, None, {}, None, []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
         for b in batches:
             for c, o, s, p, t, x in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if (c, s) != (city, sample):
                     if best:
                         out.append(best[1:])
                         uses[best[3]] = uses.get(best[3], 0) + 1
-                    if c != city:
+                    if c != city and per_city:
                         uses = {}
                     city, sample, best = c, s, None
                 score = x - 3 * uses.get(t, 0)
                 if best is None or score > best[0]:
                     best = (score, s, p, t)
             if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], names=["sample_id", "pos", "topic"])
+                yield flush()
                 out = []
         if best:
             out.append(best[1:])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], names=["sample_id", "pos", "topic"])
+            yield flush()
     rows = scored.select("city", "ord", "sample_id", F.col("pos").cast("int").alias("pos"), "topic", F.col("score").cast("int").alias("score"))
-    return rows.repartition("city").sortWithinPartitions("city", "ord", "sample_id", "pos").mapInArrow(run, "sample_id string, pos int, topic string")
+    rows = rows.repartition("city") if per_city else rows.coalesce(1)
+    return rows.sortWithinPartitions("city", "ord", "sample_id", "pos").mapInArrow(run, "sample_id string, pos int, topic string")
+
+
+def enabled(questions: DataFrame, topics: list[str]) -> DataFrame:
+    """Questions of the topics that are switched on."""
+    return questions.where(F.col("topic").isin(topics))
+
+
+def by_option_count(questions: DataFrame, n: int) -> DataFrame:
+    return questions.where(F.size("options") == n)

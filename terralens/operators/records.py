@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions import geo
+from terralens.operators import spatial
 
 #: Fixed order of attempts for each source.
 FALLBACK = {"NAIP": ["NAIP", "ESRI", "S2"], "IGN": ["IGN", "ESRI", "S2"], "ESRI": ["ESRI", "S2"], "S2": ["S2"]}
@@ -56,6 +57,67 @@ def view_status(lat: Column, lon: Column, pano_lat: Column, pano_lon: Column) ->
     return F.when(pano_lat.isNull(), "NO_COVERAGE").when(d > SNAP_M, "SNAP_TOO_FAR").otherwise("OK")
 
 
+def snap_distance(lat: Column, lon: Column, pano_lat: Column, pano_lon: Column) -> Column:
+    """Distance to the panorama; null without one, and where it is exactly 0."""
+    return F.nullif(geo.haversine_m(lat, lon, pano_lat, pano_lon), F.lit(0.0))
+
+
+#: What is read from each source's files: the least number of bytes that passes.
+LEAST_BYTES = {"tile fetch": 5001, "tile validation": 5000, "view fetch": 5000, "view validation": 5001, "audit": 5120}
+
+
+def large_enough(length: Column, use: str) -> Column:
+    return F.coalesce(length >= LEAST_BYTES[use], F.lit(False))
+
+
+def bbox_text(lat: Column, lon: Column, metres: float) -> Column:
+    """west,south,east,north of a tile, as requests have it."""
+    t = geo.tile_bbox(lat, lon, metres)
+    return F.concat_ws(",", *(t[k].cast("string") for k in ("west", "south", "east", "north")))
+
+
+def query_text(parameters: dict[str, Column | str]) -> Column:
+    """An encoded query string; values may be columns."""
+    return F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(v if isinstance(v, Column) else F.lit(v))) for k, v in parameters.items()))
+
+
+def wms_request(lat: Column, lon: Column, metres: float, pixels: int, layer: str) -> Column:
+    """Parameters of a map image in longitude-latitude order."""
+    return query_text({"SERVICE": "WMS", "VERSION": "1.3.0", "REQUEST": "GetMap", "LAYERS": layer, "STYLES": "", "CRS": "CRS:84", "BBOX": bbox_text(lat, lon, metres), "WIDTH": str(pixels), "HEIGHT": str(pixels), "FORMAT": "image/png"})
+
+
+def export_request(lat: Column, lon: Column, metres: float, pixels: int) -> Column:
+    """Parameters of an exported map image."""
+    return query_text({"bbox": bbox_text(lat, lon, metres), "bboxSR": "4326", "size": f"{pixels},{pixels}", "imageSR": "4326", "format": "png32", "pixelType": "U8", "noDataInterpretation": "esriNoDataMatchAny", "interpolation": "RSP_BilinearInterpolation", "f": "image"})
+
+
+def view_paths(sample_id: Column, views: Column) -> Column:
+    """Paths of the views of an array of names."""
+    return F.transform(views, lambda v: F.concat(F.lit("images/sv/"), sample_id, F.lit("_"), v, F.lit(".jpg")))
+
+
+def arrow_paths(sample_id: Column) -> Column:
+    """The arrow image of each view's heading."""
+    return F.map_from_arrays(F.array(*(F.lit(v) for v in ("along_fwd", "along_bwd", "cross_left", "cross_right"))), F.transform(F.array(*(F.lit(v) for v in ("along_fwd", "along_bwd", "cross_left", "cross_right"))), lambda v: F.concat(F.lit("images/arrows/"), sample_id, F.lit("_"), v, F.lit(".png"))))
+
+
+def arrow_head(bearing: Column, length: float = 80.0, centre: float = 256.0, head: float = 16.0, half: float = 8.0) -> Column:
+    """Tip and both corners of an arrow's head: along the unit vector back from the tip, then aside."""
+    a = F.radians(bearing)
+    ux, uy = F.sin(a), -F.cos(a)
+    tx, ty = F.lit(centre) + length * ux, F.lit(centre) + length * uy
+    side = lambda k: ((tx - ux * head - uy * (k * half)), (ty - uy * head + ux * (k * half)))
+    (lx, ly), (rx, ry) = side(1), side(-1)
+    return F.struct(tx.alias("tip_x"), ty.alias("tip_y"), lx.alias("left_x"), ly.alias("left_y"), rx.alias("right_x"), ry.alias("right_y"))
+
+
+def snapped_points(cities: DataFrame, nodes: DataFrame, n: int, attempts: int = 20, seed: int = 42) -> DataFrame:
+    """The first ``n`` hashed points of each city that have a road within reach, numbered, with the road's way and vertex."""
+    points = random_points(cities, n, attempts, seed).withColumn("sample_id", F.concat_ws("#", "city", F.col("attempt").cast("string")))
+    snapped = spatial.snap_to_road(points, nodes).withColumnRenamed("sample_id", "point")
+    return first_snapped(points.withColumnRenamed("sample_id", "point").join(snapped, "point").drop("point"), n)
+
+
 def is_tunnel(r: Column, g: Column, b: Column) -> Column:
     """Channel means that lie far apart."""
     return F.greatest(r, g, b) - F.least(r, g, b) > TUNNEL_SPREAD

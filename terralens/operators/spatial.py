@@ -58,6 +58,68 @@ def first_mode(df: DataFrame, group: str, value: str, order: str, name: str) ->
     return n.groupBy(group).agg(F.max(F.struct("n", (-F.col("o")).alias("o"), F.col(value).alias("v"))).alias("m")).select(group, F.col("m.v").alias(name), F.col("m.n").alias("n"))
 
 
+def value_at(pairs: Column, position: Column) -> Column:
+    """The value at a place (from 0) of a sorted list that is given as an array of (v, n), sorted by v, n being how often v occurs."""
+    walk = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct(
+        (a["seen"] + x["n"]).alias("seen"), F.when((position >= a["seen"]) & (position < a["seen"] + x["n"]), x["v"].cast("double")).otherwise(a["v"]).alias("v")))
+    return walk["v"]
+
+
+def upper_median_of_counts(pairs: Column) -> Column:
+    """``upper_median`` from (v, n) pairs, which are as many as there are different values."""
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    return value_at(F.array_sort(pairs), F.floor(total / 2))
+
+
+def _ranked(items: Column) -> Column:
+    """(n, o, v) by count falling, then by first seen."""
+    return F.array_sort(items, lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).otherwise(F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)))
+
+
+def contexts(samples: DataFrame, elements: DataFrame, metres: float, cell: float, top: int = 5) -> DataFrame:
+    """What surrounds each sample, from one range join and one combined aggregate.
+
+    elements: ord, lat, lon, category (building, amenity, landuse, park, road, signal or water), value (type of a building, amenity or land use;
+    surface of a road), levels, roundabout and bridge (bridge or tunnel).
+    Equal values of a sample are counted before anything is brought together, so a dense sample holds its different values only. Returns
+    buildings, median_levels (upper), building_types (map of the ``top`` most frequent), amenities, amenity_types (up to ten), landuse (most frequent),
+    has_park, surface (most frequent, empty ones don't count), roads, has_roundabout, has_bridge, has_signal, water_m.
+    """
+    c = F.col
+    pairs = context_pairs(samples, elements, metres, cell)
+    near = F.when(c("category") == "water", geo.haversine_m(c("lat"), c("lon"), c("rlat"), c("rlon")))
+    counted = pairs.groupBy("sample_id", "category", "value", "levels").agg(
+        F.count("*").alias("n"), F.min("ord").alias("o"), F.min(near).alias("m"), F.bool_or("roundabout").alias("roundabout"), F.bool_or("bridge").alias("bridge"))
+    is_ = lambda k: c("category") == k
+    total = lambda k: F.coalesce(F.sum(F.when(is_(k), c("n"))), F.lit(0))
+    some = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    kinds = lambda k: F.collect_list(F.when(is_(k) & (F.coalesce("value", F.lit("")) != ""), F.struct(c("value").alias("v"), "n", "o")))
+    per = counted.groupBy("sample_id").agg(
+        total("building").alias("buildings"), F.collect_list(F.when(is_("building") & c("levels").isNotNull(), F.struct(c("levels").alias("v"), "n"))).alias("levels"), kinds("building").alias("types"),
+        total("amenity").alias("amenities"), kinds("amenity").alias("amenity"), kinds("landuse").alias("landuse"), kinds("road").alias("surface"), some(is_("park")).alias("has_park"), total("road").alias("roads"),
+        some(is_("road") & c("roundabout")).alias("has_roundabout"), some(is_("road") & c("bridge")).alias("has_bridge"), some(is_("signal")).alias("has_signal"), F.min("m").alias("water_m"))
+
+    def merged(items: Column) -> Column:
+        """The counts of equal values (they differ in levels) as one."""
+        values = F.array_distinct(F.transform(items, lambda x: x["v"]))
+        same = lambda v: F.filter(items, lambda x: x["v"] == v)
+        return F.transform(values, lambda v: F.struct(F.aggregate(same(v), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n"), F.array_min(F.transform(same(v), lambda x: x["o"])).alias("o"), v.alias("v")))
+    best = lambda name: F.try_element_at(_ranked(merged(c(name))), F.lit(1))["v"]
+    found = per.select(
+        "sample_id", "buildings", upper_median_of_counts(merged_levels(c("levels"))).alias("median_levels"), F.map_from_entries(F.transform(F.slice(_ranked(merged(c("types"))), 1, top), lambda x: F.struct(x["v"], x["n"]))).alias("building_types"),
+        "amenities", F.slice(F.array_sort(F.array_distinct(F.transform("amenity", lambda x: x["v"]))), 1, 10).alias("amenity_types"), best("landuse").alias("landuse"), "has_park", best("surface").alias("surface"), "roads", "has_roundabout", "has_bridge",
+        "has_signal", F.round("water_m", 1).alias("water_m"))
+    none = {"buildings": 0, "amenities": 0, "roads": 0, "has_park": False, "has_roundabout": False, "has_bridge": False, "has_signal": False}
+    out = samples.select("sample_id").join(found, "sample_id", "left").fillna(none)
+    return out.withColumns({"building_types": F.coalesce("building_types", F.create_map().cast("map<string,bigint>")), "amenity_types": F.coalesce("amenity_types", F.array().cast("array<string>"))})
+
+
+def merged_levels(items: Column) -> Column:
+    """(v, n) pairs with equal values added up (they come once for each type of building)."""
+    values = F.array_distinct(F.transform(items, lambda x: x["v"]))
+    return F.transform(values, lambda v: F.struct(v.alias("v"), F.aggregate(F.filter(items, lambda x: x["v"] == v), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n")))
+
+
 def spread_stops(stops: Column, gap: float = 0.0002) -> Column:
     """Greedy thinning of an array of (ord, lat, lon): a stop stays if no kept one is within ``gap`` in both axes."""
     def add(kept: Column, s: Column) -> Column:

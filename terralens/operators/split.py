@@ -6,38 +6,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions.text import hash_key
-from terralens.operators.select import first_by_hash
+from terralens.operators.select import first_by_hash, mark_first
 
 STRATA = ["city", "land_use", "difficulty", "answer"]
 
 
+def _share(ratio: float):
+    """max(1, round-half-even(n * ratio)) of a city's n locations."""
+    return lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("int"))
+
+
+def mark_share(locations: DataFrame, ratio: float, seed: int, name: str) -> DataFrame:
+    keyed = locations.withColumn("_k", hash_key(str(seed), F.col("sample_id")))
+    return mark_first(keyed, ["city"], "_k", _share(ratio), name).drop("_k")
+
+
 def pick_share(locations: DataFrame, ratio: float, seed: int) -> DataFrame:
     """Per city, the first max(1, round-half-even(n * ratio)) locations in hash order."""
-    quota = locations.groupBy("city").agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(ratio)).cast("int")).alias("take"))
-    keyed = locations.withColumn("_k", hash_key(str(seed), F.col("sample_id")))
-    return first_by_hash(keyed, ["city"], "_k", quota).select(locations.columns)
+    return mark_share(locations, ratio, seed, "_picked").where("_picked").select(locations.columns)
 
 
 def split_per_city(locations: DataFrame, bench: float = 0.10, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """locations with split: benchmark, then validation from the rest (seed + 1), then train."""
-    marked = pick_share(locations, bench, seed).select("sample_id", F.lit("benchmark").alias("split"))
-    rest = locations.join(marked, "sample_id", "left_anti")
-    held = pick_share(rest, val, seed + 1).select("sample_id", F.lit("validation").alias("split"))
-    return locations.join(marked.unionByName(held), "sample_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """locations with split: benchmark, then validation from the rest (seed + 1), then train. Benchmark rows order last, in a group of their own."""
+    marked = mark_share(locations, bench, seed, "_bench")
+    keyed = marked.withColumn("_k", hash_key(str(seed + 1), F.col("sample_id")))
+    both = mark_first(keyed, ["city", "_bench"], "_k", _share(val), "_val")
+    split = F.when(F.col("_bench"), "benchmark").when(F.col("_val"), "validation").otherwise("train")
+    return both.select(*locations.columns, split.alias("split"))
+
+
+def split_counts(split: DataFrame) -> DataFrame:
+    """Locations of each city: all, benchmark, what remains of them, validation and train."""
+    n = lambda s: F.count_if(F.col("split") == s)
+    return split.groupBy("city").agg(F.count("*").alias("total"), n("benchmark").alias("benchmark"), F.count_if(F.col("split") != "benchmark").alias("remaining"), n("validation").alias("validation"), n("train").alias("train"))
 
 
 def split_seen_unseen(locations: DataFrame, unseen: DataFrame, bench: float = 0.10, seed: int = 42) -> DataFrame:
     """The benchmark as above; of the rest, unseen cities (a dimension: city) go to validation, all others to train."""
-    marked = pick_share(locations, bench, seed).select("sample_id", F.lit(True).alias("b"))
     new = unseen.select("city", F.lit(True).alias("u")).distinct()
-    split = F.when(F.col("b"), "benchmark").when(F.col("u"), "validation").otherwise("train")
-    return (locations.join(marked, "sample_id", "left").join(new, "city", "left")
+    split = F.when(F.col("_bench"), "benchmark").when(F.col("u"), "validation").otherwise("train")
+    return (mark_share(locations, bench, seed, "_bench").join(new, "city", "left")
             .select(*locations.columns, split.alias("split"), F.when(F.col("u"), "unseen").otherwise("seen").alias("city_type")))
 
 
-def allocation(df: DataFrame, target: int) -> DataFrame:
-    """Largest-remainder allocation of ``target`` rows a topic over its strata; a topic of fewer rows keeps all."""
-    n = df.groupBy("topic", *STRATA).agg(F.count("*").alias("n"))
+def _allocated(n: DataFrame, target: int) -> DataFrame:
+    """n: rows of each stratum. Adds ``take``."""
     t = Window.partitionBy("topic")
     exact = (F.col("n") / F.col("total")) * F.lit(target)
     n = n.withColumn("total", F.sum("n").over(t)).withColumn("floor", F.floor(exact)).withColumn("frac", exact - F.col("floor"))
@@ -47,6 +60,16 @@ def allocation(df: DataFrame, target: int) -> DataFrame:
     return n.select("topic", *STRATA, "n", take.cast("bigint").alias("take"))
 
 
+def allocation(df: DataFrame, target: int) -> DataFrame:
+    """Largest-remainder allocation of ``target`` rows a topic over its strata; a topic of fewer rows keeps all."""
+    return _allocated(df.groupBy("topic", *STRATA).agg(F.count("*").alias("n")), target)
+
+
+def adjusted_targets(df: DataFrame, target: int, by: str = "topic") -> DataFrame:
+    """What can be asked of each topic: the target, or all its rows if they are fewer."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).select(by, "n", F.least(F.lit(target).cast("bigint"), "n").alias("target"))
+
+
 def downsample(df: DataFrame, target: int, seed: int = 42) -> DataFrame:
     keyed = df.withColumn("_k", hash_key(str(seed), F.col("question_id")))
     return first_by_hash(keyed, ["topic", *STRATA], "_k", allocation(df, target)).select(df.columns)

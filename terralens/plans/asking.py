@@ -87,6 +87,8 @@ QUERIES = {f"q_{t}": _asked(t) for t in _RIGHT} | {
     "camera_direction": _camera,
     "question_scores": lambda s, d: _scored(s, d).select("sample_id", "topic", "score"),
     "best_question": lambda s, d: Q.best_questions(_scored(s, d)),
+    "best_question_global": lambda s, d: Q.best_questions(_scored(s, d), per_city=False),
+    "ranked_candidates": lambda s, d: Q.ranked_candidates(_scored(s, d)).where("rank = 1").select("sample_id", "topic", "score"),
     "generation_stats": _questions_all,
 }
 
@@ -112,6 +114,18 @@ def _binary(same: bool) -> str:
 _SCORES = """case topic when 'building_height' then case when median_levels > 15 or median_levels <= 2 then 5 else 2 end when 'land_use' then case when land_use in ('industrial', 'open_space', 'institutional') then 5 else 3 end
  when 'road_type' then case when road_type in ('motorway', 'trunk', 'primary') then 4 else 2 end when 'junction_type' then case when junction = 'roundabout' then 5 else 3 end when 'road_surface' then 4 when 'water_proximity' then 4 when 'amenity_richness' then 2 when 'transit_density' then 2 else 3 end"""
 _HAVE = " union all ".join(f"select s.*, '{t}' as topic from s where ({right}) is not null" for t, (right, _) in _RIGHT.items())
+
+
+def _best(group: str) -> str:
+    """A walk over the samples of a group in order; ``uses`` counts the choices of each topic so far."""
+    topics = ", ".join(repr(t) for t in _RIGHT)
+    return f"""with recursive {S}, h as ({_HAVE}), c as (select sample_id, {group} as g, city, c_custkey, list_position([{topics}], topic) as t, {_SCORES} as x from h),
+a as (select g, sample_id, row_number() over (partition by g order by city, c_custkey) as k, list(t order by t) as ts, list(x order by t) as xs from c group by g, city, sample_id, c_custkey),
+w as (select g, cast(0 as bigint) as k, cast('' as varchar) as sample_id, cast(0 as bigint) as best, [{', '.join('0' for _ in _RIGHT)}] as uses from (select distinct g from a)
+ union all select g, k, sample_id, b, list_transform(uses, lambda u, i: u + case when i = b then 1 else 0 end) from (select w.g, a.k, a.sample_id, uses, cast(ts[list_position(list_transform(ts, lambda t, i: xs[i] - 3 * uses[t]), list_max(list_transform(ts, lambda t, i: xs[i] - 3 * uses[t])))] as bigint) as b from w join a on a.g = w.g and a.k = w.k + 1))
+select sample_id, cast(best - 1 as int) as pos, [{topics}][best] as topic from w where k > 0"""
+
+
 ORACLE = {f"q_{t}": _oracle(t) for t in _RIGHT} | {
     "distractors_same_city": f"with {_pool(True)} select sample_id, cast(rank as int) as rank, other from d",
     "distractors_cross_city": f"with {_pool(False)} select sample_id, cast(rank as int) as rank, other from d",
@@ -120,5 +134,8 @@ ORACLE = {f"q_{t}": _oracle(t) for t in _RIGHT} | {
     "camera_direction": f"""with {S}, v as (select sample_id, unnest(['along_fwd', 'along_bwd', 'cross_left', 'cross_right']) as view from s where streetview_count = 4), o as (select v.*, unnest(['along_fwd', 'along_bwd', 'cross_left', 'cross_right']) as opt from v),
 n as (select *, row_number() over (partition by sample_id, view order by md5(concat_ws('_', sample_id, view, 'camera', opt))) as p from o) select sample_id, view, substr('ABCD', cast(p as int), 1) as answer from n where opt = view""",
     "question_scores": f"with {S}, h as ({_HAVE}) select sample_id, topic, {_SCORES} as score from h",
+    "best_question": _best("city"),
+    "best_question_global": _best("'all'"),
+    "ranked_candidates": f"with {S}, h as ({_HAVE}), c as (select sample_id, topic, {_SCORES} as score, list_position([{', '.join(repr(t) for t in _RIGHT)}], topic) as p from h) select sample_id, topic, score from (select *, row_number() over (partition by sample_id order by score desc, p) as r from c) where r = 1",
     "generation_stats": " union all ".join(f"select topic, answer, count(*) as n from ({_oracle(t)}) group by 1, 2" for t in _RIGHT),
 }

@@ -26,8 +26,9 @@ LOCATIONS = """select concat('city', lpad(cast(c_nationkey as string), 2, '0'),
 ELEMENTS = """select cast(row_number() over (partition by l_orderkey order by ORDER) + l_orderkey * 64 as bigint) as ord,
  (40000000 + (l_orderkey % 25) * 500000 + (l_partkey * 7907 + l_suppkey * 131 + l_linenumber * 17) % 20000) / cast(1000000 as double) as lat,
  (10000000 + (l_orderkey % 25) * 500000 + (l_partkey * 611953 + l_orderkey * 37) % 20000) / cast(1000000 as double) as lon,
- (l_partkey + l_linenumber) % 8 as cat, case when l_suppkey % 5 = 0 then null else cast(floor(l_quantity) as int) % 25 end as levels, KIND as kind
- from lineitem""".replace("ORDER", ORDER).replace("KIND", pick("l_partkey % 5", ["grass", "retail", "residential", None, "industrial"]))
+ (l_partkey + l_linenumber) % 8 as cat, case when l_suppkey % 5 = 0 then null else cast(floor(l_quantity) as int) % 25 end as levels, KIND as kind,
+ SURFACE as surface, l_suppkey % 37 = 0 as roundabout, l_suppkey % 11 = 0 as bridge
+ from lineitem""".replace("ORDER", ORDER).replace("KIND", pick("l_partkey % 5", ["grass", "retail", "residential", None, "industrial"])).replace("SURFACE", pick("l_suppkey % 7", ["asphalt", "sett", "", None, "gravel", "sett", "paved"]))
 
 ROADS = """select l_orderkey as way, row_number() over (partition by l_orderkey order by ORDER) - 1 as pos,
  (40000000 + (l_orderkey % 25) * 500000 + (l_orderkey * 31) % 20000 + l_linenumber * 200) / cast(1000000 as double) as lat,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralens.functions import geo, text
-from terralens.operators import rules, spatial
+from terralens.operators import records, rules, spatial
 from terralens.plans import fixtures as X
 
 METRES, CELL = 100.0, 0.002
+_U = "cast('0x' || substr(md5(concat_ws('_', '42', city, cast(attempt as string), '{k}')), 1, 8) as bigint) / 4294967296.0::double"
 C = F.col
 PAIRS = f"""l as ({X.LOCATIONS}), e as ({X.ELEMENTS}), p as (select sample_id, l.lat, l.lon, e.lat as rlat, e.lon as rlon, ord, cat, levels, kind from l join e
  on e.lat > l.lat - {METRES} / 111320.0 and e.lat < l.lat + {METRES} / 111320.0 and abs(e.lat - l.lat) < {METRES} / 111320.0 and abs(e.lon - l.lon) < {METRES} / (111320.0 * cos(radians(l.lat))))"""
@@ -60,6 +61,33 @@ def _transit(s, d):
     return _all(s, d, n).select("sample_id", F.coalesce(F.size(spatial.spread_stops(C("s"))), F.lit(0)).cast("long").alias("stops"))
 
 
+CATEGORIES = ["building", "amenity", "landuse", "park", "road", "signal", "water", "transit"]
+
+
+def _surroundings(s, d):
+    """All contexts of each sample, and its land use and junction, from one join."""
+    e = X.elements(s, d).where("cat < 7").select("ord", "lat", "lon", F.expr(X.pick("cat", CATEGORIES)).alias("category"), F.expr("case when cat = 4 then surface else kind end").alias("value"), F.expr("case when cat = 0 then levels end").alias("levels"), "roundabout", "bridge")
+    return spatial.contexts(X.locations(s, d), e, METRES, CELL)
+
+
+def _context(s, d):
+    x = _surroundings(s, d)
+    top = F.try_element_at(F.map_keys("building_types"), F.lit(1))
+    res = F.exists(F.map_keys("building_types"), lambda t: t.isin(rules.RESIDENTIAL_TYPES))
+    use = rules.land_use(C("landuse"), top, F.coalesce(res, F.lit(False)), C("amenity_types"), C("has_park"), C("buildings"), C("amenities"))
+    types = F.array_join(F.transform(F.map_entries("building_types"), lambda t: F.concat_ws(":", t["key"], t["value"].cast("string"))), ",")
+    return x.select("sample_id", "buildings", C("median_levels").cast("int").alias("median_levels"), types.alias("types"), "amenities", F.array_join("amenity_types", ",").alias("amenity_types"), "landuse", "has_park", "surface", "roads", "water_m",
+                    use.alias("land_use"), rules.junction(C("roads"), C("has_roundabout"), C("has_signal"), C("has_bridge")).alias("junction"))
+
+
+def _snapped(s, d):
+    box = F.struct(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    n = s.read.parquet(f"{d}/nation.parquet").select(C("n_nationkey"), C("n_name").alias("city"))
+    roads = X.roads(s, d)
+    cities = roads.groupBy((C("way") % 25).alias("n_nationkey")).agg(box.alias("b")).join(n, "n_nationkey").select("city", "b.*")
+    return records.snapped_points(cities, roads, 5, 4).select("sample_id", "attempt", "way", "pos")
+
+
 def _bearings(s, d):
     return spatial.road_bearings(X.roads(s, d)).select("way", "pos", F.round("bearing", 6).alias("bearing"))
 
@@ -105,7 +133,7 @@ def _parse(s, d):
                                   text.sid_from_path(F.concat(F.lit("images/sv/"), C("sample_id"), F.expr("case c_custkey % 3 when 0 then '_along_fwd' when 1 then '_cross_left' else '' end"), F.lit(".jpg"))).alias("sid"))
 
 
-QUERIES = {"context_counts": _counts, "context_median_levels": _median, "context_dominant": _dominant, "context_amenity_types": _amenity_types, "context_flags": _flags, "context_water": _water, "context_transit": _transit,
+QUERIES = {"context_counts": _counts, "context_median_levels": _median, "context_dominant": _dominant, "context_amenity_types": _amenity_types, "context_flags": _flags, "context_water": _water, "context_transit": _transit, "sample_context": _context, "snapped_points": _snapped,
            "road_bearing": _bearings, "snap_to_road": _snap, "land_use": _land_use, "junction_type": _junction, "sat_source": _source, "quadrants_headings": _quadrants, "tile_bbox": _tiles, "parse_ids": _parse}
 S = f"s as ({X.SAMPLES})"
 ORACLE = {
@@ -120,6 +148,24 @@ p as (select sample_id, l.lat, l.lon, e.lat as rlat, e.lon as rlon, ord from l j
 n as (select sample_id, list({{'lat': rlat, 'lon': rlon}} order by ord, rlat, rlon) as v from p where {HAV} <= 300 group by 1),
 k as (select sample_id, len(list_reduce(v, lambda acc, x: case when len(list_filter(acc, lambda y: abs(y.lat - x[1].lat) < 0.0002 and abs(y.lon - x[1].lon) < 0.0002)) > 0 then acc else list_concat(acc, x) end, [])) as c from (select sample_id, [[x] for x in v] as v from n))
 select l.sample_id, cast(coalesce(c, 0) as bigint) as stops from l left join k using (sample_id)""",
+    "sample_context": f"""with l as ({X.LOCATIONS}), e as ({X.ELEMENTS}), p as (select sample_id, l.lat, l.lon, e.lat as rlat, e.lon as rlon, ord, cat, levels, kind, surface, roundabout, bridge from l join e
+ on e.lat > l.lat - {METRES} / 111320.0 and e.lat < l.lat + {METRES} / 111320.0 and abs(e.lat - l.lat) < {METRES} / 111320.0 and abs(e.lon - l.lon) < {METRES} / (111320.0 * cos(radians(l.lat))) where cat < 7),
+t as (select sample_id, cat, v, count(*) as n, row_number() over (partition by sample_id, cat order by count(*) desc, min(ord)) as r from (select sample_id, cat, ord, case when cat = 4 then surface else kind end as v from p) where coalesce(v, '') <> '' group by 1, 2, 3),
+bt as (select sample_id, string_agg(concat(v, ':', cast(n as varchar)), ',' order by r) as types, max(case when r = 1 then v end) as top, bool_or(v = 'residential') as res from t where cat = 0 and r <= 5 group by 1),
+am as (select sample_id, array_to_string(list_sort(list(v))[1:10], ',') as amenity_types from t where cat = 1 group by 1), lu as (select sample_id, v as landuse from t where cat = 2 and r = 1), su as (select sample_id, v as surface from t where cat = 4 and r = 1),
+ml as (select sample_id, list_sort(list(levels)) as x from p where cat = 0 and levels is not null group by 1),
+g as (select sample_id, count(*) filter (where cat = 0) as b, count(*) filter (where cat = 1) as a, count(*) filter (where cat = 4) as roads, coalesce(bool_or(cat = 3), false) as park, coalesce(bool_or(cat = 4 and roundabout), false) as ra, coalesce(bool_or(cat = 4 and bridge), false) as br,
+ coalesce(bool_or(cat = 5), false) as sig, round(min(case when cat = 6 then {HAV} end), 1) as water_m from p group by 1),
+x as (select l.sample_id, coalesce(b, 0) as b, coalesce(a, 0) as a, coalesce(roads, 0) as roads, coalesce(park, false) as park, coalesce(ra, false) as ra, coalesce(br, false) as br, coalesce(sig, false) as sig, water_m, coalesce(types, '') as types, top, coalesce(res, false) as res, coalesce(amenity_types, '') as amenity_types, landuse, surface, ml.x[len(ml.x) // 2 + 1] as med
+ from l left join g using (sample_id) left join bt using (sample_id) left join am using (sample_id) left join lu using (sample_id) left join su using (sample_id) left join ml using (sample_id))
+select sample_id, b as buildings, med as median_levels, types, a as amenities, amenity_types, landuse, park as has_park, surface, roads, water_m,
+ case when landuse = 'grass' and b < 15 then 'open_space' when park and b < 10 then 'open_space' when landuse = 'industrial' then 'industrial' when landuse = 'retail' then 'commercial' when landuse = 'residential' then 'residential' when top = 'retail' then 'commercial' when top = 'industrial' then 'industrial' when top = 'residential' then 'residential'
+ when a >= 10 and b > 0 and a / cast(b as double) > 0.3 then case when res then 'mixed' else 'commercial' end when b > 0 then 'residential' else 'mixed' end as land_use,
+ case when roads < 2 then null when ra then 'roundabout' when sig then 'signalized' when br then 'grade_separated' else 'unsignalized' end as junction from x""",
+    "snapped_points": f"""with r as ({X.ROADS}), c as (select n_name as city, min(lat) as south, max(lat) as north, min(lon) as west, max(lon) as east from r join nation on n_nationkey = way % 25 group by 1),
+p as (select city, attempt, south + {_U.format(k='lat')} * (north - south) as lat, west + {_U.format(k='lon')} * (east - west) as lon from (select *, unnest(range(1, 21)) as attempt from c)),
+n as (select city, attempt, way, pos, row_number() over (partition by city, attempt order by (r.lat - p.lat) * (r.lat - p.lat) + (r.lon - p.lon) * (r.lon - p.lon), way, pos) as k from p join r on r.lat between p.lat - 0.002 and p.lat + 0.002 and abs(r.lat - p.lat) <= 0.002 and abs(r.lon - p.lon) <= 0.002),
+o as (select *, row_number() over (partition by city order by attempt) as i from n where k = 1) select concat_ws('_', city, lpad(cast(i as varchar), 4, '0')) as sample_id, attempt, way, pos from o where i <= 5""",
     "road_bearing": f"with r as ({X.ROADS}), b as (select way, pos, lat, lon, lead(lat) over w as nlat, lead(lon) over w as nlon, lag(lat) over w as plat, lag(lon) over w as plon from r window w as (partition by way order by pos)) select way, pos, round(coalesce({BEAR.format(a='', b='n')}, {BEAR.format(a='p', b='').replace('radians(lon - plon)', 'radians(lon - plon)')}), 6) as bearing from b where nlat is not null or plat is not null",
     "snap_to_road": f"with l as ({X.LOCATIONS}), r as ({X.ROADS}), p as (select sample_id, way, pos, (r.lat - l.lat) * (r.lat - l.lat) + (r.lon - l.lon) * (r.lon - l.lon) as d from l join r on r.lat >= l.lat - 0.0021 and r.lat <= l.lat + 0.0021 and abs(r.lat - l.lat) <= 0.002 and abs(r.lon - l.lon) <= 0.002) select sample_id, way, pos, round(d * 1e9, 3) as d from (select *, row_number() over (partition by sample_id order by d, way, pos) as k from p) where k = 1",
     "land_use": f"""with {S}, x as (select *, coalesce(building_count, 0) as b, coalesce(has_park, false) as park, c_custkey % 5 = 2 as res, c_custkey % 6 = 0 as lively from s)

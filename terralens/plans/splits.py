@@ -43,7 +43,8 @@ def _train(s, d):
 def split_pipeline(s, d):
     """Flatten, filter, rename, one per location, split per city, and count."""
     q = flatten.one_per_location(flatten.rename_mismatch(_flat(s, d)))
-    loc = q.select("sample_id", "city").distinct().persist()  # read by each step of the split
+    # every question has its location, so locations come from two columns of the source
+    loc = X.questions(s, d).select("sample_id", "city").distinct()
     return q.join(split.split_per_city(loc).select("sample_id", "split"), "sample_id").groupBy("city", "split").agg(F.count("*").alias("n_questions"), F.countDistinct("sample_id").alias("n_locations"))
 
 
@@ -73,7 +74,7 @@ QUERIES = {
     "per_city_split": lambda s, d: split.split_per_city(X.locations(s, d)).select("sample_id", "city", "split"),
     "seen_unseen_split": lambda s, d: split.split_seen_unseen(X.locations(s, d), X.unseen(s, d)).select("sample_id", "city", "split", "city_type"),
     "allocation_table": lambda s, d: split.allocation(_renamed(s, d), TARGET),
-    "stratified_downsample": lambda s, d: split.downsample(_renamed(s, d).persist(), TARGET).select(*COLS, "land_use"),
+    "stratified_downsample": lambda s, d: split.downsample(_renamed(s, d), TARGET).select(*COLS, "land_use"),
     "leak_filter": lambda s, d: split.drop_leaks(_train(s, d), X.unseen(s, d)).select("question_id", "topic", "distractor_city"),
     "leak_audit": lambda s, d: split.leak_audit(_train(s, d), X.unseen(s, d)),
     "split_overlap": _overlap,

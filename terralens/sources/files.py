@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,31 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType, key: st
     return rows.where(good).drop(_BAD), rows.agg(F.count_if(~good).alias("skipped"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 1, by file), file and value of each line. Lines are numbered in the order of their places: blocks of a file are counted, and a block's number of lines before it is added."""
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    inner = rows.withColumn("i", F.row_number().over(Window.partitionBy("file", "block").orderBy("k")))
+    n = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = n.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    return inner.join(before, ["file", "block"]).select((F.col("i") + F.col("before")).alias("line_no"), "file", "value")
+
+
+def jsonl_numbered(spark: SparkSession, path: str, schema: T.StructType, key: str = "sample_id") -> DataFrame:
+    """Records, one a line; malformed lines are skipped, and a record without a key gets ``unknown_`` and its line's number."""
+    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select("line_no", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r")).select("line_no", "r.*").where(F.col(_BAD).isNull())
+    return rows.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("unknown_"), F.col("line_no").cast("string")))).drop(_BAD, "line_no")
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records, one a line; a malformed line stops the read with its file and number."""
+    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select("line_no", "file", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
+    stop = F.raise_error(F.concat(F.col("file"), F.lit(" line "), F.col("line_no").cast("string"), F.lit(" isn't a record")))
+    checked = rows.withColumn("r", F.when(F.col(f"r.{_BAD}").isNotNull(), stop.cast(full)).otherwise(F.col("r")))
+    return checked.select("r.*").drop(_BAD)
+
+
 def jsonl_dropping(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
