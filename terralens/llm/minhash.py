@@ -7,13 +7,15 @@ candidates, and candidate clusters are confirmed on full shingle sets.
 
 Shape of the job:
 1. One pass over the texts gives each document's set size, a 128-bit fingerprint of its set and its bands.
-2. Documents with equal sets form a class; its smallest id represents it from here on. Copies never meet in a bucket.
-3. Buckets link their members to the bucket's smallest id (a combined minimum, no pairs); components of
+2. Documents with equal sets form a class, a vertex from here on. Copies never meet in a bucket.
+3. Buckets link their members to the bucket's smallest vertex, its hub (a combined minimum, no pairs); components of
    these links are candidate clusters.
-4. Sets of clustered representatives are rebuilt from their texts. A cluster of up to ``BLOCK`` members is
-   compared in one task; a larger one is cut into blocks, and each pair of blocks is a task of its own.
-   Each task returns a spanning forest of the confirmed links, not the pairs.
-5. Components of confirmed links, then members by class.
+4. Sets of clustered classes are rebuilt from the text of their smallest id and stored.
+5. A cluster of up to ``BLOCK`` members is compared in one task. In a larger one each member is first compared with its hubs, parts of the members
+   and their hub in a task: work in proportion to the cluster, which joins nearly all of a group of near copies. What is left are pairs of
+   members of different confirmed components. Members are dealt into blocks, those of a large component into blocks of its own; each pair of blocks is a task, but
+   for pairs of blocks of one component. Each task returns a spanning forest of the confirmed links, not the pairs.
+6. Components of confirmed links, then members by class.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.llm import textkernel as K
@@ -35,6 +37,8 @@ PERMUTATIONS = 32
 #: 64 values in 16 bands of 4: two sets of similarity 0.85 share no band with probability 7e-6.
 BAND_ROWS = 4
 BLOCK = 128
+#: A hub's members are compared with it in up to so many tasks.
+HUB_PARTS = 1024
 _rng = np.random.RandomState(1318)
 _A = ((_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)) | U64(1)
 _B = (_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)
@@ -99,12 +103,10 @@ def _signatures(size: int, band_rows: int):
                 sets, at = shingle_sets(data, off, size)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                f1, f2 = np.zeros(j - i, U64), np.zeros(j - i, U64)
+                f1, f2 = _fingerprints(sets, at)
                 lists = [[] for _ in range(j - i)]
                 if len(some):
                     cut = np.concatenate([at[:-1][some], at[-1:]])
-                    f1[some] = np.add.reduceat(sets, cut[:-1])
-                    f2[some] = np.add.reduceat(K.mix(sets ^ U64(0x5851F42D4C957F2D)), cut[:-1])
                     bands = min_max_bands(sets, cut, band_rows).view(np.int64)
                     width = np.zeros(j - i, np.int32)
                     width[some] = bands.shape[1]
@@ -117,13 +119,23 @@ def _signatures(size: int, band_rows: int):
     return run
 
 
+def _fingerprints(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that tell sets apart; 0 for an empty one."""
+    total = lambda v: (lambda c: c[at[1:]] - c[at[:-1]])(np.concatenate([np.zeros(1, U64), np.cumsum(v, dtype=U64)]))
+    return total(sets), total(K.mix(sets ^ U64(0x5851F42D4C957F2D)))
+
+
 def _sets_of(size: int):
+    """(text, v, n_shingles, f1, f2) to (v, shingles) of the texts that have that set: other texts of a repeated id go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in K.text_slices(b.column(1)):
+            want = [b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)]
+            for i, j, data, off in K.text_slices(b.column(0)):
                 sets, at = shingle_sets(data, off, size)
+                have = (np.diff(at), *(x.view(np.int64) for x in _fingerprints(sets, at)))
+                keep = np.logical_and.reduce([w[i:j] == h for w, h in zip(want, have, strict=True)])
                 blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(sets)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), blob, *(b.column(k).slice(i, j - i) for k in range(2, b.num_columns))], names=["doc_id", "shingles", *b.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), blob], names=["v", "shingles"]).filter(pa.array(keep))
     return run
 
 
@@ -197,39 +209,96 @@ def _confirm(percent: int):
     return run
 
 
+def _confirm_hubs(percent: int):
+    """Rows (hub, part, is_member, v, shingles) sorted; gives the links of each part's members to their hub, whose row comes first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hub = None, np.zeros(0, U64)
+        for b in batches:
+            data, off = K.buffers(b.column(4))
+            found = []
+            for r, (h, p, member, v) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
+                own = np.frombuffer(data[off[r] : off[r + 1]].tobytes(), U64)
+                if not member:
+                    key, hub = (h, p), own
+                elif key == (h, p):
+                    at = np.searchsorted(hub, own)
+                    inter = int(np.count_nonzero(hub[np.minimum(at, len(hub) - 1)] == own))
+                    if 100 * inter >= percent * (len(hub) + len(own) - inter):
+                        found.append((h, v))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _hub_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of members (b) to their hubs (a). A hub's members are dealt into ``HUB_PARTS`` parts, and its set is repeated for those that have any."""
+    members = stars.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int").alias("part"), F.col("b").alias("v"), F.lit(1).alias("is_member"))
+    hubs = members.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("v"), F.lit(0).alias("is_member"))
+    rows = members.unionByName(hubs).join(sets.hint("merge"), "v").select("hub", "part", "is_member", "v", "shingles")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "is_member").mapInArrow(_confirm_hubs(percent), "a long, b long")
+
+
+def _pair_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within clusters. placed: v, cluster, block, others (blocks to compare with, its own among them if it is to be compared within)."""
+    tasks = (placed.select("v", "cluster", "block", F.explode("others").alias("other"))
+             .select("v", "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")))
+    rows = tasks.join(sets.hint("merge"), "v").select("cluster", "x", "y", "side", "v", "shingles")
+    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "v").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _blocks_left(big: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """Members of large clusters (v, cluster) with the blocks that they must still be compared with; clusters that are one confirmed component (v, component) have none."""
+    rows = big.join(joined.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n")).withColumn("pure", F.col("n") >= block)
+    c = Window.partitionBy("cluster")
+    # mixed blocks come first, then each large component's own
+    mixed = F.ceil(F.coalesce(F.sum(F.when(~F.col("pure"), F.col("n"))).over(c), F.lit(0)) / block).cast("int")
+    own = F.when(F.col("pure"), F.ceil(F.col("n") / block)).otherwise(0).cast("int")
+    numbered = (sizes.select("cluster", "component", "pure", F.count("*").over(c).alias("components"), mixed.alias("mixed"), own.alias("own"))
+                .select("*", (F.col("mixed") + F.sum("own").over(c.orderBy("component")) - F.col("own")).cast("int").alias("start"), (F.col("mixed") + F.sum("own").over(c)).cast("int").alias("all")).where("components > 1"))
+    at = rows.join(numbered, ["cluster", "component"])
+    place = F.when(F.col("pure"), F.col("start") + F.pmod(F.xxhash64("v"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("v"), F.greatest("mixed", F.lit(1)))).cast("int")
+    every = F.sequence(F.lit(0), F.col("all") - 1)
+    inside = lambda k: F.col("pure") & (k >= F.col("start")) & (k < F.col("start") + F.col("own"))
+    return at.select("v", "cluster", place.alias("block"), F.filter(every, lambda k: ~inside(k)).alias("others"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = 85, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     docs has doc_id and text; other columns are ignored. Null, empty and blank texts have no shingles and
-    are linked with nothing. An empty table gives an empty result. A repeated doc_id stays repeated; its rows are linked as any equal texts.
+    are linked with nothing. An empty table gives an empty result. A repeated doc_id stays repeated: its rows are linked by their texts, as any others are. Rows
+    without an id have no component_id unless an equal set has one, and link no others.
     ``percent``: links need 100 * intersection >= percent * union; 80 or more suits the banding.
     """
     docs = docs.select("doc_id", "text")
     signed = save(docs.mapInArrow(_signatures(size, band_rows), _SIGNED), "signed")
     same = signed.where("n_shingles > 0")
     classes = same.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands")).alias("first"))
-    classes = save(classes.select("n_shingles", "f1", "f2", "rep", F.col("first.bands").alias("bands")), "classes")
+    classes = save(classes.select("n_shingles", "f1", "f2", "rep", F.col("first.bands").alias("bands"), F.monotonically_increasing_id().alias("v")), "classes")
 
-    member = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = member.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    stars = member.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    member = classes.where("rep is not null").select("v", F.explode("bands").alias("band"))
+    hubs = member.groupBy("band").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    stars = save(member.join(hubs, "band").where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), "stars")
     clusters = connected_components(stars)
 
     sized = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    placed = (clusters.join(sized, "component")
-              .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-              .select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "blocks",
-                      F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    # the text of a representative; a repeated doc_id may bring several, of which one has the class's set
-    texts = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(size), "doc_id long, shingles binary, cluster long, blocks int, block int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))).alias("other")
-    tasks = (texts.select("cluster", "block", "doc_id", "shingles", other)
-             .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                     (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles"))
-    links = (tasks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
-             .mapInArrow(_confirm(percent), "a long, b long"))
-    joined = connected_components(links).select(F.col("id").alias("rep"), "component")
-    final = classes.select("n_shingles", "f1", "f2", "rep").join(joined, "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    placed = save(clusters.join(sized, "component").select(F.col("id").alias("v"), F.col("component").alias("cluster"), (F.col("m") > block).alias("large")), "placed")
+    wanted = placed.select("v").join(classes.select("v", "rep", "n_shingles", "f1", "f2"), "v").withColumnRenamed("rep", "doc_id")
+    found = docs.join(wanted.hint("merge"), "doc_id").select("text", "v", "n_shingles", "f1", "f2").mapInArrow(_sets_of(size), "v long, shingles binary")
+    # rows that repeat id and text bring a set twice
+    sets = save(found.groupBy("v").agg(F.first("shingles").alias("shingles")), "sets")
+    links = _pair_links(placed.where("not large").select("v", "cluster", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others")), sets, percent)
+    big = placed.where("large").select("v", "cluster")
+    if not big.isEmpty():
+        near_hub = save(_hub_links(stars.join(big.select(F.col("v").alias("a")), "a", "left_semi"), sets, percent), "near_hub")
+        left = _blocks_left(big, connected_components(near_hub), block)
+        links = links.unionByName(near_hub).unionByName(_pair_links(left, sets, percent))
+    joined = connected_components(links).select(F.col("id").alias("v"), "component")
+    # the smallest id of each component
+    grouped = classes.select("v", "rep", "n_shingles", "f1", "f2").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = grouped.join(least, "component").select("n_shingles", "f1", "f2", "component_id")
     return (signed.select("doc_id", "n_shingles", "f1", "f2").join(final, ["n_shingles", "f1", "f2"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))

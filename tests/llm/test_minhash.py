@@ -92,3 +92,51 @@ def test_min_max_values_estimate_similarity():
 def test_columns_of_other_names_are_ignored(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 3)], "doc_id long, text string, band string, rep long")
     assert minhash.near_duplicates(docs).where(F.col("kept")).count() == 1
+
+
+def test_large_clusters_of_several_components(spark):
+    """Near copies of two texts that share bands but no links, strays that only link to one another, and chains: hubs and blocks lose none of the links."""
+    rng = np.random.RandomState(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base = [word() for _ in range(120)]
+    other = base[:70] + [word() for _ in range(50)]
+    rows = []
+    for d in range(90):
+        w = list(base if d % 3 else other)
+        for _ in range(d % 4):
+            w[rng.randint(120)] = word()
+        rows.append((d, " ".join(w)))
+    chain = list(base)
+    for d in range(100, 130):
+        chain[(d * 4) % 120] = word()
+        rows.append((d, " ".join(chain)))
+    rows += [(200 + d, rows[d][1]) for d in range(0, 90, 9)] + [(5, rows[7][1]), (5, "nothing like it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    unique = {}
+    for k, (d, t) in enumerate(rows):
+        unique[k] = (d, t)
+    by_row = brute([(k, t) for k, (_, t) in unique.items()], 85)
+    least = {}
+    for k, (_, root) in by_row.items():
+        least[root] = min(least.get(root, 10**9), rows[k][0])
+    want = sorted((rows[k][0], n, least[root]) for k, (n, root) in by_row.items())
+    for block in (4, 16, 500):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, block=block, band_rows=1).collect())
+        assert got == want, block
+    assert len({c for _, _, c in want}) > 3
+
+
+def test_blocks_left_pair_all_but_one_component(spark):
+    """Every pair of members of different components of a cluster meets in a task; a cluster of one component has no tasks."""
+    rows = [(v, 1, v // 25 if v < 75 else v) for v in range(90)] + [(v, 2, 500) for v in range(500, 530)]
+    big = spark.createDataFrame([(v, c) for v, c, _ in rows], "v long, cluster long")
+    joined = spark.createDataFrame([(v, k * 25 if k < 3 else k) for v, _, k in rows], "id long, component long")
+    got = minhash._blocks_left(big, joined, 10).collect()
+    assert {r.cluster for r in got} == {1} and {r.v for r in got} == set(range(90))
+    place, others = {r.v: r.block for r in got}, {r.v: set(r.others) for r in got}
+    kind = {v: (k * 25 if k < 3 else k) for v, _, k in rows}
+    for a in range(90):
+        for b in range(90):
+            if kind[a] != kind[b]:
+                assert place[b] in others[a] and place[a] in others[b]
+    assert all(place[v] not in others[v] for v in range(75))
