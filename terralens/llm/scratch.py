@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Saves what ``make`` gives, and deletes the tables that were saved on the way to it: nothing reads them any more."""
+    before = len(_made)
+    out = save(make(), name)
+    clean(spark, _made[before:-1])
+    return out
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that were saved within it. Results that read them must have been written elsewhere by then."""

@@ -55,6 +55,7 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), SF)
         assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
 
 def test_rows_without_id_and_odd_columns(spark):

@@ -31,3 +31,15 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
 def test_addresses_are_whole(spark):
     assert scratch.shared_dir(spark).startswith("file:/")
+
+
+def test_tables_on_the_way_go(spark):
+    seen = []
+
+    def make():
+        seen.append(scratch.save(spark.range(4), "inner"))
+        return seen[0].where("id > 1")
+    out = scratch.save_alone(spark, make, "outer")
+    assert out.count() == 2 and os.path.exists(re.sub("^file:/+", "/", out.inputFiles()[0]))
+    with pytest.raises(Exception):
+        seen[0].count()
