@@ -6,11 +6,13 @@ All but the last return the columns of ``documents``; the last one the encoded d
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terralens.llm import bpe, decontam, minhash, pii, quality
 from terralens.llm.queries import table
-from terralens.llm.scratch import save
+from terralens.llm.scratch import save_alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is kept until the next has read it; what a stage saved on its own way is deleted when its table is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, name)
+        docs = save_alone(spark, partial(stage, spark, docs, sf_dir), name) if k < len(STAGES) - 1 else stage(spark, docs, sf_dir)
     return docs
