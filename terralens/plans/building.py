@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terralens.operators import assemble as A
-from terralens.operators import flatten, phrases, select, split
+from terralens.operators import flatten, phrases, reports, select, split
 from terralens.operators import merge as M
 from terralens.operators import packaged as P
 from terralens.operators import quality as Y
@@ -153,7 +153,21 @@ _OK = "case when x % 11 = 0 then false when x % 7 = 0 then true else x % 13 <> 0
 _FILE = lambda n: _OK.replace("x %", f"((c_custkey + {n}) % 60) %")
 _REC_NUM = "case when c_custkey % 13 = 0 or median_levels is null or median_levels < 2 then null else median_levels - 2 end"
 
+def _split_tagged(s, d):
+    q = X.questions(s, d)
+    return q.join(split.split_per_city(q.select("sample_id", "city").distinct()).select("sample_id", "split"), "sample_id")
+
+
+def _scored_topics(s, d):
+    n = X.questions(s, d).groupBy("topic").agg(F.count("*").alias("n"), F.count_if(C("value") > 20).alias("correct"))
+    return n.withColumn("accuracy", C("correct") / C("n")).withColumn("delta", C("accuracy") - 0.6)
+
+
 QUERIES = {
+    "sample_frame": lambda s, d: reports.sample_frame(_records(s, d)).withColumn("topics_in_sample", F.array_join("topics_in_sample", ",")),
+    "question_frame": lambda s, d: reports.question_frame(_records(s, d)),
+    "split_report": lambda s, d: reports.split_report(_split_tagged(s, d)),
+    "accuracy_lines": lambda s, d: reports.accuracy_lines(_scored_topics(s, d)),
     "question_text": lambda s, d: phrases.phrased(Q.choice_questions(X.samples(s, d), TOPICS)).select("sample_id", "topic", "question"),
     "build_record": _record_fields,
     "promote_record": _promoted,
@@ -195,7 +209,18 @@ _LABEL = "case land_use when 'residential' then 'Residential' when 'commercial'
 _COUNT = "cast((land_use in ('residential', 'commercial', 'retail', 'industrial', 'mixed', 'institutional', 'open_space', 'transport')) is true as int) + cast((road_type in ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'residential')) is true as int) + cast((has_park or (not has_park and coalesce(building_count, 0) > 20)) is true as int)"
 _UNION = lambda rows: " union all ".join(rows)
 REC = f"{S}, k as (select *, c_custkey % 9 <> 0 as sat, c_custkey % 5 as nv, {_COUNT} as asked, {_LABEL} as label from s)"
+_SPLIT_Q = f"q as ({X.QUESTIONS}), l as (select distinct sample_id, city from q), {SPLIT[SPLIT.index('b as (select sample_id'):]}, t as (select q.*, split, list_position(['train', 'validation', 'benchmark'], split) - 1 as p from q join s using (sample_id))"
+_DIMS = _UNION(f"select p, {k} as d, '{c}' as c, {c} as v from t" for k, c in enumerate(("topic", "difficulty", "land_use", "answer")))
 ORACLE = {
+    "sample_frame": f"""with {REC}, a as ({_ASKED}), g as (select sample_id, string_agg(topic, ',' order by list_position(['land_use', 'road_type', 'green_space'], topic)) as topics from a group by 1)
+select k.sample_id, city, (select any_value(country) from ({X.LOCATIONS}) l where l.city = k.city) as country, nv as sv_count, cast(asked as int) as question_count, coalesce(land_use, 'unknown') as land_use_category, building_count as osm_building_count, amenity_count as osm_amenity_count, {_REC_NUM} as osm_median_building_levels, water_m as osm_water_distance_m,
+ transit_stops as osm_transit_stop_count, coalesce(has_park, false) as osm_has_park, coalesce(road_type, 'unknown') as road_type, coalesce(surface, 'unknown') as osm_road_surface, coalesce(junction, 'unknown') as osm_junction_type, 'unknown' as osm_dominant_landuse_raw, coalesce(topics, '') as topics_in_sample from k left join g using (sample_id)""",
+    "question_frame": f"with {S}, a as ({_ASKED.replace('topic, answer from', 'topic, answer, difficulty from')}) select sample_id, city, topic, difficulty, answer, 4 as n_options from a join s using (sample_id)",
+    "split_report": f"""with {_SPLIT_Q}, x as ({_DIMS}), n as (select p, d, c, v, count(*) as n from x group by all), r as (select *, row_number() over (partition by p, d order by case when d = 1 then case v when 'easy' then 1 when 'medium' then 2 else 3 end end, v) as r, sum(n) over (partition by p, d) as tot from n)
+select cast(p * 100000 + (d + 1) * 10000 + r as int) as ord, concat('  ', c, ' ', v, ': ', n, ' (', printf('%.1f', n * 100.0::double / tot), '%)') as line from r union all select p * 100000, concat('[', upper(any_value(split)), ']') from t group by p union all select p * 100000 + 1, concat('  Total questions: ', count(*)) from t group by p
+ union all select p * 100000 + 2, concat('  Total locations: ', count(distinct sample_id)) from t group by p union all select p * 100000 + 3, concat('  Cities: ', count(distinct city), ' (', array_to_string(list_sort(list(distinct city)), ', '), ')') from t group by p""",
+    "accuracy_lines": f"""with q as ({X.QUESTIONS}), n as (select topic, count(*) as n, count(*) filter (where value > 20) as k from q group by 1), a as (select *, k / cast(n as double) as acc, k / cast(n as double) - 0.6 as dl, row_number() over (order by topic) + 1 as r from n)
+select cast(r as int) as ord, concat('| ', topic, ' | ', printf('%.1f', acc * 100), '% | ', k, '/', n, ' | ', case when dl >= 0 then '+' else '' end, printf('%.1f', dl * 100), '% |') as line from a union all select 0, '| Topic | Accuracy | Correct/Total | vs Base |' union all select 1, '|-------|----------|---------------|---------|'""",
     "question_text": f"with a as ({_ASKED}) select sample_id, topic, ({_PHRASES})[cast('0x' || substr(md5({_QT}), 1, 8) as bigint) % 10 + 1] as question from a",
     "build_record": f"""with {REC}, a as ({_ASKED}), g as (select sample_id, string_agg(concat(topic, ':', answer), ',' order by list_position(['land_use', 'road_type', 'green_space'], topic)) as topics from a group by 1)
 select k.sample_id, case when sat and nv > 0 then 'sat+sv' when sat then 'sat_only' else 'sv_only' end as modality, city, '' as hood, concat('images/sat/', k.sample_id, '.png') as satellite, concat('images/sv/', k.sample_id, '_cross_left.jpg') as left_view, cast(null as varchar) as marked, label,
