@@ -71,24 +71,26 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Block:
-    """A part of a benchmark: distinct terms, the words of its pieces as places in them, and the windows as (first word, size, piece)."""
+    """A part of a benchmark: distinct terms, the words of its pieces as places in them, and each piece's number of words and item. Windows are derived where it is used."""
 
     terms: np.ndarray
     words: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-    owner: np.ndarray
-    names: list[str]
+    length: np.ndarray
+    names: list[str | None]
+    window: int
 
     @classmethod
-    def of(cls, names: list[str], pieces: list[bytes], window: int) -> Block:
-        size = np.array([len(p) // 8 for p in pieces], np.int64)
+    def of(cls, names: list[str | None], pieces: list[bytes], window: int) -> Block:
         terms, words = np.unique(np.frombuffer(b"".join(pieces), U64), return_inverse=True)
-        n = np.where(size >= window, size - window + 1, np.minimum(size, 1))
-        owner = np.repeat(np.arange(len(pieces)), n)
-        first = np.cumsum(size) - size
-        starts = first[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return cls(terms, words.astype(np.uint32), starts, np.minimum(size, window)[owner], owner, names)
+        return cls(terms, words.astype(np.uint32), np.array([len(p) // 8 for p in pieces], np.int64), names, window)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, size and piece of each window."""
+        n = np.where(self.length >= self.window, self.length - self.window + 1, np.minimum(self.length, 1))
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        skip = (np.cumsum(self.length) - self.length) - (np.cumsum(n) - n)
+        starts = np.arange(len(owner), dtype=np.int32) + skip.astype(np.int32)[owner]
+        return starts, np.minimum(self.length, self.window).astype(np.int32)[owner], owner
 
 
 @dataclass
@@ -112,8 +114,9 @@ class Segment:
         self.positions = _unpack(self.positions)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.lists = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
-        # (term place, position) of all postings: ascending, as terms and each list are
-        self.keys = (np.repeat(np.arange(len(self.terms), dtype=np.int64), self.counts) << 32) | self.positions.astype(np.int64)
+        # all lists by position: a list has a position if its term is the one there
+        self.term_at = np.empty(len(self.positions), np.int32)
+        self.term_at[self.positions] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
 
     def place(self, terms: np.ndarray) -> np.ndarray:
         """Place of each term in the segment; -1 where it is absent."""
@@ -126,16 +129,14 @@ class Segment:
         return self.positions[self.lists[term] : self.lists[term + 1]].astype(np.int64)
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        key = (term << 32) | position
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[at] == key
+        """Whether each term's list has the position."""
+        return self.term_at[position] == term
 
-    def phrases(self, terms: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) of all occurrences within documents. place: phrases x longest, into ``terms``; entries from ``length`` on are ignored."""
+    def phrases(self, local: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of all occurrences within documents. place: phrases x longest, into ``local``, which has the segment's places of terms; entries from ``length`` on are ignored."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.positions) or not len(length):
             return none
-        local = self.place(terms)
         size = np.where(local >= 0, self.counts[local], 0)
         inside = np.arange(place.shape[1]) < length[:, None]
         n = np.where(inside, size[place], np.iinfo(np.int64).max)
@@ -168,17 +169,18 @@ class Segment:
             phrase, start = phrase[keep], start[keep]
         return some[phrase], start
 
-    def windows(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, block: Block, windows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, start, words) of all occurrences of the windows of ``block``. Windows with a word that the segment lacks are left before any list is read."""
-        have = self.place(block.terms) >= 0
-        lacking = np.concatenate([[0], np.cumsum(~have[block.words])])
-        good = np.flatnonzero(lacking[block.starts + block.sizes] == lacking[block.starts])
+        starts, sizes, owner = windows
+        local = self.place(block.terms)
+        lacking = np.concatenate([np.zeros(1, np.int32), np.cumsum((local < 0)[block.words], dtype=np.int32)])
+        good = np.flatnonzero(lacking[starts + sizes] == lacking[starts])
         out = [(np.zeros(0, np.int64),) * 3]
         for k in range(0, len(good), _WINDOWS):
             w = good[k : k + _WINDOWS]
-            at = np.minimum(block.starts[w][:, None] + np.arange(block.sizes[w].max()), len(block.words) - 1)
-            phrase, start = self.phrases(block.terms, block.words[at], block.sizes[w])
-            out.append((block.owner[w][phrase], start, block.sizes[w][phrase]))
+            at = np.minimum(starts[w][:, None] + np.arange(sizes[w].max()), len(block.words) - 1)
+            phrase, start = self.phrases(local, block.words[at], sizes[w])
+            out.append((owner[w][phrase], start, sizes[w][phrase]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def proximity(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +217,7 @@ def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _segments(batches):
             terms, place = np.unique(h, return_inverse=True)
-            _, at = s.phrases(terms, place[None, :], np.array([len(h)])) if len(h) else (None, np.zeros(0, np.int64))
+            _, at = s.phrases(s.place(terms), place[None, :], np.array([len(h)])) if len(h) else (None, np.zeros(0, np.int64))
             doc = np.searchsorted(s.starts, at, "right") - 1
             yield pa.RecordBatch.from_arrays([s.ids(doc), pa.array(at - s.starts[doc])], names=["doc_id", "start"])
     return index.mapInArrow(run, "doc_id long, start long")
@@ -253,8 +255,9 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         names = [x or "" for x in block.names]
+        windows = block.windows()
         for s in _segments(batches):
-            piece, start, length = s.windows(block)
+            piece, start, length = s.windows(block, windows)
             edge = np.zeros(int(s.starts[-1]) + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length, -1)

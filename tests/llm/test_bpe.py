@@ -69,3 +69,19 @@ def test_forgetting_changes_nothing(monkeypatch):
     for text in ("one two three four five", "six seven", "one nine ten eleven"):
         (_, ids), = c.encode([text])
         assert np.array_equal(ids, LIB.encode_ordinary(text))
+
+
+@pytest.mark.parametrize("n", [511, 512, 513, 1023, 1024, 1025])
+def test_where_single_merges_end_and_rounds_begin(n, monkeypatch):
+    """Both ways of merging give the library's ids on either side of the length at which they change."""
+    for letters in ("ab", "aeinrst", "étà"):
+        text = "".join(np.random.RandomState(n).choice(list(letters), n))
+        while len(text.encode()) > n:
+            text = text[:-1]
+        want = LIB._encode_single_piece(text)
+        assert CODEC.encode_pieces([text])[0].tolist() == want
+        monkeypatch.setattr(bpe, "LONG", 1 << 20)
+        assert CODEC.encode_pieces([text])[0].tolist() == want
+        monkeypatch.setattr(bpe, "LONG", 1)
+        assert CODEC.encode_pieces([text])[0].tolist() == want
+        monkeypatch.undo()

@@ -116,7 +116,7 @@ def test_many_places_are_intersected_in_parts(monkeypatch):
     text = " ".join(f"w{k}" for k in rng.randint(0, 4, 3000))
     seg = next(decontam._segments(decontam._build(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[:500]])], names=["doc_id", "text"])]))))
     block = decontam.Block.of(["i", "j"], [decontam.term_hashes(text[100:900]).tobytes(), decontam.term_hashes("w1 w2").tobytes()], 5)
-    whole = sorted(zip(*(x.tolist() for x in seg.windows(block)), strict=True))
+    whole = sorted(zip(*(x.tolist() for x in seg.windows(block, block.windows())), strict=True))
     monkeypatch.setattr(decontam, "_WINDOWS", 7)
     monkeypatch.setattr(decontam, "_PLACES", 50)
-    assert whole == sorted(zip(*(x.tolist() for x in seg.windows(block)), strict=True)) and len(whole) > 1000
+    assert whole == sorted(zip(*(x.tolist() for x in seg.windows(block, block.windows())), strict=True)) and len(whole) > 1000
