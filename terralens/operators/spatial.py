@@ -46,12 +46,6 @@ def context_pairs(samples: DataFrame, elements: DataFrame, metres: float, cell:
     return pairs.where((F.abs(c("rlat") - c("lat")) < geo.lat_degrees(metres)) & (F.abs(c("rlon") - c("lon")) < geo.lon_degrees(metres, c("lat"))))
 
 
-def upper_median(x: Column) -> Column:
-    """Element n//2 of the sorted values; nulls don't count."""
-    v = F.sort_array(F.collect_list(x))
-    return F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
-
-
 def first_mode(df: DataFrame, group: str, value: str, order: str, name: str) -> DataFrame:
     """Most frequent value of each group; of equals the one seen first."""
     n = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("o"))
@@ -66,7 +60,7 @@ def value_at(pairs: Column, position: Column) -> Column:
 
 
 def upper_median_of_counts(pairs: Column) -> Column:
-    """``upper_median`` from (v, n) pairs, which are as many as there are different values."""
+    """Element n//2 of the sorted values, given as (v, n) pairs: as many as there are different values."""
     total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     return value_at(F.array_sort(pairs), F.floor(total / 2))
 

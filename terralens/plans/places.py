@@ -31,7 +31,8 @@ def _counts(s, d):
 
 
 def _median(s, d):
-    n = _pairs(s, d).where("cat = 0").groupBy("sample_id").agg(spatial.upper_median(C("levels")).alias("median_levels"))
+    n = _pairs(s, d).where("cat = 0 and levels is not null").groupBy("sample_id", C("levels").alias("v")).agg(F.count("*").alias("n"))
+    n = n.groupBy("sample_id").agg(spatial.upper_median_of_counts(F.collect_list(F.struct("v", "n"))).cast("int").alias("median_levels"))
     return _all(s, d, n)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terralens.operators.records import census, geocode
+
 ATTEMPTS = 3
 #: Seconds to wait before the next attempt, times its number, by status.
 BACKOFF = {429: 30.0, 504: 60.0}
@@ -124,3 +126,16 @@ def median_composite(scenes: DataFrame, most_cloud: float = 20.0, scale: float =
     """Median over time of each pixel and band (tile, pixel, band, value, cloud), of scenes with less cloud than ``most_cloud`` percent, scaled."""
     clear = scenes.where(F.col("cloud") < most_cloud)
     return clear.groupBy("tile", "pixel", "band").agg((F.percentile("value", F.lit(0.5)) * scale).alias("value"), F.count("*").alias("scenes"))
+
+
+def addresses(answers: DataFrame) -> DataFrame:
+    """key, full address, and the place by the first of suburb, district and county that isn't empty."""
+    a = json_body(F.col("body"), ADDRESS)
+    part = lambda k: a["address"][k]
+    return answers.select("key", a["display_name"].alias("address"), geocode(part("suburb"), part("city_district"), part("county")).alias("suburb"), F.coalesce(part("country"), F.lit("")).alias("country"))
+
+
+def census_blocks(answers: DataFrame) -> DataFrame:
+    """key and the state, county and tract of a block's code; null without one."""
+    code = json_body(F.col("body"), BLOCK)["Block"]["FIPS"]
+    return answers.select("key", F.when(F.char_length(code) >= 11, census(code, F.lit(None).cast("int"))).alias("census")).select("key", "census.state", "census.county", "census.tract")

@@ -157,3 +157,10 @@ def test_pictures(spark):
 def test_lower_and_upper_places(spark):
     df = spark.createDataFrame([([(3, 1), (1, 2)],), ([],)], "p array<struct<v:int,n:bigint>>")
     assert [r.m for r in df.select(spatial.upper_median_of_counts(F.col("p")).alias("m")).collect()] == [1.0, None]
+
+
+def test_places_and_blocks(spark):
+    rows = [("a", b'{"display_name": "x", "address": {"suburb": "", "city_district": "D", "country": "C"}}'), ("b", b'{"Block": {"FIPS": "360610076001234"}}'), ("c", b"{}")]
+    df = spark.createDataFrame(rows, "key string, body binary")
+    assert {r.key: tuple(r)[1:] for r in web.addresses(df).collect()} == {"a": ("x", "D", "C"), "b": (None, "", ""), "c": (None, "", "")}
+    assert {r.key: tuple(r)[1:] for r in web.census_blocks(df).collect()} == {"a": (None, None, None), "b": ("36", "061", "007600"), "c": (None, None, None)}
