@@ -19,17 +19,22 @@ def operators(spark):
             "op8": lambda d: langid.predict(d, lang), "op10": pii.report}
 
 
+def plain(r):
+    """A row as text; sums over a batch of texts may differ in the last digits from those over one."""
+    return repr([round(v, 9) if isinstance(v, float) else v for v in r])
+
+
 @pytest.mark.parametrize("name", ["op4", "op5", "op6", "op7", "op8", "op10"])
 def test_each_row_by_itself(spark, operators, name):
     op = operators[name]
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    got = sorted(map(repr, op(docs).collect()))
-    alone = sorted(repr(r) for d, t in ROWS for r in op(spark.createDataFrame([(d, t)], "doc_id long, text string")).collect())
+    got = sorted(map(plain, op(docs).collect()))
+    alone = sorted(plain(r) for d, t in ROWS for r in op(spark.createDataFrame([(d, t)], "doc_id long, text string")).collect())
     assert got == alone and len(got) == len(ROWS)
     clash = docs
     for c in op(docs).columns:
         if c not in ("doc_id", "text"):
             clash = clash.withColumn(c, F.lit("other"))
     clash = clash.withColumns({"label": F.lit(1), "lang": F.lit("xx"), "row": F.lit(0), "a b.c": F.lit(2)})
-    assert sorted(map(repr, op(clash).collect())) == got
+    assert sorted(map(plain, op(clash).collect())) == got
     assert op(docs.limit(0)).count() == 0 and op(docs.limit(0)).columns == op(docs).columns
