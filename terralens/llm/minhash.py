@@ -39,6 +39,8 @@ BAND_ROWS = 4
 BLOCK = 128
 #: A hub's members are compared with it in up to so many tasks.
 HUB_PARTS = 1024
+#: Parts of a cluster's members where they meet tables of clusters.
+SALT = 64
 _rng = np.random.RandomState(1318)
 _A = ((_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)) | U64(1)
 _B = (_rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64) << U64(32)) | _rng.randint(0, 1 << 32, PERMUTATIONS).astype(U64)
@@ -246,20 +248,31 @@ def _pair_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "v").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """An equi-join of rows (with v) that may be many for one key with a table of few rows, which is repeated for each part of a key."""
+    few = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(few.hint("merge"), [*keys, "_part"], how).drop("_part")
+
+
 def _blocks_left(big: DataFrame, joined: DataFrame, block: int) -> DataFrame:
-    """Members of large clusters (v, cluster) with the blocks that they must still be compared with; clusters that are one confirmed component (v, component) have none."""
+    """Members of large clusters (v, cluster) with the blocks that they must still be compared with; clusters that are one confirmed component (v, component) have none.
+
+    Members of small components share blocks, so only large components, one for ``block`` members at most, are numbered one by one.
+    """
     rows = big.join(joined.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n")).withColumn("pure", F.col("n") >= block)
-    c = Window.partitionBy("cluster")
-    # mixed blocks come first, then each large component's own
-    mixed = F.ceil(F.coalesce(F.sum(F.when(~F.col("pure"), F.col("n"))).over(c), F.lit(0)) / block).cast("int")
-    own = F.when(F.col("pure"), F.ceil(F.col("n") / block)).otherwise(0).cast("int")
-    numbered = (sizes.select("cluster", "component", "pure", F.count("*").over(c).alias("components"), mixed.alias("mixed"), own.alias("own"))
-                .select("*", (F.col("mixed") + F.sum("own").over(c.orderBy("component")) - F.col("own")).cast("int").alias("start"), (F.col("mixed") + F.sum("own").over(c)).cast("int").alias("all")).where("components > 1"))
-    at = rows.join(numbered, ["cluster", "component"])
-    place = F.when(F.col("pure"), F.col("start") + F.pmod(F.xxhash64("v"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("v"), F.greatest("mixed", F.lit(1)))).cast("int")
-    every = F.sequence(F.lit(0), F.col("all") - 1)
-    inside = lambda k: F.col("pure") & (k >= F.col("start")) & (k < F.col("start") + F.col("own"))
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    small = F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    totals = (sizes.groupBy("cluster").agg(F.count("*").alias("components"), F.ceil(small / block).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(F.col("n") >= block, blocks)), F.lit(0)).cast("int").alias("own_all"))
+              .where("components > 1").drop("components"))
+    ahead = Window.partitionBy("cluster").orderBy("component")
+    # its own blocks come after the shared ones and those of the large components before it
+    pure = sizes.where(F.col("n") >= block).select("cluster", "component", blocks.alias("own"), (F.sum(blocks).over(ahead) - blocks).cast("int").alias("offset"))
+    at = _salted(_salted(rows, totals, ["cluster"], "inner"), pure, ["cluster", "component"], "left")
+    start = F.col("mixed") + F.col("offset")
+    place = F.when(F.col("own").isNotNull(), start + F.pmod(F.xxhash64("v"), F.col("own"))).otherwise(F.pmod(F.xxhash64("v"), F.greatest("mixed", F.lit(1)))).cast("int")
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("own_all") - 1)
+    inside = lambda k: F.coalesce((k >= start) & (k < start + F.col("own")), F.lit(False))
     return at.select("v", "cluster", place.alias("block"), F.filter(every, lambda k: ~inside(k)).alias("others"))
 
 
