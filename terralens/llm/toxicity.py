@@ -2,8 +2,8 @@
 
 Two states (clean, toxic) over the words of a document. Emissions are weights of the hashed word, of its first ``STEM`` bytes, and
 of the words before and after it, trained with the transitions by maximum likelihood; gradients come from forward-backward marginals. Marginals
-of a document give its offending offsets. Its score comes from the sum of their squares, so that many faint ones don't outweigh
-a clear one, and from its number of words, as one faint word says less about a long text.
+of a document give its offending offsets. Its score comes from the sum of their squares, so that many weak ones don't outweigh
+a clear one (faint ones don't count at all), and from its number of words, as one faint word says less about a long text.
 
 Documents carry one label, not token labels. The training tokens are therefore labelled first: in a toxic
 document, the words or stems that are significantly tied to toxic documents (likelihood ratio, near copies counted
@@ -43,6 +43,8 @@ CHUNK = 64
 FLOORS = (0.03, 0.1, 0.3, 1.0)
 #: Value of each feature of a word; that of its neighbours was chosen by folds of training rows.
 VALUES = np.array([1.0, 1.0, 0.3, 0.3])
+#: Smaller marginals don't count, so that no length of a text adds up to evidence; chosen by folds of training rows.
+FAINT = 0.3
 _EDGE = U64(0x5DEECE66D1234567)
 
 
@@ -60,12 +62,16 @@ def word_and_stem(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def features(h: np.ndarray, stem: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Buckets (tokens x 4) of each word, its stem, and the words before and after it in its document."""
+    """Buckets (4 x tokens) of each word, its stem, and the words before and after it in its document."""
     before, after = np.full(len(h), _EDGE), np.full(len(h), _EDGE)
     before[1:], after[:-1] = h[:-1], h[1:]
     some = np.diff(at) > 0
     before[at[:-1][some]] = after[at[1:][some] - 1] = _EDGE
-    return np.stack([bucket_of(x) for x in (h, stem, K.mix(before + U64(2)), K.mix(after + U64(3)))], axis=1)
+    return np.stack([bucket_of(x) for x in (h, stem, K.mix(before + U64(2)), K.mix(after + U64(3)))])
+
+
+def emitted(weights: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return sum(v * weights[row] for v, row in zip(VALUES.tolist(), bucket, strict=True))
 
 
 @dataclass
@@ -80,7 +86,12 @@ class Model:
 
     def tagged(self, h: np.ndarray, stem: np.ndarray, at: np.ndarray) -> np.ndarray:
         """P(toxic) of each word."""
-        return marginals(self.emission[features(h, stem, at)] @ VALUES, at, self.start, self.move)
+        return marginals(emitted(self.emission, features(h, stem, at)).astype(float), at, self.start, self.move)
+
+
+def squares(p: np.ndarray) -> np.ndarray:
+    """Squared marginals, running sums from 0."""
+    return np.concatenate([[0.0], np.cumsum(np.where(p < FAINT, 0.0, p * p))])
 
 
 def evidence(total: np.ndarray, at: np.ndarray, floor: float) -> np.ndarray:
@@ -184,8 +195,8 @@ def fit_field(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, g
     i = np.flatnonzero(inner)
     want = np.bincount(2 * gold[i] + gold[i + 1], minlength=4).reshape(2, 2)
     for _ in range(steps):
-        p, have = marginals(w[bucket] @ VALUES + bias, at, start, move, pairs=True)
-        d = sum(v * np.bincount(bucket[:, k], weights=gold - p, minlength=1 << BITS) for k, v in enumerate(VALUES)) - 0.01 * w
+        p, have = marginals(emitted(w, bucket) + bias, at, start, move, pairs=True)
+        d = sum(v * np.bincount(row, weights=gold - p, minlength=1 << BITS) for v, row in zip(VALUES.tolist(), bucket, strict=True)) - 0.01 * w
         gw += d * d
         w += 0.5 * d / np.sqrt(gw)
         db = (gold - p).sum()
@@ -201,15 +212,17 @@ def fit_field(words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, g
 
 
 def _totals(model: Model | None, words: list[np.ndarray], stems: list[np.ndarray]) -> np.ndarray:
-    """Sum of squared marginals of each document."""
-    out = [np.zeros(0)]
-    for k in range(0, len(words), 400):
-        w, u = words[k : k + 400], stems[k : k + 400]
+    """Sum of squared marginals of each document. Documents of like length go together, as those of a group advance word by word."""
+    out = np.zeros(len(words))
+    order = np.argsort([len(x) for x in words], kind="stable")
+    for k in range(0, len(words) if model else 0, 400):
+        part = order[k : k + 400]
+        w = [words[q] for q in part]
         at = np.cumsum([0] + [len(x) for x in w])
-        p = model.tagged(np.concatenate(w), np.concatenate(u), at) if model else np.zeros(at[-1])
-        total = np.concatenate([[0.0], np.cumsum(p * p)])
-        out.append(total[at[1:]] - total[at[:-1]])
-    return np.concatenate(out)
+        p = model.tagged(np.concatenate(w), np.concatenate([stems[q] for q in part]), at)
+        total = squares(p)
+        out[part] = total[at[1:]] - total[at[:-1]]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, steps: int = 40, bound_bytes: int = SAMPLE_BYTES) -> Model:
@@ -263,7 +276,7 @@ def score(docs: DataFrame, model: Model, group_bytes: int = 4 * K.SLICE_BYTES) -
                     at.append(first[1:] + at[-1][-1])
                 hs, us, s, t, at = (np.concatenate(x) for x in (hs, us, s, t, at))
                 p = model.tagged(hs, us, at)
-                total = np.concatenate([[0.0], np.cumsum(p * p)])
+                total = squares(p)
                 prob = linear.sigmoid(evidence(total[at[1:]] - total[at[:-1]], at, model.floor) @ np.array([model.slope, model.length]) + model.shift)
                 spans = [""] * (gj - gi)
                 hit = np.flatnonzero(p >= 0.5)
