@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralens.llm import bpe, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity, warc
+from terralens.llm import bpe, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity, vectorcodes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -72,8 +76,32 @@ QUERIES: dict[str, Query] = {
     "op8_langid": op8_langid,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
 }
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """The rounds as a chain of tables: near{k} has each part's nearest entry of book{k}."""
+    steps = []
+    for k in range(rounds + 1):
+        if k:
+            steps.append(f"""mean{k} as (select part, entry, place, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as c from near{k - 1} join c using (rid, part) group by part, entry, place),
+book{k} as materialized (select part, entry, place, coalesce(m.c, b.c) as c from book{k - 1} b left join mean{k} m using (part, entry, place))""")
+        steps.append(f"""near{k} as materialized (select rid, part, min(d) as d, arg_min(entry, {{'d': d, 'e': entry}}) as entry
+ from (select rid, part, entry, cast(sum((x - b.c) * (x - b.c)) as bigint) as d from c join book{k} b using (part, place) group by rid, part, entry) group by rid, part)""")
+    chain = ",\n".join(steps)
+    return f"""
+with v as materialized (select row_number() over () as rid, vec_id, label, list_transform(embedding, x -> cast(floor(4096 * cast(x as double)) as bigint)) as e from embeddings
+ where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+c as materialized (select rid, (i - 1) // (n // 8) as part, (i - 1) % (n // 8) as place, e[i] as x from (select rid, e, len(e) as n, unnest(range(1, len(e) + 1)) as i from v)),
+book0 as materialized (select part, entry, place, x as c from c join (select rid, row_number() over (order by vec_id) - 1 as entry from v) using (rid) where entry < 16),
+{chain},
+coded as (select rid, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from near{rounds} group by rid),
+named as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, place)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from v join coded using (rid) cross join named"""
+
+
 #: For the operators that SQL can express; the tests hold the others against brute force, the tokenizer library or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": f"""
@@ -95,4 +123,5 @@ m as (select *, case when n >= 1000 then max(page_id) over (partition by n, d) e
 select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when last > page_id then 'revisit' else 'response' end as record_type,
        case when last > page_id then last end as refers_to
 from m""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
