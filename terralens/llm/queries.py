@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralens.llm import bpe, conversations, decontam, langid, minhash, pii, quality, secrets, suffixdedup, toxicity, vectorcodes, warc
+from terralens.llm import bpe, conversations, decontam, embeddings, langid, minhash, pii, quality, secrets, suffixdedup, toxicity, vectorcodes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")), F.col("present"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -163,4 +168,16 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case wh
 from m""",
     "op11_vector_codes": _vector_codes_sql(),
     "op12_conversation_repair": _repair_sql(),
+    "op13_embedding_dedup": """
+with recursive v as materialized (select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e, len(embedding) as n from embeddings
+ where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as materialized (select *, sqrt(list_dot_product(e, e)) as norm from v),
+link as materialized (select a.rid as x, b.rid as y from u a join u b on a.label = b.label and a.n = b.n and a.rid <> b.rid where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach as (select rid as x, rid as y from v union select r.x, l.y from reach r join link l on l.x = r.y),
+low as (select x, min(vec_id) as component_id from reach join v on v.rid = y group by x),
+n as (select x, count(*) as n_links from link group by x),
+found as (select rid, vec_id, n_links, component_id from v left join low on low.x = rid left join n on n.x = rid)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from found
+union all
+select vec_id, 0, vec_id, true from embeddings where label is null or embedding is null or len(list_filter(embedding, lambda x: x is null or not isfinite(x))) > 0 or len(list_filter(embedding, lambda x: x <> 0)) = 0""",
 }
