@@ -2,22 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions import geo
 
 
-def range_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner") -> DataFrame:
-    """Pairs in neighbouring cells of ``cell`` degrees (at least the radius): an equi-join on the cell. The caller applies the exact predicate.
+#: Metres from a sample to each side of its surroundings.
+BUFFER_M = 200.0
+#: A grid cell with more right-hand rows than this is split.
+DENSE = 20_000
+#: How often a dense cell is quartered; what is still dense then is dealt by a hash.
+LEVELS = 5
+_CELL = ["_y", "_x", "_level", "_v", "_u"]
+
+
+def _width(y: Column, height: float, reach_lon: Callable[[Column], Column]) -> Column:
+    """Cell width of a row of the grid: the reach at the farthest latitude whose points look into the row."""
+    far = F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * height, F.lit(89.999999))
+    return F.least(reach_lon(far), F.lit(360.0))
+
 
-    Both sides have lat and lon; the right ones come as rlat and rlon. The left side, whose rows are repeated nine times, should be the smaller.
+def _leaves(points: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(dense cells, their leaves) of a quadtree for each cell of more than ``dense`` points: _parts is into how many parts a leaf's points must be dealt.
+
+    points: _y, _x and (_dv, _du), the place within the cell at the deepest level. Only counts are shuffled, and cells below the limit are counted once.
+    """
+    c = F.col
+    hot = points.groupBy("_y", "_x").agg(F.count("*").alias("n")).where(c("n") > dense).select("_y", "_x")
+    deep = points.join(hot, ["_y", "_x"], "left_semi").groupBy("_y", "_x", "_dv", "_du").agg(F.count("*").alias("n"))
+    up = F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda k: F.struct(
+        k.alias("_level"), F.floor(c("_dv") / F.pow(F.lit(2), LEVELS - k)).alias("_v"), F.floor(c("_du") / F.pow(F.lit(2), LEVELS - k)).alias("_u"))))
+    nodes = deep.select("_y", "_x", up.alias("a"), "n").select("_y", "_x", "a.*", "n").groupBy(*_CELL).agg(F.sum("n").alias("n"))
+    # a leaf holds few enough points, or is as deep as it goes, and all above it hold too many
+    full = nodes.where((c("n") > dense) & (c("_level") < LEVELS)).select("_y", "_x", (c("_level") + 1).alias("_level"), "_v", "_u")
+    below = full.select("_y", "_x", "_level", F.explode(F.expr("array(struct(2 * _v as v, 2 * _u as u), struct(2 * _v as v, 2 * _u + 1 as u), struct(2 * _v + 1 as v, 2 * _u as u), struct(2 * _v + 1 as v, 2 * _u + 1 as u))")).alias("a"))
+    below = below.select("_y", "_x", "_level", c("a.v").alias("_v"), c("a.u").alias("_u"))
+    reached = nodes.where("_level = 1").unionByName(nodes.join(below, _CELL, "left_semi"))
+    return hot, reached.where((c("n") <= dense) | (c("_level") == LEVELS)).select(*_CELL, F.ceil(c("n") / dense).cast("int").alias("_parts"))
+
+
+def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int | None = DENSE) -> DataFrame:
+    """Pairs that may lie within a box around the left point: an equi-join on cells of a grid, for which the caller applies the exact predicate.
+
+    ``reach_lat``: half the box's height in degrees. ``reach_lon``: half its width for a latitude, which may grow towards the poles. Rows of the grid are as
+    high as the reach, and in each row cells are as wide as the reach is there, so a left point looks into 3 by 3 cells at any latitude (rows of cells near a pole are
+    one cell). A cell of more than ``dense`` right points becomes a quadtree of its counts, whose leaves take as many points at most; a left
+    point looks into the leaves that its box touches. Points that no quartering tells apart are dealt by a hash. So no key has more right points, and a city
+    in one cell is many tasks. ``dense`` None: no counting. Longitudes don't wrap. Points with a null coordinate have no pairs.
+
+    Both sides have lat and lon; the right ones come as rlat and rlon. The left side, whose rows are repeated, should be the smaller.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    near = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    l = left.withColumn("_y", near("lat")).withColumn("_x", near("lon"))
-    r = right.withColumnsRenamed({"lat": "rlat", "lon": "rlon"}).withColumn("_y", F.floor(F.col("rlat") / cell)).withColumn("_x", F.floor(F.col("rlon") / cell))
-    return l.join(r, ["_y", "_x"], how).drop("_y", "_x")
+    c = F.col
+    height = reach_lat * (1 + 1e-9)
+    side = float(1 << LEVELS)
+    r = right.withColumnsRenamed({"lat": "rlat", "lon": "rlon"}).where("rlat is not null and rlon is not null")
+    r = r.withColumn("_y", F.floor(c("rlat") / height)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_x", F.floor(c("rlon") / c("_w")))
+    dx = reach_lon(c("lat")) * (1 + 1e-9) + 1e-12
+    west, east = F.greatest(c("lon") - dx, F.lit(-540.0)), F.least(c("lon") + dx, F.lit(540.0))
+    rows = F.sequence(F.floor((c("lat") - height) / height), F.floor((c("lat") + height) / height))
+    l = left.where("lat is not null and lon is not null").withColumn("_y", F.explode(rows)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_west", west).withColumn("_east", east)
+    l = l.where("_west <= _east").withColumn("_x", F.explode(F.sequence(F.floor(c("_west") / c("_w")), F.floor(c("_east") / c("_w")))))
+    if dense is None:
+        return l.drop("_w", "_west", "_east").join(r.drop("_w"), ["_y", "_x"]).drop("_y", "_x")
+    inner = lambda at, cell, size: F.least(F.greatest(F.floor((at / size - cell) * side), F.lit(0)), F.lit(int(side) - 1))
+    r = r.withColumns({"_dv": inner(c("rlat"), c("_y"), height), "_du": inner(c("rlon"), c("_x"), c("_w"))})
+    hot, leaves = _leaves(r.select("_y", "_x", "_dv", "_du"), dense)
+    # right points: their cell, or each node above them in a dense one, of which one is a leaf
+    flag = hot.withColumn("_hot", F.lit(True))
+    none = F.array(F.struct(F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_v"), F.lit(0).cast("long").alias("_u")))
+    node = lambda k: F.struct(k.alias("_level"), F.floor(c("_dv") / F.pow(F.lit(2), LEVELS - k)).alias("_v"), F.floor(c("_du") / F.pow(F.lit(2), LEVELS - k)).alias("_u"))
+    ways = F.explode(F.when(c("_hot"), F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), node)).otherwise(none))
+    mix = F.xxhash64(*(c(f"`{x}`") for x in right.withColumnsRenamed({"lat": "rlat", "lon": "rlon"}).columns))
+    r = r.join(flag, ["_y", "_x"], "left").withColumn("_a", ways).select("*", "_a.*").drop("_a").join(leaves, _CELL, "left").where("_level = 0 or _parts is not null")
+    r = r.withColumn("_part", F.coalesce(F.pmod(mix, c("_parts").cast("long")), F.lit(0))).drop("_w", "_dv", "_du", "_hot", "_parts")
+    # left points: the leaves that their box touches
+    scale = F.pow(F.lit(2.0), F.coalesce("_level", F.lit(0)))
+    south, north = (c("lat") - height) / height, (c("lat") + height) / height
+    touches = (c("_y") + (c("_v") + 1) / scale >= south - 1e-6) & (c("_y") + c("_v") / scale <= north + 1e-6) & ((c("_x") + (c("_u") + 1) / scale) >= c("_west") / c("_w") - 1e-6) & ((c("_x") + c("_u") / scale) <= c("_east") / c("_w") + 1e-6)
+    l = l.join(leaves, ["_y", "_x"], "left").where(c("_level").isNull() | touches)
+    l = l.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c("_parts").cast("long"), F.lit(1).cast("long")) - 1))).fillna(0, ["_level", "_v", "_u"]).drop("_w", "_west", "_east", "_parts")
+    return l.join(r, [*_CELL, "_part"]).drop(*_CELL, "_part")
+
+
+def fixed(degrees: float) -> Callable[[Column], Column]:
+    """A longitude reach that is the same at all latitudes."""
+    return lambda lat: F.lit(degrees)
 
 
 def road_bearings(nodes: DataFrame) -> DataFrame:
@@ -29,20 +101,20 @@ def road_bearings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("bearing", F.coalesce(ahead, behind)).where("bearing is not null")
 
 
-def snap_to_road(samples: DataFrame, nodes: DataFrame, radius: float = 0.002) -> DataFrame:
+def snap_to_road(samples: DataFrame, nodes: DataFrame, radius: float = 0.002, dense: int | None = DENSE) -> DataFrame:
     """Nearest road vertex within a box (planar squared degrees; first way and vertex on a tie). Samples without one vanish."""
     c = F.col
-    pairs = range_join(samples.select("sample_id", "lat", "lon"), nodes.select("way", "pos", "lat", "lon"), radius * 1.001)
+    pairs = range_join(samples.select("sample_id", "lat", "lon"), nodes.select("way", "pos", "lat", "lon"), radius, fixed(radius), dense)
     dy, dx = c("rlat") - c("lat"), c("rlon") - c("lon")
     near = pairs.where((F.abs(dy) <= radius) & (F.abs(dx) <= radius))
     best = near.groupBy("sample_id").agg(F.min(F.struct((dy * dy + dx * dx).alias("d"), "way", "pos")).alias("m"))
     return best.select("sample_id", "m.way", "m.pos", "m.d")
 
 
-def context_pairs(samples: DataFrame, elements: DataFrame, metres: float, cell: float) -> DataFrame:
-    """Elements strictly inside each sample's buffer box."""
+def context_pairs(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, dense: int | None = DENSE) -> DataFrame:
+    """Elements strictly inside each sample's buffer box, at any latitude."""
     c = F.col
-    pairs = range_join(samples.select("sample_id", "lat", "lon"), elements, cell)
+    pairs = range_join(samples.select("sample_id", "lat", "lon"), elements, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), dense)
     return pairs.where((F.abs(c("rlat") - c("lat")) < geo.lat_degrees(metres)) & (F.abs(c("rlon") - c("lon")) < geo.lon_degrees(metres, c("lat"))))
 
 
@@ -70,7 +142,7 @@ def _ranked(items: Column) -> Column:
     return F.array_sort(items, lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).otherwise(F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)))
 
 
-def contexts(samples: DataFrame, elements: DataFrame, metres: float, cell: float, top: int = 5) -> DataFrame:
+def contexts(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, top: int = 5, dense: int | None = DENSE) -> DataFrame:
     """What surrounds each sample, from one range join and one combined aggregate.
 
     elements: ord, lat, lon, category (building, amenity, landuse, park, road, signal or water), value (type of a building, amenity or land use;
@@ -80,7 +152,7 @@ def contexts(samples: DataFrame, elements: DataFrame, metres: float, cell: float
     has_park, surface (most frequent, empty ones don't count), roads, has_roundabout, has_bridge, has_signal, water_m.
     """
     c = F.col
-    pairs = context_pairs(samples, elements, metres, cell)
+    pairs = context_pairs(samples, elements, metres, dense)
     near = F.when(c("category") == "water", geo.haversine_m(c("lat"), c("lon"), c("rlat"), c("rlon")))
     counted = pairs.groupBy("sample_id", "category", "value", "levels").agg(
         F.count("*").alias("n"), F.min("ord").alias("o"), F.min(near).alias("m"), F.bool_or("roundabout").alias("roundabout"), F.bool_or("bridge").alias("bridge"))

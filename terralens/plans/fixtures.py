@@ -18,21 +18,21 @@ def pick(expr: str, values: list[str | None]) -> str:
 
 
 LOCATIONS = """select concat('city', lpad(cast(c_nationkey as string), 2, '0'), '_', lpad(cast(c_custkey as string), 6, '0')) as sample_id, c_custkey, n_name as city, r_name as country, n_nationkey,
- (40000000 + c_nationkey * 500000 + (c_custkey * 7919) % 20000) / cast(1000000 as double) as lat,
- (10000000 + c_nationkey * 500000 + (c_custkey * 104729) % 20000) / cast(1000000 as double) as lon,
+ (-80000000 + c_nationkey * 6450000 + (c_custkey * 7919) % 20000) / cast(1000000 as double) as lat,
+ (10000000 + c_nationkey * 500000 + (c_custkey * 104729) % 60000) / cast(1000000 as double) as lon,
  case when c_custkey % 10 = 0 then 3 else 4 end as streetview_count
  from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
 
 ELEMENTS = """select cast(row_number() over (partition by l_orderkey order by ORDER) + l_orderkey * 64 as bigint) as ord,
- (40000000 + (l_orderkey % 25) * 500000 + (l_partkey * 7907 + l_suppkey * 131 + l_linenumber * 17) % 20000) / cast(1000000 as double) as lat,
- (10000000 + (l_orderkey % 25) * 500000 + (l_partkey * 611953 + l_orderkey * 37) % 20000) / cast(1000000 as double) as lon,
+ (-80000000 + (l_orderkey % 25) * 6450000 + (l_partkey * 7907 + l_suppkey * 131 + l_linenumber * 17) % 20000) / cast(1000000 as double) as lat,
+ (10000000 + (l_orderkey % 25) * 500000 + (l_partkey * 611953 + l_orderkey * 37) % 60000) / cast(1000000 as double) as lon,
  (l_partkey + l_linenumber) % 8 as cat, case when l_suppkey % 5 = 0 then null else cast(floor(l_quantity) as int) % 25 end as levels, KIND as kind,
  SURFACE as surface, l_suppkey % 37 = 0 as roundabout, l_suppkey % 11 = 0 as bridge
  from lineitem""".replace("ORDER", ORDER).replace("KIND", pick("l_partkey % 5", ["grass", "retail", "residential", None, "industrial"])).replace("SURFACE", pick("l_suppkey % 7", ["asphalt", "sett", "", None, "gravel", "sett", "paved"]))
 
 ROADS = """select l_orderkey as way, row_number() over (partition by l_orderkey order by ORDER) - 1 as pos,
- (40000000 + (l_orderkey % 25) * 500000 + (l_orderkey * 31) % 20000 + l_linenumber * 200) / cast(1000000 as double) as lat,
- (10000000 + (l_orderkey % 25) * 500000 + (l_orderkey * 53) % 20000 + ((l_linenumber * l_linenumber) % 7) * 150) / cast(1000000 as double) as lon
+ (-80000000 + (l_orderkey % 25) * 6450000 + (l_orderkey * 31) % 20000 + l_linenumber * 200) / cast(1000000 as double) as lat,
+ (10000000 + (l_orderkey % 25) * 500000 + (l_orderkey * 53) % 60000 + ((l_linenumber * l_linenumber) % 7) * 150) / cast(1000000 as double) as lon
  from lineitem""".replace("ORDER", ORDER)
 
 QUESTIONS = f"""select concat('loc_', lpad(cast(l_orderkey as string), 8, '0')) as sample_id, n_name as city, {pick("l_orderkey % 8", LAND_USE)} as land_use,

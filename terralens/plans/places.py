@@ -8,7 +8,7 @@ from terralens.functions import geo, text
 from terralens.operators import records, rules, spatial
 from terralens.plans import fixtures as X
 
-METRES, CELL = 100.0, 0.002
+METRES = 200.0
 _U = "cast('0x' || substr(md5(concat_ws('_', '42', city, cast(attempt as string), '{k}')), 1, 8) as bigint) / 4294967296.0::double"
 C = F.col
 PAIRS = f"""l as ({X.LOCATIONS}), e as ({X.ELEMENTS}), p as (select sample_id, l.lat, l.lon, e.lat as rlat, e.lon as rlon, ord, cat, levels, kind from l join e
@@ -18,7 +18,7 @@ BEAR = "(({x} % 360) + 360) % 360".format(x="degrees(atan2(sin(radians({b}lon -
 
 
 def _pairs(s, d):
-    return spatial.context_pairs(X.locations(s, d), X.elements(s, d), METRES, CELL)
+    return spatial.context_pairs(X.locations(s, d), X.elements(s, d), METRES)
 
 
 def _all(s, d, found):
@@ -56,7 +56,7 @@ def _water(s, d):
 
 
 def _transit(s, d):
-    near = spatial.range_join(X.locations(s, d).select("sample_id", "lat", "lon"), X.elements(s, d).where("cat = 7"), 0.0031)
+    near = spatial.range_join(X.locations(s, d).select("sample_id", "lat", "lon"), X.elements(s, d).where("cat = 7"), 0.003, spatial.fixed(0.003))
     near = near.where((F.abs(C("rlat") - C("lat")) < 0.003) & (F.abs(C("rlon") - C("lon")) < 0.003) & (geo.haversine_m(C("lat"), C("lon"), C("rlat"), C("rlon")) <= 300))
     n = near.groupBy("sample_id").agg(F.collect_list(F.struct("ord", C("rlat").alias("lat"), C("rlon").alias("lon"))).alias("s"))
     return _all(s, d, n).select("sample_id", F.coalesce(F.size(spatial.spread_stops(C("s"))), F.lit(0)).cast("long").alias("stops"))
@@ -68,7 +68,7 @@ CATEGORIES = ["building", "amenity", "landuse", "park", "road", "signal", "water
 def _surroundings(s, d):
     """All contexts of each sample, and its land use and junction, from one join."""
     e = X.elements(s, d).where("cat < 7").select("ord", "lat", "lon", F.expr(X.pick("cat", CATEGORIES)).alias("category"), F.expr("case when cat = 4 then surface else kind end").alias("value"), F.expr("case when cat = 0 then levels end").alias("levels"), "roundabout", "bridge")
-    return spatial.contexts(X.locations(s, d), e, METRES, CELL)
+    return spatial.contexts(X.locations(s, d), e, METRES)
 
 
 def _context(s, d):
