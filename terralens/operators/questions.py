@@ -157,44 +157,39 @@ def ranked_candidates(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "pos")))
 
 
-def best_questions(scored: DataFrame, per_city: bool = True) -> DataFrame:
-    """For each sample in order, the question of highest score less three times its topic's uses so far (first on a tie).
+def best_questions(scored: DataFrame) -> DataFrame:
+    """For each sample in order, the question of highest score less three times its topic's uses so far in its city (first on a tie).
 
-    scored: city, ord, sample_id, pos, topic, score. With ``per_city`` uses are counted city by city, so a fold covers one city and cities run in parallel. Without
-    it one counter runs on through all samples, by city and order: each choice depends on all before it, so that is one task by nature,
-    and a choice for small sets. Compact rows are folded as a sorted stream, never held together.
+    scored: city, ord, sample_id, pos, topic, score. Uses are counted city by city, so a fold covers one city and cities run in parallel; compact rows are folded as a sorted
+    stream, never held together. ``uses.best_questions_in_order`` has one counter for all samples.
     """
     import pyarrow as pa
 
+    from terralens.operators.uses import Fold
+
     schema = pa.schema([("sample_id", pa.string()), ("pos", pa.int32()), ("topic", pa.string())])
 
     def run(batches):
-        city, sample, uses, best, out = None, None, {}, None, []
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        place, rows, fold, out = None, [], None, []
         for b in batches:
-            for c, o, s, p, t, x in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (c, s) != (city, sample):
-                    if best:
-                        out.append(best[1:])
-                        uses[best[3]] = uses.get(best[3], 0) + 1
-                    if c != city and per_city:
-                        uses = {}
-                    city, sample, best = c, s, None
-                score = x - 3 * uses.get(t, 0)
-                if best is None or score > best[0]:
-                    best = (score, s, p, t)
+            for city, sample, p, t, x in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if place != (city, sample):
+                    if rows:
+                        out.append((place[1], *fold.choose(rows)))
+                    if place is None or place[0] != city:
+                        fold = Fold({})
+                    place, rows = (city, sample), []
+                rows.append((p, x, t))
             if len(out) > 5000:
-                yield flush()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 out = []
-        if best:
-            out.append(best[1:])
+        if rows:
+            out.append((place[1], *fold.choose(rows)))
         if out:
-            yield flush()
-    rows = scored.select("city", "ord", "sample_id", F.col("pos").cast("int").alias("pos"), "topic", F.col("score").cast("int").alias("score"))
-    rows = rows.repartition("city") if per_city else rows.coalesce(1)
-    return rows.sortWithinPartitions("city", "ord", "sample_id", "pos").mapInArrow(run, "sample_id string, pos int, topic string")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    rows = scored.select("city", "ord", "sample_id", F.col("pos").cast("int").alias("pos"), "topic", F.col("score").cast("long").alias("score"))
+    ordered = rows.repartition("city").sortWithinPartitions("city", "ord", "sample_id", "pos")
+    return ordered.select("city", "sample_id", "pos", "topic", "score").mapInArrow(run, "sample_id string, pos int, topic string")
 
 
 def enabled(questions: DataFrame, topics: list[str]) -> DataFrame:

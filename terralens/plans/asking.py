@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralens.operators import questions as Q
+from terralens.operators import uses
 from terralens.plans import fixtures as X
 
 S = f"s as ({X.SAMPLES})"
@@ -87,7 +88,7 @@ QUERIES = {f"q_{t}": _asked(t) for t in _RIGHT} | {
     "camera_direction": _camera,
     "question_scores": lambda s, d: _scored(s, d).select("sample_id", "topic", "score"),
     "best_question": lambda s, d: Q.best_questions(_scored(s, d)),
-    "best_question_global": lambda s, d: Q.best_questions(_scored(s, d), per_city=False),
+    "best_question_global": lambda s, d: uses.best_questions_in_order(_scored(s, d)),
     "ranked_candidates": lambda s, d: Q.ranked_candidates(_scored(s, d)).where("rank = 1").select("sample_id", "topic", "score"),
     "generation_stats": _questions_all,
 }
