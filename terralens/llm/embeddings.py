@@ -3,8 +3,9 @@
 A few rotations are learned on a bounded sample, thinned so that no group of copies rules it (principal axes, then turns that bring the axes' signs close to
 the vectors). Their bits are cut into substrings, one a table; vectors that share a substring of one table, label and length meet. Before any pair
 is made, vectors within half of the angle sought from their most frequent bucket head form a ball: all of a ball are linked, so copies cost a row
-each, not a pair. Balls that meet are compared by their heads; what the triangle inequality decides for all members is counted, and only
-the rest is looked at vector by vector.
+each, not a pair. A bucket's head is the vector that shares most buckets with others, the middle of a group. Balls that meet are compared by their heads;
+what the triangle inequality decides for all members is counted, and only the rest is looked at vector by vector. Vectors that are balls of
+their own are compared in blocks of a bucket, which give counts and a spanning forest of the links, no pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from terralens.llm.scratch import save
 #: Vectors that the rotations are learned on; fewer where vectors are long, so that the sample stays below SAMPLE_NUMBERS.
 SAMPLE, SAMPLE_NUMBERS = 4096, 1 << 20
 ROUNDS = 30
+#: What centring must leave of nine in ten unit vectors.
+LEFT = 0.9
 #: Random directions whose signs tell groups of the sample apart.
 THIN = 12
 #: Two vectors of cosine 0.98 share a bit with probability 0.94 and so none of 16 substrings of 20 bits with probability 0.006; of cosine 0.99, 0.0002.
 TABLES, WIDTH = 16, 20
+#: Balls of a bucket that are compared at once with as many others.
+BLOCK = 1024
 #: Longer vectors are folded to this length by signed sums for their codes.
 FOLD = 512
 #: Angles are compared with this margin; what lies within it is decided on the vectors themselves.
@@ -84,11 +89,14 @@ def rotation(v: np.ndarray, seed: int, rounds: int) -> np.ndarray:
 def learn(sample: np.ndarray, dim: int, *, tables: int = TABLES, width: int = WIDTH, rounds: int = ROUNDS) -> Tables:
     """sample: unit vectors, folded. As many rotations as the tables' bits need, each from another start; the bits are mixed over the tables.
 
-    Of vectors with the same signs in a few random directions only the first counts, so that the axes don't follow a large group of copies.
+    Of vectors with the same signs in a few random directions only the first counts, so that the axes don't follow a large group of copies. As much of the mean is taken off
+    as leaves vectors near to their length, so that near ones keep a small angle.
     """
     signs = sample @ np.random.default_rng(2).normal(size=(sample.shape[1], THIN)) > 0
     sample = sample[np.unique(signs @ (1 << np.arange(THIN)), return_index=True)[1]]
     mean = sample.mean(0)
+    far = lambda share: np.quantile(np.sqrt(((sample - share * mean) ** 2).sum(1)), 0.1) >= LEFT
+    mean = mean * next((share for share in (1.0, 0.75, 0.5, 0.25) if far(share)), 0.0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1]
@@ -119,34 +127,91 @@ def _codes(found: Tables):
     return run
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, rid): rows of keys that others have too, with the key's first row in this task. A task's first and last key may go on in another: their rows all come out."""
-    key, rid, head = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    opening = True
-
-    def out(k, r, h, keep):
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, r, h)], names=["key", "rid", "head"])
-
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those of keys that others have too. A task's first and last key may go on in another: their rows all come out."""
+    held, before, opening = None, None, True
     for b in batches:
         if not len(b):
             continue
-        k, r = (b.column(j).to_numpy() for j in range(2))
         # the last row of the batch before goes along, as it isn't known yet whether its key goes on
-        k, r = np.concatenate([key, k]), np.concatenate([rid, r])
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        h = r[at]
-        if len(head):
-            h[at == 0] = head[0]
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k = b.column(0).to_numpy()
+        new = np.concatenate([[before is None or k[0] != before], k[1:] != k[:-1]])
         busy = ~new | np.concatenate([~new[1:], [True]])
-        busy[0] |= bool(len(head)) and head[0] != rid[0]
-        if opening:
-            busy |= at == 0
-            opening = False
-        yield out(k[:-1], r[:-1], h[:-1], busy[:-1])
-        key, rid, head = k[-1:], r[-1:], h[-1:]
-    if len(key):
-        yield out(key, rid, head, np.ones(1, bool))
+        busy[0] |= opening
+        opening = opening and len(k) == 1
+        out = b.slice(0, len(b) - 1).filter(pa.array(busy[:-1]))
+        before = k[-2] if len(k) > 1 else before
+        held = b.slice(len(b) - 1)
+        if len(out):
+            yield out
+    if held is not None:
+        yield held
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric matrix of links connects, less than one a row."""
+    left, edges = np.ones(len(near), bool), []
+    for k in range(len(near)):
+        if left[k]:
+            left[k] = False
+            todo = [k]
+            while todo:
+                i = todo.pop()
+                found = np.flatnonzero(near[i] & left)
+                left[found] = False
+                edges += [(i, int(j)) for j in found]
+                todo += found.tolist()
+    return edges
+
+
+_COMPARED = "kind string, a long, b long, n long"
+
+
+def _compare(tables: Tables, least: float):
+    """Blocks of buckets. Rows of kind pair: balls, not both single, that may have links; count: a single vector's links to single ones, each in the first table that both share; edge: links that connect these."""
+    theta = math.acos(least)
+
+    def unit_rows(rows: list[tuple]) -> Iterator[tuple]:
+        x = unit(np.array([r[7] for r in rows], np.float64))
+        ball, side, single, r = (np.array([row[k] for row in rows]) for k in (4, 3, 5, 6))
+        cosine = np.clip(x @ x.T, -1, 1)
+        apart = side[:, None] != side[None] if rows[0][1] != rows[0][2] else ~np.eye(len(rows), dtype=bool)
+        both = single[:, None] & single[None]
+        maybe = apart & ~both & (np.arccos(cosine) <= theta + r[:, None] + r[None] + MARGIN)
+        for i, j in zip(*np.nonzero(np.triu(maybe | maybe.T)), strict=True):
+            yield "pair", int(min(ball[i], ball[j])), int(max(ball[i], ball[j])), 0
+        near = apart & both & (cosine >= least)
+        if near.any():
+            subs = tables.substrings(x)
+            t = rows[0][8]
+            before = np.zeros_like(near)
+            for u in range(t):
+                before |= subs[:, u][:, None] == subs[:, u][None]
+            n = (near & ~before).sum(1)
+            yield from (("count", int(ball[i]), 0, int(n[i])) for i in np.flatnonzero(n))
+            yield from (("edge", int(ball[i]), int(ball[j]), 0) for i, j in _forest(near))
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["kind", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        out: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[0][:3] != row[:3]:
+                    out += unit_rows(rows)
+                    rows = []
+                    if len(out) > 10_000:
+                        yield pack(out)
+                        out = []
+                rows.append(row)
+        if rows:
+            out += unit_rows(rows)
+        if out:
+            yield pack(out)
+    return run
 
 
 def with_cosine(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -171,27 +236,31 @@ def _named(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(old).alias(new) for new, old in names.items()))
 
 
-def _links(stored: DataFrame, stars: DataFrame, busy: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: rid, vec_id, ball), (links between balls: a, b) and (parts of n_links: rid or ball, n)."""
+def _links(tables: Tables, stars: DataFrame, busy: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members: rid, vec_id, ball, n_links) and (links that connect balls: a, b)."""
     c = F.col
     theta = math.acos(least)
     heads = _named(busy, head="rid", other="label", v="embedding")
-    near = with_cosine(busy.where("head is not null").select("rid", "label", "embedding", "head").join(heads, "head").where("label = other").select("rid", "head", "embedding", "v"), "embedding", "v")
+    near = with_cosine(busy.where("head <> rid").select("rid", "label", "embedding", "head").join(heads, "head").where("label = other").select("rid", "head", "embedding", "v"), "embedding", "v")
     angle = F.acos(F.least(c("cosine"), F.lit(1.0)))
     placed = near.withColumn("r", angle).where(c("r") < theta / 2 - MARGIN).select("rid", c("head").alias("ball"), "r")
     members = save(busy.select("rid", "vec_id").join(placed, "rid", "left").select("rid", "vec_id", F.coalesce("ball", "rid").alias("ball"), F.coalesce("r", F.lit(0.0)).alias("r")), "members")
-    balls = save(members.groupBy("ball").agg(F.count("*").alias("n"), F.max("r").alias("r")), "balls")
-
-    met = stars.select("key", "rid").join(members.select("rid", "ball"), "rid").select("key", "ball").distinct()
-    pairs = _named(met, key="key", a="ball").join(_named(met, key="key", b="ball"), "key").where("a < b").select("a", "b").distinct()
+    balls = save(members.groupBy("ball").agg(F.count("*").alias("n"), F.max("r").alias("r"), ((F.count("*") == 1) & F.bool_or(c("rid") == c("ball"))).alias("single")), "balls")
+
+    met = save(stars.join(members.select("rid", "ball"), "rid").select("key", "t", "ball").distinct(), "met")
+    blocks = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(c("m") / BLOCK).cast("int").alias("blocks"))
+    at = met.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("ball"), c("blocks").cast("long")).cast("int"))
+    units = at.select("key", "t", "ball", "block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("other"))
+    units = units.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (c("block") > c("other")).cast("int").alias("side"), "ball", "t")
+    held = units.join(balls, "ball").join(_named(busy, ball="rid", v="embedding"), "ball").select("key", "x", "y", "side", "ball", "single", "r", "v", "t")
+    compared = save(held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compare(tables, least), _COMPARED), "compared")
+    pairs = compared.where("kind = 'pair'").select("a", "b").distinct()
     # a ball's head needn't be a member of it, but it is a stored vector
-    whole = balls.join(_named(busy, ball="rid", label="label", v="embedding"), "ball")
+    whole = balls.drop("single").join(_named(busy, ball="rid", label="label", v="embedding"), "ball")
     side = lambda x: _named(whole, **{x: "ball", f"n{x}": "n", f"r{x}": "r", f"l{x}": "label", f"v{x}": "v"})
     held = with_cosine(pairs.join(side("a"), "a").join(side("b"), "b").where("la = lb").drop("la", "lb"), "va", "vb")
-    single = (c("na") == 1) & (c("nb") == 1) & (c("ra") == 0) & (c("rb") == 0)
     reach = c("ra") + c("rb")
-    verdict = (F.when(single, F.when(c("cosine") >= least, "all").otherwise("none"))
-               .when(angle + reach <= theta - MARGIN, "all").when(angle - reach > theta + MARGIN, "none").otherwise("some"))
+    verdict = (F.when(angle + reach <= theta - MARGIN, "all").when(angle - reach > theta + MARGIN, "none").otherwise("some"))
     judged = save(held.withColumn("verdict", verdict).where("verdict <> 'none'").select("a", "b", "na", "nb", "ra", "rb", "verdict"), "ball_pairs")
     full, some = judged.where("verdict = 'all'"), judged.where("verdict = 'some'")
 
@@ -210,12 +279,13 @@ def _links(stored: DataFrame, stars: DataFrame, busy: DataFrame, least: float) -
     y = _named(open_.where("ball > other"), a="other", b="ball", y="rid").join(_named(vec, y="rid", vy="v"), "y")
     exact = save(with_cosine(x.join(y, ["a", "b"]), "vx", "vy").where(c("cosine") >= least).select("a", "b", "x", "y"), "exact")
 
-    links = full.select("a", "b").unionByName(sure.select(c("ball").alias("a"), c("other").alias("b"))).unionByName(exact.select("a", "b"))
-    by_ball = _named(full, ball="a", n="nb").unionByName(_named(full, ball="b", n="na")).groupBy("ball").agg(F.sum("n").alias("more"))
+    links = compared.where("kind = 'edge'").select("a", "b").unionByName(full.select("a", "b")).unionByName(sure.select(c("ball").alias("a"), c("other").alias("b"))).unionByName(exact.select("a", "b"))
+    alone = _named(compared.where("kind = 'count'"), ball="a", n="n")
+    by_ball = _named(full, ball="a", n="nb").unionByName(_named(full, ball="b", n="na")).unionByName(alone).groupBy("ball").agg(F.sum("n").alias("more"))
     by_rid = (sure.select("rid", "n").unionByName(by_sure.select("rid", "n")).unionByName(exact.select(c("x").alias("rid"), F.lit(1).cast("long").alias("n")))
               .unionByName(exact.select(c("y").alias("rid"), F.lit(1).cast("long").alias("n"))).groupBy("rid").agg(F.sum("n").alias("extra")))
     counts = members.join(balls.join(by_ball, "ball", "left").select("ball", (c("n") - 1 + F.coalesce("more", F.lit(0))).alias("n")), "ball").join(by_rid, "rid", "left")
-    return counts.select("rid", "vec_id", "ball", (c("n") + F.coalesce("extra", F.lit(0))).alias("n_links")), links, balls
+    return counts.select("rid", "vec_id", "ball", (c("n") + F.coalesce("extra", F.lit(0))).alias("n_links")), links
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = 0.98) -> DataFrame:
@@ -236,11 +306,14 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98) -> DataFrame:
     if tables is None:
         return stored.select("vec_id", F.lit(0).cast("long").alias("n_links"), c("vec_id").alias("component_id"), c("vec_id").isNotNull().alias("kept"))
     coded = good.select("rid", F.xxhash64("label", F.size("embedding")).alias("place"), "embedding").mapInArrow(_codes(tables), "rid long, place long, subs array<long>")
-    keyed = coded.select("rid", "place", F.explode("subs").alias("sub")).select(F.xxhash64("place", "sub").alias("key"), "rid")
-    stars = save(keyed.repartitionByRange("key", "rid").sortWithinPartitions("key", "rid").mapInArrow(_heads, "key long, rid long, head long"), "stars")
-    head = stars.groupBy("rid").agg(F.mode(F.when(c("rid") != c("head"), c("head")), True).alias("head"))
+    keyed = coded.select("rid", "place", F.explode("subs").alias("sub")).select(F.xxhash64("place", "sub").alias("key"), "rid", F.shiftright("sub", tables.width).cast("int").alias("t"))
+    stars = save(keyed.repartitionByRange("key", "rid").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long, t int"), "stars")
+    # how many others a vector meets over all tables; the one that meets most is its buckets' head
+    met = stars.join(stars.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("rid").agg(F.sum("n").alias("met"))
+    heads = stars.join(met, "rid").groupBy("key").agg(F.max(F.struct("met", "rid"))["rid"].alias("head"))
+    head = stars.join(heads, "key").groupBy("rid").agg(F.mode("head", True).alias("head"))
     busy = save(good.join(head, "rid"), "busy")
-    members, links, _ = _links(stored, stars, busy, least)
+    members, links = _links(tables, stars, busy, least)
     members = save(members, "counted")
     joined = connected_components(links)
     balls = members.groupBy("ball").agg(F.min("vec_id").alias("low")).join(_named(joined, ball="id", component="component"), "ball", "left").withColumn("component", F.coalesce("component", "ball"))

@@ -90,14 +90,29 @@ def test_equal_vectors_over_many_tasks(spark):
     assert found(spark, rows, 7) == brute(rows)
 
 
-def test_heads_across_batches():
+def test_shared_keys_across_batches():
     import pyarrow as pa
 
-    rows = [(k // 5, k) for k in range(40)] + [(100, 1000), (101, 1001), (102, 1002), (102, 1003)]
-    first = {}
-    for k, r in rows:
-        first.setdefault(k, r)
-    for step in (1, 2, 3, 7, 44):
-        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + step]], "rid": [r for _, r in rows[i : i + step]]}) for i in range(0, len(rows), step)]
-        got = [tuple(x.values()) for b in E._heads(iter(batches)) for x in b.to_pylist()]
-        assert got == [(k, r, first[k]) for k, r in rows if k not in (100, 101)]
+    rows = [(k // 5, k, 0) for k in range(40)] + [(100, 1000, 0), (101, 1001, 0), (102, 1002, 0), (102, 1003, 0), (103, 1004, 0), (104, 1005, 0)]
+    for head in ([], [(-1, -1, 0)]):
+        for step in (1, 2, 3, 7, 44):
+            all_ = head + rows
+            batches = [pa.RecordBatch.from_pylist([{"key": k, "rid": r, "t": t} for k, r, t in all_[i : i + step]]) for i in range(0, len(all_), step)]
+            got = [tuple(x.values()) for b in E._shared(iter(batches)) for x in b.to_pylist()]
+            assert got == [r for r in all_ if r[0] not in (100, 101, 103)]
+
+
+def test_a_wide_group_in_small_blocks(spark, monkeypatch):
+    """Members about as far from each other as links go: neither balls nor pairs help, blocks of a bucket count them."""
+    monkeypatch.setattr(E, "BLOCK", 16)
+    r = np.random.default_rng(11)
+    base = r.normal(size=32)
+    base /= np.linalg.norm(base)
+    rows = []
+    for k in range(150):
+        noise = r.normal(size=32)
+        rows.append((k, (base + noise / np.linalg.norm(noise) * r.uniform(0.09, 0.15)).tolist(), 1))
+    got, want = found(spark, rows), brute(rows)
+    total = sum(x[1] for x in want)
+    assert 0.99 * total <= sum(x[1] for x in got) <= total and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+    assert [a[2] for a in got] == [b[2] for b in want]
