@@ -77,9 +77,9 @@ def downsample(df: DataFrame, target: int, seed: int = 42) -> DataFrame:
 
 def drop_leaks(train: DataFrame, unseen: DataFrame) -> DataFrame:
     """Easy mismatch questions whose distractor city is unseen go; distractor_city is compared, other topics pass."""
-    bad = unseen.select(F.col("city").alias("distractor_city")).distinct()
-    easy = F.col("topic").isin("mismatch_binary_easy", "mismatch_mcq_easy")
-    return train.where(~easy).unionByName(train.where(easy).join(bad, "distractor_city", "left_anti").select(train.columns))
+    bad = unseen.select(F.col("city").alias("_bad")).where("city is not null").distinct()
+    easy = F.coalesce(F.col("topic").isin("mismatch_binary_easy", "mismatch_mcq_easy"), F.lit(False))
+    return train.join(bad, F.col("distractor_city") == F.col("_bad"), "left").where(~easy | F.col("_bad").isNull()).select(train.columns)
 
 
 def leak_audit(train: DataFrame, unseen: DataFrame) -> DataFrame:

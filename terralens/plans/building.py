@@ -13,12 +13,14 @@ from terralens.operators import quality as Y
 from terralens.operators import questions as Q
 from terralens.operators import records as R
 from terralens.plans import fixtures as X
-from terralens.plans.asking import _oracle
+from terralens.plans.asking import _HAVE, _oracle
 from terralens.plans.splits import FLAT, SEEN, SPLIT
 
 C = F.col
 S, L = f"s as ({X.SAMPLES})", f"l as ({X.LOCATIONS})"
-TOPICS = ["land_use", "road_type", "green_space"]
+TOPICS = ["land_use", "building_height", "road_type", "urban_density", "green_space", "amenity_richness", "road_surface", "junction_type", "water_proximity", "transit_density"]
+FEW = ["land_use", "road_type", "green_space"]
+OTHERS = ["camera_direction", "mismatch_binary", "mismatch_mcq"]
 LEVELS = "case when c_custkey % 13 = 0 then 'x' when median_levels is not null then concat(cast(median_levels - 2 as string), '.0') end"
 
 
@@ -28,6 +30,13 @@ def _asked(s, d):
     return phrases.phrased(q).withColumns({"options": F.map_from_arrays(letters, "options"), "pos": F.array_position(F.array(*map(F.lit, TOPICS)), C("topic")).cast("int")})
 
 
+def _worded(s, d):
+    """The text of each question: ten topics where they have an answer, the others for all samples."""
+    x = X.samples(s, d)
+    rest = x.select("sample_id", F.explode(F.array(*map(F.lit, OTHERS))).alias("topic"))
+    return phrases.phrased(Q.choice_questions(x).select("sample_id", "topic").unionByName(rest)).select("sample_id", "topic", "question")
+
+
 def _sample_rows(s, d):
     at = X.locations(s, d).select("sample_id", "lat", "lon", "country")
     names = {"city": "city_name", "land_use": "land_use_category", "building_count": "osm_building_count", "amenity_count": "osm_amenity_count", "has_park": "osm_has_park", "water_m": "osm_water_distance_m", "transit_stops": "osm_transit_stop_count",
@@ -168,7 +177,7 @@ QUERIES = {
     "question_frame": lambda s, d: reports.question_frame(_records(s, d)),
     "split_report": lambda s, d: reports.split_report(_split_tagged(s, d)),
     "accuracy_lines": lambda s, d: reports.accuracy_lines(_scored_topics(s, d)),
-    "question_text": lambda s, d: phrases.phrased(Q.choice_questions(X.samples(s, d), TOPICS)).select("sample_id", "topic", "question"),
+    "question_text": _worded,
     "build_record": _record_fields,
     "promote_record": _promoted,
     "run_summary": lambda s, d: A.run_summary(_records(s, d)).withColumn("n", F.round("n", 6)),
@@ -191,28 +200,29 @@ QUERIES = {
     "split_counts": lambda s, d: split.split_counts(split.split_per_city(X.locations(s, d))),
     "adjusted_targets": lambda s, d: split.adjusted_targets(X.questions(s, d), 4600),
     "sample_rows": lambda s, d: select.sample_rows(X.locations(s, d), "sample_id", 300).select("sample_id"),
-    "enabled_topics": lambda s, d: Q.enabled(X.questions(s, d), TOPICS).groupBy("topic").agg(F.count("*").alias("n")),
+    "enabled_topics": lambda s, d: Q.enabled(X.questions(s, d), FEW).groupBy("topic").agg(F.count("*").alias("n")),
     "option_split": lambda s, d: Q.by_option_count(_asked(s, d).withColumn("options", F.when(C("topic") == "green_space", F.map_filter("options", lambda k, v: k.isin("A", "B"))).otherwise(C("options"))), 2).select("sample_id", "topic"),
     "merge_totals": lambda s, d: M.merge_totals(X.records(s, d)),
     "run_totals": lambda s, d: M.run_totals(X.questions(s, d).withColumn("key", F.when(C("pos") % 3 != 0, C("sample_id")).otherwise(F.when(C("pos") == 0, ""))), "key", "run_ord"),
     "snap_distance": lambda s, d: X.locations(s, d).select("sample_id", F.round(R.snap_distance(C("lat"), C("lon"), F.when(C("c_custkey") % 6 != 0, C("lat") + (C("c_custkey") % 5) / 10000.0), C("lon")), 4).alias("metres")),
     "least_bytes": lambda s, d: X.locations(s, d).select("sample_id", *(F.coalesce(R.large_enough(4990 + C("c_custkey") % 200, k), F.lit(False)).alias(k.replace(" ", "_")) for k in R.LEAST_BYTES)),
-    "requests": lambda s, d: X.samples(s, d).select("sample_id", R.wms_request((C("c_custkey") % 4) * 0.0 + 0.0, F.lit(7.5), 111320.0, 512, "ORTHO.X").alias("wms"), R.export_request(F.lit(0.0), F.lit(7.5), 55660.0, 256).alias("export")),
+    "requests": lambda s, d: X.locations(s, d).select("sample_id", R.wms_request(C("lat"), C("lon"), 100.0, 512, "ORTHO.X").alias("wms"), R.export_request(C("lat"), C("lon"), 250.0, 256).alias("export")),
     "view_paths": lambda s, d: X.samples(s, d).select("sample_id", F.array_join(R.view_paths(C("sample_id"), F.array(F.lit("along_fwd"), F.lit("cross_left"))), ",").alias("views"), F.element_at(R.arrow_paths(C("sample_id")), "cross_right").alias("arrow")),
     "arrow_head": lambda s, d: X.samples(s, d).select("sample_id", *(F.round(R.arrow_head(C("bearing"))[k], 4).alias(k) for k in ("tip_x", "tip_y", "left_x", "left_y", "right_x", "right_y"))),
 }
 _QT = "concat_ws('_', sample_id, topic, 'phrase')"
 _SQ = lambda v: v.replace("'", "''")
-_PHRASES = "case topic " + " ".join(f"when '{t}' then [" + ", ".join(f"'{_SQ(x)}'" for x in phrases.PHRASES[t]) + "]" for t in TOPICS) + " end"
+_PHRASES = "case topic " + " ".join(f"when '{t}' then [" + ", ".join(f"'{_SQ(x)}'" for x in phrases.PHRASES[t]) + "]" for t in [*TOPICS, *OTHERS]) + " end"
 _ASKED = " union all ".join(f"select sample_id, topic, answer from ({_oracle(t)})" for t in TOPICS)
 _LABEL = "case land_use when 'residential' then 'Residential' when 'commercial' then 'Commercial & Office' when 'retail' then 'Retail & Shopping' when 'industrial' then 'Industrial & Manufacturing' when 'mixed' then 'Mixed Use' when 'institutional' then 'Public Facilities & Institutions' when 'open_space' then 'Open Space & Recreation' when 'transport' then 'Transportation & Infrastructure' else coalesce(land_use, 'unknown') end"
-_COUNT = "cast((land_use in ('residential', 'commercial', 'retail', 'industrial', 'mixed', 'institutional', 'open_space', 'transport')) is true as int) + cast((road_type in ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'residential')) is true as int) + cast((has_park or (not has_park and coalesce(building_count, 0) > 20)) is true as int)"
+_AT = f"list_position([{', '.join(repr(t) for t in TOPICS)}], topic)"
 _UNION = lambda rows: " union all ".join(rows)
-REC = f"{S}, k as (select *, c_custkey % 9 <> 0 as sat, c_custkey % 5 as nv, {_COUNT} as asked, {_LABEL} as label from s)"
+REC = f"{S}, a as ({_ASKED}), an as (select sample_id, count(*) as c from a group by 1), k as (select s.*, c_custkey % 9 <> 0 as sat, c_custkey % 5 as nv, coalesce(c, 0) as asked, {_LABEL} as label from s left join an using (sample_id))"
 _SPLIT_Q = f"q as ({X.QUESTIONS}), l as (select distinct sample_id, city from q), {SPLIT[SPLIT.index('b as (select sample_id'):]}, t as (select q.*, split, list_position(['train', 'validation', 'benchmark'], split) - 1 as p from q join s using (sample_id))"
 _DIMS = _UNION(f"select p, {k} as d, '{c}' as c, {c} as v from t" for k, c in enumerate(("topic", "difficulty", "land_use", "answer")))
+_BOX = "concat_ws('%2C', " + ", ".join(f"cast({x} as varchar)" for x in ("lon - {m} / (111320.0::double * cos(radians(lat)))", "lat - {m} / 111320.0::double", "lon + {m} / (111320.0::double * cos(radians(lat)))", "lat + {m} / 111320.0::double")) + ")"
 ORACLE = {
-    "sample_frame": f"""with {REC}, a as ({_ASKED}), g as (select sample_id, string_agg(topic, ',' order by list_position(['land_use', 'road_type', 'green_space'], topic)) as topics from a group by 1)
+    "sample_frame": f"""with {REC}, g as (select sample_id, string_agg(topic, ',' order by {_AT}) as topics from a group by 1)
 select k.sample_id, city, (select any_value(country) from ({X.LOCATIONS}) l where l.city = k.city) as country, nv as sv_count, cast(asked as int) as question_count, coalesce(land_use, 'unknown') as land_use_category, building_count as osm_building_count, amenity_count as osm_amenity_count, {_REC_NUM} as osm_median_building_levels, water_m as osm_water_distance_m,
  transit_stops as osm_transit_stop_count, coalesce(has_park, false) as osm_has_park, coalesce(road_type, 'unknown') as road_type, coalesce(surface, 'unknown') as osm_road_surface, coalesce(junction, 'unknown') as osm_junction_type, 'unknown' as osm_dominant_landuse_raw, coalesce(topics, '') as topics_in_sample from k left join g using (sample_id)""",
     "question_frame": f"with {S}, a as ({_ASKED.replace('topic, answer from', 'topic, answer, difficulty from')}) select sample_id, city, topic, difficulty, answer, 4 as n_options from a join s using (sample_id)",
@@ -221,13 +231,13 @@ select cast(p * 100000 + (d + 1) * 10000 + r as int) as ord, concat('  ', c, ' '
  union all select p * 100000 + 2, concat('  Total locations: ', count(distinct sample_id)) from t group by p union all select p * 100000 + 3, concat('  Cities: ', count(distinct city), ' (', array_to_string(list_sort(list(distinct city)), ', '), ')') from t group by p""",
     "accuracy_lines": f"""with q as ({X.QUESTIONS}), n as (select topic, count(*) as n, count(*) filter (where value > 20) as k from q group by 1), a as (select *, k / cast(n as double) as acc, k / cast(n as double) - 0.6 as dl, row_number() over (order by topic) + 1 as r from n)
 select cast(r as int) as ord, concat('| ', topic, ' | ', printf('%.1f', acc * 100), '% | ', k, '/', n, ' | ', case when dl >= 0 then '+' else '' end, printf('%.1f', dl * 100), '% |') as line from a union all select 0, '| Topic | Accuracy | Correct/Total | vs Base |' union all select 1, '|-------|----------|---------------|---------|'""",
-    "question_text": f"with a as ({_ASKED}) select sample_id, topic, ({_PHRASES})[cast('0x' || substr(md5({_QT}), 1, 8) as bigint) % 10 + 1] as question from a",
-    "build_record": f"""with {REC}, a as ({_ASKED}), g as (select sample_id, string_agg(concat(topic, ':', answer), ',' order by list_position(['land_use', 'road_type', 'green_space'], topic)) as topics from a group by 1)
+    "question_text": f"with {S}, a as (select sample_id, topic from ({_HAVE}) union all select sample_id, t from s, (values ('camera_direction'), ('mismatch_binary'), ('mismatch_mcq')) v(t)) select sample_id, topic, ({_PHRASES})[cast('0x' || substr(md5({_QT}), 1, 8) as bigint) % 10 + 1] as question from a",
+    "build_record": f"""with {REC}, g as (select sample_id, string_agg(concat(topic, ':', answer), ',' order by {_AT}) as topics from a group by 1)
 select k.sample_id, case when sat and nv > 0 then 'sat+sv' when sat then 'sat_only' else 'sv_only' end as modality, city, '' as hood, concat('images/sat/', k.sample_id, '.png') as satellite, concat('images/sv/', k.sample_id, '_cross_left.jpg') as left_view, cast(null as varchar) as marked, label,
  building_count as buildings, {_REC_NUM} as levels, coalesce(has_park, false) as park, case when c_custkey % 6 = 0 then cast(c_custkey as varchar) end as tract, case when c_custkey % 6 = 0 and c_custkey % 5 >= 2 then c_custkey % 5 - 2 end as income, sat and nv = 4 as whole, nv as views, cast(asked as bigint) as asked,
  cast(case when c_custkey % 10 = 0 then 1 else 0 end as bigint) as n_issues, topics from k left join g using (sample_id)""",
     "promote_record": f"with {REC} select sample_id, building_count as osm_building_count, amenity_count as osm_amenity_count, road_type as highway_type, {_REC_NUM} as osm_median_levels, coalesce(has_park, false) as osm_has_park, bearing as road_bearing, false as has_questions, city, nv as views from k",
-    "run_summary": f"""with {REC}, a as ({_ASKED}) select 'total' as section, 'samples' as value, cast(count(*) as double) as n from k union all select 'total', 'valid', count(*) from k where c_custkey % 10 <> 0 union all select 'total', 'satellite', count(*) from k where sat union all select 'total', 'four views', count(*) from k where nv = 4
+    "run_summary": f"""with {REC} select 'total' as section, 'samples' as value, cast(count(*) as double) as n from k union all select 'total', 'valid', count(*) from k where c_custkey % 10 <> 0 union all select 'total', 'satellite', count(*) from k where sat union all select 'total', 'four views', count(*) from k where nv = 4
  union all select 'city', city, count(*) from k group by 2 union all select 'topic', 'land_use', count(*) from k where c_custkey % 3 = 0 union all select 'answer', substr('ABCD', cast(c_custkey % 4 + 1 as int), 1), count(*) from k where c_custkey % 3 = 0 group by 2 union all select 'land use', label, count(*) from k group by 2
  union all select 'questions', 'total', sum(asked) from k union all select 'questions', 'average', round(avg(asked), 6) from k union all select 'questions', 'least', min(asked) from k union all select 'questions', 'most', max(asked) from k union all select 'question topic', topic, count(*) from a group by 2""",
     "viewer_filter": f"with {VIEW_ALL} select sample_id, pos, topic from f",
@@ -257,7 +267,9 @@ select concat(sample_id, '_camera_direction') as question_id, c_custkey % 8 = 0
     "run_totals": f"select run_ord, count(*) filter (where pos % 3 <> 0) as total, count(*) filter (where pos % 3 = 0) as skipped from ({X.QUESTIONS}) group by 1",
     "snap_distance": f"with {L}, x as (select *, lat + (c_custkey % 5) / 10000.0::double as rlat from l) select sample_id, case when c_custkey % 6 <> 0 and c_custkey % 5 <> 0 then round(6371000.0 * 2 * asin(sqrt(power(sin((radians(rlat) - radians(lat)) / 2), 2))), 4) end as metres from x",
     "least_bytes": f"with {L}, x as (select sample_id, 4990 + c_custkey % 200 as n from l) select sample_id, n > 5000 as tile_fetch, n >= 5000 as tile_validation, n >= 5000 as view_fetch, n > 5000 as view_validation, n >= 5120 as audit from x",
-    "requests": f"with {S} select sample_id, 'SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ORTHO.X&STYLES=&CRS=CRS%3A84&BBOX=6.5%2C-1.0%2C8.5%2C1.0&WIDTH=512&HEIGHT=512&FORMAT=image%2Fpng' as wms, 'bbox=7.0%2C-0.5%2C8.0%2C0.5&bboxSR=4326&size=256%2C256&imageSR=4326&format=png32&pixelType=U8&noDataInterpretation=esriNoDataMatchAny&interpolation=RSP_BilinearInterpolation&f=image' as export from s",
+    "requests": f"""with {L}, b as (select sample_id, {_BOX.format(m=100.0)} as near, {_BOX.format(m=250.0)} as far from l)
+select sample_id, concat('SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ORTHO.X&STYLES=&CRS=CRS%3A84&BBOX=', near, '&WIDTH=512&HEIGHT=512&FORMAT=image%2Fpng') as wms,
+ concat('bbox=', far, '&bboxSR=4326&size=256%2C256&imageSR=4326&format=png32&pixelType=U8&noDataInterpretation=esriNoDataMatchAny&interpolation=RSP_BilinearInterpolation&f=image') as export from b""",
     "view_paths": f"with {S} select sample_id, concat('images/sv/', sample_id, '_along_fwd.jpg,images/sv/', sample_id, '_cross_left.jpg') as views, concat('images/arrows/', sample_id, '_cross_right.png') as arrow from s",
     "arrow_head": f"""with {S}, u as (select sample_id, sin(radians(bearing)) as ux, -cos(radians(bearing)) as uy from s), t as (select *, 256 + 80 * ux as tx, 256 + 80 * uy as ty from u)
 select sample_id, round(tx, 4) as tip_x, round(ty, 4) as tip_y, round(tx - 16 * ux - 8 * uy, 4) as left_x, round(ty - 16 * uy + 8 * ux, 4) as left_y, round(tx - 16 * ux + 8 * uy, 4) as right_x, round(ty - 16 * uy - 8 * ux, 4) as right_y from t""",
