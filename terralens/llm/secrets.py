@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
 Base kinds are patterns. The method adds spans only for what decodes: base64 or hex runs (of either case) that hold a private
-key whose nested lengths fill it exactly, armoured keys, and signed tokens whose header parses. Public keys and certificates
+key whose nested lengths fill it exactly, whatever stands before them, and over line ends or colons, armoured keys, and signed tokens whose header parses. Public keys and certificates
 are no secrets. Base spans stay whatever the method finds.
 
 Cheap byte tests over the whole batch choose the documents in which a pattern can match at all; the
@@ -32,8 +32,15 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0
 ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40})-----")
 ARMOUR_HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
 ENCRYPTED = re.compile(r"^DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,}[ \t]*$", re.M)
-HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40,}(?![0-9A-Za-z])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where an encoded key may begin, whatever stands before it: the first byte of a sequence and a length, or the magic of the other format.
+START64 = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA)")
+START_HEX = re.compile(r"(?=30:?(?:[0-7][0-9A-Fa-f]|8[1-4]):?[0-9A-Fa-f]{2}|6[Ff]:?70:?65:?6[Ee]:?73:?73:?68:?2[Dd])")
+#: Digits that go on after a key, on its line or as a line of their own.
+HEX_MORE = re.compile(r":?[0-9A-Fa-f]{2}|:?[ \t]*\r?\n[ \t]*(?:[0-9A-Fa-f]{2}:?)+(?![0-9A-Za-z])")
+RUN64, MORE64 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[A-Za-z0-9+/_-]")
+#: What may stand between the lines of an encoding, and between its bytes if these are written apart.
+BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+PAIR = re.compile(r":?(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*)?([0-9A-Fa-f]{2})")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -136,6 +143,92 @@ def _unbase64(text: str) -> bytes | None:
         return None
 
 
+def _stated(data: bytes) -> int | None:
+    """How many bytes a key that begins so has at least, as far as its lengths are known; None if no key begins so."""
+    if data[:1] == b"o":
+        p = 15
+        for _ in range(3):
+            if len(data) < p + 4:
+                return p + 4
+            p += 4 + int.from_bytes(data[p : p + 4], "big")
+        if len(data) < p + 4:
+            return p + 4
+        more, p = int.from_bytes(data[p : p + 4], "big") + 1, p + 4
+        if more > 1 << 10:
+            return None
+        for _ in range(more):
+            if len(data) < p + 4:
+                return p + 4
+            p += 4 + int.from_bytes(data[p : p + 4], "big")
+        return p
+    if len(data) < 9 or data[0] != _SEQUENCE:
+        return 9 if data[:1] == b"0" else None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return None
+    size = int.from_bytes(data[2 : 2 + n], "big") if n else data[1]
+    at = 2 + n
+    # a version or an algorithm comes first
+    first = data[at : at + 2] == b"\x02\x01" or data[at] == _SEQUENCE
+    return at + size if first and size >= 14 else None
+
+
+def _base64_at(text: str, p: int) -> tuple[bytes, int] | None:
+    """The bytes of a key whose base64 begins at p, over line ends, and where it ends; None if none does."""
+    data, end, quads = b"", p, ""
+    while True:
+        need = _stated(data) if data else 9
+        if need is None:
+            return None
+        if need <= len(data):
+            break
+        left = -(-need * 4 // 3) - len(quads)
+        while left > 0:
+            m = RUN64.match(text, end, end + left)
+            if m:
+                quads, end, left = quads + m[0], m.end(), left - len(m[0])
+            elif quads and (m := BREAK.match(text, end)):
+                end = m.end()
+            else:
+                return None
+        data = _unbase64(quads if len(quads) % 4 != 1 else quads[:-1]) or b""
+        if not data:
+            return None
+    end += next((k for k in range(-len(quads) % 4, 0, -1) if text.startswith("=" * k, end)), 0)
+    return data[:need], end
+
+
+def _hex_at(text: str, p: int) -> tuple[bytes, int] | None:
+    """The same for hexadecimal digits, with or without colons."""
+    data, end = bytearray(), p
+    while True:
+        need = _stated(bytes(data)) if data else 9
+        if need is None:
+            return None
+        if need <= len(data):
+            return bytes(data[:need]), end
+        whole = text[end : end + 2 * (need - len(data))]
+        if len(whole) == 2 * (need - len(data)) and whole.isalnum() and whole.isascii() and not whole.strip("0123456789abcdefABCDEF"):
+            data += bytes.fromhex(whole)
+            end += len(whole)
+        while len(data) < need:
+            m = PAIR.match(text, end)
+            if not m:
+                return None
+            data.append(int(m[1], 16))
+            end = m.end()
+
+
+def encoded_keys(text: str, start: re.Pattern, read) -> Iterator[tuple[int, int]]:
+    """Spans of encoded private keys, by their own lengths; of nested ones the outer counts. What goes on in the same alphabet where a key should end is none."""
+    done = 0
+    more = HEX_MORE if start is START_HEX else MORE64
+    for m in start.finditer(text):
+        if m.start() >= done and (found := read(text, m.start())) and is_key(found[0]) and not more.match(text, found[1]):
+            done = found[1]
+            yield m.start(), done
+
+
 def is_signed_token(text: str) -> bool:
     """The header decodes to an object that names its algorithm, and the claims decode to an object."""
     head, claims, _ = text.split(".")
@@ -181,9 +274,9 @@ def scan(text: str, raw: bytes, hexes: list[tuple[int, int]], long_run: bool, lo
     if b"-----BEGIN " in raw:
         found += [(s, 4, e) for s, e in armoured_keys(text)]
     if long_run:
-        found += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if (body := _unbase64(m[0])) and is_key(body)]
-    if long_hex:
-        found += [(m.start(), 5, m.end()) for m in HEX.finditer(text) if (m.end() - m.start()) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
+        found += [(s, 5, e) for s, e in encoded_keys(text, START64, _base64_at)]
+    if long_hex or b"30:" in raw or b":70:65:" in raw:
+        found += [(s, 5, e) for s, e in encoded_keys(text, START_HEX, _hex_at)]
     return sorted(set(found))
 
 
@@ -211,7 +304,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 rows = [[] for _ in range(6)]
                 hs, he, hd = _runs(data, off, _HEX, 24)
                 _, _, ld = _runs(data, off, _B64, 40)
-                _, _, xd = _runs(data, off, _ANY_HEX, 40)
+                _, _, xd = _runs(data, off, _ANY_HEX, 32)
                 chars = np.concatenate([[0], np.cumsum(K.char_starts(data))])
                 hexes: dict[int, list[tuple[int, int]]] = {}
                 for s, e, d in zip(hs.tolist(), he.tolist(), hd.tolist(), strict=True):

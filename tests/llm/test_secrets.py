@@ -106,3 +106,27 @@ def test_a_failing_candidate_hides_no_token(spark):
     tok = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": 1})) + ".c2ln"
     docs = spark.createDataFrame([(1, f"eyJx.{tok}"), (1, f"eyJx.eyJy.{tok} {tok}"), (None, "eyJ." * 20000)], "doc_id long, text string")
     assert sorted(r.spans for r in secrets.find_secrets(docs).collect()) == sorted([f"jwt:5:{5 + len(tok)}", f"jwt:10:{10 + len(tok)},jwt:{11 + len(tok)}:{11 + 2 * len(tok)}", ""])
+
+
+def test_keys_in_any_surroundings(spark):
+    """A key is found by its own lengths: after 0x, in lines without armour, with colons, and with letters, slashes or dashes in front; no public key is."""
+    rows, want = [], {}
+    for k, raw in enumerate(PRIVATE + OTHER):
+        b, h = base64.b64encode(raw).decode(), raw.hex()
+        lines = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+        forms = [(b, "/", ""), (b, "-", ""), (b, "key_", " x"), (b, "path/to/", "\""), (lines(b, 64), "é ", "\n."), (lines(b, 76, "\r\n  "), "", ""), (lines(b, 64, "\\n"), "'", "'"), (h, "0x", ""), (h, "key_", ""), (lines(h, 2, ":"), "", "!"),
+                 (lines(lines(h, 2, ":"), 45, "\n    "), "", ""), (lines(h, 64), "", "\n"), (h.upper(), "/", "g"), (b, "A1b2/", "")]
+        for f, (form, before, after) in enumerate(forms):
+            rows.append((100 * k + f, before + form + after))
+            want[100 * k + f] = f"key:{len(before)}:{len(before) + len(form)}" if k < len(PRIVATE) else None
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        keys = [x for x in got[d].split(",") if x.startswith("key")]
+        assert keys == ([want[d]] if want[d] else []), (d, t[:40], keys)
+
+
+def test_many_starts_that_are_no_keys(spark):
+    """Texts full of beginnings cost no more than their length allows."""
+    texts = ["MIICXQIBAAKBgQ" * 40_000, "3082025d020100" * 40_000, "30:82:02:5d:02:01:00:" * 20_000, "b3BlbnNzaC1rZXktdjEA" * 20_000, "MIIC\n" * 60_000]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.n_confirmed == 0 for r in got)
