@@ -128,7 +128,7 @@ def _codes(found: Tables):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those of keys that others have too. A task's first and last key may go on in another: their rows all come out."""
+    """Of rows sorted by key, those of keys that others have too, and how many of them were seen together (in a batch). A task's first and last key may go on in another: their rows all come out."""
     held, before, opening = None, None, True
     for b in batches:
         if not len(b):
@@ -140,13 +140,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = ~new | np.concatenate([~new[1:], [True]])
         busy[0] |= opening
         opening = opening and len(k) == 1
-        out = b.slice(0, len(b) - 1).filter(pa.array(busy[:-1]))
+        run = np.cumsum(new) - new[0]
+        counted = b.append_column("n", pa.array(np.bincount(run)[run]))
+        out = counted.slice(0, len(b) - 1).filter(pa.array(busy[:-1]))
         before = k[-2] if len(k) > 1 else before
-        held = b.slice(len(b) - 1)
+        held, last = b.slice(len(b) - 1), counted.slice(len(b) - 1)
         if len(out):
             yield out
     if held is not None:
-        yield held
+        yield last
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, each with the first row that its key has in this task."""
+    key, head = None, None
+    for b in batches:
+        if len(b):
+            k, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
+            first = rid[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            if not new[0]:
+                first[np.cumsum(new) == 0] = head
+            key, head = k[-1], first[-1]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(first)], names=["rid", "head"])
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -307,11 +323,11 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98) -> DataFrame:
         return stored.select("vec_id", F.lit(0).cast("long").alias("n_links"), c("vec_id").alias("component_id"), c("vec_id").isNotNull().alias("kept"))
     coded = good.select("rid", F.xxhash64("label", F.size("embedding")).alias("place"), "embedding").mapInArrow(_codes(tables), "rid long, place long, subs array<long>")
     keyed = coded.select("rid", "place", F.explode("subs").alias("sub")).select(F.xxhash64("place", "sub").alias("key"), "rid", F.shiftright("sub", tables.width).cast("int").alias("t"))
-    stars = save(keyed.repartitionByRange("key", "rid").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long, t int"), "stars")
-    # how many others a vector meets over all tables; the one that meets most is its buckets' head
-    met = stars.join(stars.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("rid").agg(F.sum("n").alias("met"))
-    heads = stars.join(met, "rid").groupBy("key").agg(F.max(F.struct("met", "rid"))["rid"].alias("head"))
-    head = stars.join(heads, "key").groupBy("rid").agg(F.mode("head", True).alias("head"))
+    stars = save(keyed.repartitionByRange("key", "rid").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long, t int, n long"), "stars")
+    # how many others a vector meets over all tables; the one that meets most is its buckets' head. A bucket that is cut by the ranges has a head in each
+    met = stars.groupBy("rid").agg(F.sum("n").alias("met"))
+    ranked = stars.select("key", "rid").join(met, "rid").repartitionByRange("key", "rid").sortWithinPartitions("key", F.desc("met"), "rid")
+    head = ranked.select("key", "rid").mapInArrow(_heads, "rid long, head long").groupBy("rid").agg(F.mode("head", True).alias("head"))
     busy = save(good.join(head, "rid"), "busy")
     members, links = _links(tables, stars, busy, least)
     members = save(members, "counted")

@@ -99,7 +99,13 @@ def test_shared_keys_across_batches():
             all_ = head + rows
             batches = [pa.RecordBatch.from_pylist([{"key": k, "rid": r, "t": t} for k, r, t in all_[i : i + step]]) for i in range(0, len(all_), step)]
             got = [tuple(x.values()) for b in E._shared(iter(batches)) for x in b.to_pylist()]
-            assert got == [r for r in all_ if r[0] not in (100, 101, 103)]
+            assert [x[:3] for x in got] == [r for r in all_ if r[0] not in (100, 101, 103)]
+            assert step < 44 or [x[3] for x in got if 0 <= x[0] < 8] == [5] * 40
+            first = {}
+            for k, r, _ in all_:
+                first.setdefault(k, r)
+            got = [tuple(x.values()) for b in E._heads(iter(batches)) for x in b.to_pylist()]
+            assert got == [(r, first[k]) for k, r, _ in all_]
 
 
 def test_a_wide_group_in_small_blocks(spark, monkeypatch):
