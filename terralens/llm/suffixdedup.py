@@ -8,7 +8,8 @@ The work is cut so that equal windows meet in one shard:
    of one anchor form a run; equal windows have equal anchors at the same place. Of runs that are equal to the last
    byte within one slice of text, all but the earliest are done here. A task remembers runs that it has met repeatedly, so a
    passage that is everywhere sends about one row a task to its anchor's partition.
-2. Runs meet by anchor hash, sorted, and are read as a stream. Equal runs: all but the earliest are repeats. An anchor with one
+2. Runs meet by anchor hash, sorted, and are read as a stream. Anchors that have a large share of the runs of a part of the documents are dealt by the runs' content
+   too, so that none fills a task (which anchors these are changes only where rows go). Equal runs: all but the earliest are repeats. An anchor with one
    kind of run has no other repeats. What is left are the earliest runs of anchors with several kinds: the
    surroundings of edits and of passage ends.
 3. Those runs' bytes are collected in shards by anchor. A shard's suffix array is induced, and windows of a common
@@ -38,6 +39,8 @@ HOT = 4000
 #: A hot anchor's rows are spread over so many parts where they meet the list of hot anchors.
 SALT = 64
 SHARD_BYTES = 1 << 19
+#: One document in so many is looked at for hot anchors; an anchor is hot if it has this many runs there, and a share of them over that of 1 / HOT_PARTS of a partition.
+HOT_SAMPLE, HOT_RUNS, HOT_PARTS = 64, 8, 64
 #: Repeated runs, or windows of hot anchors, that a task remembers at most; it only saves rows.
 REMEMBERED = 1 << 17
 _POS_BITS = 24
@@ -195,12 +198,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None  # the only kind's earliest run so far of the current anchor
     names = ["h", "doc_id", "place", "lo", "n", "done"]
     for b in batches:
-        h, content, doc, place, lo, n, done = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        h, content, doc, place, lo, n, done, part = (b.column(k).to_numpy(zero_copy_only=False) for k in range(8))
         settled = np.flatnonzero(done)
         if len(settled):
             yield pa.RecordBatch.from_arrays([pa.array(x[settled]) for x in (h, doc, place, lo, n, done)], names=names)
         open_ = np.flatnonzero(~done)
-        h, content, doc, place, lo, n = (x[open_] for x in (h, content, doc, place, lo, n))
+        h, content, doc, place, lo, n, part = (x[open_] for x in (h, content, doc, place, lo, n, part))
         m = len(h)
         if not m:
             continue
@@ -216,7 +219,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = ~same  # earliest of its kind
         group = np.cumsum(~same_h) - (0 if same_h[0] else 1)  # group 0 may go on from the last batch
         kinds = np.bincount(group, weights=first, minlength=group[-1] + 1)
-        several = kinds[group] > 1
+        several = (kinds[group] > 1) | (part > 0)  # a hot anchor's other kinds are elsewhere
         extra = []
         if same_h[0]:
             in_first = group == 0
@@ -228,7 +231,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group[-1] > 0 or not same_h[0]:
             in_last = group == group[-1]
             only = np.flatnonzero(in_last & first)
-            waiting = (h[only[0]], doc[only[0]], place[only[0]], lo[only[0]], n[only[0]]) if len(only) == 1 else None
+            waiting = (h[only[0]], doc[only[0]], place[only[0]], lo[only[0]], n[only[0]]) if len(only) == 1 and not part[only[0]] else None
         out = np.flatnonzero(repeat | (first & several))
         cols = [x[out] for x in (h, doc, place, lo, n)]
         if extra:
@@ -383,6 +386,22 @@ def _remove(window: int, digest: bool):
     return run
 
 
+def hot_anchors(docs: DataFrame, window: int, gram: int) -> list[int]:
+    """Anchors that would fill a good part of a task: at most ``HOT_PARTS`` for each shuffle partition."""
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "place"), F.lit(HOT_SAMPLE)) == 0)
+    seen = save(few.mapInArrow(_find_runs(window, gram), _RUN).where("not done").groupBy("h").count().where(F.col("count") >= HOT_RUNS), "anchors")
+    parts = HOT_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [r.h for r in seen.orderBy(F.desc("count"), "h").limit(parts).collect()]
+
+
+def _dealt(found: DataFrame, hot: list[int]) -> DataFrame:
+    """Runs with ``part``: 0, or a positive number by their content for hot anchors."""
+    if not hot:
+        return found.withColumn("part", F.lit(0))
+    names = F.broadcast(found.sparkSession.createDataFrame([(x,) for x in hot], "h long").withColumn("_hot", F.lit(True)))
+    return found.join(names, "h", "left").select("h", "content", "doc_id", "place", "lo", "n", "done", F.when(F.col("_hot"), F.pmod("content", F.lit(256)) + 1).otherwise(0).cast("int").alias("part"))
+
+
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), or kept_sha256 with ``digest``.
 
@@ -392,7 +411,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
     found = docs.where("doc_id is not null").mapInArrow(_find_runs(window, gram), _RUN)
-    settled = save(found.repartition("h").sortWithinPartitions("h", "content", "doc_id", "place", "lo").mapInArrow(_settle, _SETTLED), "runs")
+    dealt = _dealt(found, hot_anchors(docs.where("doc_id is not null"), window, gram))
+    settled = save(dealt.repartition("h", "part").sortWithinPartitions("h", "content", "doc_id", "place", "lo").mapInArrow(_settle, _SETTLED), "runs")
     # hot anchors are few (each has over HOT rows), so they are repeated for each part of a salted join
     salt = lambda c: c.withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALT)).cast("int"))
     open_ = salt(settled.where("not done"))

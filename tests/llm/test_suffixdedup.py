@@ -142,3 +142,26 @@ def test_a_task_remembers_what_is_everywhere():
     kinds = sum(not x for x in out[0].column("done").to_pylist())
     assert sum(not x for b in out for x in b.column("done").to_pylist()) == kinds
     assert {d for b in out for d, x in zip(b.column("doc_id").to_pylist(), b.column("done").to_pylist(), strict=True) if not x} == {0}
+
+
+def test_an_anchor_with_many_surroundings(spark, monkeypatch):
+    """A short boilerplate in ever other surroundings: its runs are dealt over many tasks, and the result is that of brute force."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(8)
+    word = lambda: "".join(chr(97 + c) for c in rng.randint(0, 26, 9))
+    rows = [(d, " ".join(word() for _ in range(9)) + " -- the very same forty bytes of notice -- " + " ".join(word() for _ in range(9))) for d in range(1500)]
+    rows += [(2000 + d, rows[d * 7][1]) for d in range(40)] + [(3000 + d, rows[d * 5][1][30:170]) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
+    for least, found in ((8, True), (10**9, False)):
+        monkeypatch.setattr(suffixdedup, "HOT_RUNS", least)
+        monkeypatch.setattr(suffixdedup, "HOT_SAMPLE", 4)
+        hot = suffixdedup.hot_anchors(placed, 100, 24)
+        assert bool(hot) == found
+        assert rows_of(suffixdedup.remove_repeats(docs, digest=True)) == brute(rows)
+        if found:
+            runs = placed.mapInArrow(suffixdedup._find_runs(100, 24), suffixdedup._RUN)
+            sizes = [r["count"] for r in suffixdedup._dealt(runs, hot).repartition(16, "h", "part").groupBy(F.spark_partition_id()).count().collect()]
+            before = [r["count"] for r in runs.repartition(16, "h").groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 1.5 * np.median(sizes) and max(before) > 2 * np.median(before)
