@@ -49,6 +49,21 @@ def split_seen_unseen(locations: DataFrame, unseen: DataFrame, bench: float = 0.
             .select(*locations.columns, split.alias("split"), F.when(F.col("u"), "unseen").otherwise("seen").alias("city_type")))
 
 
+def split_fields(split: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Rows of any split (city, split) with city_type, and benchmark_city_type (seen_city or unseen_city; null outside the benchmark)."""
+    new = unseen.select(F.col("city").alias("_city")).where("city is not null").distinct()
+    kind = F.when(F.col("_city").isNotNull(), "unseen").otherwise("seen")
+    keep = [c for c in split.columns if c not in ("city_type", "benchmark_city_type")]
+    return split.join(new, F.col("city") == F.col("_city"), "left").select(*keep, kind.alias("city_type"), F.when(F.col("split") == "benchmark", F.concat(kind, F.lit("_city"))).alias("benchmark_city_type"))
+
+
+def unlisted_cities(locations: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Cities in neither list (dimensions: city), whose locations go to train, with a line of warning: city, n_locations, warning."""
+    listed = seen.select("city").unionByName(unseen.select("city")).where("city is not null").distinct()
+    n = locations.where("city is not null").groupBy("city").agg(F.count("*").alias("n_locations"))
+    return n.join(listed, "city", "left_anti").withColumn("warning", F.concat(F.lit("WARNING: City '"), "city", F.lit("' not in seen or unseen lists, assigning to train")))
+
+
 def _allocated(n: DataFrame, target: int) -> DataFrame:
     """n: rows of each stratum. Adds ``take``."""
     t = Window.partitionBy("topic")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralens.operators import flatten, split
+from terralens.operators import flatten, pixels, split
 from terralens.operators import records as R
 from terralens.plans import fixtures as X
 from terralens.plans.splits import FLAT, SEEN
+from terralens.sources import pictures
 
 C = F.col
 S, L = f"s as ({X.SAMPLES})", f"l as ({X.LOCATIONS})"
@@ -37,6 +38,20 @@ def _projections(s, d):
                                   census["tract"].alias("tract"), census["income"].alias("income"), R.is_tunnel(k % 200, k % 100, k % 150).alias("tunnel"), size["width"].alias("width"), size["height"].alias("height"), F.round(end["x"], 4).alias("x"), F.round(end["y"], 4).alias("y"))
 
 
+def _drawn(s, d):
+    """A small picture for each sample, by a rule of its key."""
+    k, w = C("c_custkey"), C("c_custkey") % 4 + 5
+    value = lambda i: (k * 7 + F.floor(i / 3) % w * 13 + F.floor(i / (w * 3)) * 29 + i % 3 * 53 * (k % 3)) % 256
+    digits = F.transform(F.sequence(F.lit(0), (w * 12 - 1).cast("int")), lambda i: F.lpad(F.hex(value(i)), 2, "0"))
+    return X.samples(s, d).select(C("sample_id").alias("key"), w.cast("int").alias("width"), F.lit(4).alias("height"), F.unhex(F.array_join(digits, "")).alias("rgb"))
+
+
+def _picture_means(s, d):
+    """Channel means of pictures that have been written as PNG and read again, and which of them show a tunnel."""
+    m = pixels.channel_means(pictures.decoded(pictures.encoded(_drawn(s, d))))
+    return m.select(C("key").alias("sample_id"), *(F.round(x, 6).alias(x) for x in "rgb"), R.is_tunnel(C("r"), C("g"), C("b")).alias("tunnel"))
+
+
 def _status(s, d):
     k = C("c_custkey")
     return X.locations(s, d).select("sample_id", R.view_status(C("lat"), C("lon"), F.when(k % 6 != 0, C("lat") + (k % 20) / 10000.0), C("lon")).alias("status"))
@@ -60,6 +75,7 @@ def _integrity(s, d):
 
 
 QUERIES = {
+    "picture_means": _picture_means,
     "source_allow_list": lambda s, d: R.source_allowed(_sources(s, d), allow=["NAIP", "IGN"]).select("sample_id", "source"),
     "source_deny_list": lambda s, d: R.source_allowed(_sources(s, d), deny=["S2"]).select("sample_id", "source"),
     "tile_fallback": lambda s, d: R.choose_tile(_sources(s, d).select("sample_id", "source"), _tiles(s, d)),
@@ -74,6 +90,8 @@ QUERIES = {
 _CHAIN = "case source when 'NAIP' then ['NAIP', 'ESRI', 'S2'] when 'IGN' then ['IGN', 'ESRI', 'S2'] when 'ESRI' then ['ESRI', 'S2'] when 'S2' then ['S2'] else [] end"
 _U = "cast('0x' || substr(md5(concat_ws('_', '42', city, cast(attempt as string), '{k}')), 1, 8) as bigint) / 4294967296.0::double"
 ORACLE = {
+    "picture_means": f"""with {S}, p as (select sample_id, c_custkey as k, c_custkey % 4 + 5 as w, unnest(range(0, (c_custkey % 4 + 5) * 12)) as i from s), v as (select sample_id, i % 3 as c, (k * 7 + (i // 3) % w * 13 + i // (w * 3) * 29 + i % 3 * 53 * (k % 3)) % 256 as v from p),
+m as (select sample_id, avg(v) filter (where c = 0) as r, avg(v) filter (where c = 1) as g, avg(v) filter (where c = 2) as b from v group by 1) select sample_id, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b, greatest(r, g, b) - least(r, g, b) > 40 as tunnel from m""",
     "source_allow_list": f"with {S}, x as (select sample_id, {SRC} as source from s) select * from x where source in ('NAIP', 'IGN')",
     "source_deny_list": f"with {S}, x as (select sample_id, {SRC} as source from s) select * from x where source is null or source <> 'S2'",
     "tile_fallback": f"""with {S}, x as (select sample_id, c_custkey, {SRC} as source from s), c as (select sample_id, c_custkey, unnest({_CHAIN}) as t, unnest(range(1, len({_CHAIN}) + 1)) as step from x),

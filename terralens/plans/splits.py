@@ -73,6 +73,8 @@ QUERIES = {
     "benchmark_split": lambda s, d: split.pick_share(X.locations(s, d), 0.10, 42).select("sample_id", "city"),
     "per_city_split": lambda s, d: split.split_per_city(X.locations(s, d)).select("sample_id", "city", "split"),
     "seen_unseen_split": lambda s, d: split.split_seen_unseen(X.locations(s, d), X.unseen(s, d)).select("sample_id", "city", "split", "city_type"),
+    "split_fields": lambda s, d: split.split_fields(split.split_per_city(X.locations(s, d)), X.unseen(s, d)).select("sample_id", "split", "city_type", "benchmark_city_type"),
+    "unlisted_cities": lambda s, d: split.unlisted_cities(X.locations(s, d), s.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 = 1").select(F.col("n_name").alias("city")), X.unseen(s, d)),
     "allocation_table": lambda s, d: split.allocation(_renamed(s, d), TARGET),
     "stratified_downsample": lambda s, d: split.downsample(_renamed(s, d), TARGET).select(*COLS, "land_use"),
     "leak_filter": lambda s, d: split.drop_leaks(_train(s, d), X.unseen(s, d)).select("question_id", "topic", "distractor_city"),
@@ -95,6 +97,8 @@ select deduped.city, split, count(*) as n_questions, count(distinct sample_id) a
     "benchmark_split": f"with {SPLIT} select sample_id, city from s where split = 'benchmark'",
     "per_city_split": f"with {SPLIT} select * from s",
     "seen_unseen_split": f"with {SEEN} select * from s",
+    "split_fields": f"with {SPLIT}, u as (select n_name as city from nation where n_nationkey % 3 = 0) select sample_id, split, case when city in (select city from u) then 'unseen' else 'seen' end as city_type, case when split = 'benchmark' then case when city in (select city from u) then 'unseen_city' else 'seen_city' end end as benchmark_city_type from s",
+    "unlisted_cities": f"with {L} select city, count(*) as n_locations, concat('WARNING: City ', chr(39), city, chr(39), ' not in seen or unseen lists, assigning to train') as warning from l where n_nationkey % 3 = 2 group by 1",
     "allocation_table": f"with {ALLOC} select * from alloc",
     "stratified_downsample": f"""with {ALLOC} select {_C}, land_use from (select r.*, take, row_number() over (partition by topic, city, land_use, difficulty, answer order by md5(concat_ws('_', '42', question_id))) as r
  from renamed r join alloc using (topic, city, land_use, difficulty, answer)) where r <= take""",
