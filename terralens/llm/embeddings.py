@@ -32,7 +32,7 @@ THIN = 12
 #: Two vectors of cosine 0.98 share a bit with probability 0.94 and so none of 16 substrings of 20 bits with probability 0.006; of cosine 0.99, 0.0002.
 TABLES, WIDTH = 16, 20
 #: Balls of a bucket that are compared at once with as many others.
-BLOCK = 1024
+BLOCK = 128
 #: Longer vectors are folded to this length by signed sums for their codes.
 FOLD = 512
 #: Angles are compared with this margin; what lies within it is decided on the vectors themselves.
