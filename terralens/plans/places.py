@@ -97,10 +97,29 @@ def _snap(s, d):
     return spatial.snap_to_road(X.locations(s, d), X.roads(s, d)).select("sample_id", "way", "pos", F.round(C("d") * 1e9, 3).alias("d"))
 
 
+# every raw use and building type that a rule names, and some that none does
+_USES = X.pick("c_custkey % 13", ["recreation_ground", "grass", "forest", "meadow", "industrial", "railway", "retail", "commercial", "residential", "cemetery", None, None, None])
+_TYPES = X.pick("cast(floor(c_custkey / 13) as int) % 27", ["apartments", "house", "detached", "terrace", "residential", "semidetached_house", "church", "school", "hospital", "university", "public", "civic", "government", "commercial", "office", "retail", "supermarket",
+                                                     "industrial", "warehouse", "manufacture", "shed", None, None, None, None, None, None])
+_PLACE = f"select sample_id, c_custkey, {_USES} as raw, {_TYPES} as top, (c_custkey * 7 + 1) % 30 as b, c_custkey * 29 % 40 as a, c_custkey % 3 = 0 as park, c_custkey % 2 = 0 as res, c_custkey % 5 in (0, 2) as lively"
+
+
 def _land_use(s, d):
-    x = X.samples(s, d)
-    types = F.array(F.when(C("c_custkey") % 2 == 0, "cafe"), F.when(C("c_custkey") % 3 == 0, "bar"))
-    return x.select("sample_id", rules.land_use(C("landuse_raw"), C("top_type"), F.coalesce(C("c_custkey") % 5 == 2, F.lit(False)), types, F.coalesce("has_park", F.lit(False)), F.coalesce("building_count", F.lit(0)), C("amenity_count")).alias("land_use"))
+    x = X.samples(s, d).selectExpr(*_select(_PLACE))
+    types = F.expr("case c_custkey % 5 when 0 then array('cafe', 'bar') when 1 then array('cafe', 'school') when 2 then array('school', 'bank', 'shop') else array() end")
+    return x.select("sample_id", rules.land_use(C("raw"), C("top"), C("res"), types, C("park"), C("b"), C("a")).alias("land_use"))
+
+
+def _select(sql: str) -> list[str]:
+    """The expressions of a select list; commas in brackets don't part them."""
+    out, depth, last = [], 0, 0
+    text = sql.removeprefix("select ")
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            out.append(text[last:k])
+            last = k + 1
+    return [*out, text[last:]]
 
 
 def _junction(s, d):
@@ -169,10 +188,11 @@ n as (select city, attempt, way, pos, row_number() over (partition by city, atte
 o as (select *, row_number() over (partition by city order by attempt) as i from n where k = 1) select concat_ws('_', city, lpad(cast(i as varchar), 4, '0')) as sample_id, attempt, way, pos from o where i <= 5""",
     "road_bearing": f"with r as ({X.ROADS}), b as (select way, pos, lat, lon, lead(lat) over w as nlat, lead(lon) over w as nlon, lag(lat) over w as plat, lag(lon) over w as plon from r window w as (partition by way order by pos)) select way, pos, round(coalesce({BEAR.format(a='', b='n')}, {BEAR.format(a='p', b='').replace('radians(lon - plon)', 'radians(lon - plon)')}), 6) as bearing from b where nlat is not null or plat is not null",
     "snap_to_road": f"with l as ({X.LOCATIONS}), r as ({X.ROADS}), p as (select sample_id, way, pos, (r.lat - l.lat) * (r.lat - l.lat) + (r.lon - l.lon) * (r.lon - l.lon) as d from l join r on r.lat >= l.lat - 0.0021 and r.lat <= l.lat + 0.0021 and abs(r.lat - l.lat) <= 0.002 and abs(r.lon - l.lon) <= 0.002) select sample_id, way, pos, round(d * 1e9, 3) as d from (select *, row_number() over (partition by sample_id order by d, way, pos) as k from p) where k = 1",
-    "land_use": f"""with {S}, x as (select *, coalesce(building_count, 0) as b, coalesce(has_park, false) as park, c_custkey % 5 = 2 as res, c_custkey % 6 = 0 as lively from s)
-select sample_id, case when landuse_raw = 'recreation_ground' then 'open_space' when landuse_raw in ('grass', 'forest', 'meadow') and b < 15 then 'open_space' when park and b < 10 then 'open_space' when landuse_raw in ('industrial', 'railway') then 'industrial'
- when landuse_raw in ('retail', 'commercial') then 'commercial' when landuse_raw = 'residential' then 'residential' when top_type = 'office' then 'commercial' when top_type = 'warehouse' then 'industrial' when top_type = 'house' then 'residential' when top_type = 'church' then 'institutional'
- when lively and res then 'mixed' when amenity_count >= 10 and b > 0 and amenity_count / cast(b as double) > 0.3 then case when res then 'mixed' else 'commercial' end when b > 0 then 'residential' else 'mixed' end as land_use from x""",
+    "land_use": f"""with {S}, x as ({_PLACE} from s)
+select sample_id, case when raw = 'recreation_ground' then 'open_space' when raw in ('grass', 'forest', 'meadow') and b < 15 then 'open_space' when park and b < 10 then 'open_space' when raw in ('industrial', 'railway') then 'industrial' when raw in ('retail', 'commercial') then 'commercial' when raw = 'residential' then 'residential'
+ when top in ('commercial', 'office', 'retail', 'supermarket') then 'commercial' when top in ('industrial', 'warehouse', 'manufacture') then 'industrial' when top in ('apartments', 'house', 'detached', 'terrace', 'residential', 'semidetached_house') then 'residential'
+ when top in ('church', 'school', 'hospital', 'university', 'public', 'civic', 'government') then 'institutional' when lively and res then 'mixed' when a >= 10 and b > 0 and a / cast(b as double) > 0.3 and res then 'mixed' when a >= 10 and b > 0 and a / cast(b as double) > 0.3 then 'commercial'
+ when b > 0 then 'residential' else 'mixed' end as land_use from x""",
     "junction_type": f"with {S} select sample_id, case when c_custkey % 4 < 2 then null when c_custkey % 5 = 0 then 'roundabout' when c_custkey % 3 = 0 then 'signalized' when c_custkey % 7 = 0 then 'grade_separated' else 'unsignalized' end as junction from s",
     "sat_source": f"""with {S}, x as (select sample_id, {_P[0]} as lat, {_P[1]} as lon from s), y as (select sample_id, case when lon between -125 and -66 and lat between 24 and 50 or lon between -180 and -130 and lat between 51 and 72 or lon between -161 and -154.5 and lat between 18.5 and 22.5 then 'NAIP'
  when lon between -5.5 and 10 and lat between 41 and 51.5 then 'IGN' else 'ESRI' end as source from x) select sample_id, source, case source when 'NAIP' then 250 else 100 end as buffer_m from y""",

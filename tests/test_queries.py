@@ -36,3 +36,14 @@ def test_same_rows(spark, con, name):
 
 def test_names():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
+
+
+def test_every_land_use_rule_is_met(con):
+    """The twin's cascade with its results numbered: all fifteen occur."""
+    import re
+
+    count = iter(range(100))
+    numbered = re.sub(r"(then|else) '\w+'", lambda m: f"{m[1]} 'rule {next(count)}'", catalog.ORACLE["land_use"].split("select sample_id, case when raw", 1)[1])
+    head = catalog.ORACLE["land_use"].split("select sample_id, case when raw", 1)[0]
+    found = con.sql(f"select distinct land_use from ({head}select sample_id, case when raw{numbered})").fetchall()
+    assert len(found) == 15
