@@ -51,7 +51,7 @@ def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: C
     high as the reach, and in each row cells are as wide as the reach is there, so a left point looks into 3 by 3 cells at any latitude (rows of cells near a pole are
     one cell). A cell of more than ``dense`` right points becomes a quadtree of its counts, whose leaves take as many points at most; a left
     point looks into the leaves that its box touches. Points that no quartering tells apart are dealt by a hash. So no key has more right points, and a city
-    in one cell is many tasks. ``dense`` None: no counting. Longitudes don't wrap. Points with a null coordinate have no pairs.
+    in one cell is many tasks. Cells are counted when the join is planned; ``dense`` None: no counting, for right sides that are known to be thin. Longitudes don't wrap. Points with a null coordinate have no pairs.
 
     Both sides have lat and lon; the right ones come as rlat and rlon. The left side, whose rows are repeated, should be the smaller.
     """
@@ -70,6 +70,8 @@ def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: C
     inner = lambda at, cell, size: F.least(F.greatest(F.floor((at / size - cell) * side), F.lit(0)), F.lit(int(side) - 1))
     r = r.withColumns({"_dv": inner(c("rlat"), c("_y"), height), "_du": inner(c("rlon"), c("_x"), c("_w"))})
     hot, leaves = _leaves(r.select("_y", "_x", "_dv", "_du"), dense)
+    if hot.isEmpty():
+        return l.drop("_w", "_west", "_east").join(r.drop("_w", "_dv", "_du"), ["_y", "_x"]).drop("_y", "_x")
     # right points: their cell, or each node above them in a dense one, of which one is a leaf
     flag = hot.withColumn("_hot", F.lit(True))
     none = F.array(F.struct(F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_v"), F.lit(0).cast("long").alias("_u")))
