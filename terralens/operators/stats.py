@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralens.operators import quantiles as Q
+
 
 def frequency(df: DataFrame, *by: str) -> DataFrame:
     """Counts and percent of all rows."""
@@ -28,9 +30,17 @@ def row_percent(df: DataFrame, row: str, col: str, values: list[str]) -> DataFra
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
-    v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.percentile(v, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))).alias("q"), F.mode(v, True).alias("mode")) \
-        .select(*by, "n", "min", "max", "mean", "std", F.round(F.col("q")[0], 4).alias("q1"), F.round(F.col("q")[1], 4).alias("median"), F.round(F.col("q")[2], 4).alias("q3"), "mode")
+    """Count, extremes, mean, deviation, quartiles and the (least) mode of each group. Quartiles and mode come from counts of the different values, which no buffer holds all of."""
+    v, keys = F.col(value), list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    counts = Q.value_counts(rows, value, *keys)
+    plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"))
+    modes = counts.groupBy(*keys).agg(F.max_by(v, F.struct("n", -v)).alias("mode"))
+    out = plain
+    for more in (modes, Q.quantiles_of_counts(counts, value, keys, [0.25, 0.5, 0.75]).drop("rows")):
+        more = more.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+        out = out.join(more, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys)), "left").drop(*(f"_r_{k}" for k in keys))
+    return out.select(*by, "n", "min", "max", "mean", "std", F.round(F.col("q")[0], 4).alias("q1"), F.round(F.col("q")[1], 4).alias("median"), F.round(F.col("q")[2], 4).alias("q3"), "mode")
 
 
 def _cumulated(n: DataFrame, value: str, parts: int = 64) -> DataFrame:

@@ -10,7 +10,6 @@ through many ranges, and such data may need a round for each; results are the sa
 
 from __future__ import annotations
 
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralens.operators.saving import use_shared_folder
+
 #: What one use of a topic costs its questions.
 WEIGHT = 3
 _COLUMNS = ["sample_id", "pos", "topic", "score"]
@@ -147,12 +148,7 @@ def best_questions_in_order(scored: DataFrame, parts: int | None = None) -> Data
     between topics for each, and no rows. The ordered rows are checkpointed, so a lost executor costs its own tasks. Only picks of the last round come out.
     """
     spark = scored.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='terralens-')}")
+    use_shared_folder(spark)
     order = ["city", "ord", "sample_id"]
     rows = scored.select(*order, F.col("pos").cast("int").alias("pos"), "topic", F.col("score").cast("long").alias("score"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
