@@ -77,8 +77,6 @@ def quantiles_of_counts(counts: DataFrame, value: str, by: list[str], shares: li
 
     Groups without a value are not in the counts, so not in the result; a null of ``by`` is a group like others, and NaN is larger than any value.
     """
-    if not by:
-        return quantiles_of_counts(counts.withColumn("_all", F.lit(0)), value, ["_all"], shares, held=held, bins=bins).drop("_all")
     c = counts.select(*by, F.col(value).cast("double").alias("_v"), F.col("n").alias("_n"))
     per = c.groupBy(*by).agg(F.sum("_n").alias("rows"), F.count("*").alias("_different"))
     if (per.agg(F.max("_different")).first()[0] or 0) <= held:
@@ -93,5 +91,7 @@ def quantiles_of_counts(counts: DataFrame, value: str, by: list[str], shares: li
 
 
 def quantiles(df: DataFrame, value: str, by: list[str], shares: list[float], *, held: int = HELD, bins: int = BINS) -> DataFrame:
-    """(by, rows, q): exact quantiles of ``value`` in each group; see ``quantiles_of_counts``. Nulls don't count."""
+    """(by, rows, q): exact quantiles of ``value`` in each group; see ``quantiles_of_counts``. Nulls don't count; without ``by``, all rows are one group."""
+    if not by:
+        return quantiles(df.withColumn("_all", F.lit(0)), value, ["_all"], shares, held=held, bins=bins).drop("_all")
     return quantiles_of_counts(value_counts(df, value, *by), value, by, shares, held=held, bins=bins)

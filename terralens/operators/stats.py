@@ -36,10 +36,8 @@ def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     counts = Q.value_counts(rows, value, *keys)
     plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"))
     modes = counts.groupBy(*keys).agg(F.max_by(v, F.struct("n", -v)).alias("mode"))
-    out = plain
-    for more in (modes, Q.quantiles_of_counts(counts, value, keys, [0.25, 0.5, 0.75]).drop("rows")):
-        more = more.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        out = out.join(more, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys)), "left").drop(*(f"_r_{k}" for k in keys))
+    parts = plain.unionByName(modes, allowMissingColumns=True).unionByName(Q.quantiles_of_counts(counts, value, keys, [0.25, 0.5, 0.75]).drop("rows"), allowMissingColumns=True)
+    out = parts.groupBy(*by).agg(F.coalesce(F.first("n", ignorenulls=True), F.lit(0)).alias("n"), *(F.first(x, ignorenulls=True).alias(x) for x in ("min", "max", "mean", "std", "q", "mode")))
     return out.select(*by, "n", "min", "max", "mean", "std", F.round(F.col("q")[0], 4).alias("q1"), F.round(F.col("q")[1], 4).alias("median"), F.round(F.col("q")[2], 4).alias("q3"), "mode")
 
 

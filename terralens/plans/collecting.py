@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralens.operators import flatten, pixels, split
+from terralens.operators import flatten, pixels, quantiles, split
 from terralens.operators import records as R
 from terralens.plans import fixtures as X
 from terralens.plans.splits import FLAT, SEEN
-from terralens.sources import pictures
+from terralens.sources import pictures, web
 
 C = F.col
 S, L = f"s as ({X.SAMPLES})", f"l as ({X.LOCATIONS})"
@@ -74,7 +74,20 @@ def _integrity(s, d):
     return R.integrity(loc.join(tags, "sample_id"), X.unseen(s, d))
 
 
+PRICES = "select n_name as city, l_extendedprice as price from lineitem join nation on n_nationkey = l_orderkey % 25 where l_suppkey % 13 > 0"
+SCENES = """select n_name as tile, l_partkey % 40 as pixel, substr('rgb', cast(l_linenumber % 3 + 1 as int), 1) as band, l_quantity * 100 as value, l_discount * 400 as cloud
+ from lineitem join nation on n_nationkey = l_orderkey % 25"""
+
+
+def _price_quantiles(s, d):
+    """Few values are held, so the rounds are taken at any size."""
+    q = quantiles.quantiles(X.frame(s, d, PRICES), "price", ["city"], [0.1, 0.5, 0.9, 0.99], held=64)
+    return q.select("city", "rows", *(F.round(C("q")[k], 4).alias(n) for k, n in enumerate(("q10", "median", "q90", "q99"))))
+
+
 QUERIES = {
+    "price_quantiles": _price_quantiles,
+    "median_composite": lambda s, d: web.median_composite(X.frame(s, d, SCENES)).withColumn("value", F.round("value", 6)),
     "picture_means": _picture_means,
     "source_allow_list": lambda s, d: R.source_allowed(_sources(s, d), allow=["NAIP", "IGN"]).select("sample_id", "source"),
     "source_deny_list": lambda s, d: R.source_allowed(_sources(s, d), deny=["S2"]).select("sample_id", "source"),
@@ -90,6 +103,9 @@ QUERIES = {
 _CHAIN = "case source when 'NAIP' then ['NAIP', 'ESRI', 'S2'] when 'IGN' then ['IGN', 'ESRI', 'S2'] when 'ESRI' then ['ESRI', 'S2'] when 'S2' then ['S2'] else [] end"
 _U = "cast('0x' || substr(md5(concat_ws('_', '42', city, cast(attempt as string), '{k}')), 1, 8) as bigint) / 4294967296.0::double"
 ORACLE = {
+    "price_quantiles": f"""select city, rows, round(q[1], 4) as q10, round(q[2], 4) as median, round(q[3], 4) as q90, round(q[4], 4) as q99
+ from (select city, count(price) as rows, quantile_cont(price, [0.1, 0.5, 0.9, 0.99]) as q from ({PRICES}) group by city)""",
+    "median_composite": f"select tile, pixel, band, round(quantile_cont(value, 0.5) * 0.0001, 6) as value, count(*) as scenes from ({SCENES}) where cloud < 20 group by tile, pixel, band",
     "picture_means": f"""with {S}, p as (select sample_id, c_custkey as k, c_custkey % 4 + 5 as w, unnest(range(0, (c_custkey % 4 + 5) * 12)) as i from s), v as (select sample_id, i % 3 as c, (k * 7 + (i // 3) % w * 13 + i // (w * 3) * 29 + i % 3 * 53 * (k % 3)) % 256 as v from p),
 m as (select sample_id, avg(v) filter (where c = 0) as r, avg(v) filter (where c = 1) as g, avg(v) filter (where c = 2) as b from v group by 1) select sample_id, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b, greatest(r, g, b) - least(r, g, b) > 40 as tunnel from m""",
     "source_allow_list": f"with {S}, x as (select sample_id, {SRC} as source from s) select * from x where source in ('NAIP', 'IGN')",

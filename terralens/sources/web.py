@@ -7,6 +7,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -78,21 +79,76 @@ def responses(spark: SparkSession, requests: list[tuple[str, str]], **options: s
     return spark.read.format("web_requests").options(requests="\n".join(f"{k}\t{u}" for k, u in requests), **options).load()
 
 
-def cached(spark: SparkSession, requests: list[tuple[str, str]], cache: str, **options: str) -> DataFrame:
-    """Responses from a cache folder where it has them; the others are requested, and the good ones added to it."""
-    schema = "key string, status int, body binary"
+class Pace:
+    """At most ``rate`` requests a second for each host, by waiting before a request."""
+
+    def __init__(self, rate: float, clock=time.monotonic, pause=time.sleep):
+        self.gap, self.clock, self.pause, self.due = 1.0 / rate, clock, pause, {}
+
+    def wait(self, host: str | None) -> None:
+        now = self.clock()
+        at = max(now, self.due.get(host, now))
+        self.due[host] = at + self.gap
+        if at > now:
+            self.pause(at - now)
+
+
+def answers(requests: DataFrame, *, rate: float | dict[str, float] | None = None, lanes: int = 1, parts: int | None = None, attempts: int = ATTEMPTS, wait_scale: float = 1.0) -> DataFrame:
+    """key, status and body of each row (key, url) of ``requests``, which may be many.
+
+    A host's requests are in one task, or in ``lanes`` tasks of an equal share of its rate, so ``rate`` (requests a second: one for all hosts, or by host, others being free)
+    holds over all tasks without their knowing of each other. First attempts are paced; repeated ones wait as ``fetch`` does. A repeated task asks anew: see ``cached``. Speculative execution would ask twice.
+    A row without an address has a null status.
+    """
+    spark = requests.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paces: dict[str | None, Pace | None] = {}
+        for b in batches:
+            for key, url, host in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if host not in paces:
+                    r = rate.get(host) if isinstance(rate, dict) else rate
+                    paces[host] = Pace(r / lanes) if r else None
+                status, body = None, None
+                if url is not None:
+                    if paces[host]:
+                        paces[host].wait(host)
+                    status, body = fetch(url, attempts, {k: v * wait_scale for k, v in BACKOFF.items()})
+                # a row a batch: answers are of any size
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([status], pa.int32()), pa.array([body], pa.binary())], names=["key", "status", "body"])
+    host = F.expr("try_parse_url(url, 'HOST')")
+    rows = requests.select("key", "url", host.alias("host"), F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane"))
+    return rows.repartition(n, "host", "lane").select("key", "url", "host").mapInArrow(run, "key string, status int, body binary")
+
+
+_ANSWER = "key string, status int, body binary"
+
+
+def _cache(spark: SparkSession, cache: str) -> DataFrame:
     try:
-        have = spark.read.schema(schema).parquet(cache)
-        keys = {r.key for r in have.select("key").distinct().collect()}
+        return spark.read.schema(_ANSWER).parquet(cache)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        keys = set()
-    new = [(k, u) for k, u in requests if k not in keys]
-    if new:
-        responses(spark, new, **options).where("status between 200 and 299").write.mode("append").parquet(cache)
-    wanted = [k for k, _ in requests]
-    return spark.read.schema(schema).parquet(cache).where(F.col("key").isin(wanted)).dropDuplicates(["key"])
+        return spark.createDataFrame([], _ANSWER)
+
+
+def cached(spark: SparkSession, requests: DataFrame | list[tuple[str, str]], cache: str, *, rounds: int = 1, rate: float | dict[str, float] | None = None, lanes: int = 1, **options: str) -> DataFrame:
+    """Answers from a cache folder where it has them; the others are requested, and the good ones added to it.
+
+    Requests are rows of key and url (or a list of such). What the cache has is removed by an anti-join and read by a semi-join: no key passes the driver. The rest is asked in ``rounds``
+    by a hash of the key, each committed to the cache on its own, so a run that is started again after a loss repeats one round at most. Of a key's addresses the least is asked.
+    """
+    asked = requests if isinstance(requests, DataFrame) else spark.createDataFrame(requests, "key string, url string")
+    asked = asked.where("key is not null").groupBy("key").agg(F.min("url").alias("url"))
+    free = float(options["pause"]) if options.get("pause") else 0.0
+    for k in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k) if rounds > 1 else asked
+        new = part.join(_cache(spark, cache).select("key"), "key", "left_anti")
+        got = answers(new, rate=rate or (1.0 / free if free else None), lanes=lanes, attempts=int(options.get("attempts", ATTEMPTS)), wait_scale=float(options.get("waitScale", 1.0)))
+        got.where("status between 200 and 299").write.mode("append").parquet(cache)
+    return _cache(spark, cache).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def json_body(body: Column, schema: str) -> Column:
@@ -123,7 +179,7 @@ def surveys(answers: DataFrame) -> DataFrame:
 
 
 def median_composite(scenes: DataFrame, most_cloud: float = 20.0, scale: float = 1e-4) -> DataFrame:
-    """Median over time of each pixel and band (tile, pixel, band, value, cloud), of scenes with less cloud than ``most_cloud`` percent, scaled."""
+    """Median over time of each pixel and band (tile, pixel, band, value, cloud), of scenes with less cloud than ``most_cloud`` percent, scaled. A buffer holds one pixel's scenes over time."""
     clear = scenes.where(F.col("cloud") < most_cloud)
     return clear.groupBy("tile", "pixel", "band").agg((F.percentile("value", F.lit(0.5)) * scale).alias("value"), F.count("*").alias("scenes"))
 

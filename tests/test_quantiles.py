@@ -41,3 +41,5 @@ def test_describe_of_nulls_and_ties(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 4), ("a", 4), (None, 2), ("n", None)], "g string, k int")
     got = {r.g: (r.n, r.min, r.max, r.mean, r.q1, r.median, r.q3, r["mode"]) for r in stats.describe(df, "k", "g").collect()}
     assert got == {"a": (4, 1, 4, 2.5, 1.0, 2.5, 4.0, 1), None: (1, 2, 2, 2.0, 2.0, 2.0, 2.0, 2), "n": (0, None, None, None, None, None, None, None)}
+    (none,) = stats.describe(df.limit(0), "k").collect()
+    assert (none.n, none.min, none.median, none["mode"]) == (0, None, None, None)
