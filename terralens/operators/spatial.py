@@ -194,3 +194,36 @@ def spread_stops(stops: Column, gap: float = 0.0002) -> Column:
         close = F.exists(kept, lambda k: (F.abs(k["lat"] - s["lat"]) < gap) & (F.abs(k["lon"] - s["lon"]) < gap))
         return F.when(close, kept).otherwise(F.concat(kept, F.array(s)))
     return F.aggregate(F.array_sort(stops), F.slice(stops, 1, 0), add)
+
+
+def thinned(stops: DataFrame, gap: float = 0.0002) -> DataFrame:
+    """``spread_stops`` for rows of key columns and ``stops``, an array of (ord, lat, lon): the kept ones, in linear time.
+
+    Kept stops are held by cells a little wider than the gap, and a stop is compared with those of nine cells. No two of a cell's kept stops are much closer than the gap, so a cell has few.
+    A null or empty array keeps nothing; stops with a null in them keep out of it.
+    """
+    kept_type = "array<struct<ord: bigint, lat: double, lon: double>>"
+    keys = [c for c in stops.columns if c != "stops"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stops.schema.fields if f.name != "stops"] + [f"stops {kept_type}"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        at = pa.list_(pa.struct([("ord", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64())]))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([_kept(x or [], gap) for x in b.column(len(keys)).to_pylist()], at)], names=[*keys, "stops"])
+    ready = F.transform(F.filter(F.array_sort("stops"), lambda s: s["ord"].isNotNull() & s["lat"].isNotNull() & s["lon"].isNotNull()), lambda s: F.struct(s["ord"].cast("long").alias("ord"), s["lat"].cast("double").alias("lat"), s["lon"].cast("double").alias("lon")))
+    return stops.select(*keys, ready.alias("stops")).mapInArrow(run, schema)
+
+
+def _kept(stops: list[dict], gap: float) -> list[dict]:
+    width = gap * 1.001  # quotients are rounded
+    cells: dict[tuple[int, int], list[dict]] = {}
+    out = []
+    for s in stops:
+        y, x = int(s["lat"] // width), int(s["lon"] // width)
+        near = (k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in cells.get((y + i, x + j), ()))
+        if not any(abs(k["lat"] - s["lat"]) < gap and abs(k["lon"] - s["lon"]) < gap for k in near):
+            cells.setdefault((y, x), []).append(s)
+            out.append(s)
+    return out

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,26 @@ def test_snap_and_no_points(spark):
     for dense in (1, None):
         assert [(r.way, r.pos) for r in spatial.snap_to_road(s, n, dense=dense).collect()] == [(1, 0)]
         assert spatial.snap_to_road(s, n.limit(0), dense=dense).count() == 0 and spatial.snap_to_road(s.limit(0), n, dense=dense).count() == 0
+
+
+def test_thinning_by_cells_keeps_what_the_fold_keeps(spark):
+    rnd = random.Random(3)
+    def place(n, size):
+        return [(k, round(rnd.uniform(-size, size), 5), round(179.99 + rnd.uniform(-size, size), 5)) for k in range(n)]
+    rows = [(f"s{k}", place(rnd.randint(0, 60), rnd.choice([0.0003, 0.001, 0.01]))) for k in range(80)]
+    rows += [("grid", [(k, k // 9 * 0.0002, k % 9 * 0.0002) for k in range(81)]), ("same", [(k, 1.0, 2.0) for k in range(50)]), ("none", None)]
+    df = spark.createDataFrame(rows, "sample_id string, stops array<struct<ord: bigint, lat: double, lon: double>>")
+    got = {r.sample_id: r.stops for r in spatial.thinned(df).collect()}
+    want = {r.sample_id: r.s for r in df.select("sample_id", spatial.spread_stops(F.col("stops")).alias("s")).collect()}
+    assert len(got) == 83 and len(got["same"]) == 1 and got["none"] == []
+    assert {k: v for k, v in got.items() if k != "none"} == {k: v for k, v in want.items() if k != "none"}
+    odd = spark.createDataFrame([("a", [(1, None, 2.0), (2, 1.0, 2.0), None])], df.schema)
+    assert [x.ord for x in spatial.thinned(odd).first().stops] == [2]
+
+
+def test_a_sample_of_many_stops_takes_linear_time():
+    rnd = random.Random(4)
+    stops = [{"ord": k, "lat": rnd.uniform(0, 1), "lon": rnd.uniform(0, 1)} for k in range(50000)]
+    t = time.monotonic()
+    kept = spatial._kept(stops, 0.0002)
+    assert time.monotonic() - t < 10 and len(kept) > 45000
