@@ -193,8 +193,8 @@ def calibrate_columns(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np
     return a[:-1] / unit, float(a[-1])
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_bytes: int, kernel, columns: str) -> pa.Table:
-    """doc_id, label and the kernel's columns of a sample of the labelled documents, at most ``bound`` rows and ``bound_bytes`` bytes of text, in the order of ids.
+def sampled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_bytes: int, kernel, columns: str) -> DataFrame:
+    """doc_id, label, h (hash of the text) and the kernel's columns of a sample of the labelled documents, at most ``bound`` rows and ``bound_bytes`` bytes of text.
 
     Of several labels of one id the largest counts. Each different text of a labelled id is a row of its own; equal ones are one row. Rows come in the
     order of their ids' hashes; a text that would exceed the bytes is passed over. Ids and sizes are ranked, never texts: the chosen ids and rows
@@ -217,13 +217,37 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_by
     keys = docs.sparkSession.createDataFrame(list(zip(kept.column("doc_id").to_pylist(), kept.column("h").to_pylist(), strict=True)), "doc_id long, h long")
     kind = dict(chosen.dtypes)["label"]
     names = [x.split()[0] for x in columns.split(", ")]
-    made = (rows.join(F.broadcast(keys), ["doc_id", "h"]).select("text", "doc_id", "label", "h").mapInArrow(kernel, f"doc_id long, label {kind}, h long, {columns}")
-            .groupBy("doc_id", "label", "h").agg(*(F.first(c).alias(c) for c in names)).toArrow())
+    return (rows.join(F.broadcast(keys), ["doc_id", "h"]).select("text", "doc_id", "label", "h").mapInArrow(kernel, f"doc_id long, label {kind}, h long, {columns}")
+            .groupBy("doc_id", "label", "h").agg(*(F.first(c).alias(c) for c in names)))
+
+
+def _by_id(made: pa.Table) -> pa.Table:
     return made.take(np.lexsort((made.column("h").to_numpy(), made.column("doc_id").to_numpy()))).combine_chunks()
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_bytes: int, kernel, columns: str) -> pa.Table:
+    """``sampled_rows`` on the driver, in the order of ids."""
+    return _by_id(sampled_rows(docs, labels, label, bound, bound_bytes, kernel, columns).toArrow())
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, kinds: tuple[str, ...], lower: bool = False, bound_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, Sparse]:
     """Ids, labels and features of a sample of labelled documents; see ``sampled``."""
     rows = sampled(docs, labels, label, bound, bound_bytes, sparse_rows(kinds, lower), "idx binary, val binary")
     ids, y = rows.column("doc_id").to_numpy(), np.array(rows.column("label").to_pylist())
     return ids, y, Sparse.of(rows.column("idx"), rows.column("val"), len(kinds) << BITS)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, bound: int, kinds: tuple[str, ...], fit_rows, schema: str, bound_bytes: int = SAMPLE_BYTES):
+    """The row that ``fit_rows`` makes of the labels and features of such a sample; None if nothing is labelled.
+
+    The bounded sample is fitted in one task, so that its features, some ten times its text, never reach the driver. fit_rows: (labels, features) to a dict of ``schema``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if sum(b.num_rows for b in got):
+            rows = _by_id(pa.Table.from_batches(got))
+            del got
+            y, x = np.array(rows.column("label").to_pylist()), Sparse.of(rows.column("idx"), rows.column("val"), len(kinds) << BITS)
+            del rows
+            yield pa.RecordBatch.from_pylist([fit_rows(y, x)])
+    return sampled_rows(docs, labels, label, bound, bound_bytes, sparse_rows(kinds), "idx binary, val binary").repartition(1).mapInArrow(run, schema).first()

@@ -40,14 +40,20 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """labels: doc_id, quality (1 good, 0 bad; null rows don't count). Without both classes everything is kept."""
-    _, y, x = linear.labelled_sample(docs, labels, "quality", bound, KINDS)
+    got = linear.fitted(docs, labels, "quality", bound, KINDS, _fit, "weights binary, bias double, slope double, shift double")
+    if got is None or got.weights is None:
+        return Model(np.zeros((len(KINDS) << linear.BITS, 1), np.float32), 0.0, 1.0, 0.0 if got is None else got.shift)
+    return Model(np.frombuffer(bytes(got.weights), np.float32)[:, None], got.bias, got.slope, got.shift)
+
+
+def _fit(y: np.ndarray, x: linear.Sparse) -> dict:
     y = y.astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros((len(KINDS) << linear.BITS, 1), np.float32), 0.0, 1.0, 0.0 if not len(y) or y.min() == 1 else -5.0)
+    if y.min() == y.max():
+        return {"weights": None, "bias": 0.0, "slope": 1.0, "shift": 0.0 if y.min() == 1 else -5.0}
     fold = np.arange(len(y)) % 4 == 3
     w, b = linear.fit(x.take(np.flatnonzero(~fold)), y[~fold], loss="logistic")
     slope, shift = linear.calibrate(x.take(np.flatnonzero(fold)).dot(w) + b, y[fold])
-    return Model(w.astype(np.float32)[:, None], b, slope, shift)
+    return {"weights": w.astype(np.float32).tobytes(), "bias": float(b), "slope": float(slope), "shift": float(shift)}
 
 
 def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:

@@ -106,3 +106,18 @@ def test_repeated_rows_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.held_out, r.lang_pred) for r in langid.predict(docs, model).collect())
     assert len(got) == 6 and got.count(got[0]) == 2 and [x[1] for x in got if x[0] == "None"] == [False]
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_features_stay_off_the_driver(spark, monkeypatch):
+    """What training collects is ids and sizes, and the model is that of the collected features."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    _, y, x = linear.labelled_sample(docs, labels, "quality", quality.SAMPLE, quality.KINDS)
+    want = quality._fit(y, x)
+    kind, seen = type(docs), []
+    collect = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(collect(df)) or seen[-1])
+    got = quality.train(docs, labels)
+    assert sum(t.nbytes for t in seen) < 20_000 < len(x.idx)
+    assert (got.weights.tobytes(), got.bias, got.slope, got.shift) == (want["weights"], want["bias"], want["slope"], want["shift"])
+    bad = quality.train(docs, labels.where("quality = 0"))
+    assert (bad.slope, bad.shift, bad.weights.any()) == (1.0, -5.0, False)
