@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,23 +56,30 @@ def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: C
 
     Both sides have lat and lon; the right ones come as rlat and rlon. The left side, whose rows are repeated, should be the smaller.
     """
+    l, r, cell = dealt(left, right, reach_lat, reach_lon, dense)
+    return l.join(r, cell).drop(*cell)
+
+
+def dealt(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int | None, box_lat: float | None = None, box_lon: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of ``range_join`` with the columns of their cell, and the names of these. Cells may be larger than the box around a left point, whose reaches are ``box_lat`` and ``box_lon`` then."""
     c = F.col
     height = reach_lat * (1 + 1e-9)
+    box = (box_lat or reach_lat) * (1 + 1e-9)
     side = float(1 << LEVELS)
     r = right.withColumnsRenamed({"lat": "rlat", "lon": "rlon"}).where("rlat is not null and rlon is not null")
     r = r.withColumn("_y", F.floor(c("rlat") / height)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_x", F.floor(c("rlon") / c("_w")))
-    dx = reach_lon(c("lat")) * (1 + 1e-9) + 1e-12
+    dx = (box_lon or reach_lon)(c("lat")) * (1 + 1e-9) + 1e-12
     west, east = F.greatest(c("lon") - dx, F.lit(-540.0)), F.least(c("lon") + dx, F.lit(540.0))
-    rows = F.sequence(F.floor((c("lat") - height) / height), F.floor((c("lat") + height) / height))
+    rows = F.sequence(F.floor((c("lat") - box) / height), F.floor((c("lat") + box) / height))
     l = left.where("lat is not null and lon is not null").withColumn("_y", F.explode(rows)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_west", west).withColumn("_east", east)
     l = l.where("_west <= _east").withColumn("_x", F.explode(F.sequence(F.floor(c("_west") / c("_w")), F.floor(c("_east") / c("_w")))))
     if dense is None:
-        return l.drop("_w", "_west", "_east").join(r.drop("_w"), ["_y", "_x"]).drop("_y", "_x")
+        return l.drop("_w", "_west", "_east"), r.drop("_w"), ["_y", "_x"]
     inner = lambda at, cell, size: F.least(F.greatest(F.floor((at / size - cell) * side), F.lit(0)), F.lit(int(side) - 1))
     r = r.withColumns({"_dv": inner(c("rlat"), c("_y"), height), "_du": inner(c("rlon"), c("_x"), c("_w"))})
     hot, leaves = _leaves(r.select("_y", "_x", "_dv", "_du"), dense)
     if hot.isEmpty():
-        return l.drop("_w", "_west", "_east").join(r.drop("_w", "_dv", "_du"), ["_y", "_x"]).drop("_y", "_x")
+        return l.drop("_w", "_west", "_east"), r.drop("_w", "_dv", "_du"), ["_y", "_x"]
     # right points: their cell, or each node above them in a dense one, of which one is a leaf
     flag = hot.withColumn("_hot", F.lit(True))
     none = F.array(F.struct(F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_v"), F.lit(0).cast("long").alias("_u")))
@@ -82,11 +90,11 @@ def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: C
     r = r.withColumn("_part", F.coalesce(F.pmod(mix, c("_parts").cast("long")), F.lit(0))).drop("_w", "_dv", "_du", "_hot", "_parts")
     # left points: the leaves that their box touches
     scale = F.pow(F.lit(2.0), F.coalesce("_level", F.lit(0)))
-    south, north = (c("lat") - height) / height, (c("lat") + height) / height
+    south, north = (c("lat") - box) / height, (c("lat") + box) / height
     touches = (c("_y") + (c("_v") + 1) / scale >= south - 1e-6) & (c("_y") + c("_v") / scale <= north + 1e-6) & ((c("_x") + (c("_u") + 1) / scale) >= c("_west") / c("_w") - 1e-6) & ((c("_x") + c("_u") / scale) <= c("_east") / c("_w") + 1e-6)
     l = l.join(leaves, ["_y", "_x"], "left").where(c("_level").isNull() | touches)
     l = l.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c("_parts").cast("long"), F.lit(1).cast("long")) - 1))).fillna(0, ["_level", "_v", "_u"]).drop("_w", "_west", "_east", "_parts")
-    return l.join(r, [*_CELL, "_part"]).drop(*_CELL, "_part")
+    return l, r, [*_CELL, "_part"]
 
 
 def fixed(degrees: float) -> Callable[[Column], Column]:
@@ -105,12 +113,14 @@ def road_bearings(nodes: DataFrame) -> DataFrame:
 
 def snap_to_road(samples: DataFrame, nodes: DataFrame, radius: float = 0.002, dense: int | None = DENSE) -> DataFrame:
     """Nearest road vertex within a box (planar squared degrees; first way and vertex on a tie). Samples without one vanish."""
+    from terralens.operators import boxes
+
     c = F.col
-    pairs = range_join(samples.select("sample_id", "lat", "lon"), nodes.select("way", "pos", "lat", "lon"), radius, fixed(radius), dense)
-    dy, dx = c("rlat") - c("lat"), c("rlon") - c("lon")
-    near = pairs.where((F.abs(dy) <= radius) & (F.abs(dx) <= radius))
-    best = near.groupBy("sample_id").agg(F.min(F.struct((dy * dy + dx * dx).alias("d"), "way", "pos")).alias("m"))
-    return best.select("sample_id", "m.way", "m.pos", "m.d")
+    reach = math.nextafter(radius, math.inf)  # the edge of the box belongs to it
+    found = boxes.nearest(samples, nodes.select("lat", "lon", c("way").alias("a"), c("pos").alias("b")), reach, fixed(reach), dense=dense or boxes.DENSE)
+    kind = dict(nodes.dtypes)
+    best = found.groupBy("sample_id").agg(F.min(F.struct("d", "a", "b")).alias("m"))
+    return best.select("sample_id", c("m.a").cast(kind["way"]).alias("way"), c("m.b").cast(kind["pos"]).alias("pos"), "m.d")
 
 
 def context_pairs(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, dense: int | None = DENSE) -> DataFrame:
@@ -120,6 +130,24 @@ def context_pairs(samples: DataFrame, elements: DataFrame, metres: float = BUFFE
     return pairs.where((F.abs(c("rlat") - c("lat")) < geo.lat_degrees(metres)) & (F.abs(c("rlon") - c("lon")) < geo.lon_degrees(metres, c("lat"))))
 
 
+def context_counts(samples: DataFrame, elements: DataFrame, key: Column, order: Column | None = None, metres: float = BUFFER_M, dense: int | None = None) -> DataFrame:
+    """(sample_id, key, n, o): how many elements of each key (a string, or an array of strings) are strictly inside each sample's buffer box, and their smallest ``order``. No pair is formed."""
+    from terralens.operators import boxes
+
+    keyed = elements.select(key.alias("key"), (F.lit(None).cast("long") if order is None else order).alias("ord"), "lat", "lon")
+    return boxes.box_counts(samples, keyed, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), dense or boxes.DENSE)
+
+
+def nearest_m(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, dense: int | None = None) -> DataFrame:
+    """(sample_id, m): metres to the nearest element strictly inside each sample's buffer box; samples without one vanish."""
+    from terralens.operators import boxes
+
+    c = F.col
+    points = elements.select("lat", "lon", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    found = boxes.nearest(samples, points, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), True, dense or boxes.DENSE)
+    return found.groupBy("sample_id").agg(F.min(geo.haversine_m(c("lat"), c("lon"), c("rlat"), c("rlon"))).alias("m"))
+
+
 def first_mode(df: DataFrame, group: str, value: str, order: str, name: str) -> DataFrame:
     """Most frequent value of each group; of equals the one seen first."""
     n = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("o"))

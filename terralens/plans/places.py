@@ -17,42 +17,46 @@ HAV = """6371000.0 * 2 * atan2(sqrt({a}), sqrt(1 - ({a})))""".format(a="power(si
 BEAR = "(({x} % 360) + 360) % 360".format(x="degrees(atan2(sin(radians({b}lon - {a}lon)) * cos(radians({b}lat)), cos(radians({a}lat)) * sin(radians({b}lat)) - sin(radians({a}lat)) * cos(radians({b}lat)) * cos(radians({b}lon - {a}lon))))")
 
 
-def _pairs(s, d):
-    return spatial.context_pairs(X.locations(s, d), X.elements(s, d), METRES)
-
-
 def _all(s, d, found):
     return X.locations(s, d).select("sample_id").join(found, "sample_id", "left")
 
 
+def _found(s, d, cats, key, order=None):
+    """Counts of a key's values among the elements of some categories, without a row for each pair."""
+    return spatial.context_counts(X.locations(s, d), X.elements(s, d).where(C("cat").isin(cats)), key, order, METRES)
+
+
 def _counts(s, d):
-    n = _pairs(s, d).groupBy("sample_id").agg(F.count_if(C("cat") == 0).alias("buildings"), F.count_if(C("cat") == 1).alias("amenities"), F.count_if(C("cat") == 4).alias("roads"))
+    n = _found(s, d, [0, 1, 4], C("cat").cast("string"))
+    n = n.groupBy("sample_id").agg(*(F.coalesce(F.sum(F.when(C("key") == k, C("n"))), F.lit(0)).alias(name) for k, name in (("0", "buildings"), ("1", "amenities"), ("4", "roads"))))
     return _all(s, d, n).fillna(0)
 
 
 def _median(s, d):
-    n = _pairs(s, d).where("cat = 0 and levels is not null").groupBy("sample_id", C("levels").alias("v")).agg(F.count("*").alias("n"))
+    n = _found(s, d, [0], C("levels").cast("string")).select("sample_id", C("key").cast("int").alias("v"), "n")
     n = n.groupBy("sample_id").agg(spatial.upper_median_of_counts(F.collect_list(F.struct("v", "n"))).cast("int").alias("median_levels"))
     return _all(s, d, n)
 
 
 def _dominant(s, d):
-    return _all(s, d, spatial.first_mode(_pairs(s, d).where("cat = 2"), "sample_id", "kind", "ord", "landuse"))
+    n = _found(s, d, [2], C("kind"), C("ord"))
+    best = n.groupBy("sample_id").agg(F.max(F.struct("n", (-C("o")).alias("o"), C("key").alias("v"))).alias("m"))
+    return _all(s, d, best.select("sample_id", C("m.v").alias("landuse"), C("m.n").alias("n")))
 
 
 def _amenity_types(s, d):
-    n = _pairs(s, d).where("cat = 1").groupBy("sample_id").agg(F.slice(F.sort_array(F.collect_set("kind")), 1, 10).alias("t"))
+    n = _found(s, d, [1], C("kind")).groupBy("sample_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 10).alias("t"))
     return _all(s, d, n).select("sample_id", F.coalesce(F.array_join("t", ","), F.lit("")).alias("amenity_types"))
 
 
 def _flags(s, d):
-    n = _pairs(s, d).groupBy("sample_id").agg(F.bool_or(C("cat") == 3).alias("has_park"), F.bool_or(C("cat") == 5).alias("has_signal"))
+    n = _found(s, d, [3, 5], C("cat").cast("string")).groupBy("sample_id").agg(F.bool_or(C("key") == "3").alias("has_park"), F.bool_or(C("key") == "5").alias("has_signal"))
     return _all(s, d, n).select("sample_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("has_park", "has_signal")))
 
 
 def _water(s, d):
-    dist = geo.haversine_m(C("lat"), C("lon"), C("rlat"), C("rlon"))
-    return _all(s, d, _pairs(s, d).where("cat = 6").groupBy("sample_id").agg(F.round(F.min(dist), 1).alias("water_m")))
+    found = spatial.nearest_m(X.locations(s, d), X.elements(s, d).where("cat = 6"), METRES)
+    return _all(s, d, found.select("sample_id", F.round("m", 1).alias("water_m")))
 
 
 def _transit(s, d):
