@@ -173,49 +173,44 @@ def _ranked(items: Column) -> Column:
 
 
 def contexts(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, top: int = 5, dense: int | None = DENSE) -> DataFrame:
-    """What surrounds each sample, from one range join and one combined aggregate.
+    """What surrounds each sample, counted in its box without a row for each pair.
 
     elements: ord, lat, lon, category (building, amenity, landuse, park, road, signal or water), value (type of a building, amenity or land use;
     surface of a road), levels, roundabout and bridge (bridge or tunnel).
-    Equal values of a sample are counted before anything is brought together, so a dense sample holds its different values only. Returns
+    What is brought together for a sample is its different values. Returns
     buildings, median_levels (upper), building_types (map of the ``top`` most frequent), amenities, amenity_types (up to ten), landuse (most frequent),
     has_park, surface (most frequent, empty ones don't count), roads, has_roundabout, has_bridge, has_signal, water_m.
     """
+    from terralens.operators import boxes
+
     c = F.col
-    pairs = context_pairs(samples, elements, metres, dense)
-    near = F.when(c("category") == "water", geo.haversine_m(c("lat"), c("lon"), c("rlat"), c("rlon")))
-    counted = pairs.groupBy("sample_id", "category", "value", "levels").agg(
-        F.count("*").alias("n"), F.min("ord").alias("o"), F.min(near).alias("m"), F.bool_or("roundabout").alias("roundabout"), F.bool_or("bridge").alias("bridge"))
     is_ = lambda k: c("category") == k
-    total = lambda k: F.coalesce(F.sum(F.when(is_(k), c("n"))), F.lit(0))
-    some = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
-    kinds = lambda k: F.collect_list(F.when(is_(k) & (F.coalesce("value", F.lit("")) != ""), F.struct(c("value").alias("v"), "n", "o")))
+    # an element counts for its category, its value, its levels and its marks; the first seen matters for values only
+    value = F.when(F.coalesce("value", F.lit("")) != "", c("value"))
+    named = lambda k, v, o=None: F.struct(F.concat(F.lit(f"{k}:"), v).alias("key"), (F.lit(None) if o is None else o).cast("long").alias("ord"))
+    ways = F.array(named("category", c("category")), *(named(k, F.when(is_(k), value), c("ord")) for k in ("building", "landuse", "road")), named("amenity", F.when(is_("amenity"), value)), named("levels", F.when(is_("building"), c("levels").cast("string"))),
+                   named("mark", F.when(is_("road") & c("roundabout"), F.lit("roundabout"))), named("mark", F.when(is_("road") & c("bridge"), F.lit("bridge"))))
+    keyed = elements.where(~is_("transit")).select("lat", "lon", F.explode(F.filter(ways, lambda x: x["key"].isNotNull())).alias("a")).select("lat", "lon", "a.*")
+    counted = boxes.box_counts(samples, keyed, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), dense or boxes.DENSE)
+    counted = counted.select("sample_id", "n", "o", F.substring_index("key", ":", 1).alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("v"))
+    total = lambda k: F.coalesce(F.sum(F.when((c("kind") == "category") & (c("v") == k), c("n"))), F.lit(0))
+    kinds = lambda k: F.collect_list(F.when(c("kind") == k, F.struct("n", "o", "v")))
+    mark = lambda k: F.coalesce(F.bool_or((c("kind") == "mark") & (c("v") == k)), F.lit(False))
     per = counted.groupBy("sample_id").agg(
-        total("building").alias("buildings"), F.collect_list(F.when(is_("building") & c("levels").isNotNull(), F.struct(c("levels").alias("v"), "n"))).alias("levels"), kinds("building").alias("types"),
-        total("amenity").alias("amenities"), kinds("amenity").alias("amenity"), kinds("landuse").alias("landuse"), kinds("road").alias("surface"), some(is_("park")).alias("has_park"), total("road").alias("roads"),
-        some(is_("road") & c("roundabout")).alias("has_roundabout"), some(is_("road") & c("bridge")).alias("has_bridge"), some(is_("signal")).alias("has_signal"), F.min("m").alias("water_m"))
-
-    def merged(items: Column) -> Column:
-        """The counts of equal values (they differ in levels) as one."""
-        values = F.array_distinct(F.transform(items, lambda x: x["v"]))
-        same = lambda v: F.filter(items, lambda x: x["v"] == v)
-        return F.transform(values, lambda v: F.struct(F.aggregate(same(v), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n"), F.array_min(F.transform(same(v), lambda x: x["o"])).alias("o"), v.alias("v")))
-    best = lambda name: F.try_element_at(_ranked(merged(c(name))), F.lit(1))["v"]
+        total("building").alias("buildings"), F.collect_list(F.when(c("kind") == "levels", F.struct(c("v").cast(dict(elements.dtypes)["levels"]).alias("v"), "n"))).alias("levels"), kinds("building").alias("types"),
+        total("amenity").alias("amenities"), kinds("amenity").alias("amenity"), kinds("landuse").alias("landuse"), kinds("road").alias("surface"), (total("park") > 0).alias("has_park"), total("road").alias("roads"),
+        mark("roundabout").alias("has_roundabout"), mark("bridge").alias("has_bridge"), (total("signal") > 0).alias("has_signal"))
+    per = per.join(nearest_m(samples, elements.where(is_("water")), metres, dense).withColumnRenamed("m", "water_m"), "sample_id", "left")
+    best = lambda name: F.try_element_at(_ranked(c(name)), F.lit(1))["v"]
     found = per.select(
-        "sample_id", "buildings", upper_median_of_counts(merged_levels(c("levels"))).alias("median_levels"), F.map_from_entries(F.transform(F.slice(_ranked(merged(c("types"))), 1, top), lambda x: F.struct(x["v"], x["n"]))).alias("building_types"),
-        "amenities", F.slice(F.array_sort(F.array_distinct(F.transform("amenity", lambda x: x["v"]))), 1, 10).alias("amenity_types"), best("landuse").alias("landuse"), "has_park", best("surface").alias("surface"), "roads", "has_roundabout", "has_bridge",
+        "sample_id", "buildings", upper_median_of_counts(c("levels")).alias("median_levels"), F.map_from_entries(F.transform(F.slice(_ranked(c("types")), 1, top), lambda x: F.struct(x["v"], x["n"]))).alias("building_types"),
+        "amenities", F.slice(F.array_sort(F.transform("amenity", lambda x: x["v"])), 1, 10).alias("amenity_types"), best("landuse").alias("landuse"), "has_park", best("surface").alias("surface"), "roads", "has_roundabout", "has_bridge",
         "has_signal", F.round("water_m", 1).alias("water_m"))
     none = {"buildings": 0, "amenities": 0, "roads": 0, "has_park": False, "has_roundabout": False, "has_bridge": False, "has_signal": False}
     out = samples.select("sample_id").join(found, "sample_id", "left").fillna(none)
     return out.withColumns({"building_types": F.coalesce("building_types", F.create_map().cast("map<string,bigint>")), "amenity_types": F.coalesce("amenity_types", F.array().cast("array<string>"))})
 
 
-def merged_levels(items: Column) -> Column:
-    """(v, n) pairs with equal values added up (they come once for each type of building)."""
-    values = F.array_distinct(F.transform(items, lambda x: x["v"]))
-    return F.transform(values, lambda v: F.struct(v.alias("v"), F.aggregate(F.filter(items, lambda x: x["v"] == v), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n")))
-
-
 def spread_stops(stops: Column, gap: float = 0.0002) -> Column:
     """Greedy thinning of an array of (ord, lat, lon): a stop stays if no kept one is within ``gap`` in both axes."""
     def add(kept: Column, s: Column) -> Column:

@@ -70,3 +70,17 @@ def test_what_is_shuffled_is_no_pairs(spark):
         return got.agg(F.count("*"), F.sum("n")).first()
     a, b = rows(200), rows(400)
     assert (a[0], b[0]) == (200, 400) and b[1] > 3.9 * a[1] > 1_000_000
+
+
+def test_contexts_form_no_pairs(spark):
+    """The plan joins no elements with samples, and ties of counts go to the first seen."""
+    e = spark.createDataFrame([(3, 0.0, 0.0, "building", "b", 2), (1, 0.0001, 0.0, "building", "a", 5), (2, 0.0, 0.0001, "building", "a", None), (4, 0.0, 0.0, "building", "b", 2), (5, 0.0, 0.0, "building", None, 7), (6, 0.0, 0.0, "road", "", None),
+                               (7, 0.001, 0.0, "water", None, None), (8, 0.0, 0.0, "transit", "x", None)], "ord int, lat double, lon double, category string, value string, levels int")
+    e = e.withColumns({"roundabout": F.lit(None).cast("boolean"), "bridge": F.col("category") == "road"})
+    s = spark.createDataFrame([("a", 0.0, 0.0), ("far", 1.0, 0.0)], "sample_id string, lat double, lon double")
+    got = spatial.contexts(s, e)
+    assert not [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and ("_y" in x or "_x" in x)]
+    r = {x.sample_id: x for x in got.collect()}
+    a, far = r["a"], r["far"]
+    assert (a.buildings, a.median_levels, list(a.building_types.items()), a.roads, a.surface, a.has_bridge, a.has_roundabout, a.water_m) == (5, 5.0, [("a", 2), ("b", 2)], 1, None, True, False, 111.2)
+    assert (far.buildings, far.median_levels, far.building_types, far.amenity_types, far.water_m) == (0, None, {}, [], None)
