@@ -249,7 +249,9 @@ def answers(samples: DataFrame, points: DataFrame, index_of, reach_lat: float, r
     at = lambda y, x: (F.col(y).cast("double").alias("lat"), F.col(x).cast("double").alias("lon"))
     rows = r.select(where, F.lit(False).alias("is_sample"), *at("rlat", "rlon"), none("double", "dy"), none("double", "dx"), none("string", "sample_id"), *(f.name for f in own)).unionByName(
         l.select(where, F.lit(True).alias("is_sample"), *at("lat", "lon"), F.lit(reach_lat).alias("dy"), "dx", "sample_id", *(none(f.dataType, f.name) for f in own)))
-    return rows.repartition("cell").sortWithinPartitions("cell", "is_sample").mapInArrow(_answers(index_of, 4096), index_of.SCHEMA)
+    # a number that is given isn't made smaller: few bytes here are much work
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "is_sample").mapInArrow(_answers(index_of, 4096), index_of.SCHEMA)
 
 
 def box_counts(samples: DataFrame, points: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int = DENSE) -> DataFrame:
