@@ -214,6 +214,109 @@ class NearestOnSphere(Nearest):
     sphere = True
 
 
+class Thinned:
+    """How many points are kept around a sample, if those within a box and a distance on the sphere are taken by ``ord`` and each is kept that has no kept one within ``gap`` in both axes.
+
+    Points of one place count once, as the first of them excludes the others or is excluded with them. A sample's points are read in order, in growing blocks, and a kept one marks those near it; what is near a
+    point is held for the next samples, up to a limit. At most four kept points are near any one, so the work for a sample grows with its points, and nothing is written for a pair.
+    """
+
+    #: Places that are found in one go, and held in all.
+    BLOCK, HELD = 1 << 20, 1 << 24
+    EPS = 1e-9
+
+    def __init__(self, points: pa.Table, box: float, metres: float, gap: float):
+        lat, lon, order = (points.column(c).to_numpy() for c in ("lat", "lon", "ord"))
+        at = np.lexsort((lon, lat, order))
+        lat, lon = lat[at], lon[at]
+        at = np.lexsort((np.arange(len(lat)), lon, lat))
+        first = np.ones(len(at), bool)
+        first[1:] = (lat[at[1:]] != lat[at[:-1]]) | (lon[at[1:]] != lon[at[:-1]])
+        at = np.sort(at[first])
+        self.lat, self.lon = lat[at], lon[at]
+        self.box, self.gap = box, gap
+        self.metres, self.limit = metres, np.sin(metres / EARTH_M / 2) ** 2
+        self.margin = np.radians(box) ** 2 + 1e-9
+        self.south, self.west = self.lat.min(), self.lon.min()
+        self.height = max(gap, np.ptp(self.lat) / (1 << 20))
+        self.rows = int(np.ptp(self.lat) // self.height) + 1
+        self.wide = np.ptp(self.lon) * 1.5 + 1
+        row = np.clip((self.lat - self.south) // self.height, 0, self.rows - 1).astype(np.int64)
+        self.at = np.lexsort((self.lon, row)).astype(np.int32)
+        self.key = row[self.at] * self.wide + (self.lon[self.at] - self.west)
+        self.y, self.x = self.lat[self.at], self.lon[self.at]
+        self.cos = np.cos(np.radians(self.y))
+        self.mark = bytearray(len(self.lat))
+        self.marks = np.frombuffer(self.mark, np.uint8)
+        self.held, self.size = {}, 0
+
+    def _ranges(self, lat, lon, dy: float, dx: float):
+        """(point, first, end) of the places, row by row, that hold all within dy and dx."""
+        low = np.clip((lat - dy - self.EPS - self.south) // self.height, 0, self.rows).astype(np.int64)
+        high = np.clip((lat + dy + self.EPS - self.south) // self.height, -1, self.rows - 1).astype(np.int64)
+        s, r = _each(low, np.maximum(low, high + 1))
+        west = np.clip(lon[s] - dx - self.EPS - self.west, -1e-6, self.wide - 0.5)
+        east = np.clip(lon[s] + dx + self.EPS - self.west, -1e-6, self.wide - 0.5)
+        i = np.searchsorted(self.key, r * self.wide + west)
+        return s, i, np.maximum(i, np.searchsorted(self.key, r * self.wide + east, "right"))
+
+    def _hold(self, some: list[int]) -> None:
+        k = np.array(some)
+        s, i, j = self._ranges(self.lat[k], self.lon[k], self.gap, self.gap)
+        total = np.cumsum(np.bincount(s, j - i, len(k)))
+        n = max(1, int(np.searchsorted(total, self.BLOCK, "right")))
+        i, j, s = i[s < n], j[s < n], s[s < n]
+        row, at = _each(i, j)
+        k = k[:n]
+        row = s[row]
+        near = (np.abs(self.y[at] - self.lat[k[row]]) < self.gap) & (np.abs(self.x[at] - self.lon[k[row]]) < self.gap)
+        row, at = row[near], self.at[at[near]]
+        if self.size + len(at) > self.HELD:
+            self.held, self.size = {}, 0
+        self.size += len(at)
+        edge = np.searchsorted(row, np.arange(n + 1)).tolist()
+        for m, a, b in zip(k.tolist(), edge[:-1], edge[1:], strict=True):
+            self.held[m] = at[a:b]
+
+    def within(self, lat: float, lon: float) -> np.ndarray:
+        """The points strictly within the box and no farther than the distance, in their order."""
+        _, i, j = self._ranges(np.array([lat]), np.array([lon]), self.box, self.box)
+        at = _each(i, j)[1]
+        y, x = self.y[at] - lat, self.x[at] - lon
+        u, v = np.radians(y) / 2, np.radians(x) / 2
+        c = np.cos(np.radians(lat)) * self.cos[at]
+        # half angles for their sines; what lies at the edge is judged by the sines
+        d = u * u + c * v * v
+        ok = (np.abs(y) < self.box) & (np.abs(x) < self.box) & (d <= self.limit * (1 + self.margin) + 1e-300)
+        edge = np.flatnonzero(ok & (d >= self.limit * (1 - self.margin)))
+        h = np.sin(u[edge]) ** 2 + c[edge] * np.sin(v[edge]) ** 2
+        ok[edge] = EARTH_M * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) <= self.metres
+        return np.sort(self.at[at[ok]])
+
+    def kept(self, lat: float, lon: float) -> list[int]:
+        points, out, a, step, mark, marks = self.within(lat, lon), [], 0, 128, self.mark, self.marks
+        while a < len(points):
+            part = points[a : a + step]
+            part = part[marks[part] == 0].tolist()
+            for n, k in enumerate(part):
+                if mark[k]:
+                    continue
+                near = self.held.get(k)
+                if near is None:
+                    self._hold([k, *(m for m in part[n + 1 : n + 64] if not mark[m] and m not in self.held)])
+                    near = self.held[k]
+                out.append(k)
+                marks[near] = 1
+            a, step = a + step, min(2 * step, 1 << 13)
+        marks.fill(0)
+        return out
+
+    def answer(self, some: pa.RecordBatch) -> pa.RecordBatch:
+        lat, lon = (some.column(c).to_numpy() for c in ("lat", "lon"))
+        n = [len(self.kept(y, x)) for y, x in zip(lat.tolist(), lon.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([some.column("lat"), some.column("lon"), pa.array(n, pa.int64())], names=["lat", "lon", "n"])
+
+
 def _answers(index_of, size: int):
     """Rows (cell, is_sample, lat, lon, dy, dx, sample_id, columns of points) sorted by cell, its points first; gives the answers of each cell's index to its samples."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,3 +371,25 @@ def nearest(samples: DataFrame, points: DataFrame, reach_lat: float, reach_lon:
     """The nearest point within each sample's box, for each cell that it touches: sample_id, lat, lon, rlat, rlon, d, a, b. Points of one place are one, that of the least (a, b). points: a, b (longs), lat, lon."""
     points = points.groupBy("lat", "lon").agg(F.min(F.struct("a", "b")).alias("m")).select("lat", "lon", F.col("m.a").cast("long").alias("a"), F.col("m.b").cast("long").alias("b"))
     return answers(samples, points, NearestOnSphere if sphere else Nearest, reach_lat, reach_lon, dense)
+
+
+def thinned_counts(samples: DataFrame, points: DataFrame, box: float, metres: float, gap: float) -> DataFrame:
+    """(sample_id, n): how many points (ord, lat, lon) are kept around each sample, see ``Thinned``; 0 without any. No pair is formed.
+
+    Thinning needs all points of a sample in one place: samples are dealt into cells four boxes wide, and each point goes to the cells that it can be reached from (2.25 on average). Samples of one place are one.
+    """
+    c = F.col
+    side = 4 * box
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / side), F.floor(b / side)))
+    own = lambda df: df.where(~F.isnan("lat") & ~F.isnan("lon"))
+    places = own(samples.select(c("lat").cast("double"), c("lon").cast("double")).where("lat is not null and lon is not null")).distinct()
+    near = box * (1 + 1e-9) + 1e-12
+    p = own(points.select(c("ord").cast("long"), c("lat").cast("double"), c("lon").cast("double")).where("ord is not null and lat is not null and lon is not null"))
+    p = p.withColumn("y", cells(c("lat") - near, c("lat") + near)).withColumn("x", cells(c("lon") - near, c("lon") + near))
+    where = lambda y, x: F.xxhash64(y, x).alias("cell")
+    rows = p.select(where("y", "x"), F.lit(False).alias("is_sample"), "lat", "lon", "ord").unionByName(
+        places.select(where(F.floor(c("lat") / side), F.floor(c("lon") / side)), F.lit(True).alias("is_sample"), "lat", "lon", F.lit(None).cast("long").alias("ord")))
+    # a number that is given isn't made smaller: few bytes here are much work
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = rows.repartition(parts, "cell").sortWithinPartitions("cell", "is_sample").mapInArrow(_answers(lambda t: Thinned(t, box, metres, gap), 4096), "lat double, lon double, n long")
+    return samples.select("sample_id", c("lat").cast("double"), c("lon").cast("double")).join(got, ["lat", "lon"], "left").select("sample_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

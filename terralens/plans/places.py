@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralens.functions import geo, text
-from terralens.operators import records, rules, spatial
+from terralens.operators import boxes, records, rules, spatial
 from terralens.plans import fixtures as X
 
 METRES = 200.0
@@ -60,10 +60,7 @@ def _water(s, d):
 
 
 def _transit(s, d):
-    near = spatial.range_join(X.locations(s, d).select("sample_id", "lat", "lon"), X.elements(s, d).where("cat = 7"), 0.003, spatial.fixed(0.003))
-    near = near.where((F.abs(C("rlat") - C("lat")) < 0.003) & (F.abs(C("rlon") - C("lon")) < 0.003) & (geo.haversine_m(C("lat"), C("lon"), C("rlat"), C("rlon")) <= 300))
-    n = near.groupBy("sample_id").agg(F.collect_list(F.struct("ord", C("rlat").alias("lat"), C("rlon").alias("lon"))).alias("stops"))
-    return _all(s, d, spatial.thinned(n)).select("sample_id", F.coalesce(F.size("stops"), F.lit(0)).cast("long").alias("stops"))
+    return boxes.thinned_counts(X.locations(s, d), X.elements(s, d).where("cat = 7"), 0.003, 300.0, 0.0002).withColumnRenamed("n", "stops")
 
 
 CATEGORIES = ["building", "amenity", "landuse", "park", "road", "signal", "water", "transit"]

@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terralens.functions import geo
-from terralens.operators import spatial
+from terralens.operators import boxes, spatial
 from tests.test_spatial import around, pairs
 
 
@@ -84,3 +86,46 @@ def test_contexts_form_no_pairs(spark):
     a, far = r["a"], r["far"]
     assert (a.buildings, a.median_levels, list(a.building_types.items()), a.roads, a.surface, a.has_bridge, a.has_roundabout, a.water_m) == (5, 5.0, [("a", 2), ("b", 2)], 1, None, True, False, 111.2)
     assert (far.buildings, far.median_levels, far.building_types, far.amenity_types, far.water_m) == (0, None, {}, [], None)
+
+
+def test_thinned_counts_match_pairs(spark):
+    """Dense stops with repeated places and places at the edge of the box, at two latitudes; the samples share places, and one has nothing near it."""
+    rng = np.random.default_rng(5)
+    for south in (10.0, 71.0):
+        at = rng.integers(0, 9000, (1500, 2)) / 1e6 + [south, 16.0]
+        at = np.concatenate([at, at[:200], at[:1] + [[0.003, 0.0]]])
+        stops = [(int(k), float(y), float(x)) for k, (y, x) in zip(rng.permutation(len(at)), at, strict=True)] + [(None, south, 16.0), (-1, None, 16.0)]
+        places = [*at[rng.integers(0, len(at), 30)], at[0], at[0], [south + 5, 16.0], [south, float("nan")]]
+        samples = [(f"s{k}", float(y), float(x)) for k, (y, x) in enumerate(places)] + [("none", None, None)]
+        l, r = spark.createDataFrame(samples, "sample_id string, lat double, lon double"), spark.createDataFrame(stops, "ord long, lat double, lon double")
+        got = {x.sample_id: x.n for x in boxes.thinned_counts(l, r, 0.003, 300.0, 0.0002).collect()}
+        want = {}
+        for k, y, x in samples:
+            near = []
+            for o, b, a in sorted(s for s in stops if None not in s) if y is not None else []:
+                h = math.sin(math.radians(b - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(b)) * math.sin(math.radians(a - x) / 2) ** 2
+                if abs(b - y) < 0.003 and abs(a - x) < 0.003 and 6371000.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) <= 300 and not any(abs(b - m) < 0.0002 and abs(a - n) < 0.0002 for m, n in near):
+                    near.append((b, a))
+            want[k] = len(near)
+        assert got == want and max(want.values()) > 50
+
+
+def test_thinning_holds_few_neighbours(monkeypatch):
+    """Clusters that exceed the limits of what is found and held at once."""
+    monkeypatch.setattr(boxes.Thinned, "BLOCK", 50)
+    monkeypatch.setattr(boxes.Thinned, "HELD", 200)
+    rng = np.random.default_rng(6)
+    lat, lon = 5 + rng.normal(0, 2e-4, 800), 5 + rng.normal(0, 2e-4, 800)
+    t = boxes.Thinned(pa.table({"lat": lat, "lon": lon, "ord": np.arange(800)}), 0.003, 300.0, 0.0002)
+    kept = []
+    for k in range(800):
+        if not any(abs(lat[k] - lat[m]) < 0.0002 and abs(lon[k] - lon[m]) < 0.0002 for m in kept):
+            kept.append(k)
+    assert t.kept(5.0, 5.0) == kept == t.kept(5.0, 5.0)
+
+
+def test_transit_makes_no_row_for_each_pair(spark):
+    from terralens.plans.catalog import QUERIES
+
+    plan = QUERIES["context_transit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "rlat" not in plan
