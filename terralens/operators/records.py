@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralens.functions import geo
 from terralens.operators import spatial
+from terralens.operators.split import id_counts
 
 #: Fixed order of attempts for each source.
 FALLBACK = {"NAIP": ["NAIP", "ESRI", "S2"], "IGN": ["IGN", "ESRI", "S2"], "ESRI": ["ESRI", "S2"], "S2": ["S2"]}
@@ -161,13 +162,12 @@ def half_epochs(steps: DataFrame, steps_per_epoch: int) -> DataFrame:
 
 def integrity(q: DataFrame, unseen: DataFrame, removed_topic: str = "water_proximity", views: int = 4) -> DataFrame:
     """Checks of a tagged set of questions (question_id, sample_id, city, topic, streetview_count, split): rule, violations."""
-    per = q.groupBy("sample_id").agg(F.collect_set("split").alias("s"))
-    both = lambda a, b: F.count_if(F.array_contains("s", a) & F.array_contains("s", b))
     pairs = [("train", "validation"), ("train", "benchmark"), ("validation", "benchmark")]
-    overlap = per.agg(*(both(a, b).alias(f"overlap {a} {b}") for a, b in pairs))
     u = unseen.select("city", F.lit(1).alias("u")).distinct()
-    rest = q.join(u, "city", "left").agg(
-        (F.count("question_id") - F.countDistinct("question_id")).alias("duplicate ids"), F.count_if((F.col("split") == "train") & (F.col("u") == 1)).alias("unseen in train"),
-        F.count_if(F.coalesce("streetview_count", F.lit(0)) != views).alias("views"), F.count_if(F.col("topic") == removed_topic).alias("removed topic"))
+    counted = {"unseen in train": (F.col("split") == "train") & (F.col("u") == 1), "views": F.coalesce("streetview_count", F.lit(0)) != views, "removed topic": F.col("topic") == removed_topic}
+    # one pass by location, whose rows have met in the joins that tag them
+    per = q.join(u, "city", "left").groupBy("sample_id").agg(*(F.bool_or(F.col("split") == s).alias(s) for s in ("train", "validation", "benchmark")), *(F.count_if(c).alias(k) for k, c in counted.items()))
+    rest = per.agg(*(F.count_if(F.col(a) & F.col(b)).alias(f"overlap {a} {b}") for a, b in pairs), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counted))
+    ids = id_counts(q, "question_id").agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("duplicate ids"))
     long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("violations")) for c in df.columns))).alias("r")).select("r.*")
-    return reduce(DataFrame.unionByName, [long(overlap), long(rest)])
+    return reduce(DataFrame.unionByName, [long(rest), long(ids)])
