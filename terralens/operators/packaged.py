@@ -6,18 +6,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terralens.operators.split import id_counts
 
 REQUIRED = ("question_id", "sample_id", "city", "topic", "answer", "question", "options")
 PAIRS = (("train", "validation"), ("train", "benchmark"), ("validation", "benchmark"))
 
 
-def nested_image_paths(records: DataFrame) -> Column:
-    """All image references anywhere in a row, as an array: texts below images/ that are values, at any depth, never keys of maps.
+def _texts(value: Column, kind: T.DataType) -> Column | None:
+    """All texts that are values within a value, in their order, as an array that may hold nulls; None for a type without any."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        return F.array(value.cast("string"))
+    if isinstance(kind, T.StructType):
+        found = [t for f in kind.fields if (t := _texts(value.getField(f.name), f.dataType)) is not None]
+        return F.concat(*(F.coalesce(t, none) for t in found)) if found else None
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        values, inner = (value, kind.elementType) if isinstance(kind, T.ArrayType) else (F.map_values(value), kind.valueType)
+        if isinstance(inner, T.StringType):
+            return values
+        if _texts(F.lit(None), inner) is None:
+            return None
+        return F.flatten(F.transform(values, lambda x: F.coalesce(_texts(x, inner), none)))
+    if isinstance(kind, T.VariantType):
+        # JSON has a colon after a key's quote and none after a value's
+        found = F.regexp_extract_all(F.concat(F.lit("["), F.to_json(value), F.lit("]")), F.lit(r'(?<=[:,\[])"(images/(?:[^"\\]|\\.)*+)"(?!:)'), F.lit(1))
+        return F.transform(found, lambda x: F.regexp_replace(x, r'\\(.)', "$1"))
+    return None
+
 
-    A row's JSON has a colon after a key's quote and none after a value's.
-    """
-    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in records.columns)))
-    return F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(r'(?<=[:,\[])"(images/(?:[^"\\]|\\.)*+)"(?!:)'), F.lit(1)), lambda x: F.regexp_replace(x, r'\\(.)', "$1")))
+def nested_image_paths(records: DataFrame) -> Column:
+    """All image references anywhere in a row, as an array: texts below images/ that are values, at any depth, never keys of maps. The schema tells where texts are, and nothing else is read."""
+    found = [t for f in records.schema.fields if (t := _texts(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.concat(none, *(F.coalesce(t, none) for t in found)), lambda x: x.startswith("images/")))
 
 
 def path_class(path: Column) -> Column:
@@ -63,7 +86,7 @@ def overlaps(tagged: DataFrame, label: str) -> DataFrame:
 
 
 def unique_ids(tagged: DataFrame, label: str) -> DataFrame:
-    n = tagged.groupBy("question_id").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
+    n = id_counts(tagged, "question_id").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
     return _rows(n, _check(f"{label}: unique ids", F.col("n") > 0, F.col("n")))
 
 
@@ -102,11 +125,26 @@ def check_counts(checks: DataFrame) -> DataFrame:
 
 def suite(tagged: DataFrame, public: DataFrame, listing: DataFrame, unseen: DataFrame, label: str) -> DataFrame:
     """All checks on splits (tagged with ``split``) and the public benchmark."""
-    private = tagged.where("split = 'benchmark'")
-    parts = [fields(tagged, label), images_exist(tagged, listing, label), answers(public, label, True), answers(private, label, False), overlaps(tagged, label), unique_ids(tagged, label), unseen_not_in_train(tagged, unseen, label)]
+    parts = [tagged_checks(tagged, unseen, label), images_exist(tagged, listing, label), answers(public, label, True), unique_ids(tagged, label)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def tagged_checks(tagged: DataFrame, unseen: DataFrame, label: str) -> DataFrame:
+    """``fields``, ``answers`` of the private benchmark, ``overlaps`` and ``unseen_not_in_train`` in one pass by location."""
+    c = F.col
+    missing = sorted(set(REQUIRED) - set(tagged.columns))
+    new = unseen.select(c("city").alias("_city")).distinct()
+    per = tagged.join(new, c("city") == c("_city"), "left").groupBy("sample_id").agg(
+        F.count("*").alias("n"), F.count_if((c("split") == "benchmark") & c("answer").isNull()).alias("blank"), *(F.bool_or(c("split") == s).alias(s) for s in ("train", "validation", "benchmark")),
+        F.collect_set(F.when(c("split") == "train", c("_city"))).alias("new"))
+    # a location counts once, however many new cities it has
+    first = F.coalesce(c("_k"), F.lit(0)) == 0
+    total = per.select("*", F.posexplode_outer("new").alias("_k", "_new")).agg(
+        *(F.coalesce(F.sum(F.when(first, c(k))), F.lit(0)).alias(k) for k in ("n", "blank")), *(F.count_if(first & c(a) & c(b)).alias(f"{a}_{b}") for a, b in PAIRS), F.array_sort(F.collect_set("_new")).alias("new"))
+    return _rows(total, _check(f"{label}: fields", (c("n") == 0) | F.lit(bool(missing)), F.concat_ws(" ", c("n").cast("string"), F.lit(",".join(missing)))), _check(f"{label}: all answers", c("blank") > 0, c("blank")),
+                 *(_check(f"{label}: {a}/{b} overlap", c(f"{a}_{b}") > 0, c(f"{a}_{b}")) for a, b in PAIRS), _check(f"{label}: unseen cities", F.size("new") > 0, F.array_join("new", ",")))
+
+
 def copy_manifest(paths: DataFrame, sources: DataFrame, present: DataFrame) -> DataFrame:
     """path, status (present, copied or missing) and the folder to copy from: files already at the target are left, others come from the first folder that has them."""
     best = sources.groupBy("path").agg(F.min("dir_ord").alias("dir_ord"))
