@@ -1,18 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour; an S suffix after an L
-one is leftmost-smaller (LMS). LMS substrings are sorted by induction and named, the names are sorted
-recursively, and the sorted LMS suffixes induce all others, each in linear time. Over bytes the
-induction runs a bucket at a time on arrays: what a bucket's entries induce is put at the ends of its
-buckets in one step, and what falls into the same bucket makes the next step. Name strings have nearly as many
-symbols as entries, so there the induction goes entry by entry.
+one is leftmost-smaller (LMS). LMS substrings are sorted by induction and named, the names are sorted,
+and the sorted LMS suffixes induce all others. The induction runs a bucket at a time on arrays: what a bucket's
+entries induce is put at the ends of its buckets in one step, and what falls into the same bucket makes the next
+step. Strings of names have nearly as many symbols as entries, so there buckets are no help: they are sorted by doubling
+(of few symbols: by induction again).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from terralens.llm import textkernel as K
+#: Strings of more symbols than this are sorted by doubling.
+BYTES = 512
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -85,29 +86,30 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, count: np.ndarray)
     return sa
 
 
-def _induce_by_entry(s: list[int], larger: list[int], smaller: list[int], lms: list[int], low: list[int], top: list[int]) -> list[int]:
-    """larger, smaller: for each position the symbol before it if that suffix is of this class, else -1; a last -1 stands for places not filled yet."""
-    sa = [-1] * len(s)
-    at = top[:]
-    for p in reversed(lms):
-        c = s[p]
-        at[c] -= 1
-        sa[at[c]] = p
-    at = low[:]
-    for p in sa:
-        c = larger[p]
-        if c >= 0:
-            q = at[c]
-            sa[q] = p - 1
-            at[c] = q + 1
-    at = top[:]
-    for i in range(len(s) - 1, -1, -1):
-        p = sa[i]
-        c = smaller[p]
-        if c >= 0:
-            q = at[c] - 1
-            sa[q] = p - 1
-            at[c] = q
+def _doubled(s: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling: suffixes in order of their first symbols, then of twice as many, until all are told apart. Only those that aren't yet are sorted again."""
+    n = len(s)
+    sa = np.argsort(s, kind="stable")
+    first = np.concatenate([[True], s[sa[1:]] != s[sa[:-1]]])
+    rank = np.empty(n, np.int64)
+    at = np.arange(n)
+    head = np.maximum.accumulate(np.where(first, at, 0))
+    rank[sa] = head
+    # places of those that share their rank; the unique last symbol lies beyond all that such suffixes share
+    at = at[~(first & np.append(first[1:], True))]
+    step = 1
+    while len(at):
+        own = sa[at]
+        group = rank[own]
+        key = group * n + rank[own + step]
+        o = np.argsort(key)
+        own, key, group = own[o], key[o], group[o]
+        sa[at] = own
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        rank[own] = head
+        at = at[~(first & np.append(first[1:], True))]
+        step *= 2
     return sa
 
 
@@ -128,19 +130,13 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
+    if symbols > BYTES:
+        return _doubled(s)
     is_s = classify(s)
     count = np.bincount(s, minlength=symbols)
     lms = _lms(is_s)
-    by_entry = symbols > 512
-    if by_entry:
-        text, top = s.tolist(), np.cumsum(count)
-        ends = (top - count).tolist(), top.tolist()
-        larger, smaller = (np.concatenate([[-1], np.where(is_s[:-1] == side, s[:-1], -1), [-1]]).tolist() for side in (False, True))
-
-    def induce(order: np.ndarray) -> np.ndarray:
-        return np.array(_induce_by_entry(text, larger, smaller, order.tolist(), *ends)) if by_entry else _induce(s, is_s, order, count)
     if len(lms) > 1:
-        sa = induce(lms)
+        sa = _induce(s, is_s, lms, count)
         mark = np.zeros(n, bool)
         mark[lms] = True
         ordered = sa[mark[sa]]
@@ -155,7 +151,7 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
             at = np.zeros(n, np.int64)
             at[ordered] = name
             lms = lms[_sort(at[lms], int(name[-1]) + 1)]
-    return induce(lms)
+    return _induce(s, is_s, lms, count)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -164,8 +160,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     present = np.zeros(256, bool)
     present[data] = True
-    rank = np.cumsum(present)
-    return _sort(np.append(rank[data], 0), int(rank[-1]) + 1)[1:]
+    # 16 bits: numpy sorts these by digits
+    rank = np.cumsum(present).astype(np.uint16)
+    return _sort(np.append(rank[data], np.uint16(0)), int(rank[-1]) + 1)[1:]
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int, at: np.ndarray | None = None) -> np.ndarray:

@@ -14,7 +14,7 @@ The work is cut so that equal windows meet in one shard:
    surroundings of edits and of passage ends.
 3. Those runs' bytes are collected in shards by anchor. A shard's suffix array is induced, and windows of a common
    prefix of ``window`` bytes or more are equal; all but the earliest are repeats. An anchor with more than ``HOT`` kinds of run is
-   dealt by window instead, each window once for a slice, so no shard depends on how often a passage occurs.
+   dealt by window instead, as rows of the windows' hashes without bytes, so no shard depends on how often a passage occurs.
 4. Repeats come back to their documents, whose remaining bytes are kept.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _cut(anchor: np.ndarray, h: np.ndarray, prefix: np.ndarray, off: np.ndarray,
     if not len(pos):
         return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64))
     own = anchor[pos]
-    doc = np.searchsorted(off, pos, "right")
+    doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))[pos]
     new = np.ones(len(pos), bool)
     new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -247,36 +248,55 @@ _CONTEXT = "key long, bytes binary, doc_id long, place long, lo int, n int"
 _REPEAT = "doc_id long, place long, lo int, n int"
 
 
+def _repeated(key: np.ndarray, at: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, late, head): rows by key and place; in that order, those that repeat the earliest of their key, and where that one is."""
+    o = np.lexsort((at[2], at[1], at[0], key))
+    same = np.zeros(len(o), bool)
+    same[1:] = key[o][1:] == key[o][:-1]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(o)))) if len(o) else o
+    late = same & ((at[0][o] != at[0][o][head]) | (at[1][o] != at[1][o][head]) | (at[2][o] != at[2][o][head]))
+    return o, late, head
+
+
 def _contexts(window: int):
-    """(text, doc_id, place, runs) to the runs' bytes; a hot anchor's run to its windows. Of equal hot windows that a task remembers, later ones come without bytes: they are repeats."""
+    """(text, doc_id, place, runs) to the runs' bytes; a hot anchor's run to its windows, which have their hash as key, no bytes and n = 0. Hot windows that repeat one that a task remembers come as ranges without bytes: they are repeats."""
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[int, int, int]] = {}
+        memory = _Memory()
         for b in batches:
-            ids, places = b.column(1).to_pylist(), b.column(2).to_pylist()
-            lists = b.column(3)
+            # a row without an id has no runs
+            ids, places, size = (x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (b.column(1), b.column(2), pc.list_value_length(b.column(3))))
+            first = np.concatenate([[0], np.cumsum(size)])
+            found = b.column(3).flatten()
             for i, j, data, off in K.text_slices(b.column(0)):
-                whole = data.tobytes()
-                key, blob, rows = [], [], []
-                for q in range(j - i):
-                    raw, me = whole[off[q] : off[q + 1]], (ids[i + q], places[i + q])
-                    for r in lists[i + q].as_py():
-                        if not r["hot"]:
-                            key.append(r["h"])
-                            blob.append(raw[r["lo"] : r["lo"] + r["n"] - 1 + window])
-                            rows.append((*me, r["lo"], r["n"]))
-                            continue
-                        for s in range(r["lo"], r["lo"] + r["n"]):
-                            w = raw[s : s + window]
-                            first, now = seen.get(w), (*me, s)
-                            if first is None or now < first:
-                                if len(seen) >= REMEMBERED:
-                                    seen = {}
-                                seen[w] = now
-                            key.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True))
-                            blob.append(None if first is not None and first < now else w)
-                            rows.append((*now, 1))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(blob, pa.binary()), *cols], names=["key", "bytes", "doc_id", "place", "lo", "n"])
+                part = found.slice(first[i], first[j] - first[i])
+                if not len(part):
+                    continue
+                h, lo, n, hot = (part.field(c).to_numpy(zero_copy_only=False) for c in ("h", "lo", "n", "hot"))
+                q = np.repeat(np.arange(j - i), size[i:j])
+                doc, place, start = ids[i:j][q], places[i:j][q], off[q] + lo
+                whole, end = data.tobytes(), start + n - 1 + window
+                k = np.flatnonzero(~hot)
+                yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array([whole[x:y] for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)], pa.binary()), *(pa.array(x[k]) for x in (doc, place, lo, n))], names=names)
+                k = np.flatnonzero(hot)
+                if not len(k):
+                    continue
+                # each window of the hot runs
+                row = np.repeat(k, n[k])
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                key = K.span_hash(K.prefix_hash(data), start[row] + step, start[row] + step + window)
+                at = doc[row], place[row], lo[row].astype(np.int64) + step
+                o, late, head = _repeated(key, at)
+                done = np.zeros(len(key), bool)
+                done[o] = late
+                done |= memory.repeats(key, key, at)
+                often = o[np.unique(head[late])]
+                memory.add(key[often], key[often], tuple(x[often] for x in at))
+                d, p, s, m = _ranges(*(x[done] for x in at))
+                left = tuple(x[~done] for x in at)
+                cols = [np.concatenate(c) for c in ((key[~done].view(np.int64), K.mix(d.astype(U64) * U64(31) + s.astype(U64)).view(np.int64)), (left[0], d), (left[1], p), (left[2].astype(np.int32), s), (np.zeros(len(left[0]), np.int32), m))]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.nulls(len(cols[0]), pa.binary()), *(pa.array(c) for c in cols[1:])], names=names)
     return run
 
 
@@ -315,39 +335,41 @@ def _ranges(d: np.ndarray, p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def _shards(window: int):
-    """Sorted contexts to repeats, a shard of whole keys at a time. Single windows that a shard holds already are settled as they come."""
+    """Sorted contexts to repeats: a shard of whole keys at a time, and single windows of hot anchors by their hashes as they come."""
     names = [x.split()[0] for x in _REPEAT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, rows, held, key = [], [], 0, None
-        single: dict[bytes, int] = {}
+        head = None  # (key, doc, place, lo) of the earliest window of the current hash
 
         def close() -> pa.RecordBatch:
             doc, place, lo, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in _ranges(*repeats_of_shard(blobs, doc, place, lo, n, window))], names=names)
         for b in batches:
-            late = []
-            for k, x, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                if x is None:
-                    late.append(row)
-                    continue
+            size = b.column(5).to_numpy()
+            without = pc.is_null(b.column(1)).to_numpy(zero_copy_only=False)
+            known = b.filter(pa.array(without & (size > 0)))
+            if known.num_rows:
+                yield known.select(names)
+            k = np.flatnonzero(size == 0)
+            if len(k):
+                w, *at = (b.column(c).to_numpy()[k].astype(np.int64) for c in (0, 2, 3, 4))
+                if head is not None:
+                    w, at = np.append(head[0], w), [np.append(x, y) for x, y in zip(head[1:], at, strict=True)]
+                o, late, first = _repeated(w, tuple(at))
+                last = o[first[-1]]
+                head = (w[last], *(x[last] for x in at))
+                found = _ranges(*(x[o][late] for x in at))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+            for k, x, *row in zip(*(c.to_pylist() for c in b.filter(pa.array(~without)).columns), strict=True):
                 if k != key and held >= SHARD_BYTES:
                     yield close()
-                    blobs, rows, held, single = [], [], 0, {}
+                    blobs, rows, held = [], [], 0
                 key = k
-                if row[3] == 1:
-                    at = single.setdefault(x, len(rows))
-                    if at < len(rows):
-                        if row < rows[at]:
-                            rows[at], row = row, rows[at]
-                        if row != rows[at]:
-                            late.append(row)
-                        continue
                 blobs.append(x)
                 rows.append(row)
                 held += len(x) + 1
-            if late:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*late, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
         if blobs:
             yield close()
     return run
@@ -398,7 +420,7 @@ def _dealt(found: DataFrame, hot: list[int]) -> DataFrame:
     """Runs with ``part``: 0, or a positive number by their content for hot anchors."""
     if not hot:
         return found.withColumn("part", F.lit(0))
-    names = F.broadcast(found.sparkSession.createDataFrame([(x,) for x in hot], "h long").withColumn("_hot", F.lit(True)))
+    names = F.broadcast(found.sparkSession.createDataFrame(pa.table({"h": pa.array(hot, pa.int64())})).withColumn("_hot", F.lit(True)))
     return found.join(names, "h", "left").select("h", "content", "doc_id", "place", "lo", "n", "done", F.when(F.col("_hot"), F.pmod("content", F.lit(256)) + 1).otherwise(0).cast("int").alias("part"))
 
 
@@ -418,7 +440,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     open_ = salt(settled.where("not done"))
     hot = open_.groupBy("h").count().where(F.col("count") > HOT).select("h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("hot"))
     wanted = open_.join(hot, ["h", "salt"], "left").groupBy("doc_id", "place").agg(F.collect_list(F.struct("h", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    contexts = docs.join(wanted.hint("merge"), ["doc_id", "place"]).select("text", "doc_id", "place", "runs").mapInArrow(_contexts(window), _CONTEXT)
-    late = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(window), _REPEAT)
+    # a left join, as below: texts are shuffled once for both
+    contexts = docs.join(wanted.hint("merge"), ["doc_id", "place"], "left").select("text", "doc_id", "place", "runs").mapInArrow(_contexts(window), _CONTEXT)
+    late = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "place", "lo").mapInArrow(_shards(window), _REPEAT)
     repeats = settled.where("done").select("doc_id", "place", "lo", "n").unionByName(late).groupBy("doc_id", "place").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
     return docs.join(repeats.hint("merge"), ["doc_id", "place"], "left").select("text", "doc_id", "at").mapInArrow(_remove(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")

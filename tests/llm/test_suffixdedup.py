@@ -165,3 +165,37 @@ def test_an_anchor_with_many_surroundings(spark, monkeypatch):
             sizes = [r["count"] for r in suffixdedup._dealt(runs, hot).repartition(16, "h", "part").groupBy(F.spark_partition_id()).count().collect()]
             before = [r["count"] for r in runs.repartition(16, "h").groupBy(F.spark_partition_id()).count().collect()]
             assert max(sizes) < 1.5 * np.median(sizes) and max(before) > 2 * np.median(before)
+
+
+def test_windows_of_hot_anchors_carry_no_bytes():
+    """A passage that ends in ever other ways: its windows are rows of hashes, and those a task remembers come as ranges."""
+    rng = np.random.RandomState(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    same = word(130)
+    rows = [((1 << 60) + d, same + word(60)) for d in range(24)]
+    texts = dict(rows)
+    runs = [{"h": 5, "lo": 0, "n": 91, "hot": True}]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_())]))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([t for _, t in part] + [None]), pa.array([d for d, _ in part] + [None]), pa.array([0] * len(part) + [1]), pa.array([runs] * len(part) + [None], kind)], names=["text", "doc_id", "place", "runs"])
+    out = pa.Table.from_batches(list(suffixdedup._contexts(100)(iter([batch(rows[:8]), batch(rows[8:])]))))
+    assert out.column("bytes").null_count == out.num_rows
+    late = {(d, lo + k) for d, lo, n in zip(*(out.column(c).to_pylist() for c in ("doc_id", "lo", "n")), strict=True) for k in range(n)}
+    out = out.sort_by([(c, "ascending") for c in ("key", "doc_id", "place", "lo")])
+    for size in (1, 7, out.num_rows):
+        got = [b for b in suffixdedup._shards(100)(iter(out.to_batches(max_chunksize=size)))]
+        found = [(d, lo + k) for b in got for d, lo, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "n")), strict=True) for k in range(n)]
+        first, want = {}, set()
+        for d, t in rows:
+            for k in range(91):
+                if first.setdefault(texts[d][k : k + 100], (d, k)) != (d, k):
+                    want.add((d, k))
+        assert set(found) == want and len(found) == len(want) and late <= want
+
+
+def test_names_are_sorted_by_doubling():
+    from terralens.llm.induced import _doubled
+
+    rng = np.random.RandomState(4)
+    for s in (rng.randint(1, 900, 3000), np.tile(rng.randint(1, 900, 70), 30), np.ones(500, np.int64), rng.randint(1, 3, 1200)):
+        s = np.append(s, 0)
+        assert _doubled(s).tolist() == sorted(range(len(s)), key=lambda k: s[k:].tolist())
