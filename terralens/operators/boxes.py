@@ -2,7 +2,8 @@
 
 Right points are dealt into large cells (a quadtree where they are dense) and samples go to each cell that their box touches. A task holds the points of one
 cell, sorted, and answers its samples in batches; the answers of a sample's cells are brought together by the caller. What is shuffled is the points once, the samples
-once for each cell and the answers, so it grows with the tables and not with the pairs.
+once for each cell and the answers, so it grows with the tables and not with the pairs. Where answers are larger than points (``surroundings``), samples go to one cell and points to
+each cell that they can be seen from.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from terralens.operators import spatial
 SPAN = 16
 #: A cell with more points than this is split.
 DENSE = 1_000_000
+#: The same where a cell gives the whole answer and so gets the points around it too; a sample counts as so many points.
+WHOLE, SAMPLE = 2_000_000, 8
+#: Points of a cell that are indexed at once where its answers are added up.
+PART = 1_000_000
 #: Classes with fewer points than this in a cell are counted point by point.
 FEW = 64
 NO_ORD = (1 << 63) - 1
@@ -90,11 +95,15 @@ class Classes:
 
     def __init__(self, points: pa.Table):
         code = points.column("key").combine_chunks().dictionary_encode()
-        self.names, code = code.dictionary, code.indices.to_numpy()
-        lat, lon, order = (points.column(c).to_numpy() for c in ("lat", "lon", "ord"))
+        self.names = code.dictionary
+        self.of(len(self.names), code.indices.to_numpy(), *(points.column(c).to_numpy() for c in ("lat", "lon", "ord")))
+
+    def of(self, names: int, code: np.ndarray, lat: np.ndarray, lon: np.ndarray, order: np.ndarray) -> None:
+        """Points of classes that are given by numbers below ``names``."""
+        self.size = max(1, names)
         at = np.lexsort((order, code))
         lat, lon, order, code = lat[at], lon[at], order[at], code[at]
-        edge = np.searchsorted(code, np.arange(len(self.names) + 1))
+        edge = np.searchsorted(code, np.arange(names + 1))
         few = np.diff(edge) < FEW
         self.many = [(k, lat[a:b], lon[a:b], order[a:b], Ranks(lat[a:b], lon[a:b])) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if not few[k]]
         rest = np.flatnonzero(few[code])
@@ -107,10 +116,10 @@ class Classes:
         y, x, order, code = self.few
         row, at = _each(*span(y, lat, dy))
         near = np.abs(x[at] - lon[row]) < dx[row]
-        key, place, n = np.unique(row[near] * len(self.names) + code[at[near]], return_inverse=True, return_counts=True)
+        key, place, n = np.unique(row[near] * self.size + code[at[near]], return_inverse=True, return_counts=True)
         low = np.full(len(key), NO_ORD)
         np.minimum.at(low, place, order[at[near]])
-        out.append((key // max(1, len(self.names)), key % max(1, len(self.names)), n, low))
+        out.append((key // self.size, key % self.size, n, low))
         for k, y, x, order, ranks in self.many:
             n = ranks.count(lat, lon, dy, dx)
             row = np.flatnonzero(n)
@@ -190,8 +199,8 @@ class Nearest:
             best[k[better]], place[k[better]] = d[better], p[better]
         return best, place
 
-    def answer(self, some: pa.RecordBatch) -> pa.RecordBatch:
-        lat, lon, dy, dx = (some.column(c).to_numpy() for c in ("lat", "lon", "dy", "dx"))
+    def found(self, lat, lon, dy, dx) -> tuple[np.ndarray, np.ndarray]:
+        """(d, place) of the nearest point in each box; place -1 without one."""
         best, place = np.full(len(lat), np.inf), np.full(len(lat), -1)
         left = np.arange(len(lat))
         share = np.clip(np.sqrt(2 * self.area / np.maximum(dy * dx, 1e-300)), 1 / 1024, 1.0)
@@ -204,6 +213,11 @@ class Nearest:
                 sure = np.minimum(h, hx) ** 2
             left = left[(share[left] < 1) & ~(best[left] < sure * (1 - 1e-6))]
             share[left] = np.minimum(1.0, share[left] * 2)
+        return best, place
+
+    def answer(self, some: pa.RecordBatch) -> pa.RecordBatch:
+        lat, lon, dy, dx = (some.column(c).to_numpy() for c in ("lat", "lon", "dy", "dx"))
+        best, place = self.found(lat, lon, dy, dx)
         row = np.flatnonzero(place >= 0)
         p = place[row]
         return pa.RecordBatch.from_arrays([some.column("sample_id").take(pa.array(row)), *(pa.array(v) for v in (lat[row], lon[row], self.lat[p], self.lon[p], best[row], self.a[p], self.b[p]))],
@@ -317,6 +331,200 @@ class Thinned:
         return pa.RecordBatch.from_arrays([some.column("lat"), some.column("lon"), pa.array(n, pa.int64())], names=["lat", "lon", "n"])
 
 
+CATEGORIES = ["building", "amenity", "landuse", "park", "road", "signal", "water"]
+#: Categories whose values count, and of these, the ones whose values have an order.
+VALUED, ORDERED = ["building", "amenity", "landuse", "road"], ["building", "landuse", "road"]
+#: Between the parts of what an element is.
+_SEP = "\x1f"
+
+
+def _first(row: np.ndarray, most: int) -> np.ndarray:
+    """True for the first ``most`` of each row number; these come sorted."""
+    start = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    return np.arange(len(row)) - np.maximum.accumulate(np.where(start, np.arange(len(row)), 0)) < most if len(row) else start
+
+
+class Around:
+    """All that lies around the samples of a cell. Points come in parts, each of which is indexed, asked and forgotten, so memory grows with the samples and a part."""
+
+    SCHEMA = ("sample_id string, lat double, lon double, water_lat double, water_lon double, buildings long, median_levels double, building_types array<struct<key: string, value: bigint>>, amenities long, "
+              "amenity_types array<string>, landuse string, parks long, surface string, roads long, roundabouts long, bridges long, signals long")
+    #: Samples that are asked for at once.
+    ASKED = 8192
+
+    def __init__(self, ids: pa.Array, lat: np.ndarray, lon: np.ndarray, dx: np.ndarray, dy: float):
+        self.ids, self.lat, self.lon, self.dx, self.dy = ids, lat, lon, dx, np.full(len(lat), dy)
+        self.keys: dict[tuple[str, str], int] = {}
+        none = np.zeros(0, np.int64)
+        self.sums = none, none, none, none  # sample, key, n, smallest ord
+        self.near = np.full(len(lat), np.inf)
+        self.water = np.full((2, len(lat)), np.nan)
+
+    def _key(self, kind: str, value: str) -> int:
+        return self.keys.setdefault((kind, value), len(self.keys))
+
+    def add(self, points: pa.Table) -> None:
+        what = points.column("what").combine_chunks().dictionary_encode()
+        lat, lon, order = (points.column(c).to_numpy() for c in ("lat", "lon", "ord"))
+        code, texts = what.indices.to_numpy(), what.dictionary.to_pylist()
+        # an element counts for its category, its value, its levels and its marks; the first seen matters for values only
+        ways = np.full((5, len(texts)), -1)
+        water = np.zeros(len(texts), bool)
+        for k, text in enumerate(texts):
+            category, marks, levels, value = text.split(_SEP, 3)
+            water[k] = category == "water"
+            ways[0, k] = self._key("category", category)
+            if value:
+                ways[1, k] = self._key(category, value)
+            if levels:
+                ways[2, k] = self._key("levels", levels)
+            for m, mark in enumerate(("roundabout", "bridge")):
+                if marks[m] == "1":
+                    ways[3 + m, k] = self._key("mark", mark)
+        parts = [(ways[w, code], lat, lon, order if w == 1 else np.full(len(lat), NO_ORD)) for w in range(5)]
+        parts = [tuple(x[p[0] >= 0] for x in p) for p in parts]
+        index = Classes.__new__(Classes)
+        index.of(len(self.keys), *(np.concatenate(c) for c in zip(*parts, strict=True)))
+        del parts
+        near = None
+        if water.any():
+            places = np.unique(np.stack([lat[water[code]], lon[water[code]]]), axis=1)
+            zero = np.zeros(places.shape[1], np.int64)
+            near = NearestOnSphere(pa.table({"lat": places[0], "lon": places[1], "a": zero, "b": zero}))
+        found = [self.sums]
+        for k in range(0, len(self.lat), self.ASKED):
+            some = slice(k, k + self.ASKED)
+            box = self.lat[some], self.lon[some], self.dy[some], self.dx[some]
+            row, key, n, o = index.found(*box)
+            found.append((row + k, key, n, o))
+            if near is not None:
+                d, place = near.found(*box)
+                at = np.flatnonzero((place >= 0) & (d < self.near[some]))
+                self.near[at + k], self.water[0, at + k], self.water[1, at + k] = d[at], near.lat[place[at]], near.lon[place[at]]
+        row, key, n, o = (np.concatenate(c) for c in zip(*found, strict=True))
+        at = np.lexsort((key, row))
+        row, key, n, o = row[at], key[at], n[at], o[at]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.zeros(0, np.int64)
+        self.sums = row[new], key[new], *((np.add.reduceat(n, new), np.minimum.reduceat(o, new)) if len(new) else (n, o))
+
+    def answer(self, top: int) -> pa.RecordBatch:
+        row, key, n, o = self.sums
+        size = len(self.lat)
+        names = list(self.keys)
+        kind_of = np.array([k for k, _ in names], object)
+        # places of names in their order
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=lambda k: names[k][1])] = np.arange(len(names))
+        values = pa.array([v for _, v in names], pa.string())
+
+        def total(kind: str, value: str) -> pa.Array:
+            out = np.zeros(size, np.int64)
+            k = self.keys.get((kind, value))
+            at = np.flatnonzero(key == k) if k is not None else []
+            out[row[at]] = n[at]
+            return pa.array(out)
+
+        def best(kind: str, most: int, by_name: bool = False) -> np.ndarray:
+            """The entries of a kind's first values of each sample: by number and first seen, or by name."""
+            at = np.flatnonzero(np.isin(key, np.flatnonzero(kind_of == kind)))
+            at = at[np.lexsort((place[key[at]], *(() if by_name else (o[at], -n[at])), row[at]))]
+            return at[_first(row[at], most)]
+
+        def lists(at: np.ndarray, items: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(size + 1)), pa.int32()), items)
+
+        def one(at: np.ndarray) -> pa.Array:
+            out = np.full(size, -1)
+            out[row[at]] = key[at]
+            return values.take(pa.array(out, mask=out < 0))
+        # the upper median of levels: how often each occurs, in their order
+        number = np.array([float(v) if k == "levels" else 0.0 for k, v in names])
+        at = np.flatnonzero(np.isin(key, np.flatnonzero(kind_of == "levels")))
+        at = at[np.lexsort((number[key[at]], row[at]))]
+        seen = np.cumsum(n[at])
+        edge = np.searchsorted(row[at], np.arange(size + 1))
+        before = np.concatenate([[0], seen])[edge]
+        there = np.flatnonzero(np.diff(edge))
+        median = np.zeros(size)
+        median[there] = number[key[at]][np.searchsorted(seen, before[there] + np.diff(before)[there] // 2, "right")]
+        types, amenity = best("building", top), best("amenity", 10, True)
+        wet = np.isnan(self.water[0])
+        columns = [self.ids, self.lat, self.lon, pa.array(self.water[0], mask=wet), pa.array(self.water[1], mask=wet), total("category", "building"), pa.array(median, mask=np.diff(edge) == 0),
+                   lists(types, pa.StructArray.from_arrays([values.take(pa.array(key[types])), pa.array(n[types])], ["key", "value"])), total("category", "amenity"), lists(amenity, values.take(pa.array(key[amenity]))),
+                   one(best("landuse", 1)), total("category", "park"), one(best("road", 1)), total("category", "road"), total("mark", "roundabout"), total("mark", "bridge"), total("category", "signal")]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in self.SCHEMA.split(", ") if not x.startswith("value:")])
+
+
+def _wholes(dy: float, top: int, part: int):
+    """Rows (cell, is_point, lat, lon, dx, ord, what) sorted by cell, its samples first, to what is around each sample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, samples, points, held, around = None, [], [], 0, None
+
+        def index() -> None:
+            nonlocal around, samples, points, held
+            if around is None and samples:
+                t = pa.Table.from_batches(samples)
+                around, samples = Around(t.column("what").combine_chunks(), *(t.column(c).to_numpy() for c in ("lat", "lon", "dx")), dy), []
+            if around is not None and points:
+                around.add(pa.Table.from_batches(points))
+            points, held = [], 0
+        for b in batches:
+            ids, point = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (point[1:] != point[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if j == i:
+                    continue
+                if ids[i] != cell:
+                    index()
+                    if around is not None:
+                        yield around.answer(top)
+                    cell, around = ids[i], None
+                if not point[i]:
+                    samples.append(b.slice(i, j - i))
+                elif samples or around is not None:  # points that no sample is near are passed over
+                    points.append(b.slice(i, j - i))
+                    held += j - i
+                    if held >= part:
+                        index()
+        index()
+        if around is not None:
+            yield around.answer(top)
+    return run
+
+
+def surroundings(samples: DataFrame, elements: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], top: int, dense: int = WHOLE, part: int = PART) -> DataFrame:
+    """What lies strictly within each sample's box (see ``Around.SCHEMA``), for samples (sample_id, lat, lon) and elements as of ``spatial.contexts``.
+
+    Each sample goes to one cell, and elements to each cell from which they can be seen, so a cell's answer is the whole one: no partial answers are shuffled. A sample without a place has nothing around it.
+    """
+    c = F.col
+    ok = "abs(lat) < 1e9 and abs(lon) < 1e9"  # neither null nor NaN
+    place = [c("lat").cast("double").alias("lat"), c("lon").cast("double").alias("lon")]
+    left, right = samples.select("sample_id", *place).where(ok), elements.withColumns({"lat": place[0], "lon": place[1]}).where(ok).where(c("category").isin(CATEGORIES))
+    is_ = lambda *k: c("category").isin(*k)
+    mark = lambda name: F.when(is_("road") & c(name), "1").otherwise("0")
+    # a function of lambdas keeps this apart from the caller's code, see ``spatial.dealt``
+    what = F.array_join(F.transform(F.array("category", F.concat(mark("roundabout"), mark("bridge")), F.when(is_("building"), c("levels").cast("string")), F.when(is_(*VALUED), c("value"))), lambda x: F.coalesce(x, F.lit(""))), _SEP)
+    order = F.when(is_(*ORDERED) & (c("value") != ""), c("ord").cast("long"))
+    own = right.select("lat", "lon", F.coalesce(order, F.lit(NO_ORD)).alias("ord"), what.alias("what"))
+    counted = right.select("lat", "lon", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(left.select("lat", "lon", F.lit(SAMPLE).alias("n"), F.lit(SAMPLE).alias("m")))
+    # a sample's box may be as wide as that of the farthest latitude in reach
+    far = F.abs("lat") + reach_lat
+    seen = lambda lat: F.when(far < 89.9, reach_lon(far)).otherwise(1080.0)
+    p, q, cell = spatial.dealt(own, left.withColumn("dx", reach_lon(c("lat"))), reach_lat * SPAN, lambda lat: reach_lon(lat) * SPAN, dense, reach_lat, seen, counted)
+    where = F.xxhash64(*cell).alias("cell")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = q.select(where, F.lit(False).alias("is_point"), c("rlat").alias("lat"), c("rlon").alias("lon"), "dx", none("long", "ord"), c("sample_id").cast("string").alias("what")).unionByName(
+        p.select(where, F.lit(True).alias("is_point"), "lat", "lon", none("double", "dx"), "ord", "what"))
+    # a number that is given isn't made smaller: few bytes here are much work
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, "cell").sortWithinPartitions("cell", "is_point").mapInArrow(_wholes(reach_lat, top, part), Around.SCHEMA)
+    nowhere = samples.select(c("sample_id").cast("string").alias("sample_id"), *place).where(f"not coalesce({ok}, false)")
+    zero = [f for f in found.schema.fields if f.name not in ("sample_id", "lat", "lon")]
+    blank = lambda f: F.lit(0).cast("long") if f.dataType.simpleString() == "bigint" else F.array().cast(f.dataType) if f.dataType.simpleString().startswith("array") else F.lit(None).cast(f.dataType)
+    return found.unionByName(nowhere.select("sample_id", "lat", "lon", *(blank(f).alias(f.name) for f in zero)))
+
+
 def _answers(index_of, size: int):
     """Rows (cell, is_sample, lat, lon, dy, dx, sample_id, columns of points) sorted by cell, its points first; gives the answers of each cell's index to its samples."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +553,8 @@ def _answers(index_of, size: int):
 def answers(samples: DataFrame, points: DataFrame, index_of, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int = DENSE) -> DataFrame:
     """What ``index_of`` says of the points strictly within each sample's box, for each cell that the box touches. samples: sample_id (a string), lat, lon. points: lat, lon and the columns of the index."""
     left = samples.select("sample_id", "lat", "lon").withColumn("dx", reach_lon(F.col("lat")))
-    l, r, cell = spatial.dealt(left, points, reach_lat * SPAN, lambda lat: reach_lon(lat) * SPAN, dense, reach_lat, reach_lon)
+    counted = points.select("lat", "lon", F.lit(1).alias("n"), F.lit(1).alias("m"))
+    l, r, cell = spatial.dealt(left, points, reach_lat * SPAN, lambda lat: reach_lon(lat) * SPAN, dense, reach_lat, reach_lon, counted)
     where = F.xxhash64(*cell).alias("cell")
     own = [f for f in points.schema.fields if f.name not in ("lat", "lon")]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)

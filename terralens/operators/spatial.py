@@ -45,6 +45,30 @@ def _leaves(points: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
     return hot, reached.where((c("n") <= dense) | (c("_level") == LEVELS)).select(*_CELL, F.ceil(c("n") / dense).cast("int").alias("_parts"))
 
 
+def _tiles(counted: DataFrame, dense: int) -> tuple[DataFrame, DataFrame] | None:
+    """As ``_leaves`` for large cells, of which few are dense: both tables are on the driver (at most some leaves for each ``dense`` points), so no point is shuffled to meet them. None: no cell is dense.
+
+    counted: _y, _x, _dv, _du, n (weight, by which cells are split) and m (weight of what is dealt by a hash where quartering is no help). Leaves without points are there too.
+    """
+    import pyarrow as pa
+
+    c, spark = F.col, counted.sparkSession
+    local = lambda rows, names: F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, t) for (k, t), v in zip(names.items(), zip(*rows, strict=True), strict=True)})))
+    cells = counted.groupBy("_y", "_x").agg(F.sum("n").alias("n")).where(c("n") > dense).select("_y", "_x").collect()
+    if not cells:
+        return None
+    hot = local(cells, {"_y": pa.int64(), "_x": pa.int64()})
+    deep = counted.join(hot, ["_y", "_x"], "left_semi").groupBy("_y", "_x", "_dv", "_du").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(
+        k.alias("_level"), F.floor(c("_dv") / F.pow(F.lit(2), LEVELS - k)).alias("_v"), F.floor(c("_du") / F.pow(F.lit(2), LEVELS - k)).alias("_u"))))
+    nodes = deep.select("_y", "_x", up.alias("a"), "n", "m").select("_y", "_x", "a.*", "n", "m").groupBy(*_CELL).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    full = nodes.where((c("n") > dense) & (c("_level") < LEVELS)).select("_y", "_x", (c("_level") + 1).alias("_level"), "_v", "_u")
+    below = full.select("_y", "_x", "_level", F.explode(F.expr("array(struct(2 * _v as _v, 2 * _u as _u), struct(2 * _v as _v, 2 * _u + 1 as _u), struct(2 * _v + 1 as _v, 2 * _u as _u), struct(2 * _v + 1 as _v, 2 * _u + 1 as _u))")).alias("a")).select("_y", "_x", "_level", "a.*")
+    leaves = below.join(nodes, _CELL, "left").where(c("n").isNull() | (c("n") <= dense) | (c("_level") == LEVELS))
+    leaves = leaves.select(*_CELL, F.greatest(F.lit(1), F.ceil(F.coalesce("m", F.lit(0)) / dense)).cast("int").alias("_parts"))
+    return hot, local(leaves.collect(), {"_y": pa.int64(), "_x": pa.int64(), "_level": pa.int32(), "_v": pa.int64(), "_u": pa.int64(), "_parts": pa.int32()})
+
+
 def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int | None = DENSE) -> DataFrame:
     """Pairs that may lie within a box around the left point: an equi-join on cells of a grid, for which the caller applies the exact predicate.
 
@@ -60,8 +84,11 @@ def range_join(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: C
     return l.join(r, cell).drop(*cell)
 
 
-def dealt(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int | None, box_lat: float | None = None, box_lon: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of ``range_join`` with the columns of their cell, and the names of these. Cells may be larger than the box around a left point, whose reaches are ``box_lat`` and ``box_lon`` then."""
+def dealt(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callable[[Column], Column], dense: int | None, box_lat: float | None = None, box_lon: Callable[[Column], Column] | None = None, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of ``range_join`` with the columns of their cell, and the names of these. Cells may be larger than the box around a left point, whose reaches are ``box_lat`` and ``box_lon`` then.
+
+    ``counted``: points (lat, lon, and the n and m of ``_tiles``) whose weights split large cells; else the right points' numbers do.
+    """
     c = F.col
     height = reach_lat * (1 + 1e-9)
     box = (box_lat or reach_lat) * (1 + 1e-9)
@@ -69,16 +96,24 @@ def dealt(left: DataFrame, right: DataFrame, reach_lat: float, reach_lon: Callab
     r = right.withColumnsRenamed({"lat": "rlat", "lon": "rlon"}).where("rlat is not null and rlon is not null")
     r = r.withColumn("_y", F.floor(c("rlat") / height)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_x", F.floor(c("rlon") / c("_w")))
     dx = (box_lon or reach_lon)(c("lat")) * (1 + 1e-9) + 1e-12
-    west, east = F.greatest(c("lon") - dx, F.lit(-540.0)), F.least(c("lon") + dx, F.lit(540.0))
-    rows = F.sequence(F.floor((c("lat") - box) / height), F.floor((c("lat") + box) / height))
-    l = left.where("lat is not null and lon is not null").withColumn("_y", F.explode(rows)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_west", west).withColumn("_east", east)
+    west, east = F.greatest(c("lon") - c("_dx"), F.lit(-540.0)), F.least(c("lon") + c("_dx"), F.lit(540.0))
+    # a function of lambdas parts the generated code, which in one piece with the caller's is too long for Java to compile it
+    rows = F.transform(F.sequence(F.floor((c("lat") - box) / height), F.floor((c("lat") + box) / height)), lambda y: y)
+    l = left.where("lat is not null and lon is not null").withColumn("_y", F.explode(rows)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_dx", dx).withColumn("_west", west).withColumn("_east", east).drop("_dx")
     l = l.where("_west <= _east").withColumn("_x", F.explode(F.sequence(F.floor(c("_west") / c("_w")), F.floor(c("_east") / c("_w")))))
     if dense is None:
         return l.drop("_w", "_west", "_east"), r.drop("_w"), ["_y", "_x"]
     inner = lambda at, cell, size: F.least(F.greatest(F.floor((at / size - cell) * side), F.lit(0)), F.lit(int(side) - 1))
     r = r.withColumns({"_dv": inner(c("rlat"), c("_y"), height), "_du": inner(c("rlon"), c("_x"), c("_w"))})
-    hot, leaves = _leaves(r.select("_y", "_x", "_dv", "_du"), dense)
-    if hot.isEmpty():
+    if counted is None:
+        hot, leaves = _leaves(r.select("_y", "_x", "_dv", "_du"), dense)
+        split = not hot.isEmpty()
+    else:
+        n = counted.where("lat is not null and lon is not null").withColumn("_y", F.floor(c("lat") / height)).withColumn("_w", _width(c("_y"), height, reach_lon)).withColumn("_x", F.floor(c("lon") / c("_w")))
+        found = _tiles(n.select("_y", "_x", inner(c("lat"), c("_y"), height).alias("_dv"), inner(c("lon"), c("_x"), c("_w")).alias("_du"), "n", "m"), dense)
+        split = found is not None
+        hot, leaves = found or (None, None)
+    if not split:
         return l.drop("_w", "_west", "_east"), r.drop("_w", "_dv", "_du"), ["_y", "_x"]
     # right points: their cell, or each node above them in a dense one, of which one is a leaf
     flag = hot.withColumn("_hot", F.lit(True))
@@ -167,48 +202,23 @@ def upper_median_of_counts(pairs: Column) -> Column:
     return value_at(F.array_sort(pairs), F.floor(total / 2))
 
 
-def _ranked(items: Column) -> Column:
-    """(n, o, v) by count falling, then by first seen."""
-    return F.array_sort(items, lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).otherwise(F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)))
-
-
-def contexts(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, top: int = 5, dense: int | None = DENSE) -> DataFrame:
+def contexts(samples: DataFrame, elements: DataFrame, metres: float = BUFFER_M, top: int = 5, dense: int | None = None) -> DataFrame:
     """What surrounds each sample, counted in its box without a row for each pair.
 
     elements: ord, lat, lon, category (building, amenity, landuse, park, road, signal or water), value (type of a building, amenity or land use;
     surface of a road), levels, roundabout and bridge (bridge or tunnel).
-    What is brought together for a sample is its different values. Returns
+    Elements are dealt once, to each cell that they can be seen from, and what a cell gives for a sample is the whole. sample_id is a key. Returns
     buildings, median_levels (upper), building_types (map of the ``top`` most frequent), amenities, amenity_types (up to ten), landuse (most frequent),
     has_park, surface (most frequent, empty ones don't count), roads, has_roundabout, has_bridge, has_signal, water_m.
     """
     from terralens.operators import boxes
 
     c = F.col
-    is_ = lambda k: c("category") == k
-    # an element counts for its category, its value, its levels and its marks; the first seen matters for values only
-    value = F.when(F.coalesce("value", F.lit("")) != "", c("value"))
-    named = lambda k, v, o=None: F.struct(F.concat(F.lit(f"{k}:"), v).alias("key"), (F.lit(None) if o is None else o).cast("long").alias("ord"))
-    ways = F.array(named("category", c("category")), *(named(k, F.when(is_(k), value), c("ord")) for k in ("building", "landuse", "road")), named("amenity", F.when(is_("amenity"), value)), named("levels", F.when(is_("building"), c("levels").cast("string"))),
-                   named("mark", F.when(is_("road") & c("roundabout"), F.lit("roundabout"))), named("mark", F.when(is_("road") & c("bridge"), F.lit("bridge"))))
-    keyed = elements.where(~is_("transit")).select("lat", "lon", F.explode(F.filter(ways, lambda x: x["key"].isNotNull())).alias("a")).select("lat", "lon", "a.*")
-    counted = boxes.box_counts(samples, keyed, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), dense or boxes.DENSE)
-    counted = counted.select("sample_id", "n", "o", F.substring_index("key", ":", 1).alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("v"))
-    total = lambda k: F.coalesce(F.sum(F.when((c("kind") == "category") & (c("v") == k), c("n"))), F.lit(0))
-    kinds = lambda k: F.collect_list(F.when(c("kind") == k, F.struct("n", "o", "v")))
-    mark = lambda k: F.coalesce(F.bool_or((c("kind") == "mark") & (c("v") == k)), F.lit(False))
-    per = counted.groupBy("sample_id").agg(
-        total("building").alias("buildings"), F.collect_list(F.when(c("kind") == "levels", F.struct(c("v").cast(dict(elements.dtypes)["levels"]).alias("v"), "n"))).alias("levels"), kinds("building").alias("types"),
-        total("amenity").alias("amenities"), kinds("amenity").alias("amenity"), kinds("landuse").alias("landuse"), kinds("road").alias("surface"), (total("park") > 0).alias("has_park"), total("road").alias("roads"),
-        mark("roundabout").alias("has_roundabout"), mark("bridge").alias("has_bridge"), (total("signal") > 0).alias("has_signal"))
-    per = per.join(nearest_m(samples, elements.where(is_("water")), metres, dense).withColumnRenamed("m", "water_m"), "sample_id", "left")
-    best = lambda name: F.try_element_at(_ranked(c(name)), F.lit(1))["v"]
-    found = per.select(
-        "sample_id", "buildings", upper_median_of_counts(c("levels")).alias("median_levels"), F.map_from_entries(F.transform(F.slice(_ranked(c("types")), 1, top), lambda x: F.struct(x["v"], x["n"]))).alias("building_types"),
-        "amenities", F.slice(F.array_sort(F.transform("amenity", lambda x: x["v"])), 1, 10).alias("amenity_types"), best("landuse").alias("landuse"), "has_park", best("surface").alias("surface"), "roads", "has_roundabout", "has_bridge",
-        "has_signal", F.round("water_m", 1).alias("water_m"))
-    none = {"buildings": 0, "amenities": 0, "roads": 0, "has_park": False, "has_roundabout": False, "has_bridge": False, "has_signal": False}
-    out = samples.select("sample_id").join(found, "sample_id", "left").fillna(none)
-    return out.withColumns({"building_types": F.coalesce("building_types", F.create_map().cast("map<string,bigint>")), "amenity_types": F.coalesce("amenity_types", F.array().cast("array<string>"))})
+    found = boxes.surroundings(samples, elements, metres / geo.DEGREE_M, lambda lat: geo.lon_degrees(metres, lat), top, dense or boxes.WHOLE)
+    water = F.when(c("water_lat").isNotNull(), F.round(geo.haversine_m(c("lat"), c("lon"), c("water_lat"), c("water_lon")), 1))
+    return found.select(
+        "sample_id", "buildings", "median_levels", F.map_from_entries("building_types").alias("building_types"), "amenities", "amenity_types", "landuse", (c("parks") > 0).alias("has_park"), "surface", "roads",
+        (c("roundabouts") > 0).alias("has_roundabout"), (c("bridges") > 0).alias("has_bridge"), (c("signals") > 0).alias("has_signal"), water.alias("water_m"))
 
 
 def spread_stops(stops: Column, gap: float = 0.0002) -> Column:

@@ -67,8 +67,8 @@ CATEGORIES = ["building", "amenity", "landuse", "park", "road", "signal", "water
 
 
 def _surroundings(s, d):
-    """All contexts of each sample, and its land use and junction, from one join."""
-    e = X.elements(s, d).where("cat < 7").select("ord", "lat", "lon", F.expr(X.pick("cat", CATEGORIES)).alias("category"), F.expr("case when cat = 4 then surface else kind end").alias("value"), F.expr("case when cat = 0 then levels end").alias("levels"), "roundabout", "bridge")
+    """All contexts of each sample, and its land use and junction, from one pass."""
+    e = X.numbered_elements(s, d).where("cat < 7").select("ord", "lat", "lon", F.expr(X.pick("cat", CATEGORIES)).alias("category"), F.expr("case when cat = 4 then surface else kind end").alias("value"), F.expr("case when cat = 0 then levels end").alias("levels"), "roundabout", "bridge")
     return spatial.contexts(X.locations(s, d), e, METRES)
 
 

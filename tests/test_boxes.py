@@ -129,3 +129,65 @@ def test_transit_makes_no_row_for_each_pair(spark):
 
     plan = QUERIES["context_transit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "rlat" not in plan
+
+
+@pytest.mark.parametrize("dense, part", [(None, boxes.PART), (150, 40), (20, 7)])
+def test_surroundings_match_pairs(spark, places, dense, part):
+    """Cells that are split, points that come in parts, samples that are dealt by a hash: what is around a sample is what a scan of all pairs gives."""
+    samples, elements, s, e = places
+    kind = lambda o: ["building", "amenity", "landuse", "park", "road", "signal", "water", "transit", "odd"][o % 9]
+    value = lambda o: None if o % 13 == 0 else "" if o % 17 == 0 else f"v{o // 9 * 7 % 12}"
+    level = lambda o: None if o % 4 == 0 else o % 23
+    at = {o: (y, x) for o, y, x in elements}
+    pos = {sid: (y, x) for sid, y, x in samples}
+    near = {sid: [] for sid in [*pos, "none"]}
+    for sid, o in pairs(samples, elements, 200.0):
+        near[sid].append(o)
+
+    def ranked(found, k):
+        n = {}
+        for o in sorted(found):
+            if kind(o) == k and value(o):
+                n[value(o)] = n.get(value(o), 0) + 1
+        return sorted(n.items(), key=lambda x: -x[1])  # stable: of equals the one seen first
+    want = {}
+    for sid, found in near.items():
+        has = lambda k: sum(kind(o) == k for o in found)  # noqa: B023, E731
+        levels = sorted(level(o) for o in found if kind(o) == "building" and level(o) is not None)
+        water = []
+        for y, x in (at[o] for o in found if kind(o) == "water"):
+            v, u = pos[sid]
+            a = math.sin(math.radians(y - v) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(x - u) / 2) ** 2
+            water.append(2 * geo.EARTH_M * math.atan2(math.sqrt(a), math.sqrt(1 - a)))
+        first = lambda k: (ranked(found, k) or [(None, 0)])[0][0]  # noqa: B023, E731
+        want[sid] = (has("building"), float(levels[len(levels) // 2]) if levels else None, ranked(found, "building")[:5], has("amenity"), sorted({value(o) for o in found if kind(o) == "amenity" and value(o)})[:10], first("landuse"), has("park") > 0, first("road"), has("road"),
+                     any(kind(o) == "road" and o % 5 == 0 for o in found), any(kind(o) == "road" and o % 7 == 0 for o in found), has("signal") > 0, round(min(water), 1) if water else None)
+    rows = spark.createDataFrame([(o, y, x, kind(o), value(o), level(o), o % 5 == 0, o % 7 == 0) for o, y, x in elements] + [(-1, 2.0, None, "road", "a", None, True, True), (-2, float("nan"), 0.0, "road", "a", None, None, None)],
+                                 "ord int, lat double, lon double, category string, value string, levels int, roundabout boolean, bridge boolean").repartition(7)
+    around = boxes.surroundings
+    try:
+        boxes.surroundings = lambda *a: around(*a, part)
+        found = spatial.contexts(s, rows, 200.0, dense=dense).withColumn("building_types", F.map_entries("building_types"))
+        got = {r[0]: (r.buildings, r.median_levels, [tuple(x) for x in r.building_types], r.amenities, r.amenity_types, *r[6:]) for r in found.collect()}
+    finally:
+        boxes.surroundings = around
+    assert got == want and sum(len(w[2]) == 5 for w in want.values()) > 20
+
+
+def test_dense_cells_shuffle_no_point_to_meet_their_leaves(spark, places):
+    """Points were shuffled five times over to find the leaf of a dense cell; leaves are few, so they are brought to the points."""
+    _, _, s, e = places
+    plan = spatial.context_counts(s, e, F.col("kind"), F.col("ord"), 200.0, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "_level#" in plan and "SortMergeJoin" not in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "_level#" in x]
+
+
+def test_contexts_shuffle_points_and_samples_once(spark):
+    """Lines to be numbered, with their own columns only, then points and samples by cell: no answers by key, and no samples to meet them."""
+    import re
+
+    from terralens.plans.catalog import QUERIES
+
+    plan = QUERIES["sample_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x.split("#")[0] for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)) == ["cell", "l_orderkey"]
+    below = plan[plan.index("Exchange hashpartitioning(l_orderkey") :]
+    assert "611953" not in below[: below.index("FileScan")]
